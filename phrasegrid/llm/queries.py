@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +57,26 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    """
+    WITH l AS (
+      SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+      FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+    ), b AS (
+      SELECT bare FROM l WHERE length(bare) >= 20 GROUP BY bare HAVING count(DISTINCT source) >= 10
+    ), d AS (
+      SELECT doc_id, count(*) FILTER (hit) AS lines_found, coalesce(sum(length(bare)) FILTER (hit), 0) <= 0.5 * sum(length(bare)) AS clean,
+        string_agg(line, chr(10) ORDER BY i) AS before, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit), '') AS after
+      FROM (SELECT l.*, b.bare IS NOT NULL AS hit FROM l LEFT JOIN b USING (bare)) GROUP BY doc_id
+    )
+    SELECT doc_id, lines_found, CASE WHEN clean THEN lines_found ELSE 0 END AS lines_removed,
+      sha256(CASE WHEN clean AND lines_found > 0 THEN after ELSE before END) AS text_sha256 FROM d
+    """
+)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    clean = dedup_lines(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "lines_found", "lines_removed", F.sha2(whole("text"), 256).alias("text_sha256"))
