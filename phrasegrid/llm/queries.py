@@ -80,3 +80,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     clean = dedup_lines(table(spark, sf_dir, "documents"))
     return clean.select("doc_id", "lines_found", "lines_removed", F.sha2(whole("text"), 256).alias("text_sha256"))
+
+
+@_query()
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
