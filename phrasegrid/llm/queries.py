@@ -29,6 +29,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pretokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 @_query(
     """
     WITH t AS (
@@ -87,3 +93,17 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), pretokenizer())
+
+
+@_query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import document_token_counts
+
+    return document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), pretokenizer(), eod=50256)
