@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,16 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Units (a run of non-space characters with one space before it) that a worker remembers before it starts afresh.
-MEMO = 250_000
-#: Longer units are encoded each time and not remembered.
-MEMO_CHARS = 128
+from .common import text_slices
+from .pieces import LATIN_LETTERS, LATIN_NUMBERS, WHITE, PieceCoder
+
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-# Unicode white space, as the pre-tokenizer's \s has it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Cuts of a text that no match of the pre-tokenizer's pattern crosses.
-UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: No match of the pre-tokenizer's pattern crosses such a place.
+GAP = re.compile(f"(?<=[^{WHITE}])(?= [^{WHITE}])")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,55 +35,41 @@ def _hash(keys: Iterable[bytes], n: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """A minimal perfect hash of fixed keys by hash and displace: n keys take n places, two reads find one.
+    """A minimal perfect hash of fixed keys by levels: n keys have the numbers 0 to n - 1.
 
-    Buckets are placed from the largest down; each tries displacements until its keys fall on free places. A bucket of
-    one key stores its place outright.
+    Each level hashes the keys left over to twice as many places; a key alone on its place takes the next number, the
+    others go on. A look-up reads the levels in turn until a place is taken, and compares the key stored there.
     """
 
     def __init__(self, keys: list[bytes], values: list[int]):
-        self.n = len(keys)
-        self.buckets = max(1, self.n // 4)
-        h = _hash(keys, self.n)
-        bucket = (h % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        groups = np.split(order, np.cumsum(np.bincount(bucket, minlength=self.buckets))[:-1])
-        self.shift = np.zeros(self.buckets, np.int64)
-        place = np.zeros(self.n, np.int64)
-        taken = np.zeros(self.n, bool)
-        for b in sorted(range(self.buckets), key=lambda i: -len(groups[i])):
-            own = groups[b]
-            if len(own) < 2:
-                break
-            for d in itertools.count(1):
-                at = self._spread(h[own], np.uint64(d))
-                if not taken[at].any() and len(set(at.tolist())) == len(at):
-                    break
-            self.shift[b], place[own], taken[at] = d, at, True
-        free = iter(np.flatnonzero(~taken).tolist())
-        for own in groups:
-            if len(own) == 1:
-                place[own[0]] = next(free)
-                self.shift[bucket[own[0]]] = -1 - place[own[0]]
-        self.keys: list[bytes] = [b""] * self.n
-        self.values = [0] * self.n
-        for i, at in enumerate(place.tolist()):
-            self.keys[at], self.values[at] = keys[i], values[i]
-
-    def _spread(self, h: np.ndarray, d: np.ndarray | np.uint64) -> np.ndarray:
-        x = (h ^ (h >> np.uint64(29))) + d * _FACTOR
+        self.levels: list[np.ndarray] = []
+        self.keys: list[bytes] = []
+        self.values: list[int] = []
+        left, h = np.arange(len(keys)), _hash(keys, len(keys))
+        while len(left):
+            at = self._place(h[left], len(self.levels), 2 * len(left))
+            alone = np.bincount(at, minlength=2 * len(left))[at] == 1
+            numbers = np.full(2 * len(left), -1, np.int32)
+            numbers[at[alone]] = len(self.keys) + np.arange(alone.sum())
+            self.levels.append(numbers)
+            self.keys += [keys[i] for i in left[alone]]
+            self.values += [values[i] for i in left[alone]]
+            left = left[~alone]
+
+    def _place(self, h: np.ndarray, level: int, size: int) -> np.ndarray:
+        x = (h ^ np.uint64(level * 0xD1B54A32D192ED03 % 2**64)) * _FACTOR
         x = (x ^ (x >> np.uint64(32))) * _FACTOR
-        return ((x ^ (x >> np.uint64(29))) % np.uint64(self.n)).astype(np.int64)
+        return ((x ^ (x >> np.uint64(29))) % np.uint64(size)).astype(np.int64)
 
     def find(self, keys: list[bytes]) -> list[int | None]:
         """The value of each key; None if it isn't one."""
-        if not keys or not self.n:
-            return [None] * len(keys)
         h = _hash(keys, len(keys))
-        d = self.shift[(h % np.uint64(self.buckets)).astype(np.int64)]
-        at = np.where(d < 0, -1 - d, self._spread(h, np.maximum(d, 0).astype(np.uint64)))
+        number = np.full(len(keys), -1, np.int32)
+        for level, numbers in enumerate(self.levels):
+            at = numbers[self._place(h, level, len(numbers))]
+            number = np.where(number < 0, at, number)
         own, values = self.keys, self.values
-        return [values[i] if own[i] == k else None for i, k in zip(at.tolist(), keys, strict=True)]
+        return [values[i] if i >= 0 and own[i] == k else None for i, k in zip(number.tolist(), keys, strict=True)]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -117,60 +99,57 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes and decodes by fixed ranks; every single byte must have one."""
+    """Encodes and decodes by fixed ranks; every single byte must have one.
+
+    ``pattern`` is the pre-tokenizer's. Texts of U+0000 to U+00FF are cut by an equal pattern with the classes written
+    out, which a faster engine runs, if the pattern allows it.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks = ranks
         self.whole = PerfectHash(list(ranks), list(ranks.values()))
-        self.pattern = regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.ids_of: dict[str, tuple[int, ...]] = {}
-        self.words_of: dict[str, str] = {}
-
-    def _learn(self, units: list[str]) -> None:
-        cut = [[m.encode() for m in self.pattern.findall(u)] for u in units]
-        tokens = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
-        found = {t: (v,) if v is not None else merge(t, self.ranks) for t, v in zip(tokens, self.whole.find(tokens), strict=True)}
-        for u, parts in zip(units, cut, strict=True):
-            ids = tuple(itertools.chain.from_iterable(map(found.__getitem__, parts)))
-            self.ids_of[u] = ids
-            self.words_of[u] = " ".join(map(str, ids))
-
-    def units(self, text: str) -> list[str]:
-        """The text's units, all of them known afterwards."""
-        units = UNIT.findall(text)
-        new = set(units).difference(self.ids_of)
-        if new:
-            if len(self.ids_of) > MEMO:
-                self.ids_of.clear()
-                self.words_of.clear()
-                new = set(units)
-            self._learn(list(new))
-        return units
-
-    def forget_long(self, units: list[str]) -> None:
-        for u in [u for u in units if len(u) > MEMO_CHARS]:
-            self.ids_of.pop(u, None)
-            self.words_of.pop(u, None)
+        self.word_of = {v: str(v).encode() for v in ranks.values()}
+        full = regex.compile(pattern)
+        self.coder = PieceCoder(self._cutter(pattern, full), self._learn, GAP)
+
+    @staticmethod
+    def _cutter(pattern: str, full) -> Callable[[str], list[str]]:
+        latin = _latin_form(pattern)
+        if latin is None:
+            return full.findall
+        wide = re.compile("[^\x00-\xff]")
+        return lambda text: full.findall(text) if wide.search(text) else latin.findall(text)
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        pieces = [p.encode() for p in new]
+        return [np.array([v] if v is not None else merge(p, self.ranks), "<u4").tobytes() for p, v in zip(pieces, self.whole.find(pieces), strict=True)]
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        for ids in self.coder.ids(texts):
+            yield np.frombuffer(ids, "<u4").tolist()
 
     def encode(self, text: str) -> list[int]:
-        units = self.units(text)
-        ids = list(itertools.chain.from_iterable(map(self.ids_of.__getitem__, units)))
-        self.forget_long(units)
-        return ids
+        return next(self.encode_all([text]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
+    def digest(self, ids: list[int]) -> tuple[int, str, str]:
         """Number of ids, sha256 of their decimal words, sha256 of the bytes they decode to."""
-        units = self.units(text)
-        ids = list(itertools.chain.from_iterable(map(self.ids_of.__getitem__, units)))
-        words = " ".join(filter(None, map(self.words_of.__getitem__, units)))
-        self.forget_long(units)
-        return len(ids), hashlib.sha256(words.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+        words = b" ".join(map(self.word_of.__getitem__, ids))
+        return len(ids), hashlib.sha256(words).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
+
+def _latin_form(pattern: str) -> re.Pattern | None:
+    """The pattern with its classes written out for U+0000 to U+00FF, if it has none but ``\\p{L} \\p{N} \\s \\S``."""
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{WHITE}{LATIN_LETTERS}{LATIN_NUMBERS}]")
+    for name, chars in ((r"\p{L}", LATIN_LETTERS), (r"\p{N}", LATIN_NUMBERS), (r"\s", WHITE)):
+        out = out.replace(name, f"[{chars}]")
+    out = out.replace(r"\S", f"[^{WHITE}]")
+    return None if "\\" in out or "[[" in out or "[^[" in out else re.compile(out)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -196,9 +175,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder()
         for b in batches:
-            for i in range(b.num_rows):
-                ids = e.encode(b.column(1)[i].as_py() or "")
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([e.decode(ids)], pa.binary())], ["doc_id", "ids", "bytes"])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for lo, hi in text_slices(texts, 1_000_000):
+                all_ids = list(e.encode_all(texts[lo:hi]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(all_ids, pa.list_(pa.int32())), pa.array(map(e.decode, all_ids), pa.binary())], ["doc_id", "ids", "bytes"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, ids array<int>, bytes binary")
 
@@ -215,7 +195,8 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder()
         for b in batches:
-            rows = [e.digest(t.as_py() or "") for t in b.column(1)]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            rows = [e.digest(ids) for lo, hi in text_slices(texts, 1_000_000) for ids in e.encode_all(texts[lo:hi])]
             columns = zip(*rows, strict=True) if rows else [[], [], []]
             kinds = (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -41,7 +41,7 @@ def crc_of(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
 
 
-def text_slices(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+def text_slices(texts: list, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Cuts a batch of texts into runs [start, end) of about ``most`` bytes, at least one text each."""
     start = total = 0
     for i, t in enumerate(texts):

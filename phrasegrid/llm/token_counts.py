@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import shared_encoder
+from .common import text_slices
 
 #: Tokens of a block. Blocks of a file are numbered from 0; only its last one is shorter.
 BLOCK = 1 << 16
@@ -50,11 +51,12 @@ def flat_stream(docs: DataFrame, path: str, pattern: str, eod: int, text_col: st
         for b in batches:
             if name is None and b.num_rows:
                 name = str(b.column(0)[0].as_py() >> 33)
-            for t in b.column(1):
-                ids = e.encode(t.as_py() or "")
-                ids.append(eod)
-                held.append(np.array(ids, "<u2"))
-                size += len(ids)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for lo, hi in text_slices(texts, 1_000_000):
+                for ids in e.encode_all(texts[lo:hi]):
+                    ids.append(eod)
+                    held.append(np.array(ids, "<u2"))
+                    size += len(ids)
                 if size >= block:
                     data = np.concatenate(held)
                     while len(data) >= block:
