@@ -2,52 +2,74 @@
 
 from __future__ import annotations
 
-import itertools
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, text_slices
+from .pieces import LATIN_LETTERS, LATIN_NUMBERS, WHITE, PieceCoder
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct space-separated chunks whose ids a worker remembers before it starts afresh.
-MEMO = 400_000
-
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def word_bpe_encoder(path: str) -> Callable[[str], tuple[int, ...]]:
-    """Ids of a text under a tokenizer file, special tokens' strings being ordinary text.
+def word_bpe_coder(path: str) -> PieceCoder:
+    """Ids of texts under a word-end BPE tokenizer file (lower case, white space dropped), as 32-bit numbers.
 
-    The tokenizer drops white space and never joins across a space or line feed, so a text's ids are those of its
-    chunks between them; most chunks repeat and come from a memo of bounded size.
+    Special tokens' strings are ordinary text. For texts of U+0000 to U+00FF the tokenizer's own cut is one pattern over
+    the lower-cased text, and normal form C changes nothing; the words are then merged by the file's model, many at a
+    time, each ending at an id with the word-end mark. Chunks with other characters go through the whole tokenizer.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    memo: dict[str, tuple[int, ...]] = {}
-
-    def encode(text: str) -> list[int]:
-        chunks = text.replace("\n", " ").split(" ")
-        new = [c for c in dict.fromkeys(chunks) if c not in memo]
-        if new:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[c] = tuple(e.ids)
-        return list(itertools.chain.from_iterable(map(memo.__getitem__, chunks)))
+    import os
 
-    return encode
-
-
-_encoders: dict[str, Callable] = {}
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    from tokenizers import pre_tokenizers as pre
+
+    full = Tokenizer.from_file(path)
+    full.encode_special_tokens = True
+    words = Tokenizer(full.model)
+    words.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+    last = np.zeros(full.get_vocab_size(), bool)
+    last[[i for w, i in full.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
+    word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{WHITE}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
+    wide = re.compile("[^\x00-\xff]")
+
+    def cut(text: str) -> list[str]:
+        if not wide.search(text):
+            return word.findall(text.lower())
+        out: list[str] = []
+        for chunk in text.replace("\n", " ").split(" "):
+            if wide.search(chunk):
+                out.append(" " + chunk)  # no other piece holds a space
+            else:
+                out += word.findall(chunk.lower())
+        return out
+
+    def learn(new: list[str]) -> list[bytes]:
+        found = {}
+        plain = [w for w in new if w[0] != " "]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(words.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer's words don't end in </w>")
+            found.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+        other = [w for w in new if w[0] == " "]
+        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, full.encode_batch([w[1:] for w in other], add_special_tokens=False), strict=True))
+        return [found[w] for w in new]
+
+    return PieceCoder(cut, learn, re.compile("[ \n]"))
+
+
+_coders: dict[str, PieceCoder] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,21 +79,26 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = word_bpe_encoder(tokenizer)
-        encode = _encoders[tokenizer]
+        if tokenizer not in _coders:
+            _coders[tokenizer] = word_bpe_coder(tokenizer)
+        coder, end = _coders[tokenizer], np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    own = ids[at : at + capacity]
-                    rows.append((doc_id, k, at, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)]))
-                    seen[len(own)] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], list(names))
+            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in text_slices(texts, 1_000_000):
+                yield cut_batch(doc_ids[lo:hi], [x + end for x in coder.ids(texts[lo:hi])], part, seen)
+
+    def cut_batch(doc_ids: list, encoded: list[bytes], part: int, seen: np.ndarray) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for doc_id, ids in zip(doc_ids, encoded, strict=True):
+            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                own = ids[at : at + 4 * capacity]
+                n = len(own) // 4
+                rows.append((doc_id, k, at // 4, n, zlib.crc32(own), part, seen[n]))
+                seen[n] += 1
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 
