@@ -107,3 +107,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import document_token_counts
 
     return document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), pretokenizer(), eod=50256)
+
+
+@_query()
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
