@@ -19,6 +19,8 @@ SIMILARITY = 75
 MINIMA, BITS, ROWS = 128, 4, 4
 #: Standard deviations of the estimate that a pair may lie below the threshold and still be compared in full.
 SLACK = 5
+#: Bits of the map whose differences bound a pair's differing shingles from below.
+BITMAP = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 FEATURES = "doc_id long, n_shingles long, class_a long, class_b long, signature array<long>, bands array<long>"
@@ -149,8 +151,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(work, FEATURES)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITMAP, bool)
+    bits[(shingles % np.uint64(BITMAP)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, shingles): the full set of each row as sorted hashes."""
+    """(rep, shingles, bitmap): the full set of each row as sorted hashes, and its bits by hash value."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +167,10 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = list(shingle_sets(texts[lo:hi]))
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["rep", "shingles"])
+                maps = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(s) for s in sets])), BITMAP // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), maps], ["rep", "shingles", "bitmap"])
 
-    return docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("binary").alias("text")).mapInArrow(work, "rep long, shingles array<long>")
+    return docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("binary").alias("text")).mapInArrow(work, "rep long, shingles array<long>, bitmap array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -173,6 +182,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.filter(100 * shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+FILTERS = ("signature", "n", "private", "bitmap")
+
+
+def private_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, n, private): set size, and how many of the shingles no other of the ``sets`` has."""
+    shingles = sets.select("rep", F.explode("shingles").alias("s"))
+    alone = shingles.groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).filter("rep = other")
+    counts = alone.groupBy("rep").agg(F.count("*").alias("private"))
+    sizes = sets.groupBy("rep").agg(F.max(F.size("shingles")).cast("long").alias("n"))
+    return sizes.join(counts, "rep", "left").select("rep", "n", F.coalesce("private", F.lit(0)).alias("private"))
+
+
+def may_link(a: str, b: str, similarity: int) -> Column:
+    """Whether two texts can be similar enough. Private shingles bound what they share and bitmaps what they differ in,
+    both surely; signatures estimate the similarity."""
+    size, private = (lambda x: F.col(f"n_{x}")), (lambda x: F.col(f"private_{x}"))
+    shared = F.least(size(a) - private(a), size(b) - private(b))
+    bound = 100 * shared >= similarity * (size(a) + size(b) - shared)
+    apart = F.aggregate(F.zip_with(F.col(f"bitmap_{a}"), F.col(f"bitmap_{b}"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    bound = bound & (similarity_estimate(F.col(f"signature_{a}"), F.col(f"signature_{b}")) >= least_estimate(similarity))
+    return bound & ((100 + similarity) * apart <= (100 - similarity) * (size(a) + size(b)))
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -183,8 +215,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     Method: rows with equal sets become one class. Each class has 128 minima; bands of four give candidates. In every
     bucket the members are first compared with the bucket's least one, then, after components of those links, members
     outside its component with all members in other components than their own: pairs inside one component can't change
-    it, and all others are compared. Both times the b-bit signatures' bit counts drop pairs far under the threshold, and
-    what is left is confirmed on full sets. A pair at exactly 0.75 is missed about 5 times in a million.
+    it, and all others are compared. Both times pairs go that can't be links, because too many of their shingles occur in
+    no other candidate or differ in a bitmap of hashes, or that the b-bit signatures' bit counts put far under the
+    threshold; what is left is confirmed on full sets. A pair at exactly 0.75 is missed about 5 times in a million.
 
     Null or empty text has an empty set and is linked with nothing. A row without an id takes no part: component_id is
     null and the row is kept. Rows that share an id count as one document of all their texts. An empty table gives no
@@ -200,31 +233,29 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     heads = buckets.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("members")).filter("members > 1")
     members = saved(buckets.join(heads, "band"), "buckets")
     own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    sets = saved(sets_of(own.join(members.select("rep").distinct(), "rep", "left_semi"), "rep", "text"), "sets")
+    known = saved(reps.select("rep", "signature").join(private_shingles(sets), "rep").join(sets.select("rep", "bitmap"), "rep"), "known")
 
-    def signed(df: DataFrame, column: str, to: str) -> DataFrame:
-        return df.join(reps.select(F.col("rep").alias(column), F.col("signature").alias(to)), column)
-
-    def links(candidates: DataFrame, name: str) -> DataFrame:
-        wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        sets = saved(sets_of(own.join(wanted, "rep", "left_semi"), "rep", "text"), f"{name}-sets")
-        return saved(confirmed(candidates, sets, similarity), name)
+    def fit(df: DataFrame, column: str, to: str) -> DataFrame:
+        return df.join(known.select(F.col("rep").alias(column), *(F.col(c).alias(f"{c}_{to}") for c in FILTERS)), column)
 
-    near = similarity_estimate(F.col("sa"), F.col("sb")) >= least_estimate(similarity)
+    possible = may_link("a", "b", similarity)
     pairs = members.filter("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = links(saved(signed(signed(pairs, "a", "sa"), "b", "sb").filter(near).select("a", "b").distinct(), "pairs"), "links")
+    pairs = saved(fit(fit(pairs, "a", "a"), "b", "b").filter(possible).select("a", "b").distinct(), "pairs")
+    edges = saved(confirmed(pairs, sets, similarity), "links")
     # The least member of a bucket has been compared with all others; the rest matters where several components meet.
     found = components(edges)
     parted = members.filter("members > 2").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     parted = parted.join(found.select(F.col("node").alias("head"), F.col("component").alias("main")), "head", "left")
     parted = parted.select("band", "rep", "head", F.coalesce("component", "rep").alias("part"), F.coalesce("main", "head").alias("main"))
-    outside = saved(signed(parted.filter("part != main"), "rep", "signature"), "outside")
-    beside = parted.filter("rep != head").join(outside.select("band").distinct(), "band", "left_semi")
-    x = outside.select(F.col("band").alias("bx"), F.col("rep").alias("x"), F.col("signature").alias("sa"), F.col("part").alias("px"))
-    y = signed(beside, "rep", "signature").select(F.col("band").alias("by"), F.col("rep").alias("y"), F.col("signature").alias("sb"), F.col("part").alias("py"))
-    meet = x.join(y, (F.col("bx") == F.col("by")) & (F.col("px") != F.col("py")) & near)
+    parted = parted.filter("rep != head")
+    outside = saved(fit(parted.filter("part != main"), "rep", "a").filter(100 * (F.col("n_a") - F.col("private_a")) >= similarity * F.col("n_a")), "outside")
+    beside = fit(parted.join(outside.select("band").distinct(), "band", "left_semi"), "rep", "b")
+    x = outside.select(F.col("band").alias("band_x"), F.col("rep").alias("x"), F.col("part").alias("part_x"), *(f"{c}_a" for c in FILTERS))
+    y = beside.select(F.col("band").alias("band_y"), F.col("rep").alias("y"), F.col("part").alias("part_y"), *(f"{c}_b" for c in FILTERS))
+    meet = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("part_x") != F.col("part_y")) & possible)
     rest = saved(meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
-    if not rest.isEmpty():
-        edges = edges.unionByName(links(rest, "more-links"))
+    edges = edges.unionByName(saved(confirmed(rest, sets, similarity), "more-links"))
     # Classes that share an id (repeated ids) meet in it, as do a class's rep and its other rows.
     joins = usable.join(classes.filter("copies > 1"), ["class_a", "class_b"]).filter("doc_id != rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     final = components(edges.unionByName(joins))
