@@ -71,7 +71,8 @@ def dedup_lines(
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     lines = numbered.select(row, F.explode(_lines(whole(text_col))).alias("line")).filter(_long(F.col("line"), min_chars))
     hits = lines.select(row, _key(F.col("line")).alias("key")).join(keys, "key").groupBy(row).agg(F.collect_set("key").alias("__keys"))
-    joined = numbered.join(saved(hits, "line-hits"), row, "left")
+    # The same plan at every size: the texts move once, the hits are the hashed side of each partition.
+    joined = numbered.join(saved(hits, "line-hits").hint("shuffle_hash"), row, "left")
     is_hit = lambda x: _long(x, min_chars) & F.array_contains("__keys", _key(x))
     size = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.char_length(F.btrim(x, F.lit(SPACE))))
     parts = _lines(whole(text_col))
