@@ -64,10 +64,9 @@ def _pairs(xs: Column, step: int, join) -> Column:
 
 
 def grams(words: Column) -> tuple[Column, Column]:
-    """Rolling hashes of two and of four words at every position, each with a second hash that confirms it."""
-    two = _pairs(words, 1, lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), F.hash(b, a).alias("c")))
-    four = _pairs(two, 2, lambda a, b: F.struct(F.xxhash64(a["h"], b["h"]).alias("h"), F.hash(b["c"], a["c"]).alias("c")))
-    return two, four
+    """Rolling 64-bit hashes of two and of four words at every position; the last ones of a text lack words and match none."""
+    two = _pairs(words, 1, lambda a, b: F.xxhash64(a, b))
+    return two, _pairs(two, 2, lambda a, b: F.xxhash64(a, b))
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
@@ -76,13 +75,13 @@ def template_grams(spark: SparkSession) -> DataFrame:
     rows = [(i, label, k, base, split(s)) for i, (s, label, k, base) in enumerate([(p, x, PHRASE_GRAM, True) for p, x in PHRASES.items()] + [(s, x, NOTICE_GRAM, False) for x, s in NOTICES.items()])]
     at = spark.createDataFrame([(i, label, k, base, len(w) - k + 1, w) for i, label, k, base, w in rows], "template int, label string, k int, base boolean, grams int, words array<string>")
     two, four = grams(F.col("words"))
-    at = at.withColumns({"two": two, "four": four}).select("template", "label", "base", "grams", F.posexplode(F.when(F.col("k") == PHRASE_GRAM, F.col("two")).otherwise(F.col("four"))).alias("tpos", "g"))
-    marker = spark.range(1).select(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"), F.lit(1).alias("grams"), F.lit(0).alias("tpos"), _marker().alias("g"))
-    return at.filter("tpos < grams").unionByName(marker).select("template", "label", "base", "grams", "tpos", F.col("g.h").alias("th"), F.col("g.c").alias("tc"))
+    at = at.select("template", "label", "k", "base", "grams", F.posexplode(F.when(F.col("k") == PHRASE_GRAM, two).otherwise(four)).alias("tpos", "th"))
+    marker = spark.range(1).select(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("k"), F.lit(False).alias("base"), F.lit(1).alias("grams"), F.lit(0).alias("tpos"), _marker().alias("th"))
+    return at.filter("tpos < grams").unionByName(marker)
 
 
 def _marker() -> Column:
-    return F.struct(F.xxhash64(F.lit("\x00")).alias("h"), F.hash(F.lit("\x00")).alias("c"))
+    return F.xxhash64(F.lit("\x00"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,11 +98,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words_of(text_col).alias("words"))
     two, four = grams(F.col("words"))
-    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.array(two, four, F.array(_marker())).alias("kinds"))
-    hits = rows.select("row", "doc_id", "n_words", F.explode("kinds").alias("gs")).select("row", "doc_id", "n_words", F.posexplode("gs").alias("pos", "g"))
-    hits = hits.join(F.broadcast(template_grams(docs.sparkSession)), (F.col("g.h") == F.col("th")) & (F.col("g.c") == F.col("tc")))
+    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.concat(two, four, F.array(_marker())).alias("hashes"))
+    hits = rows.select("row", "doc_id", "n_words", F.posexplode("hashes").alias("at", "h"))
+    hits = hits.join(F.broadcast(template_grams(docs.sparkSession)), F.col("h") == F.col("th"))
+    hits = hits.withColumn("diagonal", F.col("at") - F.when(F.col("k") == NOTICE_GRAM, F.col("n_words")).otherwise(0) - F.col("tpos"))
     what = ["row", "doc_id", "n_words", "template", "label", "base", "grams"]
-    votes = hits.groupBy(*what, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("votes"))
+    votes = hits.groupBy(*what, "diagonal").agg(F.count("*").alias("votes"))
     near = Window.partitionBy("row", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(near) > F.when(F.col("base"), 0).otherwise(GAP)).cast("int"), F.lit(0))
     votes = votes.withColumn("new", new).withColumn("span", F.sum("new").over(near))
