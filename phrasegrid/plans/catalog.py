@@ -2,5 +2,438 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import paths as P
+from ..functions import text as T
+from ..lang.command import parse_script
+from ..lang.filter import parse_filter
+from ..lang.search import phrases
+from ..lang.sort import SortBy
+from ..operators import filters, rank, snippet
+from ..operators import index as I
+from ..operators import links as L
+from ..operators import search as S
+from ..operators.session import State, run_script
+from . import sql as Q
+from .corpus import corpus, index_for, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def long(c: str | F.Column) -> F.Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+# --- tokens and index tables
+
+
+@query(Q.with_base("SELECT doc_id, count(*) AS n_tokens, count(DISTINCT word) AS n_words, max(pos) AS max_pos FROM positions GROUP BY doc_id"))
+def tokens_per_doc(spark, sf_dir):
+    at = index_for(spark, sf_dir).positions
+    return at.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("word").alias("n_words"), F.max("pos").alias("max_pos"))
+
+
+@query(Q.with_base("SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM positions GROUP BY word"))
+def distinct_words(spark, sf_dir):
+    return index_for(spark, sf_dir).positions.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(Q.with_base(f"SELECT {Q.ci('word')} AS word_ci, count(*) AS n FROM positions WHERE word <> '' GROUP BY 1 ORDER BY n DESC, word_ci LIMIT 50"))
+def word_freq_top(spark, sf_dir):
+    return index_for(spark, sf_dir).word_frequency(50)
+
+
+@query(
+    Q.with_base(
+        "SELECT doc_id, line, min(pos) AS start_pos, max(pos) AS end_pos, count(*) FILTER (word <> '' AND NOT starts_with(word, ' ')) AS nonspace FROM positions GROUP BY doc_id, line"
+    )
+)
+def line_spans(spark, sf_dir):
+    return index_for(spark, sf_dir).lines.select("doc_id", "line", "start_pos", "end_pos", "nonspace")
+
+
+@query(Q.with_base("SELECT doc_id, line, string_agg(word, '' ORDER BY pos) AS line_text FROM positions GROUP BY doc_id, line"))
+def line_text(spark, sf_dir):
+    return index_for(spark, sf_dir).line_text()
+
+
+@query(Q.with_base("SELECT doc_id, CAST(1 AS BIGINT) AS page_count, count(DISTINCT line) AS line_count, max(pos) AS max_pos FROM positions GROUP BY doc_id"))
+def doc_stats(spark, sf_dir):
+    return index_for(spark, sf_dir).doc_info()
+
+
+@query(Q.with_base("SELECT doc_id, 0 AS page, count(DISTINCT line) AS line_count, min(pos) AS start_pos, max(pos) AS end_pos FROM positions GROUP BY doc_id"))
+def page_spans(spark, sf_dir):
+    return index_for(spark, sf_dir).pages()
+
+
+@query(Q.with_base("SELECT DISTINCT word, doc_id FROM positions"))
+def postings(spark, sf_dir):
+    return index_for(spark, sf_dir).postings()
+
+
+@query(Q.with_base("SELECT doc_id, regexp_replace(line_text, '[\\x00-\\x1F\\x7F]', ' ', 'g') AS title FROM ln WHERE line = 0"))
+def title_line(spark, sf_dir):
+    return index_for(spark, sf_dir).docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def content_dedup(spark, sf_dir):
+    return index_for(spark, sf_dir).docs.groupBy("doc_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("doc_hash")
+
+
+@query(Q.with_base("SELECT doc_id, open_pos, close_pos FROM brackets", Q.BRACKETS.strip()))
+def bracket_pairs(spark, sf_dir):
+    return index_for(spark, sf_dir).brackets()
+
+
+# --- predicates on words
+
+
+def _predicate(name: str, kind: str, s: str) -> None:
+    def run(spark, sf_dir):
+        w = index_for(spark, sf_dir).words
+        return w.filter(T.matches(kind, s, F.col("word"), F.col("word_ci"))).select("word", "word_len")
+
+    QUERIES[name] = run
+    ORACLES[name] = Q.with_base(f"SELECT word, CAST(word_len AS INTEGER) AS word_len FROM words WHERE {Q.matches(kind, s)}")
+
+
+for _name, _kind, _s in (
+    ("pred_exact", "exact", "the"), ("pred_exact_smartcase", "exact", "The"), ("pred_prefix", "prefix", "ther"), ("pred_prefix_smartcase", "prefix", "Th"),
+    ("pred_suffix", "suffix", "tion"), ("pred_fuzzy", "fuzzy", "thereon"), ("pred_fuzzy_case", "fuzzy", "Thereon"), ("pred_spaces", "spaces", " "), ("pred_utf8", "fuzzy", "é"),
+):
+    _predicate(_name, _kind, _s)
+
+
+# --- search
+
+
+def _first(expression: str):
+    return phrases(expression)[0]
+
+
+@query(Q.with_base(f"SELECT word, round(cscore, 6) AS cscore FROM ({Q.candidates(_first('other'))})"))
+def candidates_topk(spark, sf_dir):
+    return S.candidates(index_for(spark, sf_dir), _first("other")[0]).select("word", F.round("cscore", 6).alias("cscore"))
+
+
+@query(Q.with_base(f"SELECT doc_id, pos, line, word FROM positions WHERE word IN (SELECT word FROM ({Q.candidates(_first('other'))}))"))
+def start_positions(spark, sf_dir):
+    return S.starts(index_for(spark, sf_dir), _first("other")[0])
+
+
+def _phrase(name: str, expression: str) -> None:
+    phrase = _first(expression)
+    cols = [f"{c}{i}" for i in range(len(phrase)) for c in ("pos", "word")]
+
+    def run(spark, sf_dir):
+        return S.combinations(index_for(spark, sf_dir), phrase).select("doc_id", *cols)
+
+    QUERIES[name] = run
+    ORACLES[name] = Q.with_base(f"SELECT doc_id, {', '.join(cols)} FROM ({Q.combinations(phrase)})")
+
+
+for _name, _s in (
+    ("phrase_two_unlinked", "'from 'with"), ("phrase_linked_exact", "'to~be"), ("phrase_linked_fuzzy", "are,thin"), ("phrase_three", "'worthless the 'and"),
+    ("phrase_suffix_chain", "of~the$"), ("phrase_prefix_chain", "^of~th"), ("phrase_same_line", "'idiot 'the"),
+):
+    _phrase(_name, _s)
+
+
+def _search(name: str, expression: str) -> None:
+    def run(spark, sf_dir):
+        found = S.ranked(S.search(index_for(spark, sf_dir), expression))
+        return found.select("doc_id", "phrase_id", long("rank").alias("rank"), F.round("score", 6).alias("score"), F.array_join(F.transform("found", lambda x: x["pos"].cast("string")), " ").alias("at"))
+
+    QUERIES[name] = run
+    ORACLES[name] = Q.with_base(f"SELECT doc_id, phrase_id, rank, round(score, 6) AS score, array_to_string(spots, ' ') AS at FROM ({Q.RANKED})", Q.results_cte(expression))
+
+
+for _name, _s in (
+    ("search_ranked", "worthless moron"), ("search_single", "disgusting"), ("search_capitals", "The pathetic"), ("search_or", "'idiot | 'clown | ^patheti"),
+    ("search_optional", "'the ?worthless 'scum"), ("search_groups", "('idiot | 'loser) (the | 'and)"), ("search_brackets", r"\( \)"), ("search_punctuation", "'idiot ,"), ("search_accents", "été"),
+):
+    _search(_name, _s)
+
+
+@query(Q.with_base(f"SELECT doc_id, rank, round(score, 6) AS score FROM ({Q.RANKED}) WHERE rank <= 5", Q.results_cte("the with")))
+def sample_per_doc(spark, sf_dir):
+    found = rank.sample(S.search(index_for(spark, sf_dir), "the with"), 5)
+    return found.select("doc_id", long("rank").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(Q.with_base("SELECT doc_id, pos0, count(*) AS kept FROM results GROUP BY doc_id, pos0", Q.results_cte("the with")))
+def topk_per_start(spark, sf_dir):
+    found = S.search(index_for(spark, sf_dir), "the with")
+    return found.groupBy("doc_id", F.col("found")[0]["pos"].alias("pos0")).agg(F.count("*").alias("kept"))
+
+
+@query(Q.with_base("SELECT doc_id FROM hits", Q.exists_cte("worthless~'the | 'scum")))
+def docs_existence(spark, sf_dir):
+    return S.exists(index_for(spark, sf_dir), "worthless~'the | 'scum")
+
+
+@query(Q.with_base("SELECT path FROM doc WHERE doc_id IN (SELECT doc_id FROM results)", Q.results_cte("'moron | 'loser")))
+def docs_with_match(spark, sf_dir):
+    index = index_for(spark, sf_dir)
+    return rank.with_match(index.docs, S.search(index, "'moron | 'loser")).select("path")
+
+
+@query(Q.with_base("SELECT path FROM doc WHERE doc_id NOT IN (SELECT doc_id FROM results)", Q.results_cte("'moron | 'loser")))
+def docs_without_match(spark, sf_dir):
+    index = index_for(spark, sf_dir)
+    return rank.without_match(index.docs, S.search(index, "'moron | 'loser")).select("path")
+
+
+@query(
+    Q.with_base(
+        f"SELECT path, row_number() OVER (ORDER BY round(score, 6) DESC, pos0, path) AS place, round(score, 6) AS score FROM ({Q.RANKED}) JOIN doc USING (doc_id) WHERE rank = 1",
+        Q.results_cte("worthless the"),
+    )
+)
+def doc_rank_by_score(spark, sf_dir):
+    index = index_for(spark, sf_dir)
+    best = rank.best_per_document(S.search(index, "worthless the"))
+    place = F.row_number().over(Window.orderBy(*rank.keys(SortBy("score", True))))
+    return index.docs.join(best, "doc_id").select("path", long(place).alias("place"), F.col("best_score").alias("score"))
+
+
+# --- filters and sorts
+
+
+def _filter(name: str, text: str, where: str, *ctes: str) -> None:
+    def run(spark, sf_dir):
+        index = index_for(spark, sf_dir)
+        return filters.apply_filter(index.docs, parse_filter(text), index, cwd="/corpus").select("path")
+
+    QUERIES[name] = run
+    ORACLES[name] = Q.with_base(f"SELECT path FROM doc WHERE {where}", *ctes)
+
+
+_filter("filter_ext", "ext:md", "suffix(path, '.md')")
+_filter("filter_glob", "path-glob:src1*/{x,**}/*.txt or path-glob:src1?/fr/*.log", "regexp_matches(path, '^/corpus/src1[^/]/fr/[^/]*\\.log$')")
+_filter("filter_glob_deep", "path-glob:'src1/**/*.TXT\\\\c'", "regexp_matches(path, '^/corpus/src1/.*\\.txt$')")
+_filter("filter_path_date", "path-date:>=2024-06-15 and not path-date:=2024-07-07", "path_date >= DATE '2024-06-15' AND path_date <> DATE '2024-07-07'")
+_filter(
+    "filter_path_fuzzy", "path-fuzzy:\"'src1 'en\"",
+    "len(list_filter(regexp_extract_all(substr(path, 9), '[A-Za-z0-9]+|.'), lambda x: x = 'src1')) > 0 AND len(list_filter(regexp_extract_all(substr(path, 9), '[A-Za-z0-9]+|.'), lambda x: x = 'en')) > 0",
+)
+_filter("filter_content", "content:\"'idiot\"", "doc_id IN (SELECT doc_id FROM hits)", Q.exists_cte("'idiot"))
+_filter("filter_bool", "(ext:txt or \"'scum\") and not path-date:<2024-03-01", "(suffix(path, '.txt') OR doc_id IN (SELECT doc_id FROM hits)) AND NOT path_date < DATE '2024-03-01'", Q.exists_cte("'scum"))
+
+
+@query(Q.with_base("SELECT path, row_number() OVER (ORDER BY path_date DESC NULLS LAST, path DESC) AS place FROM doc"))
+def sort_path_date(spark, sf_dir):
+    docs = index_for(spark, sf_dir).docs
+    return docs.select("path", long(F.row_number().over(Window.orderBy(*rank.keys(SortBy("path-date", True))))).alias("place"))
+
+
+@query(
+    Q.with_base(
+        "SELECT path, row_number() OVER (ORDER BY f.at ASC NULLS LAST, path) AS place FROM doc LEFT JOIN f USING (doc_id)",
+        "f AS (SELECT doc_id, max(quality * 1000 + toxic) AS at FROM labels WHERE toxic = 1 GROUP BY doc_id)",
+    )
+)
+def sort_focus(spark, sf_dir):
+    docs = index_for(spark, sf_dir).docs
+    focus = table(spark, sf_dir, "labels").filter("toxic = 1").join(docs.select("doc_id", "path"), "doc_id").select("path", (F.col("quality") * 1000 + F.col("toxic")).alias("at"))
+    return rank.focus_rank(docs.select("path"), focus).select("path", long("place").alias("place"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract(url, '(\\.[^./]*)$', 1)) AS INTEGER) AS ext_len, lower(regexp_extract(url, '(\\.[^./]*)$', 1)) AS ext FROM pages")
+def path_extension(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.char_length(P.extension(F.col("url"))).alias("ext_len"), P.extension(F.col("url")).alias("ext"))
+
+
+@query(Q.with_base("SELECT path, path_date FROM doc"))
+def path_dates(spark, sf_dir):
+    return corpus(spark, sf_dir).select("path", P.path_date(F.col("path")).alias("path_date"))
+
+
+@query(
+    "WITH a AS (SELECT p_brand, min(p_name) AS lo, max(p_name) AS hi FROM part GROUP BY p_brand) "
+    "SELECT p_brand, (SELECT max(substr(lo, 1, CAST(k AS BIGINT))) FROM range(0, 60) t(k) WHERE substr(lo, 1, CAST(k AS BIGINT)) = substr(hi, 1, CAST(k AS BIGINT))) AS prefix FROM a"
+)
+def common_prefix(spark, sf_dir):
+    names = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_name").alias("lo"), F.max("p_name").alias("hi"))
+    return names.select("p_brand", P.common_prefix(F.array("lo", "hi")).alias("prefix"))
+
+
+# --- fuzzy rank
+
+
+def _rank_sql() -> str:
+    phrase = _first("src1 en")
+    parts = "SELECT path, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS pos, unnest(ts) AS word FROM (SELECT path, regexp_extract_all(substr(path, 9), '[A-Za-z0-9]+|.') AS ts FROM doc)"
+    joins = " JOIN ".join(
+        f"(SELECT path, pos AS pos{i}, word AS word{i} FROM parts WHERE {Q.matches(t.match, t.word, 'word', Q.ci('word'))}) t{i}" + (" USING (path)" if i else "") for i, t in enumerate(phrase)
+    )
+    body = f"SELECT path, max(round({Q.score(phrase)}, 6)) AS score FROM {joins} GROUP BY path"
+    return Q.with_base(body, f"parts AS ({parts})")
+
+
+@query(_rank_sql())
+def path_fuzzy_rank(spark, sf_dir):
+    items = corpus(spark, sf_dir).select("path", P.relative(F.col("path"), "/corpus").alias("item"))
+    best = S.fuzzy_rank(items, "src1 en")
+    return items.join(best, "item").select("path", "score")
+
+
+# --- sessions
+
+
+@query(
+    Q.with_base(
+        "SELECT path FROM doc WHERE doc_id IN (SELECT r.doc_id FROM second r)",
+        Q.results_cte("'idiot", name="first_"),
+        "ends AS (SELECT doc_id, max(pos) AS max_pos FROM positions GROUP BY doc_id)",
+        "scope AS (SELECT doc_id, greatest(0, pos0 - 100) AS lo, least(max_pos, pos0 + 100) AS hi FROM first_ JOIN ends USING (doc_id))",
+        Q.results_cte("'clown", "AND EXISTS (SELECT 1 FROM scope s WHERE s.doc_id = positions.doc_id AND positions.pos BETWEEN s.lo AND s.hi)", "second"),
+    )
+)
+def narrow_scope_search(spark, sf_dir):
+    state = State.start(index_for(spark, sf_dir), "/corpus")
+    for c in parse_script("search: 'idiot\nnarrow level: 1\nsearch: 'clown"):
+        state = state.run(c)
+    return state.listed().select("path")
+
+
+@query(Q.with_base("SELECT path FROM doc WHERE suffix(path, '.md') AND doc_id NOT IN (SELECT doc_id FROM results)", Q.results_cte("'scum")))
+def mark_drop_sets(spark, sf_dir):
+    script = "filter: ext:md\nmark listed\nclear filter\nsearch: 'scum\nunmark listed\nclear search\ndrop unmarked\n; end"
+    return run_script(State.start(index_for(spark, sf_dir), "/corpus"), script).state.listed().select("path")
+
+
+# --- links
+
+
+@query(
+    """
+    SELECT page_id, typ, link, start_pos FROM (
+      SELECT page_id, 'url' AS typ, url AS link, 0 AS start_pos FROM pages
+      UNION ALL SELECT page_id, 'markdown', 'a/' || page_id || '.md', len(ts) + 5 FROM (SELECT *, regexp_extract_all(url, '[A-Za-z0-9]+|.') AS ts FROM pages)
+      UNION ALL SELECT page_id, 'wiki', 'p' || page_id, len(ts) + 14 FROM (SELECT *, regexp_extract_all(url, '[A-Za-z0-9]+|.') AS ts FROM pages)
+    )
+    """
+)
+def links_found(spark, sf_dir):
+    text = F.expr("url || ' [x](a/' || page_id || '.md) [[p' || page_id || ' name]]'")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text"))
+    return L.link_rows(pages).select(F.col("doc_id").alias("page_id"), "typ", "link", long("start_pos").alias("start_pos"))
+
+
+@query(
+    """
+    SELECT page_id, CASE WHEN k = 0 THEN 'url' ELSE 'markdown' END AS typ, CASE WHEN k = 0 THEN url ELSE 'a/' || page_id || '.md' END AS link
+    FROM (SELECT *, len(regexp_extract_all(url, '[A-Za-z0-9]+|.')) AS n FROM pages), range(0, 2) t(k)
+    """
+)
+def nearest_link(spark, sf_dir):
+    text = F.expr("url || ' [x](a/' || page_id || '.md) [[p' || page_id || ' name]]'")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", text.alias("text"))
+    n = F.size(F.regexp_extract_all("url", F.lit("[A-Za-z0-9]+|(?s:.)"), F.lit(0)))
+    at = pages.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(1).alias("p")), F.struct(F.lit(1).alias("k"), (n + 3).alias("p")))).alias("x"))
+    at = at.select((F.col("doc_id") * 2 + F.col("x.k")).alias("result_id"), "doc_id", F.col("x.p").alias("lo"), F.col("x.p").alias("hi"))
+    return L.nearest_link(at, L.link_rows(pages)).select(F.floor(F.col("result_id") / 2).alias("page_id"), "typ", "link")
+
+
+# --- presentation
+
+
+_SNIP = "'worthless 'the"
+
+
+@query(
+    Q.with_base(
+        "SELECT r.doc_id, r.rank, min(p.line) AS first_line, max(p.line) AS last_line FROM (SELECT doc_id, rank, unnest(spots) AS pos FROM ranked) r JOIN positions p USING (doc_id, pos) GROUP BY r.doc_id, r.rank",
+        Q.results_cte(_SNIP),
+        f"ranked AS MATERIALIZED ({Q.RANKED})",
+    )
+)
+def snippet_span(spark, sf_dir):
+    index = index_for(spark, sf_dir)
+    return snippet.spans(S.ranked(S.search(index, _SNIP)), index).select("doc_id", long("rank").alias("rank"), "first_line", "last_line")
+
+
+def _grow(k: int, source: str) -> str:
+    return f"""g{k} AS (
+      SELECT s.doc_id, s.rank, CASE WHEN s.n < 10 AND u.nonspace IS NOT NULL THEN s.first_line - 1 ELSE s.first_line END AS first_line,
+        CASE WHEN s.n < 10 AND d.nonspace IS NOT NULL THEN s.last_line + 1 ELSE s.last_line END AS last_line,
+        s.n + CASE WHEN s.n < 10 THEN coalesce(u.nonspace, 0) + coalesce(d.nonspace, 0) ELSE 0 END AS n
+      FROM {source} s LEFT JOIN lines u ON u.doc_id = s.doc_id AND u.line = s.first_line - 1 LEFT JOIN lines d ON d.doc_id = s.doc_id AND d.line = s.last_line + 1)"""
+
+
+@query(
+    Q.with_base(
+        "SELECT doc_id, rank, first_line, last_line FROM g2",
+        Q.results_cte(_SNIP),
+        f"ranked AS MATERIALIZED ({Q.RANKED})",
+        "lines AS (SELECT doc_id, line, count(*) FILTER (word <> '' AND NOT starts_with(word, ' ')) AS nonspace FROM positions GROUP BY doc_id, line)",
+        "g0 AS (SELECT r.doc_id, r.rank, min(p.line) AS first_line, max(p.line) AS last_line, 2 AS n FROM (SELECT doc_id, rank, unnest(spots) AS pos FROM ranked) r JOIN positions p USING (doc_id, pos) GROUP BY r.doc_id, r.rank)",
+        _grow(1, "g0"),
+        _grow(2, "g1"),
+    )
+)
+def snippet_context(spark, sf_dir):
+    index = index_for(spark, sf_dir)
+    spanned = snippet.spans(S.ranked(S.search(index, _SNIP)), index)
+    return snippet.with_context(spanned, index, 2).select("doc_id", long("rank").alias("rank"), "first_line", "last_line")
+
+
+@query(
+    Q.with_base(
+        """
+        SELECT doc_id, rank, arg_min(word, (n, nth)) AS word FROM (
+          SELECT f.doc_id, f.rank, f.nth, f.word, sum(c.n) AS n FROM (
+            SELECT r.doc_id, r.rank, r.nth, p.word FROM (SELECT doc_id, rank, unnest(spots) AS pos, generate_subscripts(spots, 1) AS nth FROM ranked) r JOIN positions p USING (doc_id, pos)
+          ) f JOIN counts c ON c.doc_id = f.doc_id AND contains(c.word_ci, """ + Q.ci("f.word") + """) GROUP BY ALL
+        ) GROUP BY doc_id, rank
+        """,
+        Q.results_cte(_SNIP),
+        f"ranked AS MATERIALIZED ({Q.RANKED})",
+        f"counts AS (SELECT doc_id, {Q.ci('word')} AS word_ci, count(*) AS n FROM positions GROUP BY ALL)",
+    )
+)
+def unique_word(spark, sf_dir):
+    index = index_for(spark, sf_dir)
+    found = S.ranked(S.search(index, _SNIP))
+    keyed = found.withColumn("result_id", F.xxhash64("doc_id", "phrase_id", "found")).select("result_id", "doc_id", long("rank").alias("rank"))
+    return keyed.join(snippet.most_unique_word(found, index), "result_id").select("doc_id", "rank", "word")
+
+
+# --- maintenance
+
+
+@query("WITH u AS (SELECT user_id AS doc_id, max(ts) AS last_used FROM events GROUP BY user_id) SELECT doc_id FROM u ORDER BY last_used DESC, doc_id OFFSET 50")
+def lru_prune(spark, sf_dir):
+    used = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max("ts").alias("last_used"))
+    return I.least_recently_used(used, 50)
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.text NOT IN (SELECT e.text FROM documents e JOIN labels USING (doc_id))")
+def incremental_new_docs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    indexed = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(I.content_hash(F.col("text")).alias("doc_hash"))
+    return I.new_documents(docs, indexed).select("doc_id")
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def conversation_documents(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select("conv_id", "turns", F.array_join(F.col("t.text"), "\n").alias("text"))
