@@ -17,10 +17,12 @@ from .common import crc_of, text_slices
 #: Words of a window, and from one window's start to the next's: each word but the first few is in two.
 WINDOW, STRIDE = 48, 24
 #: At most so many labelled documents of each kind are learnt from, and windows of each.
-TOXIC_ROWS, CLEAN_ROWS, ROW_WINDOWS = 400, 1200, 24
+TOXIC_ROWS, CLEAN_ROWS, ROW_WINDOWS = 1000, 3000, 24
 #: Buckets of words and of character n-grams, their lengths in bytes, vector sizes, units each way.
 WORDS, GRAMS, LENGTHS, WIDTH, UNITS = 1 << 14, 1 << 15, (4, 6), 12, 12
 EPOCHS, STEPS, BAGS, RATE = 30, 700, 24, 6e-3  # whichever of the first two ends sooner
+#: Logit of a window without words: no evidence at all.
+NO_WORDS = -15.0
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -98,7 +100,7 @@ class Network:
         return states
 
     def logits(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, tape: dict | None = None) -> np.ndarray:
-        """ids [windows, WINDOW] number rows of x; mask is 0 beyond a text's end. A window without words has the bias."""
+        """ids [windows, WINDOW] number rows of x; mask is 0 beyond a text's end."""
         ways = {w: [] for w in "fb"} if tape is not None else {"f": None, "b": None}
         states = np.concatenate([self._layer(x @ self.p[f"x{w}"] + self.p[f"c{w}"], ids, mask, w, ways[w]) for w in "fb"], 2)
         e = np.where(mask.T > 0, states @ self.p["query"], -1e9)
@@ -279,7 +281,8 @@ class Model:
         states = np.concatenate([n._layer(projected[w], ids, mask, w, None) for w in "fb"], 2)
         e = np.where(mask.T > 0, states @ n.p["query"], -1e9)
         a = np.exp(e - e.max(0)) * mask.T
-        return np.einsum("tn,tn->n", a, states @ n.p["out"]) / np.maximum(a.sum(0), 1e-9) + n.p["bias"][0]
+        logits = np.einsum("tn,tn->n", a, states @ n.p["out"]) / np.maximum(a.sum(0), 1e-9) + n.p["bias"][0]
+        return np.where(mask[:, 0] > 0, logits, NO_WORDS)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str) -> tuple[list, np.ndarray]:
@@ -315,7 +318,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id
     all overlapping windows of the whole text, and from nothing but the text: the total, mean and strongest evidence,
     weighed by logistic regression on documents that the network hasn't seen (on all, if those have few toxic ones).
 
-    Null or empty text, and text without letters, is one empty window. A null id counts as the empty text for
+    Null or empty text, and text without letters, is one window without evidence: a score near 0. A null id counts as the empty text for
     ``held_out``; null labels teach nothing, and an id labelled twice is toxic if either says so. Without labels of both
     kinds every score is the share of toxic ones (0 without any). Equal texts get equal scores; repeated rows give a row
     each; an empty table gives no rows; other columns aren't read.
