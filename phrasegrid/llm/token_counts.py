@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import shared_encoder
-from .common import text_slices
+from .common import saved, text_slices
 
 #: Tokens of a block. Blocks of a file are numbered from 0; only its last one is shorter.
 BLOCK = 1 << 16
@@ -114,6 +114,7 @@ def count_tokens(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
             )
 
     found = blocks.select("file", F.col("block").cast("long").alias("block"), "data").mapInArrow(search, "file string, block long, eods long, head long, tail long, inner array<long>")
+    found = saved(found, "block-summaries")  # the files are read once; the summaries are needed three times
     found = _scan(found.withColumn("super", F.floor(F.col("block") / RUN)), ["file", "super"], "block")
     last = F.max(F.struct("block", F.col("run"))).alias("last")
     runs = found.groupBy("file", "super").agg(F.sum("eods").alias("eods"), last).select("file", "super", "eods", F.col("last.run").alias("tail"))
