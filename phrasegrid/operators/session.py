@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from . import rank
 from .filters import apply_filter
 from .index import Index
 from .search import fuzzy_rank, ranked, search
+from .store import stored
 
 #: Every so many versions of a history keep their state; others are made again from the one before.
 KEEP_EVERY = 5
@@ -78,20 +79,26 @@ class State:
             return self
         new = self.docs.join(self.passing, "path", "left_semi").join(self.searched, "path", "left_anti")
         found = search(self.index, self.search_text, self.params, self.scopes, new.select("doc_id"))
-        return replace(self, results=self.results.unionByName(found).dropDuplicates(["doc_id", "phrase_id", "found"]), searched=self.searched.unionByName(new.select("path")))
+        return replace(self, results=self.results.unionByName(stored(found, "found")).dropDuplicates(["doc_id", "phrase_id", "found"]), searched=self.searched.unionByName(new.select("path")))
 
     def run(self, command: Command) -> State:
+        """The state after a command; tables that it changes are written, so plans don't grow with the history."""
+        new = self._changed(command)
+        tables = {f.name: getattr(new, f.name) for f in fields(new) if isinstance(getattr(new, f.name), DataFrame)}
+        return replace(new, **{k: stored(v, k) for k, v in tables.items() if v is not getattr(self, k)})
+
+    def _changed(self, command: Command) -> State:
         name, text = command.name, command.text
         if name in ("search", "clear search"):
             if same(text, self.search_text):
                 return self
             none = self.docs.select("path").limit(0)
-            return replace(self, search_text=text, results=search(self.index, "", self.params), searched=none)._refresh()
+            return replace(self, search_text=text, results=self.results.limit(0), searched=none)._refresh()
         if name in ("filter", "clear filter"):
             f = parse_filter(text)
             if same_filter(f, self.filter):
                 return self
-            passing = apply_filter(self.docs, f, self.index, self.cwd, self.params).select("path")
+            passing = stored(apply_filter(self.docs, f, self.index, self.cwd, self.params).select("path"), "passing")
             return replace(self, filter=f, filter_text=text, passing=passing)._refresh()
         if name == "narrow level":
             return self._narrow(int(text))

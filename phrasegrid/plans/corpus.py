@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators.index import Index, build
+from ..operators.store import shared_dir
 
 _built: dict[tuple[str, str], Index] = {}
 
@@ -30,8 +31,7 @@ def index_for(spark: SparkSession, sf_dir: str) -> Index:
     """The corpus's index, written to the shared folder on first use and read from there."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/phrasegrid").rstrip("/")
-        path = f"{root}/index-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         build(corpus(spark, sf_dir)).write(path)
         index = Index.read(spark, path)
         _built[key] = Index(index.docs.withColumn("path_date", P.path_date(F.col("path"))), index.positions, index.lines, index.words, index.links)

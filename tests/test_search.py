@@ -138,7 +138,7 @@ def test_filters(index):
     assert names("ext:log") == {"/c/two.log"}
     assert names("path-date:=2024-02-03") == {"/c/three-2024-02-03.md"}
     assert names("not content:fox") == {"/c/empty.txt"}
-    assert names("path-fuzzy:tow") == set() and names("path-fuzzy:'two") == {"/c/two.log"}
+    assert names("path-fuzzy:\"'tow\"") == set() and names("path-fuzzy:\"'two\"") == {"/c/two.log"}
     assert names("path-glob:*.txt and not \"'dog\"") == {"/c/empty.txt"}
     assert names("") == set(TEXTS)
 
