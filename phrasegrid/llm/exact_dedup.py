@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import saved, whole
 
-#: A chunk ends at the first of these letter pairs after MIN_CHUNK characters, so cuts follow the content and not the offset.
+#: A chunk ends at the first of these pairs of characters after MIN_CHUNK, so cuts follow the content and not the offset.
 MIN_CHUNK, MAX_CHUNK = 400, 4000
-CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?:[aeiou][stnr]|\z)|.{{1,{MAX_CHUNK}}}"
+BOUNDARY = r"[aeiou][stnr]|[b-d][aeiou]|[0-9][5-9]|[^\x00-\x7F]{2}"
+CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?:{BOUNDARY}|\z)|.{{1,{MAX_CHUNK}}}"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -59,6 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Larger is better: code points, then an id at all, then the smaller id, then the earlier row.
     rank = F.struct("points", F.col("doc_id").isNotNull().alias("has"), F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row"))
     groups = recipes.groupBy("recipe").agg(F.max(rank).alias("best"), F.count("*").alias("group_size"))
+    groups = saved(groups, "groups")  # read again, so that the join below deals out both sides and can split a hot group
     return recipes.join(groups, "recipe").select(
         "doc_id",
         F.bitwise_not("best.id").alias("keep_id"),
