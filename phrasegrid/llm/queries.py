@@ -58,7 +58,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-@_query()
+@_query(
+    """
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+    ), n AS (
+      SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), links AS (
+      SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL)
+      JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+    ), e AS (
+      SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+    ), reach AS (
+      SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, e.y FROM reach r JOIN e ON r.other = e.x
+    )
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM (SELECT node AS doc_id, min(other) AS component_id FROM reach GROUP BY node) LEFT JOIN n USING (doc_id)
+    """
+)
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -88,7 +107,47 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "lines_found", "lines_removed", F.sha2(whole("text"), 256).alias("text_sha256"))
 
 
-@_query()
+def _license_sql() -> str:
+    """The scan in SQL: k-grams as texts instead of hashes, joined, voted and merged alike."""
+    import re
+
+    from .license_scan import COVERAGE, GAP, NOTICE_GRAM, NOTICES, PHRASE_GRAM, PHRASES, WORD
+
+    rows = []
+    for i, (text, label, k, base) in enumerate([(t, x, PHRASE_GRAM, True) for t, x in PHRASES.items()] + [(t, x, NOTICE_GRAM, False) for x, t in NOTICES.items()]):
+        words = re.findall(WORD, text.lower())
+        rows += [f"({i}, '{label}', {base}, {k}, {len(words) - k + 1}, {at}, '{' '.join(words[at : at + k])}')" for at in range(len(words) - k + 1)]
+    return f"""
+    WITH w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents
+    ), p AS (
+      SELECT doc_id, unnest(ws) AS a, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT) AS pos FROM w
+    ), g AS (
+      SELECT doc_id, pos, a || ' ' || lead(a) OVER o AS two, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o AS four
+      FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+    ), t(template, label, base, k, grams, tpos, gram) AS (VALUES {", ".join(rows)}),
+    hits AS (
+      SELECT doc_id, template, label, base, grams, pos - tpos AS diagonal FROM g JOIN t ON k = {PHRASE_GRAM} AND two = gram
+      UNION ALL SELECT doc_id, template, label, base, grams, pos - tpos FROM g JOIN t ON k = {NOTICE_GRAM} AND four = gram
+    ), votes AS (
+      SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > CASE WHEN base THEN 0 ELSE {GAP} END THEN 1 ELSE 0 END AS new
+      FROM (SELECT doc_id, template, label, base, grams, diagonal, count(*) AS votes FROM hits GROUP BY ALL) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)
+    ), spans AS (
+      SELECT doc_id, template, label, base, least(CAST(sum(votes) AS DOUBLE) / grams, 1.0) AS coverage, min(diagonal) AS word
+      FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM votes) GROUP BY doc_id, template, label, base, grams, span
+    ), d AS (
+      SELECT doc_id, count(*) FILTER (base AND coverage >= 1) AS n_base, min(word) FILTER (base AND coverage >= 1) AS first_word, max(word) FILTER (base AND coverage >= 1) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND coverage >= 1) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (coverage >= CASE WHEN base THEN 1 ELSE {COVERAGE} END) AS labels,
+        max(coverage) FILTER (NOT base OR coverage >= 1) AS score, count(*) FILTER (NOT base AND coverage >= {COVERAGE}) AS n_notices
+      FROM spans GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+      coalesce(score, 0.0) AS score, coalesce(n_notices, 0) AS n_notices FROM w LEFT JOIN d USING (doc_id)
+    """
+
+
+@_query(_license_sql())
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
