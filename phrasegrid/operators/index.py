@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import links as L
+from .rank import placed
 
 
 @dataclass(frozen=True)
@@ -122,13 +123,9 @@ def new_documents(docs: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def least_recently_used(docs: DataFrame, keep: int, used_col: str = "last_used") -> DataFrame:
-    """doc_ids beyond the ``keep`` most recently used; ties go to the smaller id. A count per time comes first, so only
-    the documents of the one time on the border are ranked together."""
-    times = docs.groupBy(used_col).agg(F.count("*").alias("n"))
-    border = times.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc_nulls_last(used_col))))
-    rows = docs.join(border.withColumn("room", F.lit(keep) - (F.col("upto") - F.col("n"))).select(F.col(used_col).alias("t"), "room"), F.col(used_col).eqNullSafe(F.col("t")))
-    nth = F.row_number().over(Window.partitionBy("t").orderBy("doc_id"))
-    return rows.withColumn("nth", nth).filter("nth > room").select("doc_id")
+    """doc_ids beyond the ``keep`` most recently used; ties go to the smaller id."""
+    rows = placed(docs.select("doc_id", used_col), [F.col(used_col).desc_nulls_last(), F.col("doc_id")])
+    return rows.filter(F.col("place") > keep).select("doc_id")
 
 
 def prune(index: Index, keep: int) -> Index:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lang.sort import SortBy
+from .store import stored
 
 
 def best_per_document(results: DataFrame) -> DataFrame:
@@ -47,7 +48,18 @@ def sample(results: DataFrame, n: int) -> DataFrame:
     return ranked(results, n)
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds each row's number in a total order, from 1: a distributed sort, then a count of rows per partition and a
+    running sum of those counts (one row per partition), so that no task sees all rows."""
+    rows = df.orderBy(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row"))
+    rows = stored(rows, "placed")
+    counts = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    place = F.col("__before") + F.col("__row").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(before), "__part").withColumn(name, place).drop("__part", "__row", "__before")
+
+
 def focus_rank(docs: DataFrame, focus: DataFrame) -> DataFrame:
     """Position in the list by path, focused documents (path, at) first by their latest ``at``: for large focus lists."""
     latest = focus.groupBy("path").agg(F.max("at").alias("at"))
-    return docs.join(latest, "path", "left").withColumn("place", F.row_number().over(Window.orderBy(F.col("at").asc_nulls_last(), "path")))
+    return placed(docs.join(latest, "path", "left"), [F.col("at").asc_nulls_last(), F.col("path")])

@@ -123,7 +123,7 @@ class State:
         if name == "path fuzzy rank":
             items = self.listed().select("path", P.relative(F.col("path"), self.cwd).alias("item"))
             best = fuzzy_rank(items, text, self.params)
-            at = items.join(best, "item").withColumn("ranking", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
+            at = items.join(best, "item").withColumn("ranking", -F.col("score"))
             return replace(self, ranking=at.select("path", "ranking"), focus=())
         if name == "focus":
             return replace(self, focus=(*self.focus, text))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -209,8 +209,8 @@ def docs_without_match(spark, sf_dir):
 def doc_rank_by_score(spark, sf_dir):
     index = index_for(spark, sf_dir)
     best = rank.best_per_document(S.search(index, "worthless the"))
-    place = F.row_number().over(Window.orderBy(*rank.keys(SortBy("score", True))))
-    return index.docs.join(best, "doc_id").select("path", long(place).alias("place"), F.col("best_score").alias("score"))
+    rows = rank.placed(index.docs.join(best, "doc_id"), rank.keys(SortBy("score", True)))
+    return rows.select("path", "place", F.col("best_score").alias("score"))
 
 
 # --- filters and sorts
@@ -240,7 +240,7 @@ _filter("filter_bool", "(ext:txt or \"'scum\") and not path-date:<2024-03-01", "
 @query(Q.with_base("SELECT path, row_number() OVER (ORDER BY path_date DESC NULLS LAST, path DESC) AS place FROM doc"))
 def sort_path_date(spark, sf_dir):
     docs = index_for(spark, sf_dir).docs
-    return docs.select("path", long(F.row_number().over(Window.orderBy(*rank.keys(SortBy("path-date", True))))).alias("place"))
+    return rank.placed(docs.select("path", "path_date"), rank.keys(SortBy("path-date", True))).select("path", "place")
 
 
 @query(
@@ -252,7 +252,7 @@ def sort_path_date(spark, sf_dir):
 def sort_focus(spark, sf_dir):
     docs = index_for(spark, sf_dir).docs
     focus = table(spark, sf_dir, "labels").filter("toxic = 1").join(docs.select("doc_id", "path"), "doc_id").select("path", (F.col("quality") * 1000 + F.col("toxic")).alias("at"))
-    return rank.focus_rank(docs.select("path"), focus).select("path", long("place").alias("place"))
+    return rank.focus_rank(docs.select("path"), focus).select("path", "place")
 
 
 @query("SELECT page_id, CAST(len(regexp_extract(url, '(\\.[^./]*)$', 1)) AS INTEGER) AS ext_len, lower(regexp_extract(url, '(\\.[^./]*)$', 1)) AS ext FROM pages")
