@@ -14,9 +14,11 @@ MOST_ROUNDS = 200
 def _hooked(edges: DataFrame) -> DataFrame:
     """Large star, then small star: every node's larger neighbours, then its smaller ones, move to its least one."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    # Saved, so that the joins below deal out both sides and can split a hub's edges.
+    least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
     large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-    small = large.groupBy("a").agg(F.min("b").alias("m"))
+    large = saved(large, "large-star")
+    small = saved(large.groupBy("a").agg(F.min("b").alias("m")), "small-star")
     pairs = large.join(small, "a")
     return (
         pairs.select(F.col("m").alias("u"), F.col("b").alias("v"))
