@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices
-from .pieces import LATIN_LETTERS, LATIN_NUMBERS, WHITE, PieceCoder
+from .pieces import LATIN_LETTERS, LATIN_NUMBERS, WHITE, PieceCoder, is_latin
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,8 +120,7 @@ class Encoder:
         latin = _latin_form(pattern)
         if latin is None:
             return full.findall
-        wide = re.compile("[^\x00-\xff]")
-        return lambda text: full.findall(text) if wide.search(text) else latin.findall(text)
+        return lambda text: latin.findall(text) if is_latin(text) else full.findall(text)
 
     def _learn(self, new: list[str]) -> list[bytes]:
         pieces = [p.encode() for p in new]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, text_slices
-from .pieces import LATIN_LETTERS, LATIN_NUMBERS, WHITE, PieceCoder
+from .pieces import LATIN_LETTERS, LATIN_NUMBERS, WHITE, PieceCoder, is_latin
 
 CAPACITY = 4096
 END_ID = 1
@@ -39,17 +39,16 @@ def word_bpe_coder(path: str) -> PieceCoder:
     last = np.zeros(full.get_vocab_size(), bool)
     last[[i for w, i in full.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
     word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{WHITE}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
-    wide = re.compile("[^\x00-\xff]")
 
     def cut(text: str) -> list[str]:
-        if not wide.search(text):
+        if is_latin(text):
             return word.findall(text.lower())
         out: list[str] = []
         for chunk in text.replace("\n", " ").split(" "):
-            if wide.search(chunk):
-                out.append(" " + chunk)  # no other piece holds a space
-            else:
+            if is_latin(chunk):
                 out += word.findall(chunk.lower())
+            else:
+                out.append(" " + chunk)  # no other piece holds a space
         return out
 
     def learn(new: list[str]) -> list[bytes]:

@@ -14,6 +14,15 @@ LATIN_NUMBERS = "0-9²³¹¼½¾"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
+def is_latin(text: str) -> bool:
+    """Whether all characters are in U+0000 to U+00FF."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def segments(text: str, gap: re.Pattern, size: int = SEGMENT) -> Iterator[str]:
     """The text in parts of about ``size`` characters, each but the first starting where ``gap`` matches."""
     at = 0
@@ -30,7 +39,7 @@ class PieceCoder:
     beyond, the memo starts afresh, so results never depend on it. Long pieces aren't kept.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], learn: Callable[[list[str]], list[bytes]], gap: re.Pattern, most: int = 700_000, longest: int = 100):
+    def __init__(self, cut: Callable[[str], list[str]], learn: Callable[[list[str]], list[bytes]], gap: re.Pattern, most: int = 1_000_000, longest: int = 100):
         self.cut, self.learn, self.gap, self.most, self.longest = cut, learn, gap, most, longest
         self.memo: dict[str, bytes] = {}
 
