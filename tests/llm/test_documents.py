@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from phrasegrid.llm.exact_dedup import chunks, exact_dedup
 from phrasegrid.llm.graph import components
 from phrasegrid.llm.license_scan import NOTICES, license_scan
 from phrasegrid.llm.line_dedup import dedup_lines, spread_lines
-from phrasegrid.llm.lm_score import Ppm, grams, lm_scores
+from phrasegrid.llm.lm_score import Ppm, _subtries, grams, lm_scores
 from phrasegrid.llm.lm_score import _summed as summed
 from phrasegrid.llm.near_dedup import near_duplicates
 from phrasegrid.llm.packing import fullest, minimum_bin_slack, pack, word_bpe_coder
@@ -425,3 +426,26 @@ def test_ppm_is_the_plain_recursion(entries):
     assert np.allclose(model.score(test), np.log10([plain(int(g)) for g in test]), atol=1e-5)
     for context in np.unique(test >> 8)[:20]:
         assert math.isclose((10.0 ** model.score(np.arange(256) | int(context) << 8).astype(float)).sum(), 1, abs_tol=1e-4)
+
+
+def test_lm_scores_keep_rare_grams_of_large_corpora(spark):
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.choice(list(range(97, 123)) + [32] * 4, 250_000))) for _ in range(24)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = lm_scores(rows_of(spark, rows), F.col("doc_id") >= 20).collect()
+    code, n = np.unique(grams([t.encode() for t in texts[:20]]), return_counts=True)
+    assert n.sum() > 1 << 22 and (n == 1).any()
+    model = Ppm({k: summed(code & (1 << 8 * (k + 1)) - 1, n) for k in range(2, 6)})
+    for r in got:
+        assert math.isclose(r.score, float(model.score(grams([texts[r.doc_id].encode()])).astype(float).sum()), rel_tol=1e-6)
+
+
+def test_subtries_are_whole():
+    rng = np.random.default_rng(2)
+    code = rng.integers(0, 1 << 48, 3000) & ~(0xFFFFF0 << 8)
+    code = code[np.argsort(code >> 8 & 0xFFFFFF)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(x + 1)], ["code", "n"]) for x in np.array_split(code, 100)]
+    parts = list(_subtries(iter(batches), 50))
+    assert len(parts) > 3 and all((n == c + 1).all() for c, n in parts) and (np.concatenate([c for c, _ in parts]) == code).all()
+    ends = [set((c >> 8 & 0xFFFFFF).tolist()) for c, _ in parts]
+    assert sum(map(len, ends)) == len(set.union(*ends))
