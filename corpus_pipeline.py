@@ -24,8 +24,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand on many sites; n_chars follows the text. None is dropped."""
-    clean = dedup_lines(docs)
+    """Documents without the lines that stand on many sites; n_chars follows the text. None is dropped.
+
+    Sites are counted over one document of each group of near-duplicates. So the lines of copies aren't boilerplate for
+    being copied, and lines that are go from every document, whatever their share of it.
+    """
+    clean = dedup_lines(docs, max_share=1.0, counted=near_dedup(spark, docs, sf_dir))
     n_chars = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).select(*docs.columns)
 

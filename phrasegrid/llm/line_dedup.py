@@ -53,20 +53,21 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = M
 
 
 def dedup_lines(
-    docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, site_col: str = "source", text_col: str = "text"
+    docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, site_col: str = "source", text_col: str = "text", counted: DataFrame | None = None
 ) -> DataFrame:
     """``docs`` with boilerplate lines out of ``text_col``; two columns more: lines_removed and lines_found.
 
     A line's key is the line without ASCII white space at its ends; lines under ``min_chars`` characters are never
     boilerplate. ``lines_found`` counts a document's boilerplate lines; all of them are removed unless their characters
     exceed ``max_share`` of those of all its non-blank lines (as trimmed): such a document is a copy of another one as a
-    whole and stays as it is, for document deduplication to judge.
+    whole and stays as it is, for document deduplication to judge. Where ``counted`` has the documents without their copies,
+    sites are counted over it: copies then don't spread their own lines, and ``max_share`` can be 1.
 
     Null text stays null with no lines found; empty texts and texts without line feeds are one line; a null site counts
     toward no spread, but its lines are cleaned. Repeated rows are cleaned alike. Tables with columns named lines_removed
     or lines_found get them replaced. An empty table gives no rows. ``docs`` must read the same way twice.
     """
-    keys = saved(spread_lines(docs, min_sites, min_chars, site_col, text_col), "boilerplate")
+    keys = saved(spread_lines(docs if counted is None else counted, min_sites, min_chars, site_col, text_col), "boilerplate")
     row = "__line_row"
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     lines = numbered.select(row, F.explode(_lines(whole(text_col))).alias("line")).filter(_long(F.col("line"), min_chars))

@@ -138,3 +138,17 @@ def test_pipeline_stages(spark, tmp_path, labelled, monkeypatch):
     assert None in ids and 2000 in ids and not any(1000 + i in ids and i in ids for i in range(60))
     assert {r.doc_id for r in out["packing"].collect()} == ids
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out["packing"].count()
+
+
+def test_pipeline_cleans_short_pages_but_keeps_copies(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passage, copied = "\n".join(prose(12) for _ in range(5)), [prose(12) for _ in range(20)]
+    pages = [prose(40) for _ in range(12)]
+    rows = [(i, f"{passage}\n{own}", "en", f"s{i}") for i, own in enumerate(pages)]
+    rows += [(100 + i, "\n".join(copied), "en", f"s{i}") for i in range(12)]
+    rows += [(200 + i, "\n".join([*copied[:i], copied[i] + " changed", *copied[i + 1 :]]), "en", f"t{i}") for i in range(12)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert {i: got[i].text for i in range(12)} == dict(enumerate(pages)) and all(r.n_chars == len(r.text) for r in got.values())
+    assert all(got[i].text == t for i, t, *_ in rows if i >= 100)
