@@ -90,8 +90,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     All rolling word k-gram hashes of a text are joined to the template positions (a fixed table of a few hundred rows,
     which is broadcast); a document adds a marker to its k-grams so that it has a row without any hit. Hits vote for the
     diagonal word - template position. A phrase stands where one diagonal has all its k-grams. For notices, diagonals no
-    more than GAP apart are merged, since words left out or added shift the rest; a span whose votes reach COVERAGE of the
-    notice's k-grams is verified and gives its label. ``score`` is the best coverage of any template, 1 for a phrase.
+    more than GAP apart are merged, since words left out or added shift the rest. Then spans are verified: an occurrence
+    starts at one of the merged diagonals and takes no more of them than the notice has k-grams, so a longer chain is several
+    occurrences or none, and what counts is how many different template positions it has, repeats once. One that reaches
+    COVERAGE of the notice's k-grams gives the label; occurrences that don't share diagonals are counted in ``n_notices``.
+    Words are compared by the 64-bit hashes of their k-grams. ``score`` is the best coverage of any template, 1 for a phrase.
 
     Null text is empty: no words, no labels, score 0. A null id stays null. Repeated rows give a row each. Labels are
     distinct and sorted, so ties don't show. An empty table gives no rows; other columns aren't read.
@@ -103,11 +106,21 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = hits.join(F.broadcast(template_grams(docs.sparkSession)), F.col("h") == F.col("th"))
     hits = hits.withColumn("diagonal", F.col("at") - F.when(F.col("k") == NOTICE_GRAM, F.col("n_words")).otherwise(0) - F.col("tpos"))
     what = ["row", "doc_id", "n_words", "template", "label", "base", "grams"]
-    votes = hits.groupBy(*what, "diagonal").agg(F.count("*").alias("votes"))
+    votes = hits.groupBy(*what, "diagonal").agg(F.collect_list("tpos").alias("places"))
     near = Window.partitionBy("row", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(near) > F.when(F.col("base"), 0).otherwise(GAP)).cast("int"), F.lit(0))
     votes = votes.withColumn("new", new).withColumn("span", F.sum("new").over(near))
-    spans = votes.groupBy(*what, "span").agg(F.least(F.sum("votes") / F.col("grams"), F.lit(1.0)).alias("coverage"), F.min("diagonal").cast("long").alias("word"))
+    # The frame is as long as the longest notice; each template takes its own length of it.
+    ahead = Window.partitionBy("row", "template", "span").orderBy("diagonal").rangeBetween(0, max(len(re.findall(WORD, x)) for x in NOTICES.values()))
+    votes = votes.withColumn("ahead", F.collect_list(F.struct("diagonal", "places")).over(ahead))
+    own = F.filter("ahead", lambda x: x["diagonal"] - F.col("diagonal") <= F.when(F.col("base"), 0).otherwise(F.col("grams")))
+    distinct = F.size(F.array_distinct(F.flatten(F.transform(own, lambda x: x["places"]))))
+    votes = votes.withColumn("coverage", distinct / F.col("grams"))
+    starts = F.array_sort(F.collect_list(F.when(F.col("coverage") >= COVERAGE, F.col("diagonal").cast("long"))))
+    apart = lambda got, d: F.when((got["n"] == 0) | (d > got["last"] + F.col("grams")), F.struct((got["n"] + 1).alias("n"), d.alias("last"))).otherwise(got)
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last"))
+    spans = votes.groupBy(*what, "span").agg(F.max("coverage").alias("coverage"), F.min("diagonal").cast("long").alias("word"), starts.alias("starts"))
+    spans = spans.withColumn("times", F.aggregate("starts", none, apart)["n"])
     place = F.col("base") & (F.col("coverage") >= 1)
     found = place | (~F.col("base") & (F.col("template") >= 0) & (F.col("coverage") >= COVERAGE))
     joined = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
@@ -118,5 +131,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         joined(place).alias("base_labels"),
         joined(found).alias("labels"),
         F.coalesce(F.max(F.when((F.col("template") >= 0) & (place | ~F.col("base")), F.col("coverage"))), F.lit(0.0)).alias("score"),
-        F.count(F.when(found & ~F.col("base"), 1)).cast("long").alias("n_notices"),
+        F.coalesce(F.sum(F.when(found & ~F.col("base"), F.col("times"))), F.lit(0)).cast("long").alias("n_notices"),
     ).drop("row")

@@ -211,6 +211,14 @@ def test_license_scan(spark):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
 
 
+def test_license_spans_are_verified(spark):
+    words, cc = re.findall(r"\w+", NOTICES["mit"]), NOTICES["cc-by"]
+    texts = [" ".join(words[:6] * 60), " ".join(words), " ".join(words[:40] + ["so", "to", "say"] + words[40:]), f"{cc} {cc} {cc}", " ".join(words[:6] * 9 + words), " ".join([*words, *words])]
+    got = {r.doc_id: r for r in license_scan(rows_of(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [(got[i].labels, got[i].n_notices) for i in range(6)] == [("", 0), ("mit", 1), ("mit", 1), ("cc-by", 3), ("mit", 1), ("mit", 2)]
+    assert got[0].score < 0.2 and got[1].score == 1 and 0.9 < got[2].score < 1 and got[4].score == 1
+
+
 def test_license_scan_of_nothing(nothing):
     assert license_scan(nothing).collect() == []
 
