@@ -22,9 +22,10 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long,
 def word_bpe_coder(path: str) -> PieceCoder:
     """Ids of texts under a word-end BPE tokenizer file (lower case, white space dropped), as 32-bit numbers.
 
-    Special tokens' strings are ordinary text. For texts of U+0000 to U+00FF the tokenizer's own cut is one pattern over
-    the lower-cased text, and normal form C changes nothing; the words are then merged by the file's model, many at a
-    time, each ending at an id with the word-end mark. Chunks with other characters go through the whole tokenizer.
+    The ids are those of the library as it loads the file, so a special token's own string stands for that token. For texts
+    of U+0000 to U+00FF the tokenizer's cut is one pattern over the lower-cased text, and normal form C changes nothing; the
+    words are then merged by the file's model, many at a time, each ending at an id with the word-end mark. Chunks between
+    blanks that have other characters or a special token's string go through the whole tokenizer.
     """
     import os
 
@@ -33,7 +34,7 @@ def word_bpe_coder(path: str) -> PieceCoder:
     from tokenizers import pre_tokenizers as pre
 
     full = Tokenizer.from_file(path)
-    full.encode_special_tokens = True
+    special = re.compile("|".join(re.escape(t.content) for t in full.get_added_tokens_decoder().values()) or r"(?!)")
     words = Tokenizer(full.model)
     words.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
     last = np.zeros(full.get_vocab_size(), bool)
@@ -41,11 +42,11 @@ def word_bpe_coder(path: str) -> PieceCoder:
     word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{WHITE}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
 
     def cut(text: str) -> list[str]:
-        if is_latin(text):
+        if is_latin(text) and not special.search(text):
             return word.findall(text.lower())
         out: list[str] = []
         for chunk in text.replace("\n", " ").split(" "):
-            if is_latin(chunk):
+            if is_latin(chunk) and not special.search(chunk):
                 out += word.findall(chunk.lower())
             else:
                 out.append(" " + chunk)  # no other piece holds a space
