@@ -42,8 +42,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after white space (``[\\x20\\x09-\\x0D]``) is deleted. Each text is cut into
     content-defined chunks; chunk texts are deduplicated and their 128-bit keys verified to stand for one text each. A
-    document is then compared as the ordered list of its chunk identifiers, and its text isn't moved again. Where keys
-    clash (a weak ``key``), the chunk's own text is its identifier.
+    document is then compared as the ordered list of its chunk identifiers, and its text isn't moved again. Where a key
+    clashes (as a weak ``key`` does), the text of a chunk under that key goes with it, and only documents that have such a
+    chunk are met with the clashing keys.
 
     Of equal texts the row with most code points in the original stays, then the smallest id; a null id comes after all
     others, and of rows repeated with the same id and text the first in the table stays. Null text counts as empty; all
@@ -52,9 +53,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     base = base.select("row", "doc_id", F.char_length("text").alias("points"), normalised("text").alias("norm"))
+    clashes = saved(clashing_keys(base, key), "clashing-keys")
     identifier = key
-    if not clashing_keys(base, key).isEmpty():
-        identifier = lambda c: F.struct(key(c).alias("k"), c.alias("chunk"))
+    if not clashes.isEmpty():
+        held = base.select("row", F.explode(chunks(F.col("norm"))).alias("chunk")).select("row", key(F.col("chunk")).alias("k"))
+        base = base.join(saved(held.join(clashes, "k").groupBy("row").agg(F.collect_set("k").alias("clash")), "clashing-rows"), "row", "left")
+        identifier = lambda c: F.struct(key(c).alias("k"), F.when(F.array_contains("clash", key(c)), c).alias("chunk"))
     recipes = base.select("row", "doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), identifier).alias("recipe"))
     recipes = saved(recipes, "recipes")
     # Larger is better: code points, then an id at all, then the smaller id, then the earlier row.
