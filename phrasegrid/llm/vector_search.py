@@ -6,17 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
 #: Cells of a dimension; a cell number takes one byte.
-CELLS = 64
-#: Queries that are scanned at a time, and rows of a block of the scan.
-QUERY_BLOCK, ROW_BLOCK = 2048, 4096
-#: Exact vectors read per query between two looks at the bounds.
-STEP = 32
+CELLS = 256
+#: Queries that one pass over the cells answers, how many of them are scanned at a time, and rows of a block of the scan.
+PASS, QUERY_BLOCK, ROW_BLOCK = 32768, 2048, 4096
+#: Exact vectors read per query in the first round; each round reads as many times more.
+STEP, GROWTH = 8, 4
 
 
 def _usable(vector: Column) -> Column:
@@ -41,7 +42,7 @@ def _width(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _matrices(b: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and vectors of a batch, by the vectors' length."""
+    """Places in a batch and vectors, by the vectors' length."""
     lists = b.column(at)
     sizes = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -61,50 +62,91 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` the k largest integer inner products with other rows.
 
-    The approximation file holds one cell number per component, cells being equal parts of the dimension's range. The
-    queries are taken in blocks against all rows, block by block: two products with the cells' middles and half-widths
-    bound every score from both sides; then each query reads exact vectors in the order of their upper bounds until no
-    bound left reaches its k-th score. A task carries those scores on, and hands over k rows a query and task at most;
-    a second step in groups of tasks and a last one per query merge them.
+    The approximation file holds one cell number per component, cells being equal parts of the dimension's range, and no
+    vectors; those are a table of their own. First the cells alone are scanned, the queries in blocks against all rows: two
+    products with the cells' middles and half-widths bound every score from both sides, and a row whose upper bound is under
+    the k-th best lower bound so far is out. Then exact vectors are read, for the rows left, in the order of their upper
+    bounds: a few for each query, then more for those queries where the next bound still reaches the k-th score, until none
+    does. Equal vectors tie, so of a vector that is very common only the least ids are in the file at all.
 
     Ties go to the smaller vec_id. A query's own row (all rows of its id, if ids repeat) is no candidate; other repeated
-    rows each count. Vectors null or with null or non-finite components take no part; vectors meet only those of their
-    length; rows without an id take no part. With fewer than k candidates all are returned. An empty table gives no rows.
+    rows each count, and each query row is answered by itself. Vectors null or with null or non-finite components take no
+    part; vectors meet only those of their length, empty ones none; rows without an id take no part. With fewer than k
+    candidates all are returned. An empty table gives no rows. Components so large that a score may leave 64 bits are
+    refused with a ValueError.
     """
-    flagged = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col), F.coalesce(is_query, F.lit(False)).alias("query"))
-    flagged = flagged.filter("vec_id is not null").filter(_usable(F.col(vector_col).cast("array<double>")))
-    vectors = saved(flagged.select("vec_id", "query", F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(scale * x)).alias("vector")), "vectors")
+    return exact_top(*approximate_candidates(table, is_query, k, id_col, vector_col, scale), k)
+
+
+def approximate_candidates(table: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, scale: int) -> tuple[DataFrame, DataFrame]:
+    """Exact vectors (row, vec_id, query, vector), and what the scan of the cells leaves: query_row, row, upper, nth by upper
+    bound. Every row that may be among a query's k best is there."""
+    flagged = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("raw"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    flagged = flagged.filter("vec_id is not null").filter(_usable(F.col("raw"))).filter(F.size("raw") > 0)
+    vectors = flagged.select(F.monotonically_increasing_id().alias("row"), "vec_id", "query", F.transform("raw", lambda x: F.floor(scale * x)).alias("vector"))
+    vectors = saved(vectors, "vectors")
     ranges = _ranges(vectors)
-    spark = table.sparkSession
+    for size, (lo, hi) in ranges.items():
+        if size * max(abs(int(x)) for x in (*lo, *hi)) ** 2 >= 1 << 63:
+            raise ValueError("components are too large for scores of 64 bits")
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows, x in _matrices(b, 1):
-                if not x.shape[1]:
-                    continue
+            for rows, x in _matrices(b, 2):
                 lo, hi = ranges[x.shape[1]]
                 cells = ((x - lo) // _width(lo, hi)).astype(np.uint8)
-                raw = pa.array([c.tobytes() for c in cells], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), raw, b.column(1).take(pa.array(rows))], ["vec_id", "cells", "vector"])
-
-    file = saved(vectors.select("vec_id", "vector").mapInArrow(approximate, "vec_id long, cells binary, vector array<long>"), "cells")
-    queries = vectors.filter("query").select("vec_id", "vector")
-    parts = saved(queries.withColumn("block", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")) / (QUERY_BLOCK // 64))), "queries")
-    found = None
-    for (block,) in sorted(parts.select("block").distinct().collect()):
-        got = parts.filter(F.col("block") == block).select("vec_id", "vector").toArrow()  # about QUERY_BLOCK rows
-        mine = spark.sparkContext.broadcast(got)
-        near = file.mapInArrow(_scan(mine, ranges, k), "query_id long, vec_id long, score long, part int")
-        near = saved(_best(_best(near, ["query_id", "part"], k), ["query_id"], k), "neighbours")
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long, part int, rank int")
-    return found.select("query_id", "rank", "vec_id", "score")
-
-
-def _best(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
-    return rows.drop("rank").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([c.tobytes() for c in cells], pa.binary())], ["row", "vec_id", "cells"])
+
+    # Of equal vectors only the k least ids besides a query's own can be among its best, and of a repeated id k rows.
+    ids = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
+    enough = vectors.select("row", "vec_id", "vector").withColumn("nth_id", ids).filter(F.col("nth_id") <= k + 1)
+    enough = _first(enough, ["vector", "vec_id"], [F.col("row")], k)
+    file = saved(enough.select("row", "vec_id", "vector").mapInArrow(approximate, "row long, vec_id long, cells binary"), "cells")
+    queries = vectors.filter("query")
+    passes = -(-queries.count() // PASS)
+    queries = saved(queries.withColumn("pass", F.pmod(F.xxhash64("row"), F.lit(max(1, passes)))), "queries")
+    left = None
+    for n in range(passes):
+        mine = table.sparkSession.sparkContext.broadcast(queries.filter(F.col("pass") == n).select("row", "vec_id", "vector").toArrow())  # about PASS rows
+        bounds = saved(file.mapInArrow(_scan(mine, ranges, k), BOUNDS), "bounds")
+        # The k-th best lower bound of each query, of the tasks' own k best.
+        lower = _first(_first(bounds, ["query_row", "part"], [F.desc("lower")], k), ["query_row"], [F.desc("lower")], k)
+        least = lower.filter(F.col("nth") == k).select("query_row", F.col("lower").alias("least"))
+        rows = bounds.join(least, "query_row", "left").filter(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query_row", "row", "upper")
+        left = rows if left is None else left.unionByName(rows)
+    if left is None:
+        left = table.sparkSession.createDataFrame([], "query_row long, row long, upper double")
+    return vectors, saved(_first(left, ["query_row"], [F.desc("upper"), F.col("row")]), "candidates")
+
+
+def exact_top(vectors: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) from exact vectors of ``candidates``, read in the order of their upper bounds."""
+    asking = vectors.filter("query").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vector").alias("q"))
+    best, start, end = None, 0, STEP
+    due = candidates.filter(F.col("nth") <= end)
+    while not due.isEmpty():
+        got = due.select("query_row", "row").join(asking, "query_row").join(vectors.select("row", "vec_id", "vector"), "row")
+        products = F.zip_with("q", "vector", lambda a, b: a * b)
+        got = got.select("query_row", "query_id", "vec_id", F.aggregate(products, F.lit(0).cast("long"), lambda n, x: n + x).alias("score"))
+        both = got if best is None else got.unionByName(best.select(*got.columns))
+        best = saved(_first(both, ["query_row"], [F.desc("score"), F.col("vec_id")], k), "neighbours")
+        kth = best.filter(F.col("nth") == k).select("query_row", F.col("score").alias("least"))
+        start, end = end, end + (end - start) * GROWTH
+        # A bound that equals the k-th score may still be a tie of a smaller id.
+        due = candidates.filter(F.col("nth").between(start + 1, end)).join(kth, "query_row", "left").filter(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    if best is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best.select("query_id", F.col("nth").alias("rank"), "vec_id", "score")
+
+
+def _first(rows: DataFrame, keys: list[str], order: list[Column], k: int | None = None) -> DataFrame:
+    """Rows numbered from 1 within their keys, the first k of them."""
+    rows = rows.drop("nth").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return rows if k is None else rows.filter(F.col("nth") <= k)
+
+
+BOUNDS = "query_row long, row long, lower double, upper double, part int"
 
 
 def _scan(shared, ranges: dict, k: int):
@@ -112,68 +154,51 @@ def _scan(shared, ranges: dict, k: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() // 64
-        state = {}
-        for rows, x in _matrices(pa.RecordBatch.from_arrays([c.combine_chunks() for c in shared.value.columns], shared.value.column_names), 1):
-            ids = shared.value.column("vec_id").to_numpy()[rows]
-            state[x.shape[1]] = _Search(ids, x, *ranges[x.shape[1]], k) if x.shape[1] else None
+        searches: dict[int, list[_Bounds]] = {}
+        asked = shared.value.combine_chunks()
+        for at, x in _matrices(pa.RecordBatch.from_arrays([c.combine_chunks() for c in asked.columns], asked.column_names), 2):
+            rows, ids = (asked.column(i).to_numpy()[at] for i in (0, 1))
+            blocks = [slice(lo, lo + QUERY_BLOCK) for lo in range(0, len(at), QUERY_BLOCK)]
+            searches[x.shape[1]] = [_Bounds(rows[own], ids[own], x[own], *ranges[x.shape[1]], k) for own in blocks]
         for b in batches:
             for lo in range(0, b.num_rows, ROW_BLOCK):
-                some = b.slice(lo, ROW_BLOCK)
-                ids = some.column(0).to_numpy()
-                for rows, x in _matrices(pa.RecordBatch.from_arrays([some.column(0), pa.concat_arrays([some.column(2)])], ["a", "b"]), 1):
-                    if state.get(x.shape[1]):
-                        cells = np.frombuffer(b"".join(some.column(1).take(pa.array(rows)).to_pylist()), np.uint8).reshape(x.shape)
-                        state[x.shape[1]].add(ids[rows], cells, x)
-        for s in state.values():
-            if s:
-                q, c, v = s.result()
-                for lo in range(0, len(q), 50_000):
-                    own = slice(lo, lo + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[own]), pa.array(c[own]), pa.array(v[own]), pa.array([part] * len(q[own]), pa.int32())], ["query_id", "vec_id", "score", "part"])
+                rows, ids, cells = b.slice(lo, ROW_BLOCK).columns
+                raw, sizes = cells.to_pylist(), pc.binary_length(cells).to_numpy()
+                for size in np.unique(sizes):
+                    own = np.flatnonzero(sizes == size)
+                    matrix = np.frombuffer(b"".join(raw[i] for i in own), np.uint8).reshape(-1, size)
+                    for search in searches.get(int(size), ()):
+                        q, c, lower, upper = search.add(ids.to_numpy()[own], matrix)
+                        columns = [pa.array(search.rows[q]), pa.array(rows.to_numpy()[own][c]), pa.array(lower), pa.array(upper), pa.array(np.full(len(q), part, np.int32))]
+                        if len(q):
+                            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in BOUNDS.split(", ")])
 
     return scan
 
 
-class _Search:
-    """The k best of what has been added so far, for each of some queries of one length."""
+class _Bounds:
+    """Bounds of some queries' scores from cells, and each query's k best lower bounds so far."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int):
+        self.rows, self.ids = rows, ids
         self.lo, self.width = lo, _width(lo, hi)
         self.signed, self.size = queries.astype(np.float64), np.abs(queries).astype(np.float64)
-        # Above 2**52 a double isn't exact; bounds then get a margin, and scores are always summed as integers.
+        # Above 2**52 a double isn't exact; bounds then get a margin.
         most = float(self.size.sum(1).max(initial=0)) * float(max(np.abs(lo).max(), np.abs(hi).max()))
         self.margin = most * 1e-12 if most > 2**52 else 0.0
-        self.exact = np.float64 if most < 2**52 else np.int64
-        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, vec_id), ascending
+        self.best = np.full((len(ids), k), -np.inf)
 
-    def add(self, ids: np.ndarray, cells: np.ndarray, exact: np.ndarray) -> None:
-        bottom = self.lo + cells.astype(np.int64) * self.width
+    def add(self, ids: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Query numbers, row numbers, lower and upper bounds of the rows that may be among a query's k best."""
         half = (self.width - 1) / 2
-        middle = self.signed @ (bottom + half).T
-        spread = self.size @ half
-        upper = middle + spread[:, None] + self.margin  # the lower bounds are as far below
-        k = min(self.k, len(ids))
-        own = self.ids[:, None] == ids[None, :]
-        upper[own] = -np.inf
-        lower = np.where(own, -np.inf, middle - spread[:, None] - self.margin)
-        sure = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
-        for i in range(len(self.ids)):
-            best = self.best[i]
-            least = -best[-1][0] if len(best) == self.k else -np.inf
-            reach = max(least, sure[i] if k == self.k else -np.inf)
-            cand = np.flatnonzero((upper[i] >= reach) & (upper[i] > -np.inf))
-            if not len(cand):
-                continue
-            cand = cand[np.argsort(-upper[i][cand], kind="stable")]
-            for at in range(0, len(cand), STEP):
-                some = cand[at : at + STEP]
-                if len(best) == self.k and upper[i][some[0]] < -best[-1][0]:
-                    break
-                scores = exact[some].astype(self.exact) @ self.queries[i].astype(self.exact)
-                best = sorted([*best, *zip((-scores.astype(np.int64)).tolist(), ids[some].tolist(), strict=True)])[: self.k]
-            self.best[i] = best
-
-    def result(self) -> tuple[np.ndarray, ...]:
-        rows = [(q, c, -s) for q, best in zip(self.ids.tolist(), self.best, strict=True) for s, c in best]
-        return tuple(np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else [[]] * 3))
+        middle = self.signed @ (self.lo + cells.astype(np.int64) * self.width + half).T
+        spread = (self.size @ half + self.margin)[:, None]
+        middle[self.ids[:, None] == ids[None, :]] = -np.inf
+        lower = middle - spread
+        k = self.best.shape[1]
+        some = np.partition(lower, lower.shape[1] - k, axis=1)[:, -k:] if lower.shape[1] > k else lower
+        both = np.concatenate([self.best, some], 1)
+        self.best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        q, c = np.nonzero((middle + spread >= self.best.min(1)[:, None]) & (middle > -np.inf))
+        own = spread[q, 0]
+        return q, c, middle[q, c] - own, middle[q, c] + own
