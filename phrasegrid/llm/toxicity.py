@@ -12,21 +12,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, text_slices
+from .common import crc_of, saved, text_slices
 
 #: Words of a window, and from one window's start to the next's: each word but the first few is in two.
 WINDOW, STRIDE = 48, 24
-#: At most so many labelled documents of each kind are learnt from, and windows of each.
-TOXIC_ROWS, CLEAN_ROWS, ROW_WINDOWS = 1000, 3000, 24
-#: Buckets of words and of character n-grams, their lengths in bytes, vector sizes, units each way.
-WORDS, GRAMS, LENGTHS, WIDTH, UNITS = 1 << 14, 1 << 15, (4, 6), 12, 12
+#: At most so many labelled documents of each kind are learnt from, whole, and fewer if they have more bytes than this.
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1000, 3000, 24_000_000
+#: Bytes of a word; a longer run is several words, end to end.
+LONGEST = 24
+#: Buckets and vectors of words, vectors of bytes, units each way over the bytes of a word and over the words of a window.
+WORDS, WIDTH, BYTE_WIDTH, BYTE_UNITS, UNITS = 1 << 14, 12, 8, 8, 12
 EPOCHS, STEPS, BAGS, RATE = 30, 700, 24, 6e-3  # whichever of the first two ends sooner
 #: Logit of a window without words: no evidence at all.
 NO_WORDS = -15.0
-WORD = re.compile(rb"[a-z\x80-\xff]+")
+#: Words whose inputs a worker keeps; beyond, it starts afresh.
+KEPT_WORDS = 100_000
+WORD = re.compile(rb"[^\x00-\x20\x7F]{1,%d}" % LONGEST)
+NOT_LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
 
 
 def words_of(text: str) -> list[bytes]:
+    """Runs of anything but white space, in lower case: digits and marks stay, as spellings hide behind them."""
     return WORD.findall(text.lower().encode())
 
 
@@ -36,83 +42,97 @@ def window_starts(n: int) -> np.ndarray:
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A word's bucket, all words' n-gram buckets one after the other, and which word each belongs to (ascending)."""
+    """A word's bucket, which goes by its letters if it has any; the words' bytes, padded to the longest; and their mask."""
     import xxhash
 
-    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % WORDS for w in words), np.int64, len(words))
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    flat = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8).astype(np.uint64)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    grams, owners = [], []
-    for n in LENGTHS:
-        if len(flat) < n:
-            continue
-        h = np.full(len(flat) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = (h ^ flat[k : k + len(h)]) * np.uint64(0x100000001B3)
-        keep = np.arange(len(h)) + n <= ends[: len(h)]
-        grams.append(((h >> np.uint64(20)) % np.uint64(GRAMS)).astype(np.int64)[keep])
-        owners.append(owner[: len(h)][keep])
-    grams, owners = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, owners))
-    order = np.argsort(owners, kind="stable")
-    return bucket, grams[order], owners[order]
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(NOT_LETTERS.sub(b"", w) or w) % WORDS for w in words), np.int64, len(words))
+    sizes = np.array([len(w) for w in words], np.int64)
+    mask = np.arange(max(1, int(sizes.max(initial=1)))) < sizes[:, None]
+    chars = np.zeros(mask.shape, np.int64)
+    chars[mask] = np.frombuffer(b"".join(words), np.uint8)
+    return bucket, chars, mask.astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _recur(projected: np.ndarray, ids: np.ndarray, mask: np.ndarray, u: np.ndarray, forward: bool, tape: list | None) -> np.ndarray:
+    """States [step, row, unit] of a gated recurrent layer over rows of ``projected``; where the mask is 0 a state stays."""
+    (n, steps), h = ids.shape, len(u)
+    state, states = np.zeros((n, h), u.dtype), np.empty((steps, n, h), u.dtype)
+    for t in range(steps) if forward else range(steps - 1, -1, -1):
+        g, hu = projected[ids[:, t]], state @ u
+        zr = _sigmoid(g[:, : 2 * h] + hu[:, : 2 * h])
+        z, r = zr[:, :h], zr[:, h:]
+        c = np.tanh(g[:, 2 * h :] + r * hu[:, 2 * h :])
+        m = mask[:, t, None]
+        new = state + m * (1 - z) * (c - state)
+        if tape is not None:
+            tape.append((t, state, z, r, c, hu[:, 2 * h :], m))
+        state = states[t] = new
+    return states
+
+
+def _back(tape: list, u: np.ndarray, d_states: np.ndarray, ids: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the gradient of the states that of ``projected`` (of so many rows) and of ``u``."""
+    n, h = len(ids), len(u)
+    d_u, d_state = np.zeros_like(u), np.zeros((n, h), u.dtype)
+    d_all = np.empty((ids.shape[1], n, 3 * h), u.dtype)
+    for t, before, z, r, c, hun, m in reversed(tape):
+        d_new = d_state + d_states[t]
+        d_c = d_new * m * (1 - z) * (1 - c * c)
+        d_z = -d_new * m * (c - before) * z * (1 - z)
+        d_r = d_c * hun * r * (1 - r)
+        d_all[t] = np.concatenate([d_z, d_r, d_c], 1)
+        d_hu = np.concatenate([d_z, d_r, d_c * r], 1)
+        d_u += before.T @ d_hu
+        d_state = d_new * (1 - m * (1 - z)) + d_hu @ u.T
+    return _sum_rows(d_all.reshape(-1, 3 * h), ids.T.ravel(), rows), d_u
+
+
 class Network:
-    """Window logits. Inputs: a word's own vector and the sum of its character n-grams' vectors; states of a forward and a
-    backward gated recurrent layer are pooled by softmax attention with a learnt query."""
+    """Window logits. Two levels of bidirectional gated recurrent layers: one reads the bytes of each word, the other the
+    words of a window, each as its own vector and its bytes' last states; softmax attention with a learnt query pools those
+    states."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         f = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        h, d = UNITS, 2 * WIDTH
-        self.p = {"word": f(WORDS, WIDTH, scale=0.1), "gram": f(GRAMS, WIDTH, scale=0.1), "query": f(2 * h, scale=0.5), "out": f(2 * h, scale=0.5), "bias": np.full(1, -2, np.float32)}
-        for way in "fb":
-            self.p |= {f"x{way}": f(d, 3 * h, scale=d**-0.5), f"h{way}": f(h, 3 * h, scale=h**-0.5), f"c{way}": np.zeros(3 * h, np.float32)}
-
-    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-        bucket, grams, owners = word_features(words)
-        counts = np.bincount(owners, minlength=len(words))
-        chars = np.zeros((len(words), WIDTH), np.float32)
-        has = counts > 0
-        if len(grams):
-            chars[has] = np.add.reduceat(self.p["gram"][grams], (np.cumsum(counts) - counts)[has]) / np.sqrt(counts[has])[:, None]
-        return np.concatenate([self.p["word"][bucket], chars], 1).astype(np.float32), (bucket, grams, owners, counts)
-
-    def _layer(self, projected: np.ndarray, ids: np.ndarray, mask: np.ndarray, way: str, tape: list | None) -> np.ndarray:
-        u, n, h = self.p[f"h{way}"], len(ids), UNITS
-        state, states = np.zeros((n, h), np.float32), np.empty((WINDOW, n, h), np.float32)
-        for t in range(WINDOW) if way == "f" else range(WINDOW - 1, -1, -1):
-            g, hu = projected[ids[:, t]], state @ u
-            zr = _sigmoid(g[:, : 2 * h] + hu[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(g[:, 2 * h :] + r * hu[:, 2 * h :])
-            m = mask[:, t, None]
-            new = state + m * (1 - z) * (c - state)
-            if tape is not None:
-                tape.append((t, state, z, r, c, hu[:, 2 * h :], m))
-            state = states[t] = new
-        return states
-
-    def logits(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, tape: dict | None = None) -> np.ndarray:
-        """ids [windows, WINDOW] number rows of x; mask is 0 beyond a text's end."""
+        self.p = {"word": f(WORDS, WIDTH, scale=0.1), "byte": f(256, BYTE_WIDTH, scale=0.5), "query": f(2 * UNITS, scale=0.5), "out": f(2 * UNITS, scale=0.5), "bias": np.full(1, -2, np.float32)}
+        for level, d, h in (("b", BYTE_WIDTH, BYTE_UNITS), ("w", WIDTH + 2 * BYTE_UNITS, UNITS)):
+            for way in "fb":
+                key = level + way
+                self.p |= {f"x{key}": f(d, 3 * h, scale=d**-0.5), f"h{key}": f(h, 3 * h, scale=h**-0.5), f"c{key}": np.zeros(3 * h, np.float32)}
+
+    def projected(self, x: np.ndarray, level: str, way: str) -> np.ndarray:
+        return x @ self.p[f"x{level}{way}"] + self.p[f"c{level}{way}"]
+
+    def inputs(self, words: list[bytes], tape: dict | None = None) -> np.ndarray:
+        """Each word's vector and its bytes' last state in both ways."""
+        bucket, chars, mask = word_features(words)
         ways = {w: [] for w in "fb"} if tape is not None else {"f": None, "b": None}
-        states = np.concatenate([self._layer(x @ self.p[f"x{w}"] + self.p[f"c{w}"], ids, mask, w, ways[w]) for w in "fb"], 2)
+        f, b = (_recur(self.projected(self.p["byte"], "b", w), chars, mask, self.p[f"hb{w}"], w == "f", ways[w]) for w in "fb")
+        if tape is not None:
+            tape |= {"byte-ways": ways, "bucket": bucket, "chars": chars}
+        return np.concatenate([self.p["word"][bucket], f[-1], b[0]], 1)
+
+    def logits(self, projected: dict[str, np.ndarray], ids: np.ndarray, mask: np.ndarray, tape: dict | None = None) -> np.ndarray:
+        """ids [windows, WINDOW] number rows of projected inputs; mask is 0 beyond a text's end."""
+        ways = {w: [] for w in "fb"} if tape is not None else {"f": None, "b": None}
+        states = np.concatenate([_recur(projected[w], ids, mask, self.p[f"hw{w}"], w == "f", ways[w]) for w in "fb"], 2)
         e = np.where(mask.T > 0, states @ self.p["query"], -1e9)
         a = np.exp(e - e.max(0)) * mask.T
         a = a / np.maximum(a.sum(0), 1e-9)
-        pooled = np.einsum("tn,tnh->nh", a, states)
         if tape is not None:
-            tape |= {"ways": ways, "states": states, "a": a, "pooled": pooled}
-        return pooled @ self.p["out"] + self.p["bias"][0]
+            tape |= {"ways": ways, "states": states, "a": a, "pooled": np.einsum("tn,tnh->nh", a, states)}
+        logits = np.einsum("tn,tn->n", a, states @ self.p["out"]) + self.p["bias"][0]
+        return np.where(mask[:, 0] > 0, logits, NO_WORDS)
 
-    def gradients(self, x: np.ndarray, features: tuple, ids: np.ndarray, mask: np.ndarray, tape: dict, d_logit: np.ndarray) -> dict:
-        p, h, g = self.p, UNITS, {}
+    def gradients(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, tape: dict, d_logit: np.ndarray) -> dict:
+        """Of all parameters, from those of the logits; a window without words has no say."""
+        p, g = self.p, {}
+        d_logit = d_logit * (mask[:, 0] > 0)
         a, states, pooled = tape["a"], tape["states"], tape["pooled"]
         g["bias"], g["out"] = d_logit.sum(keepdims=True), pooled.T @ d_logit
         d_pooled = d_logit[:, None] * p["out"]
@@ -121,28 +141,23 @@ class Network:
         d_states = a[:, :, None] * d_pooled + d_e[:, :, None] * p["query"]
         d_x = np.zeros_like(x)
         for k, way in enumerate("fb"):
-            u, d_u = p[f"h{way}"], np.zeros_like(p[f"h{way}"])
-            d_state = np.zeros((len(ids), h), np.float32)
-            own = d_states[:, :, k * h : (k + 1) * h]
-            d_all = np.empty((WINDOW, len(ids), 3 * h), np.float32)
-            for t, before, z, r, c, hun, m in reversed(tape["ways"][way]):
-                d_new = d_state + own[t]
-                d_c = d_new * m * (1 - z) * (1 - c * c)
-                d_z = -d_new * m * (c - before) * z * (1 - z)
-                d_r = d_c * hun * r * (1 - r)
-                d_g = np.concatenate([d_z, d_r, d_c], 1)
-                d_hu = np.concatenate([d_z, d_r, d_c * r], 1)
-                d_all[t] = d_g
-                d_u += before.T @ d_hu
-                d_state = d_new * (1 - m * (1 - z)) + d_hu @ u.T
-            d_proj = _sum_rows(d_all.reshape(-1, 3 * h), ids.T.ravel(), len(x))
-            g[f"h{way}"], g[f"c{way}"], g[f"x{way}"] = d_u, d_proj.sum(0), x.T @ d_proj
-            d_x += d_proj @ p[f"x{way}"].T
-        bucket, grams, owners, counts = features
-        g["word"] = _used_rows(d_x[:, :WIDTH], bucket)
-        g["gram"] = _used_rows((d_x[:, WIDTH:] / np.sqrt(np.maximum(counts, 1))[:, None])[owners], grams)
+            d_x += self._layer_gradients(g, "w" + way, tape["ways"][way], d_states[:, :, k * UNITS : (k + 1) * UNITS], ids, x)
+        g["word"] = _used_rows(d_x[:, :WIDTH], tape["bucket"])
+        d_byte = np.zeros_like(p["byte"])
+        for k, way in enumerate("fb"):
+            chars = tape["chars"]
+            d_last = np.zeros((chars.shape[1], len(x), BYTE_UNITS), x.dtype)
+            d_last[-1 if way == "f" else 0] = d_x[:, WIDTH + k * BYTE_UNITS : WIDTH + (k + 1) * BYTE_UNITS]
+            d_byte += self._layer_gradients(g, "b" + way, tape["byte-ways"][way], d_last, chars, p["byte"])
+        g["byte"] = d_byte
         return g
 
+    def _layer_gradients(self, g: dict, key: str, tape: list, d_states: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Adds a layer's own to ``g``; that of its inputs."""
+        d_proj, g[f"h{key}"] = _back(tape, self.p[f"h{key}"], d_states, ids, len(x))
+        g[f"c{key}"], g[f"x{key}"] = d_proj.sum(0), x.T @ d_proj
+        return d_proj @ self.p[f"x{key}"].T
+
 
 def _used_rows(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct row numbers in order, and the sum of the rows of each."""
@@ -186,6 +201,7 @@ class Model:
         self.network = Network()
         self.weights, self.constant = np.array([1.0, 0, 0]), 0.0
         self.flat: float | None = None
+        self.memo: dict[bytes, np.ndarray] = {}
 
     def fit(self, bags: list[list[list[bytes]]], toxic: np.ndarray, seed: int = 11) -> Model:
         """``bags``: documents as lists of windows of words. A toxic document needs one toxic window, a clean one has none."""
@@ -210,14 +226,14 @@ class Model:
                 local, inverse = np.unique(np.concatenate(windows) if any(map(len, windows)) else np.zeros(1, np.int64), return_inverse=True)
                 cuts = np.cumsum([len(w) for w in windows])[:-1]
                 ids, mask = _grid(np.split(inverse, cuts) if any(map(len, windows)) else windows)
-                x, features = self.network.inputs([vocabulary[i] for i in local])
                 tape: dict = {}
-                z = self.network.logits(x, ids, mask, tape).astype(np.float64)
+                x = self.network.inputs([vocabulary[i] for i in local] if vocabulary else [b""], tape)
+                z = self.network.logits(self._projected(x), ids, mask, tape).astype(np.float64)
                 total = np.repeat(np.add.reduceat(_softplus(z), starts), np.diff(np.r_[starts, len(z)]))
                 t, w = (np.repeat(v[own], np.diff(np.r_[starts, len(z)])) for v in (toxic, weight))
                 d = np.where(t, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0) * _sigmoid(z) * w / len(own)
                 step += 1
-                self._descend(self.network.gradients(x, features, ids, mask, tape, d.astype(np.float32)), moments, step, RATE * (1 - epoch / epochs))
+                self._descend(self.network.gradients(x, ids, mask, tape, d.astype(np.float32)), moments, step, RATE * (1 - epoch / epochs))
         seen = np.flatnonzero(held) if held.any() else train
         self._weigh(np.concatenate([self.evidence(bags[i]) for i in seen]), toxic[seen])
         return self
@@ -244,11 +260,27 @@ class Model:
             w -= np.linalg.solve(hess, a.T @ (p - toxic) + np.r_[0.5 * w[:3], 1e-3 * w[3]])
         self.weights, self.constant = w[:3] / scale, w[3] - (w[:3] / scale) @ mean
 
+    def _projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        return {w: self.network.projected(x, "w", w) for w in "fb"}
+
     def evidence(self, windows: list[list[bytes]]) -> np.ndarray:
         number: dict[bytes, int] = defaultdict(itertools.count().__next__)
         ids, mask = _grid([np.fromiter((number[w] for w in win), np.int64, len(win)) for win in windows])
-        x, _ = self.network.inputs(list(number) or [b""])
-        return _evidence(self.network.logits(x, ids, mask), np.zeros(1, np.int64))
+        x = self.network.inputs(list(number) or [b""])
+        logits = [self.network.logits(self._projected(x), ids[lo : lo + 1024], mask[lo : lo + 1024]) for lo in range(0, len(ids), 1024)]
+        return _evidence(np.concatenate(logits), np.zeros(1, np.int64))
+
+    def _inputs(self, words: list[bytes]) -> np.ndarray:
+        """Inputs of distinct words, those seen before from the memo."""
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > KEPT_WORDS:
+            self.memo, new = {}, words
+        fresh = [self.network.inputs(new[lo : lo + 8192]) for lo in range(0, len(new), 8192)]
+        self.memo.update(zip(new, itertools.chain.from_iterable(fresh), strict=True))
+        out = np.array([self.memo[w] for w in words]) if words else self.network.inputs([b""])
+        if len(self.memo) > KEPT_WORDS:
+            self.memo = {}
+        return out
 
     def scores(self, texts: list[str], block: int = 1024) -> np.ndarray:
         """Scores of whole texts, from all their overlapping windows."""
@@ -259,7 +291,6 @@ class Model:
         for t in texts:
             words = words_of(t)
             sequences.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        x, _ = self.network.inputs(list(number) or [b""])
         sizes = np.array([len(s) for s in sequences])
         begins = np.cumsum(sizes) - sizes
         flat = np.concatenate([*sequences, np.zeros(WINDOW, np.int32)])
@@ -269,57 +300,55 @@ class Model:
         room = np.minimum(WINDOW, sizes[of] - first)
         logits = np.empty(len(of), np.float32)
         column = np.arange(WINDOW)
-        projected = {w: x @ self.network.p[f"x{w}"] + self.network.p[f"c{w}"] for w in "fb"}
+        projected = self._projected(self._inputs(list(number)))
         for lo in range(0, len(of), block):
             own = slice(lo, lo + block)
             ids = flat[np.minimum((begins[of[own]] + first[own])[:, None] + column, len(flat) - 1)]
-            logits[own] = self._blocked(projected, ids, (column < room[own][:, None]).astype(np.float32))
+            logits[own] = self.network.logits(projected, ids, (column < room[own][:, None]).astype(np.float32))
         return _sigmoid(_evidence(logits, np.flatnonzero(np.r_[True, of[1:] != of[:-1]])) @ self.weights + self.constant)
 
-    def _blocked(self, projected: dict, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        n = self.network
-        states = np.concatenate([n._layer(projected[w], ids, mask, w, None) for w in "fb"], 2)
-        e = np.where(mask.T > 0, states @ n.p["query"], -1e9)
-        a = np.exp(e - e.max(0)) * mask.T
-        logits = np.einsum("tn,tn->n", a, states @ n.p["out"]) / np.maximum(a.sum(0), 1e-9) + n.p["bias"][0]
-        return np.where(mask[:, 0] > 0, logits, NO_WORDS)
-
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str) -> tuple[list, np.ndarray]:
-    """Windows of at most TOXIC_ROWS and CLEAN_ROWS labelled documents, first by a hash of the id, in a fixed order."""
+    """All windows of at most TOXIC_ROWS and CLEAN_ROWS labelled documents, first by a hash of the id, in a fixed order.
+
+    Documents are taken whole. Where they have more than SAMPLE_BYTES in all, the last ones are left out: each kind has half.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col) > 0).alias("toxic"))
     known = known.withColumn("at", F.xxhash64("doc_id", F.lit("sample")))
-    chosen = known.filter("toxic").orderBy("at", "doc_id").limit(TOXIC_ROWS).unionByName(known.filter("not toxic").orderBy("at", "doc_id").limit(CLEAN_ROWS))
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text, seed in zip(b.column(2), b.column(1).to_pylist(), strict=True):
-                words = words_of(text.as_py() or "")
-                starts = window_starts(len(words))
-                if len(starts) > ROW_WINDOWS:
-                    starts = np.sort(np.random.default_rng(seed % 2**63).choice(starts, ROW_WINDOWS, replace=False))
-                rows.append([b" ".join(words[a : a + WINDOW]) for a in starts.tolist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(rows, pa.list_(pa.binary())), b.column(3)], ["doc_id", "at", "windows", "toxic"])
-
-    # At most TOXIC_ROWS + CLEAN_ROWS ids are broadcast; a window has at most WINDOW words.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "at", "text", "toxic").mapInArrow(draw, "doc_id long, at long, windows array<binary>, toxic boolean").collect()
-    got = sorted(got, key=lambda r: (r["at"], r["doc_id"], r["windows"]))[: TOXIC_ROWS + CLEAN_ROWS]
-    return [[bytes(w).split() for w in r["windows"]] for r in got], np.array([r["toxic"] for r in got], bool)
+    # Only ids that documents have; of an id's rows the first. Ids alone are read for that.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    of = rows.select("row", "doc_id").join(known, "doc_id").groupBy("doc_id", "at", "toxic").agg(F.min("row").alias("row"))
+    of = saved(of, "labelled")
+    chosen = of.filter("toxic").orderBy("at", "doc_id").limit(TOXIC_ROWS).unionByName(of.filter("not toxic").orderBy("at", "doc_id").limit(CLEAN_ROWS))
+    # At most TOXIC_ROWS + CLEAN_ROWS row numbers are broadcast.
+    texts = rows.select("row", "text").join(F.broadcast(chosen), "row")
+    texts = saved(texts.withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))), "labelled-texts")
+    used, rows_left = {True: 0, False: 0}, []
+    for r in sorted(texts.select("doc_id", "at", "toxic", "size").collect(), key=lambda r: (r["at"], r["doc_id"])):
+        if used[r["toxic"]] + r["size"] <= SAMPLE_BYTES // 2 or not used[r["toxic"]]:
+            used[r["toxic"]] += r["size"] + 1
+            rows_left.append(r["doc_id"])
+    got = texts.filter(F.col("doc_id").isin(rows_left)).select("doc_id", "at", "text", "toxic").collect()
+    got = sorted(got, key=lambda r: (r["at"], r["doc_id"]))
+    bags = []
+    for r in got:
+        words = words_of(r["text"] or "")
+        bags.append([words[a : a + WINDOW] for a in window_starts(len(words)).tolist()])
+    return bags, np.array([r["toxic"] for r in got], bool)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     The network learns from labelled documents for which ``learn`` holds (a column over the id; default: crc32 of the id
-    as text, mod 5, isn't 0): at most TOXIC_ROWS toxic and CLEAN_ROWS clean ones, drawn by a hash of the id, of each at
-    most ROW_WINDOWS windows. The learning goes by documents: a toxic one needs a toxic window somewhere. Scores come from
+    as text, mod 5, isn't 0): at most TOXIC_ROWS toxic and CLEAN_ROWS clean ones, whole, drawn by a hash of the id, and of at
+    most SAMPLE_BYTES. The learning goes by documents: a toxic one needs a toxic window somewhere. Scores come from
     all overlapping windows of the whole text, and from nothing but the text: the total, mean and strongest evidence,
     weighed by logistic regression on documents that the network hasn't seen (on all, if those have few toxic ones).
 
-    Null or empty text, and text without letters, is one window without evidence: a score near 0. A null id counts as the empty text for
-    ``held_out``; null labels teach nothing, and an id labelled twice is toxic if either says so. Without labels of both
+    Null or empty text, and text of white space alone, is one window without evidence: a score near 0. A null id counts as the empty text for
+    ``held_out``; null labels teach nothing, an id labelled twice is toxic if either says so, and of rows that share an id one
+    is learnt from. ``docs`` must read the same way twice, as a stored table does. Without labels of both
     kinds every score is the share of toxic ones (0 without any). Equal texts get equal scores; repeated rows give a row
     each; an empty table gives no rows; other columns aren't read.
     """
