@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Text bytes that a Python worker handles at a time; longer single texts go alone.
 BATCH_BYTES = 8_000_000
 
@@ -19,8 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors all see."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder in ``spark.checkpoint.dir``, which driver and executors all see. Only a session in one process, as in
+    tests, may leave it unset and has a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = os.path.join(tempfile.gettempdir(), f"checkpoints-{spark.sparkContext.applicationId}")
+    return found.rstrip("/")
+
+
+def broadcastable(df: DataFrame) -> bool:
+    """Whether a stored table is small enough for Spark to broadcast it, by the size of its files."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

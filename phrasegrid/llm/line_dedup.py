@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole
+from .common import broadcastable, saved, whole
 
-#: A line on at least this many sites is boilerplate.
+#: A line on at least this many sites, in as many different texts, is boilerplate.
 MIN_SITES = 10
 #: Shorter lines ("Yes.", "Chapter 2") repeat by chance and are left alone.
 MIN_CHARS = 20
-#: A document that would lose more than this share of its characters is a copy, not a page with boilerplate around it.
-MAX_SHARE = 0.5
 #: Registers of a sketch, as a power of two: 1.6 % standard error.
 LG_REGISTERS = 12
 #: Relative distance from the threshold within which the sketch isn't trusted: over ten standard errors.
 MARGIN = 0.2
+#: Parts that a line's rows are dealt to, by site: one line may stand on a third of all pages.
+SALTS = 64
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -33,54 +33,59 @@ def _long(line: Column, min_chars: int) -> Column:
     return F.char_length(F.btrim(line, F.lit(SPACE))) >= min_chars
 
 
+def _salted(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``lines`` (key, salt, ...) with one of ``keys``. Keys small enough to broadcast meet the lines where they
+    are; more of them are dealt out once for each salt, so that a key's lines stay apart."""
+    if broadcastable(keys):
+        return lines.join(F.broadcast(keys), "key")
+    return lines.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["key", "salt"])
+
+
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Keys of the lines that stand on at least ``min_sites`` distinct sites.
+    """Keys of the lines that stand on at least ``min_sites`` distinct sites and in as many distinct texts.
 
-    A HyperLogLog sketch of sites per line key merges by aggregation, in every task first. Estimates clearly over the
-    threshold decide; those within MARGIN of it are counted exactly. A null site is no site.
+    HyperLogLog sketches of the sites and of the texts per line key merge by aggregation, in every task first. Lines whose
+    estimates are both clearly over the threshold are in, those with one clearly under it are out; the others are counted
+    exactly. A null site is no site, and its texts don't count.
     """
-    lines = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(_lines(whole(text_col))).alias("line"))
-    lines = lines.filter(_long(F.col("line"), min_chars) & F.col("site").isNotNull()).select(_key(F.col("line")).alias("key"), "site")
+    rows = docs.select(F.col(site_col).cast("string").alias("site"), F.xxhash64(whole(text_col)).alias("page"), F.explode(_lines(whole(text_col))).alias("line"))
+    lines = rows.filter(_long(F.col("line"), min_chars) & F.col("site").isNotNull()).select(_key(F.col("line")).alias("key"), F.pmod(F.xxhash64("site"), F.lit(SALTS)).alias("salt"), "site", "page")
     # Sketches are built only of keys that occur often enough; the count costs less than a sketch.
-    often = lines.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("key")
-    rows = saved(lines.join(saved(often, "often-lines"), "key").groupBy("key", F.pmod(F.xxhash64("site"), F.lit(64)).alias("salt")).agg(F.hll_sketch_agg("site", LG_REGISTERS).alias("sketch")), "sketches")
-    sites = rows.groupBy("key").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites"))
-    sites = saved(sites, "line-sites")
-    sure = sites.filter(F.col("sites") > min_sites * (1 + MARGIN)).select("key")
-    near = sites.filter(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("key")
-    exact = lines.join(near, "key").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("key")
-    return sure.unionByName(exact)
+    often = saved(lines.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("key"), "often-lines")
+    sketches = _salted(lines, often).groupBy("key", "salt").agg(F.hll_sketch_agg("site", LG_REGISTERS).alias("site"), F.hll_sketch_agg("page", LG_REGISTERS).alias("page"))
+    merged = saved(sketches, "sketches").groupBy("key").agg(*(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("site", "page")))
+    merged = saved(merged.withColumn("least", F.least("site", "page")), "line-sites")
+    sure = merged.filter(F.col("least") > min_sites * (1 + MARGIN)).select("key")
+    near = saved(merged.filter(F.col("least").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("key"), "near-lines")
+    exact = _salted(lines, near).groupBy("key").agg(F.countDistinct("site").alias("site"), F.countDistinct("page").alias("page"))
+    return sure.unionByName(exact.filter((F.col("site") >= min_sites) & (F.col("page") >= min_sites)).select("key"))
 
 
 def dedup_lines(
-    docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, site_col: str = "source", text_col: str = "text", counted: DataFrame | None = None
+    docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", text_col: str = "text", counted: DataFrame | None = None
 ) -> DataFrame:
-    """``docs`` with boilerplate lines out of ``text_col``; two columns more: lines_removed and lines_found.
+    """``docs`` with boilerplate lines out of ``text_col``, and a column more: lines_removed.
 
     A line's key is the line without ASCII white space at its ends; lines under ``min_chars`` characters are never
-    boilerplate. ``lines_found`` counts a document's boilerplate lines; all of them are removed unless their characters
-    exceed ``max_share`` of those of all its non-blank lines (as trimmed): such a document is a copy of another one as a
-    whole and stays as it is, for document deduplication to judge. Where ``counted`` has the documents without their copies,
-    sites are counted over it: copies then don't spread their own lines, and ``max_share`` can be 1.
-
-    Null text stays null with no lines found; empty texts and texts without line feeds are one line; a null site counts
-    toward no spread, but its lines are cleaned. Repeated rows are cleaned alike. Tables with columns named lines_removed
-    or lines_found get them replaced. An empty table gives no rows. ``docs`` must read the same way twice.
+    boilerplate. Boilerplate stands on ``min_sites`` sites in as many different texts, and goes from every document,
+    whatever its share of it. The same text on many sites spreads nothing: exact copies of a page keep their lines. Near
+    copies are different texts; ``counted`` may have the documents without them, and sites and texts are counted over that.
+
+    Null text stays null; empty texts and texts without line feeds are one line; a null site counts toward no spread, but
+    its lines are cleaned. Repeated rows are cleaned alike. A column named lines_removed is replaced, others are kept,
+    whatever their names. An empty table gives no rows. ``docs`` must read the same way twice.
     """
     keys = saved(spread_lines(docs if counted is None else counted, min_sites, min_chars, site_col, text_col), "boilerplate")
-    row = "__line_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    lines = numbered.select(row, F.explode(_lines(whole(text_col))).alias("line")).filter(_long(F.col("line"), min_chars))
-    hits = lines.select(row, _key(F.col("line")).alias("key")).join(keys, "key").groupBy(row).agg(F.collect_set("key").alias("__keys"))
+    # The whole row is one column beside the operator's own, so no name can clash.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_col).alias("text"))
+    lines = rows.select("row", F.posexplode(_lines(whole("text"))).alias("at", "line")).filter(_long(F.col("line"), min_chars))
+    hits = lines.select("row", "at", _key(F.col("line")).alias("key")).join(keys, "key").groupBy("row").agg(F.collect_list("at").alias("gone"))
     # The same plan at every size: the texts move once, the hits are the hashed side of each partition.
-    joined = numbered.join(saved(hits, "line-hits").hint("shuffle_hash"), row, "left")
-    is_hit = lambda x: _long(x, min_chars) & F.array_contains("__keys", _key(x))
-    size = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.char_length(F.btrim(x, F.lit(SPACE))))
-    parts = _lines(whole(text_col))
-    joined = joined.withColumn("__found", F.when(F.col("__keys").isNull(), F.array().cast("array<string>")).otherwise(F.filter(parts, is_hit)))
-    clean = (F.size("__found") > 0) & (size(F.col("__found")) <= max_share * size(parts))
-    joined = joined.withColumn("lines_found", F.size("__found").cast("long"))
-    joined = joined.withColumn("__clean", clean)
-    joined = joined.withColumn("lines_removed", F.when(F.col("__clean"), F.col("lines_found")).otherwise(F.lit(0).cast("long")))
-    text = F.when(F.col("__clean"), F.array_join(F.filter(parts, lambda x: ~is_hit(x)), "\n")).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).drop(row, "__keys", "__found", "__clean")
+    joined = rows.join(saved(hits, "line-hits").hint("shuffle_hash"), "row", "left")
+    parts = _lines(F.col("text"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
+    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(left, lambda i: p[i]), "\n"))[0]
+    joined = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    others = [F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns if c != "lines_removed"]
+    return joined.select(*others, removed.alias("lines_removed"))
