@@ -19,6 +19,8 @@ SIMILARITY = 75
 MINIMA, BITS, ROWS = 128, 4, 4
 #: Standard deviations of the estimate that a pair may lie below the threshold and still be compared in full.
 SLACK = 5
+#: Members of a bucket that one task compares with others.
+BUCKET = 2000
 #: Bits of the map whose differences bound a pair's differing shingles from below.
 BITMAP = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -214,8 +216,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
 
     Method: rows with equal sets become one class. Each class has 128 minima; bands of four give candidates. In every
     bucket the members are first compared with the bucket's least one, then, after components of those links, members
-    outside its component with all members in other components than their own: pairs inside one component can't change
-    it, and all others are compared. Both times pairs go that can't be links, because too many of their shingles occur in
+    outside its component with all members in other components than their own and of about their size: pairs inside one
+    component can't change it, and all others that may be links are compared. Both times pairs go that can't be links, because too many of their shingles occur in
     no other candidate or differ in a bitmap of hashes, or that the b-bit signatures' bit counts put far under the
     threshold; what is left is confirmed on full sets. A pair at exactly 0.75 is missed about 5 times in a million.
 
@@ -247,13 +249,19 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     found = components(edges)
     parted = members.filter("members > 2").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     parted = parted.join(found.select(F.col("node").alias("head"), F.col("component").alias("main")), "head", "left")
-    parted = parted.select("band", "rep", "head", F.coalesce("component", "rep").alias("part"), F.coalesce("main", "head").alias("main"))
+    parted = parted.select("band", "rep", "head", "members", F.coalesce("component", "rep").alias("part"), F.coalesce("main", "head").alias("main"))
     parted = parted.filter("rep != head")
     outside = saved(fit(parted.filter("part != main"), "rep", "a").filter(100 * (F.col("n_a") - F.col("private_a")) >= similarity * F.col("n_a")), "outside")
     beside = fit(parted.join(outside.select("band").distinct(), "band", "left_semi"), "rep", "b")
-    x = outside.select(F.col("band").alias("band_x"), F.col("rep").alias("x"), F.col("part").alias("part_x"), *(f"{c}_a" for c in FILTERS))
-    y = beside.select(F.col("band").alias("band_y"), F.col("rep").alias("y"), F.col("part").alias("part_y"), *(f"{c}_b" for c in FILTERS))
-    meet = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("part_x") != F.col("part_y")) & possible)
+    # Sets that are similar enough are nearly of one size, so rows meet only those of their own and the next size classes; a
+    # large bucket's are dealt to more tasks besides.
+    size_class = lambda n: F.floor(F.log(F.col(n)) / F.log(F.lit(100.001 / similarity)))
+    parts = F.ceil(F.col("members") / BUCKET)
+    x = outside.withColumn("near", F.explode(F.sequence(size_class("n_a") - 1, size_class("n_a") + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    x = x.select(F.col("band").alias("band_x"), F.col("near").alias("near_x"), F.col("salt").alias("salt_x"), F.col("rep").alias("x"), F.col("part").alias("part_x"), *(f"{c}_a" for c in FILTERS))
+    y = beside.withColumns({"near": size_class("n_b"), "salt": F.pmod(F.xxhash64("rep"), parts)})
+    y = y.select(F.col("band").alias("band_y"), F.col("near").alias("near_y"), F.col("salt").alias("salt_y"), F.col("rep").alias("y"), F.col("part").alias("part_y"), *(f"{c}_b" for c in FILTERS))
+    meet = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("near_x") == F.col("near_y")) & (F.col("salt_x") == F.col("salt_y")) & (F.col("part_x") != F.col("part_y")) & possible)
     rest = saved(meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
     edges = edges.unionByName(saved(confirmed(rest, sets, similarity), "more-links"))
     # Classes that share an id (repeated ids) meet in it, as do a class's rep and its other rows.
