@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_of, saved, text_slices
@@ -427,8 +427,9 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
     both = saved(base.mapInArrow(chunked, UNIFIED), "words-and-texts")
     texts = both.filter("texts is not null").select("chunk", "ids", "held", "sizes", "texts")
     asked = both.filter("token is not null").select("chunk", "token", "n")
-    by_token = Window.partitionBy("token")
-    known = asked.select("chunk", "token", F.sum("n").over(by_token).alias("c"), F.row_number().over(by_token.orderBy("chunk")).alias("nth"))
+    # Counts by themselves, joined back: a common word has a row in every chunk, and such a join can be split.
+    words = saved(asked.groupBy("token").agg(F.sum("n").alias("c"), F.min("chunk").alias("first")), "tokens")
+    known = asked.select("chunk", "token").join(words, "token").select("chunk", "token", "c", F.when(F.col("chunk") == F.col("first"), 1).otherwise(2).alias("nth"))
     known = saved(known.mapInArrow(_pack_counts, ANSWERS), "word-counts")
     ends = base.filter("not held_out").count()
     total = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
