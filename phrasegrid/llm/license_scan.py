@@ -70,13 +70,15 @@ def grams(words: Column) -> tuple[Column, Column]:
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """Every k-gram of every template with its position: a few hundred rows, fixed by the tables above."""
+    """Every k-gram of every template with its position and words: a few hundred rows, fixed by the tables above."""
     split = lambda s: re.findall(WORD, s.lower())
     rows = [(i, label, k, base, split(s)) for i, (s, label, k, base) in enumerate([(p, x, PHRASE_GRAM, True) for p, x in PHRASES.items()] + [(s, x, NOTICE_GRAM, False) for x, s in NOTICES.items()])]
     at = spark.createDataFrame([(i, label, k, base, len(w) - k + 1, w) for i, label, k, base, w in rows], "template int, label string, k int, base boolean, grams int, words array<string>")
     two, four = grams(F.col("words"))
-    at = at.select("template", "label", "k", "base", "grams", F.posexplode(F.when(F.col("k") == PHRASE_GRAM, two).otherwise(four)).alias("tpos", "th"))
-    marker = spark.range(1).select(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("k"), F.lit(False).alias("base"), F.lit(1).alias("grams"), F.lit(0).alias("tpos"), _marker().alias("th"))
+    at = at.select("template", "label", "k", "base", "grams", "words", F.posexplode(F.when(F.col("k") == PHRASE_GRAM, two).otherwise(four)).alias("tpos", "th"))
+    at = at.withColumn("gram", F.expr("slice(words, tpos + 1, k)")).drop("words")
+    none = F.array().cast("array<string>")
+    marker = spark.range(1).select(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("k"), F.lit(False).alias("base"), F.lit(1).alias("grams"), F.lit(0).alias("tpos"), _marker().alias("th"), none.alias("gram"))
     return at.filter("tpos < grams").unionByName(marker)
 
 
@@ -88,23 +90,25 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_notices.
 
     All rolling word k-gram hashes of a text are joined to the template positions (a fixed table of a few hundred rows,
-    which is broadcast); a document adds a marker to its k-grams so that it has a row without any hit. Hits vote for the
-    diagonal word - template position. A phrase stands where one diagonal has all its k-grams. For notices, diagonals no
+    which is broadcast); a document adds a marker to its k-grams so that it has a row without any hit. A hit counts if the
+    text's words there are the template's, and votes for the diagonal word - template position. A phrase stands where one diagonal has all its k-grams. For notices, diagonals no
     more than GAP apart are merged, since words left out or added shift the rest. Then spans are verified: an occurrence
     starts at one of the merged diagonals and takes no more of them than the notice has k-grams, so a longer chain is several
     occurrences or none, and what counts is how many different template positions it has, repeats once. One that reaches
     COVERAGE of the notice's k-grams gives the label; occurrences that don't share diagonals are counted in ``n_notices``.
-    Words are compared by the 64-bit hashes of their k-grams. ``score`` is the best coverage of any template, 1 for a phrase.
+    ``score`` is the best coverage of any template, 1 for a phrase.
 
     Null text is empty: no words, no labels, score 0. A null id stays null. Repeated rows give a row each. Labels are
     distinct and sorted, so ties don't show. An empty table gives no rows; other columns aren't read.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words_of(text_col).alias("words"))
     two, four = grams(F.col("words"))
-    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.concat(two, four, F.array(_marker())).alias("hashes"))
-    hits = rows.select("row", "doc_id", "n_words", F.posexplode("hashes").alias("at", "h"))
+    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "words", F.concat(two, four, F.array(_marker())).alias("hashes"))
+    # The words stay with their document: only a hit takes its few of them out.
+    hits = rows.select("row", "doc_id", "n_words", "words", F.posexplode("hashes").alias("at", "h"))
     hits = hits.join(F.broadcast(template_grams(docs.sparkSession)), F.col("h") == F.col("th"))
-    hits = hits.withColumn("diagonal", F.col("at") - F.when(F.col("k") == NOTICE_GRAM, F.col("n_words")).otherwise(0) - F.col("tpos"))
+    hits = hits.withColumn("word", (F.col("at") - F.when(F.col("k") == NOTICE_GRAM, F.col("n_words")).otherwise(0)).cast("int"))
+    hits = hits.filter(F.slice("words", F.col("word") + 1, F.col("k")) == F.col("gram")).withColumn("diagonal", (F.col("word") - F.col("tpos")).cast("long"))
     what = ["row", "doc_id", "n_words", "template", "label", "base", "grams"]
     votes = hits.groupBy(*what, "diagonal").agg(F.collect_list("tpos").alias("places"))
     near = Window.partitionBy("row", "template").orderBy("diagonal")

@@ -87,28 +87,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     """
     WITH l AS (
-      SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
-      FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+      SELECT doc_id, source, text, i, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+      FROM (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
     ), b AS (
-      SELECT bare FROM l WHERE length(bare) >= 20 GROUP BY bare HAVING count(DISTINCT source) >= 10
-    ), d AS (
-      SELECT doc_id, count(*) FILTER (hit) AS lines_found, coalesce(sum(length(bare)) FILTER (hit), 0) <= 0.5 * sum(length(bare)) AS clean,
-        string_agg(line, chr(10) ORDER BY i) AS before, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit), '') AS after
-      FROM (SELECT l.*, b.bare IS NOT NULL AS hit FROM l LEFT JOIN b USING (bare)) GROUP BY doc_id
+      SELECT bare FROM l WHERE length(bare) >= 20 AND source IS NOT NULL GROUP BY bare HAVING count(DISTINCT source) >= 10 AND count(DISTINCT coalesce(text, '')) >= 10
     )
-    SELECT doc_id, lines_found, CASE WHEN clean THEN lines_found ELSE 0 END AS lines_removed,
-      sha256(CASE WHEN clean AND lines_found > 0 THEN after ELSE before END) AS text_sha256 FROM d
+    SELECT doc_id, CAST(count(*) FILTER (hit) AS BIGINT) AS lines_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit), '')) AS text_sha256
+    FROM (SELECT l.*, b.bare IS NOT NULL AS hit FROM l LEFT JOIN b USING (bare)) GROUP BY doc_id
     """
 )
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     clean = dedup_lines(table(spark, sf_dir, "documents"))
-    return clean.select("doc_id", "lines_found", "lines_removed", F.sha2(whole("text"), 256).alias("text_sha256"))
+    return clean.select("doc_id", "lines_removed", F.sha2(whole("text"), 256).alias("text_sha256"))
 
 
 def _license_sql() -> str:
-    """The scan in SQL: k-grams as texts instead of hashes, joined, voted and merged alike."""
+    """The scan in SQL: k-grams as texts instead of hashes; of each place where a notice may start, the distinct template
+    positions in reach are counted by a join of the hits with themselves."""
     import re
 
     from .license_scan import COVERAGE, GAP, NOTICE_GRAM, NOTICES, PHRASE_GRAM, PHRASES, WORD
@@ -126,24 +123,35 @@ def _license_sql() -> str:
       SELECT doc_id, pos, a || ' ' || lead(a) OVER o AS two, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o AS four
       FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
     ), t(template, label, base, k, grams, tpos, gram) AS (VALUES {", ".join(rows)}),
-    hits AS (
-      SELECT doc_id, template, label, base, grams, pos - tpos AS diagonal FROM g JOIN t ON k = {PHRASE_GRAM} AND two = gram
-      UNION ALL SELECT doc_id, template, label, base, grams, pos - tpos FROM g JOIN t ON k = {NOTICE_GRAM} AND four = gram
-    ), votes AS (
-      SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > CASE WHEN base THEN 0 ELSE {GAP} END THEN 1 ELSE 0 END AS new
-      FROM (SELECT doc_id, template, label, base, grams, diagonal, count(*) AS votes FROM hits GROUP BY ALL) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)
-    ), spans AS (
-      SELECT doc_id, template, label, base, least(CAST(sum(votes) AS DOUBLE) / grams, 1.0) AS coverage, min(diagonal) AS word
-      FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM votes) GROUP BY doc_id, template, label, base, grams, span
+    hits AS MATERIALIZED (
+      SELECT doc_id, template, label, base, grams, tpos, pos - tpos AS diagonal FROM g JOIN t ON k = {PHRASE_GRAM} AND two = gram
+      UNION ALL SELECT doc_id, template, label, base, grams, tpos, pos - tpos FROM g JOIN t ON k = {NOTICE_GRAM} AND four = gram
+    ), phrases AS (
+      SELECT doc_id, label, diagonal AS word FROM hits WHERE base GROUP BY doc_id, template, label, grams, diagonal HAVING count(DISTINCT tpos) = max(grams)
+    ), steps AS (
+      SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {GAP} THEN 1 ELSE 0 END AS new
+      FROM (SELECT DISTINCT doc_id, template, label, grams, diagonal FROM hits WHERE NOT base)
+    ), chains AS (
+      SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS chain FROM steps
+    ), reach AS (
+      SELECT c.doc_id, c.template, c.label, c.grams, c.chain, c.diagonal, count(DISTINCT h.tpos) / CAST(c.grams AS DOUBLE) AS coverage
+      FROM chains c JOIN chains o ON o.doc_id = c.doc_id AND o.template = c.template AND o.chain = c.chain AND o.diagonal BETWEEN c.diagonal AND c.diagonal + c.grams
+      JOIN hits h ON h.doc_id = o.doc_id AND h.template = o.template AND h.diagonal = o.diagonal GROUP BY ALL
+    ), notices AS (
+      SELECT doc_id, label, chain, max(coverage) AS coverage,
+        list_reduce(list({{'n': CAST(1 AS BIGINT), 'at': CAST(diagonal AS BIGINT), 'grams': grams}} ORDER BY diagonal) FILTER (coverage >= {COVERAGE}),
+          lambda a, b: CASE WHEN b.at > a.at + a.grams THEN {{'n': a.n + 1, 'at': b.at, 'grams': a.grams}} ELSE a END).n AS times
+      FROM reach GROUP BY doc_id, template, label, chain
     ), d AS (
-      SELECT doc_id, count(*) FILTER (base AND coverage >= 1) AS n_base, min(word) FILTER (base AND coverage >= 1) AS first_word, max(word) FILTER (base AND coverage >= 1) AS last_word,
-        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND coverage >= 1) AS base_labels,
-        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (coverage >= CASE WHEN base THEN 1 ELSE {COVERAGE} END) AS labels,
-        max(coverage) FILTER (NOT base OR coverage >= 1) AS score, count(*) FILTER (NOT base AND coverage >= {COVERAGE}) AS n_notices
-      FROM spans GROUP BY doc_id
+      SELECT doc_id, sum(n_base) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_base > 0) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (coverage >= {COVERAGE}) AS labels, max(coverage) AS score, sum(times) AS n_notices
+      FROM (
+        SELECT doc_id, label, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, 1.0 AS coverage, 0 AS times FROM phrases GROUP BY doc_id, label
+        UNION ALL SELECT doc_id, label, 0, NULL, NULL, coverage, coalesce(times, 0) FROM notices
+      ) GROUP BY doc_id
     )
-    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-      coalesce(score, 0.0) AS score, coalesce(n_notices, 0) AS n_notices FROM w LEFT JOIN d USING (doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+      CAST(coalesce(score, 0.0) AS DOUBLE) AS score, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices FROM w LEFT JOIN d USING (doc_id)
     """
 
 
