@@ -22,7 +22,7 @@ from phrasegrid.llm.lm_score import _summed as summed
 from phrasegrid.llm.near_dedup import near_duplicates
 from phrasegrid.llm.packing import fullest, minimum_bin_slack, pack, word_bpe_coder
 from phrasegrid.llm.queries import pretokenizer, tokenizer_path
-from phrasegrid.llm.token_counts import count_tokens, document_token_counts, read_flat
+from phrasegrid.llm.token_counts import count_tokens, document_token_counts, read_flat, write_flat
 
 from .conftest import EDGES, rows_of
 
@@ -137,21 +137,19 @@ def test_components(spark):
 # --- line dedup
 
 
-def brute_lines(rows, min_sites, min_chars=20, share=0.5):
+def brute_lines(rows, min_sites, min_chars=20):
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
-    sites = collections.defaultdict(set)
+    sites, texts = collections.defaultdict(set), collections.defaultdict(set)
     for _, t, s in rows:
         for line in (t or "").split("\n"):
             if s is not None:
                 sites[strip(line)].add(s)
+                texts[strip(line)].add(t or "")
     out = []
     for i, t, _ in rows:
         lines = (t or "").split("\n")
-        hit = [len(strip(x)) >= min_chars and len(sites[strip(x)]) >= min_sites for x in lines]
-        size = lambda xs: sum(len(strip(x)) for x in xs)
-        clean = any(hit) and size(x for x, h in zip(lines, hit, strict=True) if h) <= share * size(lines)
-        text = "\n".join(x for x, h in zip(lines, hit, strict=True) if not h) if clean else t
-        out.append((i, text, sum(hit), sum(hit) if clean else 0))
+        hit = [len(strip(x)) >= min_chars and min(len(sites[strip(x)]), len(texts[strip(x)])) >= min_sites for x in lines]
+        out.append((i, "\n".join(x for x, h in zip(lines, hit, strict=True) if not h) if any(hit) else t, sum(hit)))
     return keyed(out)
 
 
@@ -167,16 +165,43 @@ def lined():
     return rows
 
 
-@pytest.mark.parametrize(("rows", "sites"), [(EDGES, 2), (lined(), 10)])
+def copies():
+    """Pages of shared lines alone, pages of one shared line and more of their own, one text on many sites."""
+    rng = random.Random(6)
+    shared = [f"this line stands on every page number {k}" for k in range(4)]
+    rows = [(i, "\n".join([*shared, str(i)] * 2), f"s{i}") for i in range(12)]
+    rows += [(20 + i, f"{prose(30, rng)}\n{shared[0]} \r\n{prose(30, rng)}", f"t{i}") for i in range(12)]
+    whole = "\n".join(prose(12, rng) for _ in range(5))
+    return rows + [(40 + i, whole, f"u{i}") for i in range(12)] + [(60, "\n".join(shared * 3000), "v")]
+
+
+@pytest.mark.parametrize(("rows", "sites"), [(EDGES, 2), (lined(), 10), (copies(), 10)])
 def test_dedup_lines(spark, rows, sites):
     got = dedup_lines(rows_of(spark, rows), min_sites=sites)
-    assert keyed(got.select("doc_id", "text", "lines_found", "lines_removed").collect()) == brute_lines(rows, sites)
+    assert keyed(got.select("doc_id", "text", "lines_removed").collect()) == brute_lines(rows, sites)
     assert set(rows_of(spark, []).columns) < set(got.columns)
 
 
+def test_dedup_lines_deals_out_keys_too_many_to_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = dedup_lines(rows_of(spark, lined()))
+        assert keyed(got.select("doc_id", "text", "lines_removed").collect()) == brute_lines(lined(), 10)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dedup_lines_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "a line that is on every site\nown " + str(i), f"s{i}", i, "k") for i in range(3)], "row long, text string, source string, `doc` long, `gone.x` string")
+    got = dedup_lines(docs, min_sites=3)
+    assert got.columns == [*docs.columns, "lines_removed"] and keyed(got.collect()) == keyed((i, f"own {i}", f"s{i}", i, "k", 1) for i in range(3))
+
+
 def test_spread_near_the_threshold_is_exact(spark):
-    rows = [(k, f"a line on exactly {n} sites of all", f"site{k}") for n in range(6, 16) for k in range(n)]
-    assert spread_lines(rows_of(spark, rows), 10).count() == 6
+    rows = [(k, f"a line on exactly {n} sites of all\n{k}", f"site{k}") for n in range(6, 16) for k in range(n)]
+    rows += [(k, f"a line on many sites in exactly {n} texts\n{k % n}", f"site{k}") for n in range(6, 16) for k in range(40)]
+    assert spread_lines(rows_of(spark, rows), 10).count() == 12
 
 
 def test_dedup_lines_of_nothing(nothing):
@@ -276,20 +301,42 @@ def test_document_token_counts(edges, nothing, reference_bpe):
     assert document_token_counts(nothing, *args).collect() == []
 
 
-@pytest.mark.parametrize("block", [1, 3, 64])
-def test_count_tokens_in_flat_files(spark, tmp_path, block):
+@pytest.mark.parametrize(("eod", "width", "block"), [(4, 2, 1), (0, 2, 64), (257, 2, 40), (0, 4, 64), (70000, 4, 5000)])
+def test_count_tokens_in_flat_files(spark, tmp_path, eod, width, block):
+    """Files of any length read by ranges that start anywhere, with ids whose bytes look like the separator's."""
     rng = np.random.default_rng(block)
     want = []
-    for k in range(3):
-        ids = rng.integers(0, 5, 400 + k).astype("<u2")
-        ids = ids if k else np.r_[ids, 4].astype("<u2")
+    for k in range(4):
+        ids = rng.choice([0, 1, 4, 256, 257, 258, 1024, eod], 700 + k).astype(f"<u{width}")
+        ids = np.r_[ids, eod].astype(f"<u{width}") if k % 2 else np.r_[ids, 257 - 256 * (eod == 257)].astype(f"<u{width}")
         ids.tofile(tmp_path / f"f{k}.bin")
-        sizes = np.diff(np.r_[-1, np.flatnonzero(ids == 4), len(ids)]) - 1
+        sizes = np.diff(np.r_[-1, np.flatnonzero(ids == eod), len(ids)]) - 1
         want += [(f"f{k}.bin", n, int(s), n < len(sizes) - 1) for n, s in enumerate(sizes) if n < len(sizes) - 1 or s]
-    got = count_tokens(read_flat(spark, str(tmp_path), block=block), 4).collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "333")
+        blocks = read_flat(spark, str(tmp_path), eod, width, block)
+        assert blocks.select("file", "split").distinct().count() > 8
+        got = count_tokens(blocks, eod, width).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert keyed((r.file.rpartition("/")[2], r.position, r.n_tokens, r.complete) for r in got) == keyed(want)
 
 
+def test_flat_files_hold_the_ids_alone(spark, tmp_path, edges, reference_bpe):
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    one = edges.coalesce(1)
+    assert write_flat(one, str(tmp_path / "flat"), path, pretokenizer(), 50256) == 2
+    want = [i for r in one.collect() for i in [*reference_bpe.encode_ordinary(r.text or ""), 50256]]
+    (file,) = (tmp_path / "flat").glob("part-*")
+    assert np.fromfile(file, "<u2").tolist() == want
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    (odd / "x").write_bytes(b"\x00\x01\x02")
+    with pytest.raises(Exception, match="whole number"):
+        count_tokens(read_flat(spark, str(odd), 9), 9).collect()
+
+
 def test_count_tokens_of_long_runs(spark, monkeypatch):
     import phrasegrid.llm.token_counts as tc
 
@@ -308,9 +355,8 @@ def test_word_bpe_is_the_library():
 
     path = tokenizer_path("word_bpe_49k.json")
     full = Tokenizer.from_file(path)
-    full.encode_special_tokens = True
     coder = word_bpe_coder(path)
-    texts = [*strange_texts(), "<|endoftext|> a <|startoftext|>b", "The quick brown fox's ½ don't"]
+    texts = [*strange_texts(), "<|endoftext|> a <|startoftext|>b", "The quick brown fox's ½ don't", "x<|endoftext|>'s\n<|ENDOFTEXT|> <|endoftext", "中<|endoftext|><|startoftext|>文 a", " <|endoftext|>"]
     for text, ids in zip(texts, coder.ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == full.encode(text, add_special_tokens=False).ids
 
@@ -319,7 +365,6 @@ def check_packing(rows, got, capacity=4096):
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    full.encode_special_tokens = True
     want = []
     for i, t, _ in rows:
         ids = np.array([*full.encode(t or "", add_special_tokens=False).ids, 1], "<u4")

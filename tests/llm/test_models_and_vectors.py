@@ -2,14 +2,16 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from phrasegrid.llm import toxicity as tox
-from phrasegrid.llm.vector_search import top_k
+from phrasegrid.llm.vector_search import approximate_candidates, top_k
 
 from .conftest import EDGES, rows_of
 
@@ -22,28 +24,86 @@ def test_gradients_are_right():
     d = np.array([0.3, -0.7, 0.2])
 
     def loss():
-        x, _ = net.inputs(words)
-        return float((net.logits(x, ids, mask) * d).sum())
+        x = net.inputs(words)
+        return float((net.logits({w: net.projected(x, "w", w) for w in "fb"}, ids, mask) * d).sum())
 
-    x, features = net.inputs(words)
     tape = {}
-    net.logits(x, ids, mask, tape)
-    got = net.gradients(x, features, ids, mask, tape, d.astype(np.float32))
-    for name in ("xf", "hb", "query", "out", "cf", "bias"):
-        at = tuple(0 for _ in net.p[name].shape)
-        before = net.p[name][at]
-        net.p[name][at] = before + 1e-3
+    x = net.inputs(words, tape)
+    net.logits({w: net.projected(x, "w", w) for w in "fb"}, ids, mask, tape)
+    got = net.gradients(x, ids, mask, tape, d)
+
+    def slope(values, at):
+        before = values[at]
+        values[at] = before + 1e-4
         up = loss()
-        net.p[name][at] = before - 1e-3
+        values[at] = before - 1e-4
         down = loss()
-        net.p[name][at] = before
-        assert abs((up - down) / 2e-3 - got[name][at]) < 2e-3, name
-    rows, g = got["gram"]
-    before = net.p["gram"][rows[0], 0]
-    net.p["gram"][rows[0], 0] = before + 1e-3
-    up = loss()
-    net.p["gram"][rows[0], 0] = before - 1e-3
-    assert abs((up - loss()) / 2e-3 - g[0, 0]) < 2e-3
+        values[at] = before
+        return (up - down) / 2e-4
+
+    for name in ("xwf", "hwb", "cwf", "xbb", "hbf", "hbb", "cbf", "query", "out", "bias"):
+        at = tuple(0 for _ in net.p[name].shape)
+        assert abs(slope(net.p[name], at) - got[name][at]) < 1e-6, name
+    letter = ord("a")
+    assert abs(slope(net.p["byte"], (letter, 0)) - got["byte"][letter, 0]) < 1e-6
+    rows, g = got["word"]
+    assert abs(slope(net.p["word"], (rows[0], 1)) - g[0, 1]) < 1e-6
+
+
+def plain_score(model, text):
+    """A text's score by loops over its windows, words and bytes, one step at a time."""
+    p, sig = model.network.p, lambda v: 1 / (1 + np.exp(-v))
+
+    def states(inputs, key):
+        u, h = p[f"h{key}"], len(p[f"h{key}"])
+        s, out = np.zeros(h), []
+        for v in inputs if key[1] == "f" else inputs[::-1]:
+            g, hu = v @ p[f"x{key}"] + p[f"c{key}"], s @ u
+            z, r = sig(g[:h] + hu[:h]), sig(g[h : 2 * h] + hu[h : 2 * h])
+            s = z * s + (1 - z) * np.tanh(g[2 * h :] + r * hu[2 * h :])
+            out.append(s)
+        return out if key[1] == "f" else out[::-1]
+
+    words = re.findall(rb"[^\x00-\x20\x7F]{1,24}", text.lower().encode())
+    vectors = []
+    for w in words:
+        chars = [p["byte"][c] for c in w]
+        core = re.sub(rb"[^a-z\x80-\xff]", b"", w) or w
+        vectors.append(np.concatenate([p["word"][xxhash.xxh3_64_intdigest(core) % tox.WORDS], states(chars, "bf")[-1], states(chars, "bb")[0]]))
+    evidence = []
+    for at in range(0, max(len(words) - 48, 0) + 24 if len(words) > 48 else 1, 24):
+        if own := vectors[at : at + 48]:
+            both = np.concatenate([states(own, "wf"), states(own, "wb")], 1)
+            e = np.exp(both @ p["query"] - max(both @ p["query"]))
+            logit = (e / e.sum()) @ (both @ p["out"]) + p["bias"][0]
+        else:
+            logit = tox.NO_WORDS
+        evidence.append(np.log1p(np.exp(logit)))
+    x = np.log(np.array([sum(evidence), np.mean(evidence), max(evidence)]) + 1e-6)
+    return sig(x @ model.weights + model.constant)
+
+
+def test_scores_are_the_plain_recursion():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefg.1!é") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 5, 47, 48, 49, 72, 73, 96, 97, 300)] + ["x" * 100, " \n", "A b\tc" * 60]
+    model = tox.Model()
+    model.weights, model.constant = np.array([0.7, 0.2, 1.1]), 0.3
+    assert np.allclose(model.scores(texts), [plain_score(model, t) for t in texts], atol=1e-5)
+    assert np.allclose(model.scores(texts[::-1])[::-1], model.scores(texts), atol=1e-5)  # the memo changes nothing
+    windows = [[words[0].encode().lower()] * 48, []]
+    both = model.evidence(windows)
+    assert np.isfinite(both).all()
+
+
+def test_training_rows_are_whole_and_bounded(spark, monkeypatch):
+    rows = [(i, f"w{i} " * (2000 if i == 3 else 100), "s") for i in range(1, 40)] + [(7, "again", "s")] * 5
+    docs, labels = rows_of(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    bags, toxic = tox.training_rows(docs, labels, F.lit(True), "doc_id", "text", "toxic")
+    assert len(bags) == 39 and toxic.sum() == 20 and max(map(len, bags)) == len(tox.window_starts(2000))
+    monkeypatch.setattr(tox, "SAMPLE_BYTES", 4000)
+    fewer, _ = tox.training_rows(docs, labels, F.lit(True), "doc_id", "text", "toxic")
+    assert 2 <= len(fewer) < 20 and all(b in bags for b in fewer)
 
 
 def test_windows_cover_all_words():
@@ -95,6 +155,7 @@ def test_top_k(spark, size):
     rng = np.random.default_rng(size)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, size) / 2 + (rng.normal(size=size) if i % 3 else 0)]) for i in range(300)]
     rows += [(300, None), (350, [None] * size), (400, [float("nan")] * size), (450, [float("inf")] * size), (None, [1.0] * size), (1, rows[5][1]), (500, [1.0] * (size + 1)), (501, [2.0] * (size + 1)), (550, [])]
+    rows += [(i, [9.0] * size) for i in range(600, 640)] + [(600, [9.0] * size)] * 9  # a common vector, and an id many times
     table = spark.createDataFrame([(i, v, 1, 1) for i, v in rows], "vec_id long, embedding array<double>, score int, rank int")
     usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
@@ -107,6 +168,22 @@ def test_top_k(spark, size):
     assert top_k(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_few_exact_vectors_are_read(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(rng.normal(size=(4000, 32)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors, candidates = approximate_candidates(table, F.col("vec_id") % 50 == 0, 5, "vec_id", "embedding", 4096)
+    assert "cells" not in vectors.columns and candidates.count() < 80 * 4000 / 20
+    assert top_k(table, F.col("vec_id") % 50 == 0, scale=4096).count() == 400
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    table = spark.createDataFrame([(0, [1e6]), (1, [1e17])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k(table, F.col("vec_id") == 0)
+    assert top_k(table.filter("vec_id = 0").union(spark.createDataFrame([(1, [-1e6])], table.schema)), F.col("vec_id") == 0).first().score == -((256 * 10**6) ** 2)
+
+
 def test_pipeline_stages(spark, tmp_path, labelled, monkeypatch):
     monkeypatch.setattr(tox, "EPOCHS", 12)
     rows, labels = labelled
