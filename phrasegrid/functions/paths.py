@@ -66,8 +66,8 @@ def glob_regex(pattern: str) -> tuple[str, bool]:
     ``!`` or ``^`` for its complement; ``\\c`` anywhere ignores case; another ``\\x`` is x itself. An empty pattern
     matches everything.
     """
-    case = "\\c" not in re.sub(r"\\[^c]", "", pattern)
-    if not pattern.replace("\\c", ""):
+    case = glob_parts(pattern)[1]
+    if glob_parts(pattern)[0] == [""]:
         return ".*", case
     out, i, start = [], 0, True
     while i < len(pattern):
@@ -107,6 +107,13 @@ def glob_regex(pattern: str) -> tuple[str, bool]:
     return "^" + "".join(out) + "$", case
 
 
+def glob_parts(pattern: str) -> tuple[list[str], bool]:
+    """A glob's parts between slashes, without marks for case, and whether case counts."""
+    marks = re.compile(r"\\(.)", re.DOTALL)
+    bare = marks.sub(lambda m: "" if m[1] == "c" else m[0], pattern)
+    return bare.split("/"), "c" not in marks.findall(pattern)
+
+
 def glob_match(path: Column, pattern: str) -> Column:
     regex, case = glob_regex(pattern)
     return path.rlike(regex if case else "(?i)" + regex)
@@ -114,29 +121,29 @@ def glob_match(path: Column, pattern: str) -> Column:
 
 def _dates() -> list[tuple[str, str, str, str]]:
     """Patterns of dates in names: (regular expression, year, month, day group), in order of preference."""
-    short = "|".join(m[:3] for m in MONTHS)
-    full = "|".join(MONTHS)
-    gap = "[^A-Za-z0-9]?"
-    number = (r"(\d{4})[^\d]?([01]\d)[^\d]?([0-3]\d)", "1", "2", "3")
-    named = [(rf"([0-3]\d){gap}({names}){gap}(\d{{4}})", "3", "2", "1") for names in (short, full)]
-    named += [(rf"(\d{{4}}){gap}({names}){gap}([0-3]\d)", "1", "2", "3") for names in (short, full)]
-    return [number, *named]
+    year, month, day = r"(\d{4})", r"([01]\d)", r"([0-3]\d)"
+    end, sep, gap = r"(?:$|\D)", r"\D", "[^A-Za-z0-9]?"
+    out = [(year + sep + month + sep + day + end, "1", "2", "3")]
+    for names in ("|".join(m[:3] for m in MONTHS), "|".join(MONTHS)):
+        out.append((f"{day}{gap}({names}){gap}{year}{end}", "3", "2", "1"))
+        out.append((f"{year}{gap}({names}){gap}{day}{end}", "1", "2", "3"))
+    return [*out, (year + month + day, "1", "2", "3")]
 
 
 def path_date(path: Column) -> Column:
     """The date in a path: the match that starts furthest right, the earlier pattern of equals; null if it isn't a date.
 
-    Forms: yyyy mm dd with at most one other character between (no digit), dd month yyyy and yyyy month dd with a month's
-    name or its first three letters.
+    Forms: yyyy mm dd with one other character (no digit) at both places, dd month yyyy and yyyy month dd with a month's name
+    or its first three letters and at most one such character at each, and yyyymmdd. No digit may stand before a date, nor
+    after one of the first kinds. Of one pattern, a date at the very start goes before others.
     """
     found = []
     for i, (regex, y, m, d) in enumerate(_dates()):
-        whole = rf"(?i)^(.*){regex}"
+        whole = rf"(?is)(^|.*\D){regex}"
         groups = [F.regexp_extract(path, whole, int(g) + 1) for g in (y, m, d)]
-        month = groups[1]
-        if i:
-            first = F.substring(F.lower(month), 1, 3)
-            month = F.lpad(F.array_position(F.array(*(F.lit(x[:3]) for x in MONTHS)), first).cast("string"), 2, "0")
+        month = F.lower(F.substring(groups[1], 1, 3))
+        number = F.array_position(F.array(*(F.lit(x[:3]) for x in MONTHS)), month).cast("string")
+        month = F.when(month.rlike("[a-z]"), F.lpad(number, 2, "0")).otherwise(month)
         start = F.when(path.rlike(whole), F.char_length(F.regexp_extract(path, whole, 1)))
         found.append(F.struct(start.alias("start"), F.lit(-i).alias("order"), F.concat(groups[0], F.lit("-"), month, F.lit("-"), groups[2]).alias("text")))
     best = F.array_max(F.filter(F.array(*found), lambda x: x["start"].isNotNull()))

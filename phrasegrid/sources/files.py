@@ -27,11 +27,7 @@ def walk(root: str, params: Params = DEFAULTS, depth: int = 0) -> Iterator[str]:
     if os.path.isfile(root):
         yield root
     elif os.path.isdir(root):
-        try:
-            names = sorted(os.listdir(root))
-        except OSError:
-            return
-        for n in names:
+        for n in _names(root):
             yield from walk(os.path.join(root, n), params, depth + 1)
 
 
@@ -64,19 +60,38 @@ def collect(
             if f == p or ext in multi | single:
                 found[f] = "single" if ext in single else "multi"
     for pattern, mode in [*((g, "multi") for g in globs), *((g, "single") for g in single_line_globs)]:
-        for f in _glob(full(pattern), params):
+        for f in _glob(pattern, params, cwd):
             found[f] = "single" if mode == "single" or P.py_extension(f) in single else found.get(f, "multi")
     drop = {e for x in excluded for e in {"pdf": P.PDF, "convertible": P.CONVERTIBLE}[x]}
     return sorted((f, "single" if single_line else m) for f, m in found.items() if P.py_extension(f) not in drop)
 
 
-def _glob(pattern: str, params: Params) -> Iterator[str]:
-    regex, case = P.glob_regex(pattern)
-    fits = re.compile(regex if case else "(?i)" + regex)
-    root = "/" + "/".join(x for x in re.split(r"[*?\[\\]", pattern)[0].split("/")[:-1] if x)
-    root = root if case else "/"
-    open_ = Params(max_depth=params.max_depth, scan_hidden=True)
-    return (f for f in walk(root, open_) if fits.fullmatch(f))
+def _glob(pattern: str, params: Params, cwd: str) -> Iterator[str]:
+    """Files that fit a glob, found part by part: only folders that fit so far are read. From ``**`` on, what is below such
+    a folder (no deeper than asked) is compared with the rest of the pattern."""
+    parts, case = P.glob_parts(pattern)
+    at = ["/"] if pattern.startswith("/") else [cwd]
+    compiled = lambda glob: re.compile(P.glob_regex(glob)[0], re.DOTALL if case else re.DOTALL | re.IGNORECASE)
+    for i, part in enumerate(parts):
+        if part in ("", "."):
+            at = [d for d in at if os.path.isdir(d)]
+        elif part == "..":
+            at = sorted({os.path.dirname(d) for d in at if os.path.isdir(d)})
+        elif part == "**":
+            fits = compiled("/".join(parts[i:]))
+            open_ = Params(max_depth=params.max_depth, scan_hidden=True)
+            return (f for d in at if os.path.isdir(d) for f in walk(d, open_) if fits.fullmatch(os.path.relpath(f, d)))
+        else:
+            fits = compiled(part)
+            at = [os.path.join(d, n) for d in at if os.path.isdir(d) for n in _names(d) if fits.fullmatch(n)]
+    return (f for f in at if os.path.isfile(f))
+
+
+def _names(folder: str) -> list[str]:
+    try:
+        return sorted(os.listdir(folder))
+    except OSError:
+        return []
 
 
 def paths_from(spark: SparkSession, files: Iterable[str]) -> list[str]:
@@ -87,17 +102,33 @@ def paths_from(spark: SparkSession, files: Iterable[str]) -> list[str]:
     return [x for x in out if x.strip()]
 
 
-def read_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """Documents (path, search_mode, text, mod_time, format) of collected files; bytes that aren't UTF-8 become U+FFFD."""
-    modes = spark.createDataFrame(files, "path string, search_mode string")
+RAW = "path string, search_mode string, content binary, doc_hash string, mod_time timestamp, format string"
+
+
+def raw_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """(path, search_mode, content, doc_hash, mod_time, format) of collected files; the hash is of the bytes."""
     if not files:
-        return modes.selectExpr("path", "search_mode", "cast(null as string) as text", "cast(null as timestamp) as mod_time", "cast(null as string) as format")
-    raw = spark.read.format("binaryFile").load([f for f, _ in files])
+        return spark.createDataFrame([], RAW)
+    modes = spark.createDataFrame(files, "path string, search_mode string")
+    plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", f) for f, _ in files]  # names, not patterns
+    raw = spark.read.format("binaryFile").load(plain)
     raw = raw.select(F.regexp_replace("path", "^[a-z0-9+.-]+:(//[^/]*)?(?=/)", "").alias("path"), "content", F.col("modificationTime").alias("mod_time"))
-    rows = raw.join(modes, "path").withColumn("format", P.file_format(F.col("path")))
-    plain = rows.filter(F.col("format").isin("text", "other")).withColumn("text", F.expr("decode(content, 'UTF-8')"))
-    other = rows.filter(~F.col("format").isin("text", "other")).select("path", "search_mode", "content", "mod_time", "format").mapInPandas(convert, "path string, search_mode string, text string, mod_time timestamp, format string")
-    return plain.select("path", "search_mode", "text", "mod_time", "format").unionByName(other)
+    rows = raw.join(modes, "path")
+    return rows.select("path", "search_mode", "content", F.sha2("content", 512).alias("doc_hash"), "mod_time", P.file_format(F.col("path")).alias("format"))
+
+
+def texts_of(raw: DataFrame) -> DataFrame:
+    """``raw`` with the text of each file in place of its bytes; bytes that aren't UTF-8 become U+FFFD."""
+    columns = ["path", "search_mode", "text", "doc_hash", "mod_time", "format"]
+    is_text = F.col("format").isin("text", "other")
+    plain = raw.filter(is_text).withColumn("text", F.expr("decode(content, 'UTF-8')")).select(*columns)
+    other = raw.filter(~is_text).mapInPandas(convert, "path string, search_mode string, text string, doc_hash string, mod_time timestamp, format string")
+    return plain.unionByName(other)
+
+
+def read_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """Documents (path, search_mode, text, doc_hash, mod_time, format) of collected files."""
+    return texts_of(raw_files(spark, files))
 
 
 def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +136,7 @@ def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         b = b.copy()
         b["text"] = [_extract(p, bytes(c)) for p, c in zip(b["path"], b["content"], strict=True)]
-        yield b[["path", "search_mode", "text", "mod_time", "format"]]
+        yield b[["path", "search_mode", "text", "doc_hash", "mod_time", "format"]]
 
 
 def _extract(path: str, content: bytes) -> str:
@@ -148,7 +179,9 @@ def html_text(html: str) -> str:
 
 
 def read_stdin(spark: SparkSession, single_line: bool = False) -> DataFrame:
-    return from_texts(spark, [("<stdin>", sys.stdin.read())], "single" if single_line else "multi")
+    """Standard input as one document."""
+    docs = from_texts(spark, [("<stdin>", sys.stdin.read())], "single" if single_line else "multi")
+    return docs.withColumns({"doc_hash": F.sha2("text", 512), "mod_time": F.current_timestamp(), "format": F.lit("text")})
 
 
 def from_texts(spark: SparkSession, rows: list[tuple[str, str]], mode: str = "multi") -> DataFrame:

@@ -32,7 +32,8 @@ def test_glob(spark, glob, path, fits):
     ("path", "expected"),
     [
         ("/x/2023-04-05.txt", "2023-04-05"), ("/x/20230405x", "2023-04-05"), ("/2020-01-01/2023 04 05", "2023-04-05"), ("/a 5 mar 2021", None), ("/a 05 mar 2021", "2021-03-05"),
-        ("/2021-December-09.md", "2021-12-09"), ("/2021_02_30", None), ("/none", None),
+        ("/2021-December-09.md", "2021-12-09"), ("/2021_02_30", None), ("/none", None), ("/12021-01-02", None), ("/2021-01-021", None), ("/2021-0102", None), ("/202101-02", None), ("/20210102345", "2021-01-02"),
+        ("/x01feb2020y", "2020-02-01"), ("/01feb20203", None), ("/101feb2020", None), ("2019-05-06/2020-07-08", "2019-05-06"), ("/2019-05-06 20200708", "2020-07-08"),
     ],
 )
 def test_path_date(spark, path, expected):
@@ -75,6 +76,10 @@ def test_read_files(spark, tmp_path):
     assert rows["a.txt"].text == "one\ntwo" and rows["a.txt"].search_mode == "multi"
     assert "Hello" in rows["p.html"].text and "script" not in rows["p.html"].text
     assert files.read_files(spark, []).count() == 0
+    odd = "odd [1]{2},*?.txt"
+    (tmp_path / odd).write_text("odd")
+    (found,) = files.read_files(spark, files.collect([str(tmp_path / odd)])).collect()
+    assert (os.path.basename(found.path), found.text) == (odd, "odd")
 
 
 def test_config(tmp_path):
