@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,10 +37,14 @@ def py_tokens(s: str) -> list[str]:
     return _PY_TOKEN.findall(re.sub("[\x00-\x1f\x7f�]", " ", s))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lines(text: Column) -> Column:
     """Lines of a text; none of an empty one, and no empty one after a final line feed."""
-    parts = F.split(text, "\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, "\r?\n", -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def is_space(w: str) -> bool:
@@ -69,4 +74,6 @@ def matches(kind: str, s: str, w: Column, wci: Column, max_edits: int = 2) -> Co
         side, own = (wci, ci) if s == ci else (w, s)
         fit = {"exact": side == own, "prefix": side.startswith(own), "suffix": side.endswith(own)}[kind]
     plain = F.substring(w, 1, 1) < F.lit("\x80")
-    return (w != "") & F.when(plain, fit).otherwise(w == s)
+    out = (w != "") & F.when(plain, fit).otherwise(w == s)
+    # Implied by the above, and a condition that a sorted table can be searched by.
+    return out & (wci == ci) if kind == "exact" else out & wci.startswith(ci) if kind == "prefix" else out

@@ -1,8 +1,9 @@
-"""The positional index: documents to tables of tokens, lines, pages, words, postings, brackets and links."""
+"""The positional index: documents to tables of lines with their tokens, positions, words, postings, brackets and links."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,15 +11,20 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import links as L
 from .rank import placed
+from .store import children, present, remove
+
+#: Stored tables; docs is written last, and a batch counts once its documents are there.
+TABLES = ("lines", "positions", "words", "links", "docs")
 
 
 @dataclass(frozen=True)
 class Index:
     """Tables of an indexed corpus.
 
-    docs: path, search_mode, doc_id, doc_hash, title, n_lines, n_tokens; positions: doc_id, pos, line, word; lines: doc_id,
-    line, start_pos, end_pos, page, line_in_page, text, nonspace; words: word, word_ci, word_len; links: doc_id, start_pos,
-    end_pos, typ, link. ``doc_id`` numbers contents: equal contents share one.
+    docs: path, search_mode, doc_id, doc_hash, title and what else the documents have (format, mod_time, last_used);
+    lines: doc_id, line, start_pos, end_pos, page, line_in_page, nonspace, tokens; positions: doc_id, pos, line, word;
+    words: word, word_ci, word_len; links: doc_id, start_pos, end_pos, typ, link. Everything but docs is made from lines,
+    the one table that texts are tokenized for. ``doc_id`` numbers contents: equal contents share one.
     """
 
     docs: DataFrame
@@ -27,13 +33,46 @@ class Index:
     words: DataFrame
     links: DataFrame
 
+    @staticmethod
+    def of(docs: DataFrame, lines: DataFrame) -> Index:
+        return Index(docs, position_rows(lines), lines, word_rows(lines), L.link_rows(lines))
+
     def write(self, path: str, mode: str = "overwrite") -> None:
-        for f in fields(self):
-            getattr(self, f.name).write.mode(mode).parquet(f"{path}/{f.name}")
+        """Stores the index at ``path``, in place of one that is there or (``append``) beside its batches.
+
+        Lines are written first and the rest is made from them as stored, so texts are read and tokenized once. Positions are
+        sorted by word across files and words by lower case, so that a look-up reads the pages of the files that have its
+        words; a word with many places is spread over files by document. Batches are folders; one without documents, as an
+        interrupted run leaves, is never read and goes with the next write.
+        """
+        spark = self.docs.sparkSession
+        old = committed(spark, path)
+        batch = uuid.uuid4().hex
+        at = lambda name: f"{path}/{name}/batch={batch}"
+        self.lines.write.parquet(at("lines"))
+        lines = spark.read.schema(self.lines.schema).parquet(at("lines"))
+        derived = Index.of(self.docs, lines)
+        order = ["word", "doc_id", "pos"]
+        derived.positions.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(at("positions"))
+        words = derived.words
+        if mode == "append" and old:
+            words = words.join(Index.read(spark, path).words.select("word"), "word", "left_anti")
+        words.repartitionByRange("word_ci", "word").sortWithinPartitions("word_ci", "word").write.parquet(at("words"))
+        derived.links.write.parquet(at("links"))
+        self.docs.write.parquet(at("docs"))
+        for name in reversed(TABLES):
+            for other in children(spark, f"{path}/{name}"):
+                if other != f"batch={batch}" and (mode == "overwrite" or other.removeprefix("batch=") not in old):
+                    remove(spark, f"{path}/{name}/{other}")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(Index)))
+        """The batches at ``path`` that are complete."""
+        batches = committed(spark, path)
+        if not batches:
+            raise ValueError(f"no index at {path}")
+        table = lambda name: spark.read.parquet(*(f"{path}/{name}/batch={b}" for b in batches))
+        return Index(*(table(name) for name in ("docs", "positions", "lines", "words", "links")))
 
     def postings(self) -> DataFrame:
         return self.positions.select("word", "doc_id").distinct()
@@ -46,80 +85,122 @@ class Index:
 
     def line_text(self) -> DataFrame:
         """Lines put together from their tokens again."""
-        grouped = self.positions.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("t"))
-        return grouped.select("doc_id", "line", F.array_join(F.col("t.word"), "").alias("line_text"))
+        return self.lines.select("doc_id", "line", F.array_join("tokens", "").alias("line_text"))
 
     def brackets(self) -> DataFrame:
         return bracket_pairs(self.positions)
 
     def words_between(self, doc_id: Column | int, lo: int, hi: int) -> DataFrame:
-        return self.positions.filter((F.col("doc_id") == doc_id) & F.col("pos").between(lo, hi))
+        near = self.lines.filter((F.col("doc_id") == doc_id) & (F.col("start_pos") <= hi) & (F.col("end_pos") >= lo))
+        return position_rows(near).filter(F.col("pos").between(lo, hi))
+
+    def locations(self, at: DataFrame) -> DataFrame:
+        """``at`` (doc_id, pos) with line, pos_in_line, page and line_in_page."""
+        own = self.lines.select(F.col("doc_id").alias("d"), "line", "start_pos", "end_pos", "page", "line_in_page")
+        rows = at.join(own, (F.col("doc_id") == F.col("d")) & F.col("pos").between(F.col("start_pos"), F.col("end_pos")))
+        return rows.withColumn("pos_in_line", F.col("pos") - F.col("start_pos")).drop("d", "start_pos", "end_pos")
 
     def word_frequency(self, top: int | None = None) -> DataFrame:
         counts = self.positions.filter("word != ''").groupBy(T.ascii_lower(F.col("word")).alias("word_ci")).agg(F.count("*").alias("n"))
         return counts if top is None else counts.orderBy(F.desc("n"), "word_ci").limit(top)
 
 
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Batches of a stored index whose documents have been written, by name."""
+    return sorted(b.removeprefix("batch=") for b in children(spark, f"{path}/docs") if b.startswith("batch=") and present(spark, f"{path}/docs/{b}/_SUCCESS"))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 512)
 
 
-def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paged: bool = False) -> DataFrame:
-    """(doc_id, pos, line, page, line_in_page, word): all tokens in order, numbered without a shuffle or a window.
+def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paged: bool | Column = False) -> DataFrame:
+    """(doc_id, line, start_pos, end_pos, page, line_in_page, nonspace, tokens): lines in order, without a shuffle or a window.
 
-    A line without tokens has one empty word; a text without lines is one such line. Pages are parted by form feeds.
+    Each line is tokenized once. Positions run through the document: its lines' tokens are laid end to end, and the place of
+    each line's first one is its start. A line without tokens has one empty word; a text without lines is one such line.
+    Where ``paged``, pages are parted by form feeds.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    pages = F.split(text, "\f", -1) if paged else F.array(text)
-    word = lambda page, i: lambda line, j: F.transform(
-        F.when(F.size(T.tokens(line)) > 0, T.tokens(line)).otherwise(F.array(F.lit(""))),
-        lambda w: F.struct(i.alias("page"), j.alias("line_in_page"), w.alias("word")),
-    )
-    full = lambda ls: F.when(F.size(ls) > 0, ls).otherwise(F.array(F.lit("")))
-    of_page = lambda page, i: F.flatten(F.transform(full(T.lines(page)), word(page, i)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.flatten(F.transform(pages, of_page))).alias("pos", "t"))
-    rows = rows.select("doc_id", "pos", F.col("t.page").alias("page"), F.col("t.line_in_page").alias("line_in_page"), F.col("t.word").alias("word"))
-    if not paged:
-        return rows.withColumn("line", F.col("line_in_page"))
-    new = Window.partitionBy("doc_id").orderBy("pos")
-    first = (F.lag("page").over(new) != F.col("page")) | (F.lag("line_in_page").over(new) != F.col("line_in_page"))
-    return rows.withColumn("new", F.coalesce(first.cast("int"), F.lit(0))).withColumn("line", F.sum("new").over(new).cast("int")).drop("new")
-
-
-def line_rows(positions: DataFrame) -> DataFrame:
-    return positions.groupBy("doc_id", "line").agg(
-        F.min("pos").alias("start_pos"),
-        F.max("pos").alias("end_pos"),
-        F.first("page").alias("page"),
-        F.first("line_in_page").alias("line_in_page"),
-        F.count(F.when((F.col("word") != "") & ~F.col("word").startswith(" "), 1)).alias("nonspace"),
+    flag = F.lit(paged) if isinstance(paged, bool) else F.coalesce(paged, F.lit(False))
+    pages = F.array(text) if paged is False else F.when(flag, F.split(text, "\f", -1)).otherwise(F.array(text))
+    some = lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.array(F.lit("")))
+    tokens = lambda page: F.transform(F.transform(T.let(T.lines(page), some), T.tokens), some)
+    row = lambda p: lambda ts, i: F.struct(p.alias("page"), i.alias("line_in_page"), ts.alias("tokens"))
+    lines = F.flatten(F.transform(F.transform(pages, tokens), lambda page, p: F.transform(page, row(p))))
+    first = lambda x, line: lambda _, j: F.when(j == 0, F.struct(line.alias("line"), x.alias("x")))
+    starts = F.flatten(F.transform(lines, lambda x, line: F.transform(x["tokens"], first(x, line))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(starts).alias("start_pos", "s")).filter("s is not null")
+    words = F.col("s.x.tokens")
+    return rows.select(
+        "doc_id",
+        F.col("s.line").alias("line"),
+        "start_pos",
+        (F.col("start_pos") + F.size(words) - 1).alias("end_pos"),
+        F.col("s.x.page").alias("page"),
+        F.col("s.x.line_in_page").alias("line_in_page"),
+        F.size(F.filter(words, lambda w: (w != "") & ~w.startswith(" "))).cast("long").alias("nonspace"),
+        words.alias("tokens"),
     )
 
 
-def word_rows(positions: DataFrame) -> DataFrame:
-    return positions.select("word").distinct().select("word", T.ascii_lower(F.col("word")).alias("word_ci"), T.size(F.col("word")).alias("word_len"))
+def position_rows(lines: DataFrame) -> DataFrame:
+    """(doc_id, pos, line, word) of lines with their tokens."""
+    at = lines.select("doc_id", "line", "start_pos", F.posexplode("tokens").alias("nth", "word"))
+    return at.select("doc_id", (F.col("start_pos") + F.col("nth")).alias("pos"), "line", "word")
+
+
+def word_rows(lines: DataFrame) -> DataFrame:
+    words = lines.select(F.explode(F.array_distinct("tokens")).alias("word")).distinct()
+    return words.select("word", T.ascii_lower(F.col("word")).alias("word_ci"), T.size(F.col("word")).alias("word_len"))
+
+
+def with_hash(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hash of their content, unless they have one (as files do, of their bytes)."""
+    return docs if "doc_hash" in docs.columns else docs.withColumn("doc_hash", content_hash(F.coalesce("text", F.lit(""))))
 
 
-def build(docs: DataFrame, paged: bool = False) -> Index:
-    """``docs`` has path, text and optionally search_mode (multi or single). Rows of equal text share a doc_id and are
-    indexed once; if a doc_id is given, it tells the rows apart."""
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+def build(docs: DataFrame, paged: bool = False, first_id: int = 1) -> Index:
+    """``docs`` has path, text and optionally search_mode (multi or single), format (pdf texts are paged) and doc_hash.
+
+    Rows of equal content share a doc_id and are indexed once: contents are numbered from ``first_id`` in the order of their
+    hashes, so no two share a number. If a doc_id is given, it tells the rows apart instead.
+    """
+    docs = with_hash(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     if "search_mode" not in docs.columns:
         docs = docs.withColumn("search_mode", F.lit("multi"))
-    docs = docs.withColumn("doc_hash", content_hash(F.col("text")))
+    pages = (F.col("format") == "pdf") if "format" in docs.columns and not paged else paged
     texts = docs
     if "doc_id" not in docs.columns:
-        docs = docs.withColumn("doc_id", F.xxhash64("doc_hash"))
-        texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
-    positions = token_rows(texts, paged=paged)
-    first = F.try_element_at(T.lines(F.element_at(F.split("text", "\f", -1), 1) if paged else F.col("text")), F.lit(1))
-    heads = docs.select("path", "search_mode", "doc_id", "doc_hash", T.sanitize(first).alias("title"), *[c for c in ("mod_time", "last_used") if c in docs.columns])
-    return Index(heads, positions.select("doc_id", "pos", "line", "word"), line_rows(positions), word_rows(positions), L.link_rows(texts, paged))
+        ids = placed(docs.select("doc_hash").distinct(), [F.col("doc_hash")], "doc_id").withColumn("doc_id", F.col("doc_id") + (first_id - 1))
+        docs = docs.join(ids, "doc_hash")
+        texts = docs.dropDuplicates(["doc_hash"])
+    page = F.element_at(F.split("text", "\f", -1), 1)
+    head = F.col("text") if pages is False else page if pages is True else F.when(pages, page).otherwise(F.col("text"))
+    title = T.sanitize(F.try_element_at(T.lines(head), F.lit(1)))
+    heads = docs.select("path", "search_mode", "doc_id", "doc_hash", title.alias("title"), *[c for c in ("format", "mod_time", "last_used") if c in docs.columns])
+    return Index.of(heads, line_rows(texts, paged=pages))
 
 
 def new_documents(docs: DataFrame, indexed: DataFrame) -> DataFrame:
     """Those of ``docs`` whose content isn't indexed yet."""
-    return docs.withColumn("doc_hash", content_hash(F.coalesce("text", F.lit("")))).join(indexed.select("doc_hash").distinct(), "doc_hash", "left_anti")
+    return with_hash(docs).join(indexed.select("doc_hash").distinct(), "doc_hash", "left_anti")
+
+
+def append(docs: DataFrame, path: str, paged: bool = False) -> None:
+    """Indexes the documents whose content isn't in the index at ``path`` and adds them as one batch, or makes the index.
+
+    Running it again adds nothing, and after a crash it starts the batch anew: a batch counts only when its documents have
+    been written, which is last. Words that are there aren't added again. One writer at a time.
+    """
+    spark = docs.sparkSession
+    fresh, first = with_hash(docs), 1
+    if committed(spark, path):
+        known = Index.read(spark, path).docs
+        fresh, first = new_documents(docs, known), (known.agg(F.max("doc_id")).first()[0] or 0) + 1
+    fresh = fresh.dropDuplicates(["doc_hash"])
+    if not fresh.isEmpty() or first == 1:
+        build(fresh, paged, first).write(path, "append")
 
 
 def least_recently_used(docs: DataFrame, keep: int, used_col: str = "last_used") -> DataFrame:
@@ -128,9 +209,21 @@ def least_recently_used(docs: DataFrame, keep: int, used_col: str = "last_used")
     return rows.filter(F.col("place") > keep).select("doc_id")
 
 
+def touch(spark: SparkSession, path: str, hashes: DataFrame) -> None:
+    """Notes that the contents with these hashes (doc_hash) are used now, in a log beside the index at ``path``."""
+    hashes.select("doc_hash").distinct().withColumn("last_used", F.current_timestamp()).write.mode("append").parquet(f"{path}/used")
+
+
+def last_used(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_hash, last_used) of what has been used."""
+    if not present(spark, f"{path}/used"):
+        return spark.createDataFrame([], "doc_hash string, last_used timestamp")
+    return spark.read.parquet(f"{path}/used").groupBy("doc_hash").agg(F.max("last_used").alias("last_used"))
+
+
 def prune(index: Index, keep: int) -> Index:
     """The index without its least recently used documents, links included."""
-    gone = least_recently_used(index.docs, keep)
+    gone = least_recently_used(index.docs.groupBy("doc_id").agg(F.max("last_used").alias("last_used")), keep)
     docs, positions, lines, links = (df.join(gone, "doc_id", "left_anti") for df in (index.docs, index.positions, index.lines, index.links))
     return Index(docs, positions, lines, index.words, links)
 

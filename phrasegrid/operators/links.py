@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 #: What ends a link, besides spaces and the end of the line.
-STOPS = ["", "]", ")", "|", '"', "<", ">", "{", "}", "^", "`"]
+STOPS = ["", "]", ")", "|", '"', "<", ">", "{", "}", "^", "\\"]
 SCHEMES = ["http", "https", "file"]
 FOUND = "array<struct<typ:string,first:int,last:int>>"
 
@@ -51,35 +53,79 @@ def _fold(tokens: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), zero, step, finish)
 
 
-def link_rows(texts: DataFrame, paged: bool = False) -> DataFrame:
-    """(doc_id, start_pos, end_pos, typ, link) of ``texts`` (doc_id, text); only lines that can have a link are folded."""
-    text = F.translate("text", "\f", "\n") if paged else F.col("text")
-    lines = F.transform(T.lines(text), lambda x: F.when(F.size(T.tokens(x)) > 0, T.tokens(x)).otherwise(F.array(F.lit(""))))
-    can = texts.filter(F.col("text").contains("[") | F.col("text").contains(":"))
-    rows = can.select("doc_id", F.posexplode(lines).alias("line", "tokens"))
-    rows = rows.withColumn("n", F.size("tokens"))
-    offset = F.sum("n").over(Window.partitionBy("doc_id").orderBy("line")) - F.col("n")
-    rows = rows.withColumn("offset", offset).filter(has_link(F.col("tokens")))
-    found = rows.select("doc_id", "offset", "tokens", F.explode(_fold(F.col("tokens"))).alias("l"))
+def link_rows(lines: DataFrame) -> DataFrame:
+    """(doc_id, start_pos, end_pos, typ, link) of lines with their tokens; only lines that can have a link are folded."""
+    found = lines.filter(has_link(F.col("tokens"))).select("doc_id", F.col("start_pos").alias("at"), "tokens", F.explode(_fold(F.col("tokens"))).alias("l"))
     link = F.array_join(F.slice("tokens", F.col("l.first") + 1, F.col("l.last") - F.col("l.first") + 1), "")
-    return found.select("doc_id", (F.col("offset") + F.col("l.first")).cast("int").alias("start_pos"), (F.col("offset") + F.col("l.last")).cast("int").alias("end_pos"), F.col("l.typ").alias("typ"), link.alias("link"))
+    return found.select("doc_id", (F.col("at") + F.col("l.first")).cast("int").alias("start_pos"), (F.col("at") + F.col("l.last")).cast("int").alias("end_pos"), F.col("l.typ").alias("typ"), link.alias("link"))
 
 
 def nearest_link(results: DataFrame, links: DataFrame) -> DataFrame:
     """For each result (result_id, doc_id, lo, hi) the link to open: the next one after the middle, or the one before if
-    that contains the middle or is at most half as far."""
-    middle = F.floor((F.col("lo") + F.col("hi")) / 2)
-    both = results.withColumn("mid", middle).join(links, "doc_id")
-    before, after = both.filter("start_pos <= mid"), both.filter("start_pos > mid")
-    value = F.struct("start_pos", "end_pos", "typ", "link")
-    b = before.groupBy("result_id").agg(F.max(value).alias("b"), F.first("mid").alias("mid"))
-    a = after.groupBy("result_id").agg(F.min(value).alias("a"), F.first("mid").alias("mid2"))
-    joined = b.join(a, "result_id", "full")
-    mid = F.coalesce("mid", "mid2")
-    back, ahead = mid - F.col("b.start_pos"), F.col("a.start_pos") - mid
-    use_b = F.col("b").isNotNull() & (F.col("a").isNull() | (F.col("b.end_pos") >= mid) | (2 * back <= ahead))
+    that contains the middle or is at most half as far. Results in documents without links have none.
+
+    Results and links of a document lie in one sorted run, where the last link before and the first after are a running
+    maximum from either end; no result meets all links.
+    """
+    link = F.struct("start_pos", "end_pos", "typ", "link")
+    none = F.lit(None)
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2)
+    rows = results.select("doc_id", mid.alias("at"), F.lit(1).alias("asks"), "result_id", none.cast("struct<start_pos:int,end_pos:int,typ:string,link:string>").alias("l"))
+    rows = rows.unionByName(links.select("doc_id", F.col("start_pos").cast("long").alias("at"), F.lit(0).alias("asks"), none.cast(results.schema["result_id"].dataType).alias("result_id"), link.alias("l")))
+    own = Window.partitionBy("doc_id")
+    before = F.last("l", True).over(own.orderBy("at", "asks"))
+    after = F.last("l", True).over(own.orderBy(F.desc("at"), F.desc("asks")))  # a link at the middle itself comes before
+    rows = rows.select("result_id", "asks", "at", before.alias("b"), after.alias("a")).filter("asks = 1")
+    back, ahead = F.col("at") - F.col("b.start_pos"), F.col("a.start_pos") - F.col("at")
+    use_b = F.col("b").isNotNull() & (F.col("a").isNull() | (F.col("b.end_pos") >= F.col("at")) | (2 * back <= ahead))
     pick = F.when(use_b, F.col("b")).otherwise(F.col("a"))
-    return joined.select("result_id", pick["start_pos"].alias("start_pos"), pick["typ"].alias("typ"), pick["link"].alias("link"))
+    return rows.select("result_id", pick["start_pos"].alias("start_pos"), pick["typ"].alias("typ"), pick["link"].alias("link")).filter("start_pos is not null")
+
+
+# Folders that mark the root of a project or of a vault of notes.
+ROOT_MARKERS = (".git", ".hg", ".svn", ".obsidian", ".logseq", ".tangent")
+
+
+def project_root(folder: str) -> str:
+    """The nearest folder from ``folder`` up that holds a marker, or a home folder; ``folder`` itself if none can be read or
+    has one. A look at the caller's file system."""
+    at = os.path.abspath(folder)
+    while at != os.path.dirname(at):
+        if os.path.dirname(at) == "/home":
+            return at
+        try:
+            names = os.listdir(at)
+        except OSError:
+            break
+        if set(names) & set(ROOT_MARKERS):
+            return at
+        at = os.path.dirname(at)
+    return folder
+
+
+def resolved(links: DataFrame, docs: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, start_pos, typ, link, target): the links of ``docs`` (path, doc_id, root) and what each leads to.
+
+    A URL is its own target. A Markdown target starts at the root if it starts with a slash, else at the document's folder.
+    A wiki name leads to one of ``files`` (path) below the root that ends in it but for an extension, the document's own
+    extension first, then the least; if none does, to such a file beside the others. One that starts with a dot is a path.
+    """
+    folder, own = F.regexp_replace("path", "/[^/]*$", ""), F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    rows = docs.select("path", "doc_id", "root").join(links, "doc_id").withColumns({"folder": folder, "ext": own, "name": F.regexp_replace("link", "^/", "")})
+    rows = rows.withColumn("key", F.when(F.col("typ") == "wiki", F.regexp_extract("name", "([^/]*)$", 1)))
+    bare = F.regexp_replace("path", r"\.[^./]*$", "")
+    known = files.select(F.col("path").alias("file"), bare.alias("bare"), F.regexp_extract(bare, "([^/]*)$", 1).alias("last"))
+    # Each end of a file's name is a key, as a name in a link may be the end of a longer one.
+    ends = known.filter("last != ''").withColumn("size", F.explode(F.sequence(F.lit(1), F.char_length("last")))).withColumn("end", F.expr("right(last, size)"))
+    inside = F.col("file").startswith(F.concat(F.col("root"), F.lit("/"))) & F.col("bare").endswith(F.col("name"))
+    hits = rows.filter(F.col("key") != "").join(ends, (F.col("key") == F.col("end")) & inside)
+    rank = F.struct((~F.col("file").endswith(F.concat("name", "ext"))).alias("other"), "file")
+    best = hits.groupBy("path", "doc_id", "start_pos").agg(F.min(rank)["file"].alias("hit"))
+    rows = rows.join(best, ["path", "doc_id", "start_pos"], "left")
+    beside = F.concat_ws("/", F.when(F.col("name").startswith("."), F.col("folder")).otherwise(F.col("root")), F.concat("name", "ext"))
+    wiki = F.when(F.col("name").startswith("."), beside).otherwise(F.coalesce("hit", beside))
+    target = F.when(F.col("typ") == "url", F.col("link")).when(F.col("typ") == "markdown", resolve_markdown(F.col("link"), F.col("folder"), F.col("root"))).otherwise(wiki)
+    return rows.select("path", "start_pos", "typ", "link", target.alias("target"))
 
 
 def resolve_markdown(link: Column, base_dir: Column, root: Column) -> Column:
@@ -88,12 +134,3 @@ def resolve_markdown(link: Column, base_dir: Column, root: Column) -> Column:
     joined = F.when(bare.startswith("/"), F.concat(root, bare)).otherwise(F.concat_ws("/", base_dir, bare))
     one = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), "/+", "/")
     return F.regexp_replace(one, r"/[^/]+/\.\./", "/")
-
-
-def resolve_wiki(links: DataFrame, paths: DataFrame) -> DataFrame:
-    """Wiki names (column link) with the path each means: one that ends in the name as given, else in the name and an extension; the least of several."""
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    keyed = paths.select("path", F.explode(F.array(F.struct(name.alias("k"), F.lit(0).alias("r")), F.struct(F.regexp_replace(name, r"\.[^.]*$", "").alias("k"), F.lit(1).alias("r")))).alias("e"))
-    keyed = keyed.select("path", F.col("e.k").alias("k"), F.col("e.r").alias("r"))
-    hits = links.withColumn("k", F.regexp_extract("link", "([^/]*)$", 1)).join(keyed, "k").filter(F.when(F.col("r") == 0, F.col("path").endswith(F.col("link"))).otherwise(F.regexp_replace("path", r"\.[^./]*$", "").endswith(F.col("link"))))
-    return hits.groupBy("link").agg(F.min(F.struct("r", "path"))["path"].alias("path"))

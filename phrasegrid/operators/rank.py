@@ -23,14 +23,16 @@ def keys(sort: SortBy) -> list[Column]:
     return [first, tie] if sort.by != "score" else [first, F.col("best_pos").asc_nulls_last(), F.col("path").asc()]
 
 
+def focused_keys(sort: SortBy, focus: list[str] = ()) -> list[Column]:
+    """Sort columns of a key, focused paths first in the order they were focused, each by its latest time."""
+    if not focus:
+        return keys(sort)
+    at = F.create_map(*(x for p, i in {p: i for i, p in enumerate(focus)}.items() for x in (F.lit(p), F.lit(i))))
+    return [F.try_element_at(at, F.col("path")).asc_nulls_last(), *keys(sort)]
+
+
 def sort_documents(docs: DataFrame, sort: SortBy, focus: list[str] = ()) -> DataFrame:
-    """``docs`` in order, focused paths first in the order they were focused, each by its latest time."""
-    order = keys(sort)
-    if focus:
-        latest = {p: i for i, p in enumerate(focus)}
-        at = F.create_map(*(x for p, i in latest.items() for x in (F.lit(p), F.lit(i))))
-        order = [F.try_element_at(at, F.col("path")).asc_nulls_last(), *order]
-    return docs.orderBy(*order)
+    return docs.orderBy(*focused_keys(sort, focus))
 
 
 def with_match(docs: DataFrame, results: DataFrame) -> DataFrame:

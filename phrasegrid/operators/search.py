@@ -15,7 +15,11 @@ from .score import candidate_score, phrase_brackets, score
 
 #: Positions of one bucket of the proximity join.
 BUCKET = 64
-RESULT = "doc_id, phrase_id, score, found: array<struct<pos, word>>"
+#: Words of a token that the driver takes to look them up in the sorted positions; more are joined from the dictionary.
+MOST_WORDS = 500
+#: Values of one condition that a Parquet reader compares with the pages' ranges one by one.
+PUSHED = 10
+RESULT = "doc_id, phrase_id, score, found: array<struct<pos, word, line>>"
 
 
 def candidate_limit(word: str) -> int:
@@ -36,11 +40,44 @@ def candidates(index: Index, token: Token, params: Params = DEFAULTS) -> DataFra
     return scored.orderBy(F.desc(F.round("cscore", 9)), "word").limit(candidate_limit(token.word))
 
 
-def starts(index: Index, token: Token, params: Params = DEFAULTS, scopes: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, pos, line, word) of a first token's candidates; at most 500 words are broadcast, so the positions aren't
-    moved. With ``scopes`` (doc_id, lo, hi), only inside them, in documents that have any."""
-    best = candidates(index, token, params).select("word")
-    at = index.positions.join(F.broadcast(best) if token.word is not None else best, "word")
+class Lookup:
+    """Positions of tokens' words. Each distinct token is resolved in the dictionary once, whatever phrases it stands in."""
+
+    def __init__(self, index: Index, params: Params = DEFAULTS):
+        self.index, self.params = index, params
+        self.known: dict[tuple, DataFrame] = {}
+
+    def first(self, token: Token) -> DataFrame:
+        """Positions of a first token's candidates."""
+        return self._positions(token, True)
+
+    def any(self, token: Token) -> DataFrame:
+        """Positions of all words that fit a token."""
+        return self._positions(token, False)
+
+    def _positions(self, token: Token, best: bool) -> DataFrame:
+        key = (token.word, token.match, best and token.word is not None)
+        if key not in self.known:
+            words = (candidates if best else matching_words)(self.index, token, self.params).select("word")
+            few = [r[0] for r in words.limit(MOST_WORDS + 1).collect()]
+            at = self.index.positions
+            self.known[key] = at.filter(among(F.col("word"), few)) if len(few) <= MOST_WORDS else at.join(words, "word")
+        return self.known[key]
+
+
+def among(column: Column, values: list[str]) -> Column:
+    """Whether a column has one of the values, said so that Parquet readers skip pages of a sorted table without any."""
+    values = sorted(values)
+    pushed = F.lit(False)
+    for lo in range(0, len(values), PUSHED):
+        pushed = pushed | column.isin(values[lo : lo + PUSHED])
+    return pushed if len(values) <= PUSHED else column.isin(values) & pushed
+
+
+def starts(index: Index, token: Token, params: Params = DEFAULTS, scopes: DataFrame | None = None, docs: DataFrame | None = None, lookup: Lookup | None = None) -> DataFrame:
+    """(doc_id, pos, line, word) of a first token's candidates. With ``scopes`` (doc_id, lo, hi), only inside them, in
+    documents that have any."""
+    at = (lookup or Lookup(index, params)).first(token)
     if docs is not None:
         at = at.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     if scopes is not None:
@@ -59,31 +96,34 @@ def window_of(token: Token, params: Params = DEFAULTS) -> tuple[int, int]:
     return 1, 1
 
 
-def extend(chain: DataFrame, index: Index, token: Token, i: int, params: Params = DEFAULTS) -> DataFrame:
-    """Adds pos{i} and word{i}: every fitting word in the window around pos{i-1}.
+def extend(chain: DataFrame, index: Index, token: Token, i: int, params: Params = DEFAULTS, lookup: Lookup | None = None) -> DataFrame:
+    """Adds pos{i}, line{i} and word{i}: every fitting word in the window around pos{i-1}.
 
     The token's positions are found by its words; the join is on document and position bucket, a chain row being sent to
     the one to three buckets its window touches, so no document has to be in one place.
     """
     lo, hi = window_of(token, params)
-    words = matching_words(index, token, params).select("word")
-    nxt = index.positions.join(words, "word").select(F.col("doc_id").alias("d"), F.col("pos").alias(f"pos{i}"), F.col("line").alias("l"), F.col("word").alias(f"word{i}"), F.floor(F.col("pos") / BUCKET).alias("b"))
+    at = (lookup or Lookup(index, params)).any(token)
+    nxt = at.select(F.col("doc_id").alias("d"), F.col("pos").alias(f"pos{i}"), F.col("line").alias(f"line{i}"), F.col("word").alias(f"word{i}"), F.floor(F.col("pos") / BUCKET).alias("b"))
     prev = F.col(f"pos{i - 1}")
     sent = chain.withColumn("bucket", F.explode(F.sequence(F.floor((prev + lo) / BUCKET), F.floor((prev + hi) / BUCKET))))
     near = F.col(f"pos{i}").between(prev + lo, prev + hi)
-    line = F.lit(True) if "single" not in chain.columns else ~F.col("single") | (F.col("l") == F.col("line"))
-    return sent.join(nxt, (F.col("doc_id") == F.col("d")) & (F.col("bucket") == F.col("b")) & near & line).drop("bucket", "d", "b", "l")
+    line = F.lit(True) if "single" not in chain.columns else ~F.col("single") | (F.col(f"line{i}") == F.col("line0"))
+    return sent.join(nxt, (F.col("doc_id") == F.col("d")) & (F.col("bucket") == F.col("b")) & near & line).drop("bucket", "d", "b")
 
 
-def combinations(index: Index, phrase: Phrase, params: Params = DEFAULTS, scopes: DataFrame | None = None, docs: DataFrame | None = None, by_line: bool = True) -> DataFrame:
-    """All combinations of words for a phrase: doc_id, n_starts, line, pos0, word0, pos1, ..."""
-    at = starts(index, phrase[0], params, scopes, docs)
+def combinations(
+    index: Index, phrase: Phrase, params: Params = DEFAULTS, scopes: DataFrame | None = None, docs: DataFrame | None = None, by_line: bool = True, lookup: Lookup | None = None
+) -> DataFrame:
+    """All combinations of words for a phrase: doc_id, n_starts, pos0, line0, word0, pos1, ..."""
+    lookup = lookup or Lookup(index, params)
+    at = starts(index, phrase[0], params, scopes, docs, lookup)
     if by_line:
         single = index.docs.groupBy("doc_id").agg(F.max(F.col("search_mode") == "single").alias("single"))
         at = at.join(single, "doc_id")
-    chain = at.withColumn("n_starts", F.count("*").over(Window.partitionBy("doc_id"))).withColumnsRenamed({"pos": "pos0", "word": "word0"})
+    chain = at.withColumn("n_starts", F.count("*").over(Window.partitionBy("doc_id"))).withColumnsRenamed({"pos": "pos0", "word": "word0", "line": "line0"})
     for i, token in enumerate(phrase[1:], 1):
-        chain = extend(chain, index, token, i, params)
+        chain = extend(chain, index, token, i, params, lookup)
     return chain
 
 
@@ -97,13 +137,15 @@ def _bracketed(found: DataFrame, index: Index, phrase: Phrase) -> tuple[DataFram
     return found, total
 
 
-def search_phrase(index: Index, phrase: Phrase, phrase_id: int = 0, params: Params = DEFAULTS, scopes: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+def search_phrase(
+    index: Index, phrase: Phrase, phrase_id: int = 0, params: Params = DEFAULTS, scopes: DataFrame | None = None, docs: DataFrame | None = None, lookup: Lookup | None = None
+) -> DataFrame:
     """(doc_id, phrase_id, score, found): of each start the best matches, as many as its document's starts leave room for."""
-    found, pairs = _bracketed(combinations(index, phrase, params, scopes, docs), index, phrase)
+    found, pairs = _bracketed(combinations(index, phrase, params, scopes, docs, lookup=lookup), index, phrase)
     n = range(len(phrase))
-    pos, words = [F.col(f"pos{i}") for i in n], [F.col(f"word{i}") for i in n]
+    pos, words, lines = ([F.col(f"{x}{i}") for i in n] for x in ("pos", "word", "line"))
     value = score(phrase, pos, words, pairs, params.max_token_search_dist)
-    hit = F.array(*(F.struct(p.alias("pos"), w.alias("word")) for p, w in zip(pos, words, strict=True)))
+    hit = F.array(*(F.struct(p.alias("pos"), w.alias("word"), x.alias("line")) for p, w, x in zip(pos, words, lines, strict=True)))
     rows = found.select("doc_id", "n_starts", "pos0", value.alias("score"), hit.alias("found"))
     room = F.greatest(F.lit(params.min_results_per_start), F.ceil(F.lit(params.results_per_doc) / F.col("n_starts")))
     order = Window.partitionBy("doc_id", "pos0").orderBy(F.desc(F.round("score", 6)), "found")
@@ -112,9 +154,10 @@ def search_phrase(index: Index, phrase: Phrase, phrase_id: int = 0, params: Para
 
 def search(index: Index, expression: str, params: Params = DEFAULTS, scopes: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Matches of every phrase of an expression; empty phrases find nothing."""
-    parts = [search_phrase(index, p, i, params, scopes, docs) for i, p in enumerate(phrases(expression)) if p]
+    lookup = Lookup(index, params)
+    parts = [search_phrase(index, p, i, params, scopes, docs, lookup) for i, p in enumerate(phrases(expression)) if p]
     if not parts:
-        return search_phrase(index, (Token("\x00", kind="exact"),), 0, params).limit(0)
+        return index.docs.sparkSession.createDataFrame([], "doc_id long, phrase_id int, score double, found array<struct<pos:int,word:string,line:int>>")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -123,10 +166,10 @@ def search(index: Index, expression: str, params: Params = DEFAULTS, scopes: Dat
 
 def exists(index: Index, expression: str, params: Params = DEFAULTS) -> DataFrame:
     """doc_ids with any match, over whole documents whatever their mode."""
-    out = None
+    out, lookup = None, Lookup(index, params)
     for p in phrases(expression):
         if p:
-            found = combinations(index, p, params, by_line=False).select("doc_id")
+            found = combinations(index, p, params, by_line=False, lookup=lookup).select("doc_id")
             out = found if out is None else out.unionByName(found)
     return index.docs.select("doc_id").limit(0) if out is None else out.distinct()
 
@@ -139,14 +182,12 @@ def ranked(results: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def fuzzy_rank(items: DataFrame, expression: str, params: Params = DEFAULTS, item_col: str = "item") -> DataFrame:
-    """(item, score, positions, rank): items whose tokens fit all tokens of a phrase anywhere, best score first.
+    """(item, score, highlights): items whose tokens fit all tokens of a phrase anywhere; no rows if no phrase has any.
 
-    The tokens' places are combined freely, as short strings allow; ties go by item.
+    The tokens' places are combined freely, as short strings allow; of equal scores the first places count.
     """
-    from ..functions.text import ascii_lower, tokens
-
-    parts = items.select(F.col(item_col).alias("item")).distinct().select("item", F.posexplode(tokens(F.col("item"))).alias("pos", "word"))
-    parts = parts.withColumn("word_ci", ascii_lower(F.col("word")))
+    parts = items.select(F.col(item_col).alias("item")).distinct().select("item", F.posexplode(T.tokens(F.col("item"))).alias("pos", "word"))
+    parts = parts.withColumn("word_ci", T.ascii_lower(F.col("word")))
     found = None
     for phrase in phrases(expression):
         if not phrase:
@@ -160,5 +201,7 @@ def fuzzy_rank(items: DataFrame, expression: str, params: Params = DEFAULTS, ite
         value = score(phrase, [F.col(f"pos{i}") for i in n], [F.col(f"word{i}") for i in n], 0, params.max_token_search_dist)
         rows = chain.select("item", value.alias("score"), F.array(*(f"pos{i}" for i in n)).alias("at"))
         found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return parts.select("item", F.lit(0.0).alias("score"), F.array("pos").alias("highlights")).limit(0)
     best = found.groupBy("item").agg(F.max(F.struct(F.round("score", 6).alias("score"), F.transform("at", lambda x: -x).alias("at"))).alias("b"))
     return best.select("item", F.col("b.score").alias("score"), F.array_distinct(F.transform("b.at", lambda x: -x)).alias("highlights"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -15,7 +15,7 @@ from ..lang.sort import SortBy, parse_sorts
 from ..params import DEFAULTS, Params
 from . import rank
 from .filters import apply_filter
-from .index import Index
+from .index import Index, append, with_hash
 from .search import fuzzy_rank, ranked, search
 from .store import stored
 
@@ -62,10 +62,17 @@ class State:
         return out.join(self.searched, "path", "left_semi").join(best, "doc_id")
 
     def ordered(self) -> DataFrame:
-        out, sort = self.listed(), self.sort_no_score if is_empty(self.search_text) else self.sort
-        if self.ranking is not None:
-            out, sort = out.join(self.ranking, "path", "left"), SortBy("fuzzy-ranking")
-        return rank.sort_documents(out, sort, list(self.focus))
+        """Listed documents in order."""
+        return self.ordered_columns().orderBy(*self.ordered_keys())
+
+    def ordered_columns(self) -> DataFrame:
+        """Listed documents with the columns that :meth:`ordered_keys` sorts by."""
+        out = self.listed()
+        return out if self.ranking is None else out.join(self.ranking, "path", "left")
+
+    def ordered_keys(self) -> list[Column]:
+        sort = self.sort_no_score if is_empty(self.search_text) else self.sort
+        return rank.focused_keys(sort if self.ranking is None else SortBy("fuzzy-ranking"), list(self.focus))
 
     def shown_results(self, n: int | None = None) -> DataFrame:
         return ranked(self.results.join(self.listed().select("doc_id").distinct(), "doc_id", "left_semi"), n)
@@ -222,6 +229,19 @@ class History:
         self.states = {0: start}
         return self.state
 
+    def add(self, spark: SparkSession, path: str, docs: DataFrame) -> State:
+        """Documents (path, text, ...) that are new or have changed: their contents are added to the stored index at ``path``,
+        their rows replace those of their paths in the starting state, and the commands run again."""
+        append(docs, path)
+        index = Index.read(spark, path)
+        old = self.states[0].index
+        ids = index.docs.select("doc_hash", "doc_id", "title").dropDuplicates(["doc_hash"])
+        fresh = with_hash(docs).drop("text", "doc_id").join(ids, "doc_hash")
+        kept = old.docs.join(fresh.select("path"), "path", "left_anti").drop("doc_id", "title").join(ids, "doc_hash")
+        docs = stored(kept.unionByName(fresh, allowMissingColumns=True).withColumn("search_mode", F.coalesce("search_mode", F.lit("multi"))), "documents")
+        new = Index(docs, index.positions, index.lines, index.words, index.links)
+        return self.restart(State.start(new, self.states[0].cwd, self.states[0].params))
+
     def edit(self, text: str) -> list[str]:
         """Replaces the history by commands of a text; if any fails nothing changes, and the lines come back with a note."""
         notes, failed, commands = [], False, []

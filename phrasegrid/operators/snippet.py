@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,10 +13,7 @@ from .index import Index
 def spans(results: DataFrame, index: Index) -> DataFrame:
     """Results with first_line and last_line of their words."""
     keyed = results.withColumn("result_id", F.xxhash64("doc_id", "phrase_id", "found"))
-    at = keyed.select("result_id", "doc_id", F.explode("found.pos").alias("p")).distinct()
-    lines = index.positions.select("doc_id", F.col("pos").alias("p"), "line")
-    found = at.join(lines, ["doc_id", "p"]).groupBy("result_id").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"))
-    return keyed.join(found, "result_id")
+    return keyed.withColumns({"first_line": F.array_min("found.line"), "last_line": F.array_max("found.line")})
 
 
 def with_context(spanned: DataFrame, index: Index, n_search: int, params: Params = DEFAULTS) -> DataFrame:
@@ -41,9 +38,10 @@ def with_context(spanned: DataFrame, index: Index, n_search: int, params: Params
 
 def word_grid(spanned: DataFrame, index: Index) -> DataFrame:
     """(result_id, line, pos, word, marked): every token of the spans, found ones marked."""
-    near = index.positions.select(F.col("doc_id").alias("d"), "pos", "line", "word")
-    rows = spanned.join(near, (F.col("doc_id") == F.col("d")) & F.col("line").between(F.col("first_line"), F.col("last_line")))
-    return rows.select("result_id", "line", "pos", "word", F.array_contains("found.pos", F.col("pos")).alias("marked"))
+    asked = spanned.select("result_id", "doc_id", F.col("found.pos").alias("at"), F.explode(F.sequence("first_line", "last_line")).alias("line"))
+    rows = asked.join(index.lines.select("doc_id", "line", "start_pos", "tokens"), ["doc_id", "line"])
+    rows = rows.select("result_id", "line", "at", "start_pos", F.posexplode("tokens").alias("nth", "word")).withColumn("pos", F.col("start_pos") + F.col("nth"))
+    return rows.select("result_id", "line", "pos", "word", F.array_contains("at", F.col("pos")).alias("marked"))
 
 
 def marked_lines(spanned: DataFrame, index: Index, left: str = "[", right: str = "]") -> DataFrame:
@@ -62,10 +60,10 @@ def label(fmt: Column, page: Column, line_in_page: Column) -> Column:
 def most_unique_word(results: DataFrame, index: Index) -> DataFrame:
     """(result_id, word): the found word that the fewest words of its page contain, without case; the first of equals."""
     keyed = results.withColumn("result_id", F.xxhash64("doc_id", "phrase_id", "found"))
-    found = keyed.select("result_id", "doc_id", F.posexplode("found").alias("nth", "f")).select("result_id", "doc_id", "nth", F.col("f.pos").alias("pos"), F.col("f.word").alias("word"))
-    page_of = index.positions.join(index.lines.select("doc_id", "line", "page"), ["doc_id", "line"]).select("doc_id", "pos", "page", "word")
-    found = found.join(page_of.select("doc_id", "pos", "page"), ["doc_id", "pos"])
-    counts = page_of.groupBy(F.col("doc_id").alias("d"), F.col("page").alias("p"), T.ascii_lower(F.col("word")).alias("ci")).agg(F.count("*").alias("n"))
+    found = keyed.select("result_id", "doc_id", F.posexplode("found").alias("nth", "f")).select("result_id", "doc_id", "nth", F.col("f.line").alias("line"), F.col("f.word").alias("word"))
+    lines = index.lines.join(keyed.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = found.join(lines.select("doc_id", "line", "page"), ["doc_id", "line"])
+    counts = lines.select("doc_id", "page", F.explode("tokens").alias("word")).groupBy(F.col("doc_id").alias("d"), F.col("page").alias("p"), T.ascii_lower(F.col("word")).alias("ci")).agg(F.count("*").alias("n"))
     sums = found.join(counts, (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & F.col("ci").contains(T.ascii_lower(F.col("word")))).groupBy("result_id", "nth", "word").agg(F.sum("n").alias("n"))
     return sums.groupBy("result_id").agg(F.min(F.struct("n", "nth", "word"))["word"].alias("word"))
 
@@ -87,18 +85,20 @@ def wrap(words: list[tuple[str, bool]], width: int) -> list[list[tuple[str, bool
     return rows
 
 
-def render(path: str, blocks: list[tuple[str | None, list[tuple[str, bool]]]], params: Params = DEFAULTS, underline: bool = False, color: bool = False) -> str:
-    """A document's snippets as text: its path, then labelled, wrapped lines; found words underlined or coloured."""
+def render(path: str, results: list[list[tuple[str | None, list[tuple[str, bool]]]]], params: Params = DEFAULTS, underline: bool = False, color: bool = False) -> str:
+    """A document's snippets as text: its path, then each result's labelled, wrapped lines, a blank line between results;
+    found words underlined or coloured."""
     out = [path]
-    for i, (name, words) in enumerate(blocks):
-        head = f"{name}: " if name else ""
+    for i, lines in enumerate(results):
         if i:
             out.append("")
-        for n, row in enumerate(wrap(words, max(1, params.print_width - len(head)))):
-            lead = head if n == 0 else " " * len(head)
-            out.append(lead + "".join(f"\x1b[32m{w}\x1b[0m" if m and color else w for w, m in row))
-            if underline and any(m for _, m in row):
-                out.append(" " * len(lead) + "".join(("^" if m else " ") * len(w) for w, m in row).rstrip())
+        for name, words in lines:
+            head = f"{name}: " if name else ""
+            for n, row in enumerate(wrap(words, max(1, params.print_width - len(head)))):
+                lead = head if n == 0 else " " * len(head)
+                out.append(lead + "".join(f"\x1b[32m{w}\x1b[0m" if m and color else w for w, m in row))
+                if underline and any(m for _, m in row):
+                    out.append(" " * len(lead) + "".join(("^" if m else " ") * len(w) for w, m in row).rstrip())
     return "\n".join(out)
 
 
@@ -111,5 +111,5 @@ def complete(prefix: str, names: DataFrame, col: str = "name") -> DataFrame:
 
 
 def top_lines(index: Index, n: int) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("line")
-    return index.line_text().withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= n)
+    """(doc_id, line, line_text, nth): each document's first n lines; lines are numbered from 0 without gaps."""
+    return index.line_text().filter(F.col("line") < n).withColumn("nth", F.col("line") + 1)

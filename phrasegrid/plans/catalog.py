@@ -120,6 +120,36 @@ for _name, _kind, _s in (
     _predicate(_name, _kind, _s)
 
 
+# --- the search language: phrases as rows, against a list written out by hand
+
+
+#: Expression; its phrases in order, tokens parted by spaces, each as word, kind (f, e, p, s, or ~ for spaces), then < if
+#: linked to the one before and > if to the next.
+_LANGUAGE = [
+    ("", [""]), ("()", [""]), ("fox", ["fox:f"]), ("fox hunt", ["fox:f hunt:f"]), ("fox|hunt", ["fox:f", "hunt:f"]), ("hunt | fox", ["fox:f", "hunt:f"]),
+    ("?fox", ["", "fox:f"]), ("?fox hunt", ["fox:f hunt:f", "hunt:f"]), ("a (b | c) d", ["a:f b:f d:f", "a:f c:f d:f"]), ("'fox", ["fox:e"]), ("^fox", ["fox:p"]), ("fox$", ["fox:s"]),
+    ("'a-b", ["a:e> -:e<> b:e<"]), ("^a-b", ["a:e> -:e<> b:p<"]), ("a-b$", ["a:s> -:e<> b:e<"]), ("a-b", ["a:f> -:f<> b:f<"]), ("a~b", ["a:f> ~:~<> b:f<"]), ("a ~ b", ["a:f ~:~ b:f"]),
+    (r"\(a\)", ["(:f> a:f<> ):f<"]), (r"a\|b", ["a:f> |:f<> b:f<"]), ("x | ^x | x$ | 'x", ["x:f", "x:e", "x:s", "x:p"]), ("(a)(b)", ["a:f b:f"]), ("'a 'a", ["a:e a:e"]), ("a|a", ["a:f"]),
+    ("and/or", ["and:f> /:f<> or:f<"]), ("and / or", ["and:f /:f or:f"]), ("(and)/ or", ["and:f /:f or:f"]), ("and(/) or", ["and:f /:f or:f"]), ("and/(or)", ["and:f> /:f< or:f"]),
+    ("hello_world", ["hello:f> _:f<> world:f<"]), ("ab ?hello world cd", ["ab:f hello:f world:f cd:f", "ab:f world:f cd:f"]), ("go (?up | left | right)", ["go:f", "go:f left:f", "go:f right:f", "go:f up:f"]),
+    ("(?left | right) (up | down)", ["down:f", "left:f down:f", "left:f up:f", "right:f down:f", "right:f up:f", "up:f"]),
+    (
+        "go ?(?(left | right) or) or ( ?up | down )",
+        [f"go:f {a}or:f{b}" for a, b in [("left:f or:f ", ""), ("left:f or:f ", " down:f"), ("left:f or:f ", " up:f"), ("", ""), ("", " down:f"), ("or:f ", ""), ("or:f ", " down:f"), ("or:f ", " up:f"), ("", " up:f"), ("right:f or:f ", ""), ("right:f or:f ", " down:f"), ("right:f or:f ", " up:f")]],
+    ),
+    ("- - -", ["-:f -:f -:f"]), ("-- -", ["-:f> -:f< -:f"]), (r"\'abcd", ["':f> abcd:f<"]), ("' abcd", ["':f abcd:f"]), ("^ abcd", ["^:f abcd:f"]), ("abcd $", ["abcd:f $:f"]),
+    ("''abcd", ["':e> abcd:e<"]), ("^^abcd", ["^:e> abcd:p<"]), ("abcd$$", ["abcd:s> $:e<"]), ("'ab~cd", ["ab:e> ~:~<> cd:e<"]), ("^ab~cd$", ["ab:e> ~:~<> cd:e<> $:p<"]), ("ab~cd$", ["ab:s> ~:~<> cd:e<"]),
+    (" ~cd$", ["~:~> cd:e<"]), ("'^abcd efgh$$ ij$kl$", ["^:e> abcd:e< efgh:s> $:e< ij:s> $:e<> kl:e<"]),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {Q.quote(e)}, {Q.quote(p)})" for i, (e, ps) in enumerate(_LANGUAGE) for j, p in enumerate(ps)) + ") t(expression_id, phrase_id, expression, phrase)")
+def search_language(spark, sf_dir):
+    mark = lambda t: f"{'~:~' if t.word is None else t.word + ':' + t.kind[0]}{'<' * t.linked_prev}{'>' * t.linked_next}"
+    rows = [(i, j, e, " ".join(map(mark, p))) for i, (e, _) in enumerate(_LANGUAGE) for j, p in enumerate(phrases(e))]
+    return spark.createDataFrame(rows, "expression_id int, phrase_id int, expression string, phrase string")
+
+
 # --- search
 
 
@@ -266,6 +296,33 @@ def path_dates(spark, sf_dir):
     return corpus(spark, sf_dir).select("path", P.path_date(F.col("path")).alias("path_date"))
 
 
+#: Forms of a date in a name, one per remainder of the order's key, and whether the date is found.
+_DATE_FORMS = [
+    ("strftime(d, '/a/x-%Y-%m-%d.txt')", "date_format(d, \"'/a/x-'yyyy-MM-dd'.txt'\")", True),
+    ("strftime(d, '/a/1%Y-%m-%d')", "date_format(d, \"'/a/1'yyyy-MM-dd\")", False),
+    ("strftime(d, '/a/%Y_%m_%d1')", "date_format(d, \"'/a/'yyyy_MM_dd'1'\")", False),
+    ("strftime(d, '/a/%Y%m%d99.log')", "date_format(d, \"'/a/'yyyyMMdd'99.log'\")", True),
+    ("strftime(d, '/a/%Y%m-%d')", "date_format(d, \"'/a/'yyyyMM-dd\")", False),
+    ("strftime(d, '/a/%d %b %Y.md')", "date_format(d, \"'/a/'dd MMM yyyy'.md'\")", True),
+    ("strftime(d, '/a/%Y%B%d/2')", "date_format(d, \"'/a/'yyyyMMMMdd'/2'\")", True),
+    ("strftime(d, '/1999-01-02/b %d-%B-%Y')", "date_format(d, \"'/1999-01-02/b 'dd-MMMM-yyyy\")", True),
+    ("strftime(d, '/a/%Y-02-30 %H')", "date_format(d, \"'/a/'yyyy'-02-30 '00\")", False),
+]
+
+
+@query(
+    f"""
+    SELECT o_orderkey, CASE o_orderkey % {len(_DATE_FORMS)} {" ".join(f"WHEN {i} THEN {sql}" for i, (sql, _, _) in enumerate(_DATE_FORMS))} END AS path,
+      CASE WHEN o_orderkey % {len(_DATE_FORMS)} IN ({", ".join(str(i) for i, x in enumerate(_DATE_FORMS) if x[2])}) THEN d END AS path_date
+    FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
+    """
+)
+def path_date_forms(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    form = F.element_at(F.array(*(F.expr(x[1]) for x in _DATE_FORMS)), (F.col("o_orderkey") % len(_DATE_FORMS) + 1).cast("int"))
+    return rows.select("o_orderkey", form.alias("path")).withColumn("path_date", P.path_date(F.col("path")))
+
+
 @query(
     "WITH a AS (SELECT p_brand, min(p_name) AS lo, max(p_name) AS hi FROM part GROUP BY p_brand) "
     "SELECT p_brand, (SELECT max(substr(lo, 1, CAST(k AS BIGINT))) FROM range(0, 60) t(k) WHERE substr(lo, 1, CAST(k AS BIGINT)) = substr(hi, 1, CAST(k AS BIGINT))) AS prefix FROM a"
@@ -323,19 +380,24 @@ def mark_drop_sets(spark, sf_dir):
 # --- links
 
 
+_TS = "regexp_extract_all(url, '[A-Za-z0-9]+|.')"
+
+
 @query(
-    """
-    SELECT page_id, typ, link, start_pos FROM (
-      SELECT page_id, 'url' AS typ, url AS link, 0 AS start_pos FROM pages
-      UNION ALL SELECT page_id, 'markdown', 'a/' || page_id || '.md', len(ts) + 5 FROM (SELECT *, regexp_extract_all(url, '[A-Za-z0-9]+|.') AS ts FROM pages)
-      UNION ALL SELECT page_id, 'wiki', 'p' || page_id, len(ts) + 14 FROM (SELECT *, regexp_extract_all(url, '[A-Za-z0-9]+|.') AS ts FROM pages)
-    )
+    f"""
+    WITH p AS (SELECT page_id, url, len({_TS}) AS n FROM pages)
+    SELECT page_id, 'url' AS typ, url AS link, 0 AS start_pos FROM p
+    UNION ALL SELECT page_id, 'markdown', 'a/' || page_id || '.md', n + 5 FROM p
+    UNION ALL SELECT page_id, 'wiki', 'p' || page_id, n + 14 FROM p
+    UNION ALL SELECT page_id, 'url', url, n + 19 FROM p
+    UNION ALL SELECT page_id, 'url', 'file://x' || chr(96) || 'y', 2 * n + 22 FROM p
     """
 )
 def links_found(spark, sf_dir):
-    text = F.expr("url || ' [x](a/' || page_id || '.md) [[p' || page_id || ' name]]'")
+    """A URL, a Markdown target, a wiki name, then one URL that a backslash ends and one that a backtick doesn't."""
+    text = F.expr("url || ' [x](a/' || page_id || '.md) [[p' || page_id || ' name]]\n' || url || '\\\\z file://x`y'")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text"))
-    return L.link_rows(pages).select(F.col("doc_id").alias("page_id"), "typ", "link", long("start_pos").alias("start_pos"))
+    return L.link_rows(I.line_rows(pages)).select(F.col("doc_id").alias("page_id"), "typ", "link", long("start_pos").alias("start_pos"))
 
 
 @query(
@@ -350,7 +412,7 @@ def nearest_link(spark, sf_dir):
     n = F.size(F.regexp_extract_all("url", F.lit("[A-Za-z0-9]+|(?s:.)"), F.lit(0)))
     at = pages.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(1).alias("p")), F.struct(F.lit(1).alias("k"), (n + 3).alias("p")))).alias("x"))
     at = at.select((F.col("doc_id") * 2 + F.col("x.k")).alias("result_id"), "doc_id", F.col("x.p").alias("lo"), F.col("x.p").alias("hi"))
-    return L.nearest_link(at, L.link_rows(pages)).select(F.floor(F.col("result_id") / 2).alias("page_id"), "typ", "link")
+    return L.nearest_link(at, L.link_rows(I.line_rows(pages))).select(F.floor(F.col("result_id") / 2).alias("page_id"), "typ", "link")
 
 
 # --- presentation

@@ -5,22 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.index import build, new_documents
+from ..operators.index import append
 
 
 def append_batch(batch: DataFrame, path: str) -> None:
-    """Indexes the documents of a batch whose content isn't in the index at ``path``, and appends them. Running it again
-    adds nothing. docs is written last: documents count as indexed only then."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["text"])
-    try:
-        fresh = new_documents(fresh, spark.read.parquet(f"{path}/docs")).drop("doc_hash")
-    except Exception as e:  # the first batch finds no index
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    index = build(fresh)
-    for name in ("positions", "lines", "words", "links", "docs"):
-        getattr(index, name).write.mode("append").parquet(f"{path}/{name}")
+    """Indexes the documents of a batch whose content isn't in the index at ``path``, and adds them. A batch counts once it
+    is complete, so running it again, after a crash too, adds nothing twice."""
+    append(batch, path)
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -2,16 +2,21 @@
 
 import itertools
 import math
+import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from phrasegrid.functions import numbers as N
 from phrasegrid.functions.text import py_lower, py_tokens
 from phrasegrid.lang.search import phrases
 from phrasegrid.operators import filters, snippet
 from phrasegrid.operators import index as I
 from phrasegrid.operators import links as L
 from phrasegrid.operators import search as S
+from phrasegrid.operators.cancel import Cancelled, Stop
 from phrasegrid.operators.score import phrase_brackets
 from phrasegrid.operators.session import History, State, run_script
 from phrasegrid.lang.filter import parse_filter
@@ -126,13 +131,44 @@ def test_links(index):
     assert got == {("markdown", "a/b.md"), ("wiki", "note"), ("url", "http://a.b/c?d")}
     results = S.ranked(S.search(index, "'see")).select(F.lit(1).alias("result_id"), "doc_id", F.col("found")[0]["pos"].alias("lo"), F.col("found")[0]["pos"].alias("hi"))
     assert L.nearest_link(results, index.links).first().typ == "url"
-    paths = index.docs.select("path")
-    names = index.docs.sparkSession.createDataFrame([("one",), ("c/two.log",), ("none",)], "link string")
-    assert {r.link: r.path for r in L.resolve_wiki(names, paths).collect()} == {"one": "/c/one.txt", "c/two.log": "/c/two.log"}
     row = index.docs.sparkSession.range(1).select(L.resolve_markdown(F.lit("../x/./y.md#top"), F.lit("/p/q"), F.lit("/p")), L.resolve_markdown(F.lit("/z.md"), F.lit("/p/q"), F.lit("/p"))).first()
     assert tuple(row) == ("/p/x/y.md", "/p/z.md")
 
 
+def test_links_end_and_resolve(spark, tmp_path):
+    text = "http://a/b\\c d http://a/b`c d\n[x](../m.md#t) [y](/top.md) [[note]] [[sub/note]] [[.near]] [[lost]] [[ote]]"
+    (tmp_path / "p/.git").mkdir(parents=True)
+    (tmp_path / "p/d").mkdir()
+    root = str(tmp_path / "p")
+    assert L.project_root(f"{root}/d") == root
+    index = I.build(spark.createDataFrame([(f"{root}/d/one.md", text)], "path string, text string"))
+    files = spark.createDataFrame([(f"{root}/{x}",) for x in ("d/one.md", "a/note.txt", "z/note.md", "y/sub/note.txt", "other")] + [("/else/lost.md",)], "path string")
+    docs = index.docs.select("path", "doc_id", F.lit(root).alias("root"))
+    got = [(r.link, r.target.removeprefix(root)) for r in L.resolved(index.links, docs, files).orderBy("start_pos").collect()]
+    assert got == [
+        ("http://a/b", "http://a/b"), ("http://a/b`c", "http://a/b`c"), ("../m.md#t", "/m.md"), ("/top.md", "/top.md"), ("note", "/z/note.md"), ("sub/note", "/y/sub/note.txt"),
+        (".near", "/d/.near.md"), ("lost", "/lost.md"), ("ote", "/z/note.md"),
+    ]
+
+
+def test_nearest_link_against_all_pairs(spark):
+    rng = random.Random(2)
+    links = [(d, p, p + rng.randint(1, 6), "url", f"{d}-{p}") for d in range(4) for p in sorted(rng.sample(range(200), 0 if d == 3 else 15))]
+    results = [(n, rng.randrange(4), lo, lo + rng.randint(0, 5)) for n, lo in enumerate(rng.choices(range(200), k=120))]
+    want = {}
+    for n, d, lo, hi in results:
+        mid = (lo + hi) // 2
+        before, after = ([x for x in links if x[0] == d and (x[1] <= mid) == side] for side in (True, False))
+        b, a = before[-1] if before else None, after[0] if after else None
+        if b and (not a or b[2] >= mid or 2 * (mid - b[1]) <= a[1] - mid):
+            want[n] = b[4]
+        elif a:
+            want[n] = a[4]
+    frame = spark.createDataFrame(links, "doc_id long, start_pos int, end_pos int, typ string, link string")
+    got = L.nearest_link(spark.createDataFrame(results, "result_id long, doc_id long, lo int, hi int"), frame)
+    assert {r.result_id: r.link for r in got.collect()} == want
+
+
 def test_filters(index):
     names = lambda text: {r.path for r in filters.apply_filter(index.docs, parse_filter(text), index, "/c").select("path").collect()}
     assert names("ext:log") == {"/c/two.log"}
@@ -147,6 +183,7 @@ def test_fuzzy_rank(spark):
     items = spark.createDataFrame([("notes/fox hunt.md",), ("fox.md",), ("box",), ("cat",)], "item string")
     rows = S.fuzzy_rank(items, "fox").orderBy(F.desc("score"), "item").collect()
     assert [r.item for r in rows][:2] == ["fox.md", "notes/fox hunt.md"] and "cat" not in {r.item for r in rows}
+    assert S.fuzzy_rank(items, "").count() == 0 and S.fuzzy_rank(items, "()").count() == 0
 
 
 def test_session(index):
@@ -163,6 +200,8 @@ def test_session(index):
     assert "/c/empty.txt" not in {r.path for r in h.state.docs.collect()}
     h.run("focus: /c/two.log")
     assert h.state.ordered().first().path == "/c/two.log"
+    h.run("path fuzzy rank:")
+    assert len(paths(h.state)) == 3
     h.run("sort by: path,desc; path,asc")
     assert h.state.ordered().first().path == "/c/two.log"
     assert h.edit("search: (") == [] or h.edit("nonsense") == ["nonsense", "; error: unknown command: nonsense"]
@@ -195,7 +234,7 @@ def test_snippets(index):
     text = {r.line: r.text for r in snippet.marked_lines(snippet.spans(found, index), index).collect()}
     assert text == {1: "[jumps] over"}
     assert snippet.wrap([("abc", False), (" ", False), ("defgh", True)], 4) == [[("abc", False), (" ", False)], [("defg", True)], [("h", True)]]
-    assert snippet.render("/a", [("1", [("x", True)])], underline=True) == "/a\n1: x\n   ^"
+    assert snippet.render("/a", [[("1", [("x", True)]), ("2", [("y", False)])], [("3", [("z", True)])]], underline=True) == "/a\n1: x\n   ^\n2: y\n\n3: z\n   ^"
     assert snippet.most_unique_word(S.search(index, "'the 'lazy").limit(1), index).first().word == "lazy"
 
 
@@ -212,13 +251,80 @@ def test_prune_and_stream(spark, tmp_path):
     docs.write.json(str(src))
     q = index_stream(spark.readStream.schema("path string, text string").json(str(src)), str(tmp_path / "j"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "j/docs")).count() == 2
+    assert I.Index.read(spark, str(tmp_path / "j")).docs.count() == 2
+
+
+def test_batches_share_words_and_survive_a_crash(spark, tmp_path, monkeypatch):
+    frame = lambda *rows: spark.createDataFrame(rows, "path string, text string")
+    path = str(tmp_path / "i")
+    append_batch(frame(("/a", "the fox")), path)
+    broken = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with monkeypatch.context() as m:
+        m.setattr(I.L, "link_rows", broken)
+        with pytest.raises(RuntimeError):
+            append_batch(frame(("/b", "a fox again")), path)
+    append_batch(frame(("/b", "a fox again")), path)
+    append_batch(frame(("/b", "a fox again"), ("/c", "no such")), path)
+    index = I.Index.read(spark, path)
+    assert S.search(index, "'fox").count() == 2 and index.words.count() == index.words.distinct().count()
+    assert index.docs.count() == 3 and index.docs.select("doc_id").distinct().count() == 3 and {r[0] for r in index.docs.select("doc_id").collect()} == {1, 2, 3}
+    pruned = I.prune(I.Index(index.docs.withColumn("last_used", F.col("doc_id")), index.positions, index.lines, index.words, index.links), 2)
+    pruned.write(path)
+    again = I.Index.read(spark, path)
+    assert again.docs.count() == 2 and len(list((tmp_path / "i/lines").iterdir())) == 1
+
+
+def test_sorted_positions_are_pruned(spark, tmp_path):
+    I.build(spark.createDataFrame([(f"/{i}", f"word{i} common") for i in range(50)], "path string, text string")).write(str(tmp_path / "i"))
+    index = I.Index.read(spark, str(tmp_path / "i"))
+    plan = S.starts(index, phrases("'word7")[0][0])._jdf.queryExecution().toString()
+    assert "EqualTo(word,word7)" in plan
+    assert S.search(index, "'word7 'common").count() == 1
+    many = S.among(F.col("word"), [f"word{i}" for i in range(40)] + ["é"])
+    assert index.positions.filter(many).count() == 40
+
+
+def test_documents_are_added_to_a_session(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(rows, "path string, text string")
+    path = str(tmp_path / "i")
+    append_batch(frame(("/a", "old fox"), ("/b", "hen")), path)
+    h = run_script(State.start(I.Index.read(spark, path)), "search: 'fox")
+    assert {r.path for r in h.state.listed().collect()} == {"/a"}
+    h.add(spark, path, frame(("/a", "no longer"), ("/c", "new fox")))
+    assert {r.path for r in h.state.listed().collect()} == {"/c"} and h.state.docs.count() == 3
+
+
+def test_a_stop_ends_a_search(spark, index):
+    stop = Stop(spark)
+    with stop.jobs():
+        assert S.search(index, "'fox").count()
+    stop()
+    with pytest.raises(Cancelled), stop.jobs():
+        S.search(index, "'fox").count()
+    slow, started = Stop(spark), threading.Event()
+    threading.Thread(target=lambda: (started.wait(), time.sleep(2), slow())).start()
+    nap = F.udf(lambda x: time.sleep(20) or x, "long")
+    begin = time.monotonic()
+    with pytest.raises(Cancelled), slow.jobs():
+        started.set()
+        spark.range(4).select(nap("id")).collect()
+    assert time.monotonic() - begin < 15
+
+
+def test_numbers(spark):
+    row = spark.range(1).select(N.div_up(F.lit(7), 2), N.div_to_nearest(F.lit(7), 2), N.mebibytes(F.lit(3 << 20)), N.rotated(F.array(*map(F.lit, "abc")), 4), N.rotated(F.array().cast("array<int>"), 1)).first()
+    assert tuple(row) == (4, 4, 3.0, ["b", "c", "a"], [])
 
 
 def test_pages(spark):
     index = I.build(spark.createDataFrame([("/p", "a b\fc\n\fd")], "path string, text string"), paged=True)
     rows = sorted((r.page, r.line, r.line_in_page, r.start_pos, r.end_pos) for r in index.lines.collect())
     assert rows == [(0, 0, 0, 0, 2), (1, 1, 0, 3, 3), (2, 2, 0, 4, 4)]
+    by_format = I.build(spark.createDataFrame([("/p.pdf", "a\fb", "pdf"), ("/p.txt", "a\fb", "text")], "path string, text string, format string"))
+    assert sorted((r.page, r.line) for r in by_format.lines.collect()) == [(0, 0), (0, 0), (1, 1)] or by_format.docs.select("doc_id").distinct().count() == 1
+    at = index.locations(spark.createDataFrame([(index.docs.first().doc_id, 2), (index.docs.first().doc_id, 3)], "doc_id long, pos int"))
+    assert sorted((r.pos, r.line, r.pos_in_line, r.page, r.line_in_page) for r in at.collect()) == [(2, 0, 2, 0, 0), (3, 1, 0, 1, 0)]
+    assert [r.word for r in index.words_between(index.docs.first().doc_id, 1, 3).orderBy("pos").collect()] == [" ", "b", "c"]
 
 
 def test_candidate_limit():
