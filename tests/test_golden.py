@@ -15,7 +15,8 @@ from phrasegrid.operators.session import State
 from phrasegrid.params import Params
 from phrasegrid.sources import files
 
-# A text, and for each expression the lines (from 1) and found words of its five best results.
+# A text, and for each expression the lines (from 1) and found words of its five best results. The last one of
+# "hel~word" has an equal, with the other space between the two words; of equals the one that comes first in the text's places counts.
 TEXT = """abcd
 abcdef
 ABCD
@@ -48,7 +49,7 @@ MATCHES = {
     "'abc": [], "'abcd": ABCD, r"\'abcd": [*QUOTED, [(8, "abcd"), (9, "'")], [(9, "abcd'")], [(6, "ABcdEF"), (8, "'")]], "'abcdef": ABCDEF, "''abcd": QUOTED, "'ABCD": [[(3, "ABCD")]], "'ABcd": [[(5, "ABcd")]],
     "^bcd": [], "^abcdef": ABCDEF, "^'abcd": QUOTED, "^ABCD": [[(3, "ABCD")], [(4, "ABCDEF")]], "^ABcd": [[(5, "ABcd")], [(6, "ABcdEF")]], "^abcd": ABCD,
     "bcd$": ABCD, "abcd$$": [[(15, "abcd$")]], "ef$": ABCDEF, "ABCD$": [[(3, "ABCD")]], "EF$": [[(4, "ABCDEF")], [(6, "ABcdEF")]],
-    "hel~word": [*HELLO, [(18, " world"), (19, "hello")]], "'hello~world": HELLO, "'Hello~world": [[(21, "Hello world")]], "'Hello~World": [], "^hello~wo": HELLO, "^ello~wo": [], "lo~world$": HELLO, "lo~worl$": [],
+    "hel~word": [*HELLO, [(18, "world"), (19, "hello   ")]], "'hello~world": HELLO, "'Hello~world": [[(21, "Hello world")]], "'Hello~World": [], "^hello~wo": HELLO, "^ello~wo": [], "lo~world$": HELLO, "lo~worl$": [],
 }
 
 
