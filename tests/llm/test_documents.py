@@ -307,7 +307,7 @@ def test_count_tokens_in_flat_files(spark, tmp_path, eod, width, block):
     rng = np.random.default_rng(block)
     want = []
     for k in range(4):
-        ids = rng.choice([0, 1, 4, 256, 257, 258, 1024, eod], 700 + k).astype(f"<u{width}")
+        ids = rng.choice([0, 1, 4, 255, 256, 257, 258, 1024, 65280, eod], 700 + k).astype(f"<u{width}")
         ids = np.r_[ids, eod].astype(f"<u{width}") if k % 2 else np.r_[ids, 257 - 256 * (eod == 257)].astype(f"<u{width}")
         ids.tofile(tmp_path / f"f{k}.bin")
         sizes = np.diff(np.r_[-1, np.flatnonzero(ids == eod), len(ids)]) - 1
