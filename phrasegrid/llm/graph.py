@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 #: Alternations that no graph of 2**62 nodes exceeds; a guard against a fault, not a limit.
 MOST_ROUNDS = 200
 
 
-def _hooked(edges: DataFrame) -> DataFrame:
-    """Large star, then small star: every node's larger neighbours, then its smaller ones, move to its least one."""
+def _hooked(edges: DataFrame, name: str) -> DataFrame:
+    """Large star, then small star, as a stored table: every node's larger neighbours, then its smaller ones, move to its
+    least one. The tables before are deleted."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # Saved, so that the joins below deal out both sides and can split a hub's edges.
     least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
@@ -20,12 +21,15 @@ def _hooked(edges: DataFrame) -> DataFrame:
     large = saved(large, "large-star")
     small = saved(large.groupBy("a").agg(F.min("b").alias("m")), "small-star")
     pairs = large.join(small, "a")
-    return (
+    out = saved(
         pairs.select(F.col("m").alias("u"), F.col("b").alias("v"))
         .unionByName(pairs.select(F.col("m").alias("u"), F.col("a").alias("v")))
         .filter("u != v")
-        .distinct()
+        .distinct(),
+        name,
     )
+    discard(least, large, small, edges)
+    return out
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -42,7 +46,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if n == mark or not n[0]:
             break
         mark = n
-        state = saved(_hooked(state), name)
+        state = _hooked(state, name)
     else:
         raise RuntimeError("components did not settle")
     roots = state.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()

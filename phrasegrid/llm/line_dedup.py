@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcastable, saved, whole
+from .common import broadcastable, discard, saved, whole
 
 #: A line on at least this many sites, in as many different texts, is boilerplate.
 MIN_SITES = 10
@@ -53,8 +53,10 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = M
     # Sketches are built only of keys that occur often enough; the count costs less than a sketch.
     often = saved(lines.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("key"), "often-lines")
     sketches = _salted(lines, often).groupBy("key", "salt").agg(F.hll_sketch_agg("site", LG_REGISTERS).alias("site"), F.hll_sketch_agg("page", LG_REGISTERS).alias("page"))
-    merged = saved(sketches, "sketches").groupBy("key").agg(*(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("site", "page")))
-    merged = saved(merged.withColumn("least", F.least("site", "page")), "line-sites")
+    sketches = saved(sketches, "sketches")
+    merged = sketches.groupBy("key").agg(*(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("site", "page")))
+    merged = saved(merged.select("key", F.least("site", "page").alias("least")), "line-sites")
+    discard(often, sketches)
     sure = merged.filter(F.col("least") > min_sites * (1 + MARGIN)).select("key")
     near = saved(merged.filter(F.col("least").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("key"), "near-lines")
     exact = _salted(lines, near).groupBy("key").agg(F.countDistinct("site").alias("site"), F.countDistinct("page").alias("page"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, saved, text_slices
+from .common import crc_of, discard, saved, text_slices
 
 #: Ends every text in the model, and stands for the bytes before it; it occurs in no UTF-8 text.
 END = 0xFF
@@ -431,6 +431,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
     words = saved(asked.groupBy("token").agg(F.sum("n").alias("c"), F.min("chunk").alias("first")), "tokens")
     known = asked.select("chunk", "token").join(words, "token").select("chunk", "token", "c", F.when(F.col("chunk") == F.col("first"), 1).otherwise(2).alias("nth"))
     known = saved(known.mapInArrow(_pack_counts, ANSWERS), "word-counts")
+    discard(words)
     ends = base.filter("not held_out").count()
     total = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     n_all, n_distinct = int(total[0]) + ends, int(total[1]) + (ends > 0)
@@ -439,6 +440,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
     places = both.filter("code is not null").select("chunk", "code", "n")
     counts = saved(places.groupBy("code").agg(F.sum("n").alias("n")), "gram-counts")
     scores = saved(gram_scores(counts), "gram-scores")
+    discard(counts)
     scored = places.select("chunk", "code").join(scores.hint("shuffle_hash"), "code")
     answers = known.unionByName(scored.select("chunk", "code", "score").mapInArrow(_pack_scores, ANSWERS))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_slices
+from .common import discard, saved, text_slices
 from .graph import components
 
 WORDS = 5
@@ -264,6 +264,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     meet = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("near_x") == F.col("near_y")) & (F.col("salt_x") == F.col("salt_y")) & (F.col("part_x") != F.col("part_y")) & possible)
     rest = saved(meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
     edges = edges.unionByName(saved(confirmed(rest, sets, similarity), "more-links"))
+    discard(pairs, outside, rest, known, sets, members, reps)
     # Classes that share an id (repeated ids) meet in it, as do a class's rep and its other rows.
     joins = usable.join(classes.filter("copies > 1"), ["class_a", "class_b"]).filter("doc_id != rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     final = components(edges.unionByName(joins))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 #: Cells of a dimension; a cell number takes one byte.
 CELLS = 256
@@ -106,10 +106,11 @@ def approximate_candidates(table: DataFrame, is_query: Column, k: int, id_col: s
     queries = vectors.filter("query")
     passes = -(-queries.count() // PASS)
     queries = saved(queries.withColumn("pass", F.pmod(F.xxhash64("row"), F.lit(max(1, passes)))), "queries")
-    left = None
+    left, used = None, [file, queries]
     for n in range(passes):
         mine = table.sparkSession.sparkContext.broadcast(queries.filter(F.col("pass") == n).select("row", "vec_id", "vector").toArrow())  # about PASS rows
         bounds = saved(file.mapInArrow(_scan(mine, ranges, k), BOUNDS), "bounds")
+        used.append(bounds)
         # The k-th best lower bound of each query, of the tasks' own k best.
         lower = _first(_first(bounds, ["query_row", "part"], [F.desc("lower")], k), ["query_row"], [F.desc("lower")], k)
         least = lower.filter(F.col("nth") == k).select("query_row", F.col("lower").alias("least"))
@@ -117,7 +118,9 @@ def approximate_candidates(table: DataFrame, is_query: Column, k: int, id_col: s
         left = rows if left is None else left.unionByName(rows)
     if left is None:
         left = table.sparkSession.createDataFrame([], "query_row long, row long, upper double")
-    return vectors, saved(_first(left, ["query_row"], [F.desc("upper"), F.col("row")]), "candidates")
+    candidates = saved(_first(left, ["query_row"], [F.desc("upper"), F.col("row")]), "candidates")
+    discard(*used)
+    return vectors, candidates
 
 
 def exact_top(vectors: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -130,7 +133,9 @@ def exact_top(vectors: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         products = F.zip_with("q", "vector", lambda a, b: a * b)
         got = got.select("query_row", "query_id", "vec_id", F.aggregate(products, F.lit(0).cast("long"), lambda n, x: n + x).alias("score"))
         both = got if best is None else got.unionByName(best.select(*got.columns))
-        best = saved(_first(both, ["query_row"], [F.desc("score"), F.col("vec_id")], k), "neighbours")
+        last, best = best, saved(_first(both, ["query_row"], [F.desc("score"), F.col("vec_id")], k), "neighbours")
+        if last is not None:
+            discard(last)
         kth = best.filter(F.col("nth") == k).select("query_row", F.col("score").alias("least"))
         start, end = end, end + (end - start) * GROWTH
         # A bound that equals the k-th score may still be a tie of a smaller id.
