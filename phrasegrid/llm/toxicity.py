@@ -20,8 +20,10 @@ WINDOW, STRIDE = 48, 24
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1000, 3000, 24_000_000
 #: Bytes of a word; a longer run is several words, end to end.
 LONGEST = 24
-#: Buckets and vectors of words, vectors of bytes, units each way over the bytes of a word and over the words of a window.
-WORDS, WIDTH, BYTE_WIDTH, BYTE_UNITS, UNITS = 1 << 14, 12, 8, 8, 12
+#: Buckets of words and of parts of words, the parts' lengths in bytes, and the size of their vectors.
+WORDS, GRAMS, LENGTHS, WIDTH = 1 << 14, 1 << 15, (4, 6), 12
+#: Vectors of bytes, units each way over the bytes of a word and over the words of a window.
+BYTE_WIDTH, BYTE_UNITS, UNITS = 8, 4, 12
 EPOCHS, STEPS, BAGS, RATE = 30, 700, 24, 6e-3  # whichever of the first two ends sooner
 #: Logit of a window without words: no evidence at all.
 NO_WORDS = -15.0
@@ -41,36 +43,76 @@ def window_starts(n: int) -> np.ndarray:
     return np.arange(max(1, -(-(n - WINDOW) // STRIDE) + 1)) * STRIDE
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A word's bucket, which goes by its letters if it has any; the words' bytes, padded to the longest; and their mask."""
+def word_features(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """A word's bucket, all words' part buckets one after the other, and which word each part belongs to (ascending).
+
+    Both go by the word's letters, if it has any: a mark beside or between them makes no other word.
+    """
     import xxhash
 
-    bucket = np.fromiter((xxhash.xxh3_64_intdigest(NOT_LETTERS.sub(b"", w) or w) % WORDS for w in words), np.int64, len(words))
+    cores = [NOT_LETTERS.sub(b"", w) or w for w in words]
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % WORDS for w in cores), np.int64, len(words))
+    sizes = np.array([len(w) + 2 for w in cores], np.int64)
+    flat = np.frombuffer(b"".join(b"^" + w + b"$" for w in cores), np.uint8).astype(np.uint64)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    grams, owners = [], []
+    for n in LENGTHS:
+        if len(flat) < n:
+            continue
+        h = np.full(len(flat) - n + 1, n, np.uint64)
+        for k in range(n):
+            h = (h ^ flat[k : k + len(h)]) * np.uint64(0x100000001B3)
+        keep = np.arange(len(h)) + n <= ends[: len(h)]
+        grams.append(((h >> np.uint64(20)) % np.uint64(GRAMS)).astype(np.int64)[keep])
+        owners.append(owner[: len(h)][keep])
+    grams, owners = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, owners))
+    order = np.argsort(owners, kind="stable")
+    return bucket, grams[order], owners[order]
+
+
+def byte_columns(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words' order from the longest down, and for each place the bytes there of those that reach it, in that order."""
     sizes = np.array([len(w) for w in words], np.int64)
-    mask = np.arange(max(1, int(sizes.max(initial=1)))) < sizes[:, None]
-    chars = np.zeros(mask.shape, np.int64)
-    chars[mask] = np.frombuffer(b"".join(words), np.uint8)
-    return bucket, chars, mask.astype(np.float32)
+    order = np.argsort(-sizes, kind="stable")
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    begins = (np.cumsum(sizes) - sizes)[order]
+    reach = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")
+    return order, [flat[begins[:n] + t].astype(np.int64) for t, n in enumerate(reach.tolist())]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _cell(g: np.ndarray, state: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A gated recurrent unit's update and reset gates, candidate, and what the reset gate let through, before it."""
+    h, hu = len(u), state @ u
+    zr = _sigmoid(g[:, : 2 * h] + hu[:, : 2 * h])
+    z, r, through = zr[:, :h], zr[:, h:], hu[:, 2 * h :]
+    return z, r, np.tanh(g[:, 2 * h :] + r * through), through
+
+
+def _cell_back(d_new: np.ndarray, before: np.ndarray, cell: tuple, m, u: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gradients of a unit's inputs and of the state before; adds nothing where the mask is 0."""
+    z, r, c, through = cell
+    d_c = d_new * m * (1 - z) * (1 - c * c)
+    d_z = -d_new * m * (c - before) * z * (1 - z)
+    d_r = d_c * through * r * (1 - r)
+    d_hu = np.concatenate([d_z, d_r, d_c * r], 1)
+    return np.concatenate([d_z, d_r, d_c], 1), d_hu, d_new * (1 - m * (1 - z)) + d_hu @ u.T
+
+
 def _recur(projected: np.ndarray, ids: np.ndarray, mask: np.ndarray, u: np.ndarray, forward: bool, tape: list | None) -> np.ndarray:
     """States [step, row, unit] of a gated recurrent layer over rows of ``projected``; where the mask is 0 a state stays."""
     (n, steps), h = ids.shape, len(u)
     state, states = np.zeros((n, h), u.dtype), np.empty((steps, n, h), u.dtype)
     for t in range(steps) if forward else range(steps - 1, -1, -1):
-        g, hu = projected[ids[:, t]], state @ u
-        zr = _sigmoid(g[:, : 2 * h] + hu[:, : 2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        c = np.tanh(g[:, 2 * h :] + r * hu[:, 2 * h :])
+        z, _, c, _ = cell = _cell(projected[ids[:, t]], state, u)
         m = mask[:, t, None]
-        new = state + m * (1 - z) * (c - state)
         if tape is not None:
-            tape.append((t, state, z, r, c, hu[:, 2 * h :], m))
-        state = states[t] = new
+            tape.append((t, state, cell, m))
+        state = states[t] = state + m * (1 - z) * (c - state)
     return states
 
 
@@ -79,28 +121,48 @@ def _back(tape: list, u: np.ndarray, d_states: np.ndarray, ids: np.ndarray, rows
     n, h = len(ids), len(u)
     d_u, d_state = np.zeros_like(u), np.zeros((n, h), u.dtype)
     d_all = np.empty((ids.shape[1], n, 3 * h), u.dtype)
-    for t, before, z, r, c, hun, m in reversed(tape):
-        d_new = d_state + d_states[t]
-        d_c = d_new * m * (1 - z) * (1 - c * c)
-        d_z = -d_new * m * (c - before) * z * (1 - z)
-        d_r = d_c * hun * r * (1 - r)
-        d_all[t] = np.concatenate([d_z, d_r, d_c], 1)
-        d_hu = np.concatenate([d_z, d_r, d_c * r], 1)
+    for t, before, cell, m in reversed(tape):
+        d_all[t], d_hu, d_state = _cell_back(d_state + d_states[t], before, cell, m, u)
         d_u += before.T @ d_hu
-        d_state = d_new * (1 - m * (1 - z)) + d_hu @ u.T
     return _sum_rows(d_all.reshape(-1, 3 * h), ids.T.ravel(), rows), d_u
 
 
+def _read(projected: np.ndarray, columns: list[np.ndarray], n: int, u: np.ndarray, forward: bool, tape: list | None) -> np.ndarray:
+    """Last states of n rows, longest first, whose inputs at each place number rows of ``projected``."""
+    state = np.zeros((n, len(u)), u.dtype)
+    for ids in columns if forward else columns[::-1]:
+        own = state[: len(ids)]
+        z, _, c, _ = cell = _cell(projected[ids], own, u)
+        if tape is not None:
+            tape.append((ids, own.copy(), cell))
+        own += (1 - z) * (c - own)
+    return state
+
+
+def _read_back(tape: list, u: np.ndarray, d_state: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the gradient of the last states that of ``projected`` (of so many rows) and of ``u``."""
+    d_u, parts, at, d_state = np.zeros_like(u), [], [], d_state.copy()
+    for ids, before, cell in reversed(tape):
+        d_g, d_hu, d_state[: len(ids)] = _cell_back(d_state[: len(ids)], before, cell, 1, u)
+        d_u += before.T @ d_hu
+        parts.append(d_g)
+        at.append(ids)
+    if not parts:
+        return np.zeros((rows, 3 * len(u)), u.dtype), d_u
+    return _sum_rows(np.concatenate(parts), np.concatenate(at), rows), d_u
+
+
 class Network:
     """Window logits. Two levels of bidirectional gated recurrent layers: one reads the bytes of each word, the other the
-    words of a window, each as its own vector and its bytes' last states; softmax attention with a learnt query pools those
-    states."""
+    words of a window, each as its own vector, the sum of its parts' vectors and its bytes' last states; softmax attention
+    with a learnt query pools the states of the latter."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         f = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.p = {"word": f(WORDS, WIDTH, scale=0.1), "byte": f(256, BYTE_WIDTH, scale=0.5), "query": f(2 * UNITS, scale=0.5), "out": f(2 * UNITS, scale=0.5), "bias": np.full(1, -2, np.float32)}
-        for level, d, h in (("b", BYTE_WIDTH, BYTE_UNITS), ("w", WIDTH + 2 * BYTE_UNITS, UNITS)):
+        self.p = {"word": f(WORDS, WIDTH, scale=0.1), "gram": f(GRAMS, WIDTH, scale=0.1), "query": f(2 * UNITS, scale=0.5), "out": f(2 * UNITS, scale=0.5), "bias": np.full(1, -2, np.float32)}
+        self.p["byte"] = f(256, BYTE_WIDTH, scale=0.5)
+        for level, d, h in (("b", BYTE_WIDTH, BYTE_UNITS), ("w", 2 * WIDTH + 2 * BYTE_UNITS, UNITS)):
             for way in "fb":
                 key = level + way
                 self.p |= {f"x{key}": f(d, 3 * h, scale=d**-0.5), f"h{key}": f(h, 3 * h, scale=h**-0.5), f"c{key}": np.zeros(3 * h, np.float32)}
@@ -109,13 +171,20 @@ class Network:
         return x @ self.p[f"x{level}{way}"] + self.p[f"c{level}{way}"]
 
     def inputs(self, words: list[bytes], tape: dict | None = None) -> np.ndarray:
-        """Each word's vector and its bytes' last state in both ways."""
-        bucket, chars, mask = word_features(words)
-        ways = {w: [] for w in "fb"} if tape is not None else {"f": None, "b": None}
-        f, b = (_recur(self.projected(self.p["byte"], "b", w), chars, mask, self.p[f"hb{w}"], w == "f", ways[w]) for w in "fb")
+        """Each word's vector, its parts' and its bytes' last state in both ways."""
+        bucket, grams, owners = word_features(words)
+        counts = np.bincount(owners, minlength=len(words))
+        parts = np.zeros((len(words), WIDTH), self.p["gram"].dtype)
+        if len(grams):
+            has = counts > 0
+            parts[has] = np.add.reduceat(self.p["gram"][grams], (np.cumsum(counts) - counts)[has]) / np.sqrt(counts[has])[:, None]
+        order, columns = byte_columns(words)
+        tapes = {w: [] for w in "fb"} if tape is not None else {"f": None, "b": None}
+        states = np.empty((len(words), 2 * BYTE_UNITS), self.p["byte"].dtype)
+        states[order] = np.concatenate([_read(self.projected(self.p["byte"], "b", w), columns, len(words), self.p[f"hb{w}"], w == "f", tapes[w]) for w in "fb"], 1)
         if tape is not None:
-            tape |= {"byte-ways": ways, "bucket": bucket, "chars": chars}
-        return np.concatenate([self.p["word"][bucket], f[-1], b[0]], 1)
+            tape |= {"bytes": tapes, "features": (bucket, grams, owners, counts, order)}
+        return np.concatenate([self.p["word"][bucket], parts, states], 1)
 
     def logits(self, projected: dict[str, np.ndarray], ids: np.ndarray, mask: np.ndarray, tape: dict | None = None) -> np.ndarray:
         """ids [windows, WINDOW] number rows of projected inputs; mask is 0 beyond a text's end."""
@@ -141,20 +210,20 @@ class Network:
         d_states = a[:, :, None] * d_pooled + d_e[:, :, None] * p["query"]
         d_x = np.zeros_like(x)
         for k, way in enumerate("fb"):
-            d_x += self._layer_gradients(g, "w" + way, tape["ways"][way], d_states[:, :, k * UNITS : (k + 1) * UNITS], ids, x)
-        g["word"] = _used_rows(d_x[:, :WIDTH], tape["bucket"])
-        d_byte = np.zeros_like(p["byte"])
+            d_proj, g[f"hw{way}"] = _back(tape["ways"][way], p[f"hw{way}"], d_states[:, :, k * UNITS : (k + 1) * UNITS], ids, len(x))
+            d_x += self._projection(g, "w" + way, d_proj, x)
+        bucket, grams, owners, counts, order = tape["features"]
+        g["word"] = _used_rows(d_x[:, :WIDTH], bucket)
+        g["gram"] = _used_rows((d_x[:, WIDTH : 2 * WIDTH] / np.sqrt(np.maximum(counts, 1))[:, None])[owners], grams)
+        g["byte"] = np.zeros_like(p["byte"])
         for k, way in enumerate("fb"):
-            chars = tape["chars"]
-            d_last = np.zeros((chars.shape[1], len(x), BYTE_UNITS), x.dtype)
-            d_last[-1 if way == "f" else 0] = d_x[:, WIDTH + k * BYTE_UNITS : WIDTH + (k + 1) * BYTE_UNITS]
-            d_byte += self._layer_gradients(g, "b" + way, tape["byte-ways"][way], d_last, chars, p["byte"])
-        g["byte"] = d_byte
+            first = 2 * WIDTH + k * BYTE_UNITS
+            d_proj, g[f"hb{way}"] = _read_back(tape["bytes"][way], p[f"hb{way}"], d_x[order, first : first + BYTE_UNITS], 256)
+            g["byte"] += self._projection(g, "b" + way, d_proj, p["byte"])
         return g
 
-    def _layer_gradients(self, g: dict, key: str, tape: list, d_states: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Adds a layer's own to ``g``; that of its inputs."""
-        d_proj, g[f"h{key}"] = _back(tape, self.p[f"h{key}"], d_states, ids, len(x))
+    def _projection(self, g: dict, key: str, d_proj: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Adds the gradients of a projection of ``x`` to ``g``; that of ``x``."""
         g[f"c{key}"], g[f"x{key}"] = d_proj.sum(0), x.T @ d_proj
         return d_proj @ self.p[f"x{key}"].T
 

@@ -46,8 +46,9 @@ def test_gradients_are_right():
         assert abs(slope(net.p[name], at) - got[name][at]) < 1e-6, name
     letter = ord("a")
     assert abs(slope(net.p["byte"], (letter, 0)) - got["byte"][letter, 0]) < 1e-6
-    rows, g = got["word"]
-    assert abs(slope(net.p["word"], (rows[0], 1)) - g[0, 1]) < 1e-6
+    for name in ("word", "gram"):
+        rows, g = got[name]
+        assert abs(slope(net.p[name], (rows[0], 1)) - g[0, 1]) < 1e-6
 
 
 def plain_score(model, text):
@@ -69,7 +70,15 @@ def plain_score(model, text):
     for w in words:
         chars = [p["byte"][c] for c in w]
         core = re.sub(rb"[^a-z\x80-\xff]", b"", w) or w
-        vectors.append(np.concatenate([p["word"][xxhash.xxh3_64_intdigest(core) % tox.WORDS], states(chars, "bf")[-1], states(chars, "bb")[0]]))
+        marked, parts = b"^" + core + b"$", []
+        for n in tox.LENGTHS:
+            for k in range(len(marked) - n + 1):
+                h = n
+                for c in marked[k : k + n]:
+                    h = (h ^ c) * 0x100000001B3 % 2**64
+                parts.append(p["gram"][(h >> 20) % tox.GRAMS])
+        part = np.sum(parts, 0) / len(parts) ** 0.5 if parts else np.zeros(tox.WIDTH)
+        vectors.append(np.concatenate([p["word"][xxhash.xxh3_64_intdigest(core) % tox.WORDS], part, states(chars, "bf")[-1], states(chars, "bb")[0]]))
     evidence = []
     for at in range(0, max(len(words) - 48, 0) + 24 if len(words) > 48 else 1, 24):
         if own := vectors[at : at + 48]:
