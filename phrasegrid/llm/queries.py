@@ -136,12 +136,13 @@ def _license_sql() -> str:
     ), reach AS (
       SELECT c.doc_id, c.template, c.label, c.grams, c.chain, c.diagonal, count(DISTINCT h.tpos) / CAST(c.grams AS DOUBLE) AS coverage
       FROM chains c JOIN chains o ON o.doc_id = c.doc_id AND o.template = c.template AND o.chain = c.chain AND o.diagonal BETWEEN c.diagonal AND c.diagonal + c.grams
-      JOIN hits h ON h.doc_id = o.doc_id AND h.template = o.template AND h.diagonal = o.diagonal GROUP BY ALL
-    ), notices AS (
-      SELECT doc_id, label, chain, max(coverage) AS coverage,
-        list_reduce(list({{'n': CAST(1 AS BIGINT), 'at': CAST(diagonal AS BIGINT), 'grams': grams}} ORDER BY diagonal) FILTER (coverage >= {COVERAGE}),
-          lambda a, b: CASE WHEN b.at > a.at + a.grams THEN {{'n': a.n + 1, 'at': b.at, 'grams': a.grams}} ELSE a END).n AS times
+      JOIN hits h ON h.doc_id = o.doc_id AND h.template = o.template AND h.diagonal = o.diagonal GROUP BY c.doc_id, c.template, c.label, c.grams, c.chain, c.diagonal
+    ), starts AS (
+      SELECT doc_id, label, max(coverage) AS coverage, list({{'n': CAST(1 AS BIGINT), 'at': CAST(diagonal AS BIGINT), 'grams': grams}} ORDER BY diagonal) FILTER (coverage >= {COVERAGE}) AS places
       FROM reach GROUP BY doc_id, template, label, chain
+    ), notices AS (
+      SELECT doc_id, label, coverage,
+        CASE WHEN len(places) > 0 THEN list_reduce(places, lambda a, b: CASE WHEN b.at > a.at + a.grams THEN {{'n': a.n + 1, 'at': b.at, 'grams': a.grams}} ELSE a END).n END AS times FROM starts
     ), d AS (
       SELECT doc_id, sum(n_base) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_base > 0) AS base_labels,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (coverage >= {COVERAGE}) AS labels, max(coverage) AS score, sum(times) AS n_notices
