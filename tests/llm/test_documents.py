@@ -21,7 +21,7 @@ from phrasegrid.llm.lm_score import Ppm, _subtries, grams, lm_scores
 from phrasegrid.llm.lm_score import _summed as summed
 from phrasegrid.llm.near_dedup import near_duplicates
 from phrasegrid.llm.packing import fullest, minimum_bin_slack, pack, word_bpe_coder
-from phrasegrid.llm.queries import pretokenizer, tokenizer_path
+from phrasegrid.llm.queries import ORACLES, pretokenizer, tokenizer_path
 from phrasegrid.llm.token_counts import count_tokens, document_token_counts, read_flat, write_flat
 
 from .conftest import EDGES, rows_of
@@ -244,6 +244,29 @@ def test_license_spans_are_verified(spark):
     assert got[0].score < 0.2 and got[1].score == 1 and 0.9 < got[2].score < 1 and got[4].score == 1
 
 
+def test_license_scan_is_its_sql_where_pieces_repeat(spark):
+    import duckdb
+
+    rng = random.Random(12)
+    texts = ["licensed under cc by licensed under cc by", "this is free and unencumbered text " * 2 + "this is free and unencumbered software"]
+    for notice in NOTICES.values():
+        words = re.findall(r"\w+", notice)
+        for _ in range(6):
+            parts = [words[(a := rng.randrange(len(words))) : a + rng.randint(2, len(words))] for _ in range(rng.randint(1, 6))]
+            texts.append(" ".join(" ".join(x) + " " + prose(rng.randint(0, 6), rng) for x in parts))
+        texts += [" ".join(words * 3), " ".join([*words, *words[:30], *words])]
+    got = license_scan(rows_of(spark, [(i, t, "a") for i, t in enumerate(texts)]))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.sql(ORACLES["op3_license_scan"])
+    plain = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    rows = keyed(plain(r) for r in got.select(*want.columns).collect())
+    assert rows == keyed(map(plain, want.fetchall()))
+    labels = {r[0]: r[want.columns.index("labels")] for r in rows}
+    assert labels[0] == labels[1] == ""
+
+
 def test_license_scan_of_nothing(nothing):
     assert license_scan(nothing).collect() == []
 

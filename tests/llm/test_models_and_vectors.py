@@ -238,3 +238,18 @@ def test_pipeline_cleans_short_pages_but_keeps_copies(spark):
     got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert {i: got[i].text for i in range(12)} == dict(enumerate(pages)) and all(r.n_chars == len(r.text) for r in got.values())
     assert all(got[i].text == t for i, t, *_ in rows if i >= 100)
+
+
+def test_pipeline_of_nothing_and_of_columns_with_clashing_names(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long, row long, doc string, kept boolean, gone long, score double, part int, lines_removed long"
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(7, text, "en", "a", 1, 1, "d", False, 1, 0.1, 1, 9), (7, text, "en", "b", 2, 2, "d", True, 1, 0.1, 1, 9), (None, text + " more", "en", "c", 3, 3, "d", None, 1, 0.1, 1, 9), (None, None, None, None, None, None, None, None, None, None, None, 9)]
+    for data, left in ([], 0), (rows, 2):
+        docs = spark.createDataFrame(data, names).coalesce(1)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+        assert out.count() == left
+        assert corpus_pipeline.packing(spark, docs, str(tmp_path)).count() == len(data)
