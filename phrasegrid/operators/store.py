@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores, stored anew in as many if they take it at once (1 to 32 MB
+    each); others as they are, since larger ones come in more."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = 1 << 20 <= size <= cores * (32 << 20) and df.rdd.getNumPartitions() < cores
+    return stored(df.repartition(cores), name) if few else df
+
+
 def _path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

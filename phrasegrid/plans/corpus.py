@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators.index import Index, build
-from ..operators.store import shared_dir
+from ..operators.store import shared_dir, spread
 
 _built: dict[tuple[str, str], Index] = {}
 
@@ -32,7 +32,7 @@ def index_for(spark: SparkSession, sf_dir: str) -> Index:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-        build(corpus(spark, sf_dir)).write(path)
+        build(spread(corpus(spark, sf_dir), "corpus")).write(path)
         index = Index.read(spark, path)
         _built[key] = Index(index.docs.withColumn("path_date", P.path_date(F.col("path"))), index.positions, index.lines, index.words, index.links)
     return _built[key]
