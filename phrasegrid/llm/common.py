@@ -16,8 +16,18 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8_000_000
 
 
+#: Bytes from which a table that comes in too few pieces is dealt out, and at most for each core.
+SPREAD_LEAST, SPREAD_MOST = 1 << 20, 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One that comes in fewer pieces than there are cores, and is no larger than they take at once, is stored anew
+    in as many, so that the work on its rows isn't left to a few tasks; larger ones come in more."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if SPREAD_LEAST <= _size(df) <= SPREAD_MOST * cores and df.rdd.getNumPartitions() < cores:
+        return saved(df.repartition(cores), name)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def broadcastable(df: DataFrame) -> bool:
     """Whether a stored table is small enough for Spark to broadcast it, by the size of its files."""
-    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+    return _size(df) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def _size(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
