@@ -22,6 +22,7 @@ from .operators import links as L
 from .operators import rank, snippet
 from .operators.index import Index, build
 from .operators.session import State, run_script
+from .operators.store import stored
 from .params import Params
 from .sources import files
 from .sources.config import with_config
@@ -88,23 +89,23 @@ def documents(spark: SparkSession, a: argparse.Namespace, params: Params) -> Ind
     raw = files.raw_files(spark, gather(spark, a, params))
     if not a.index_path:
         return build(files.texts_of(raw))
+    own = stored(raw.select("path", "search_mode", "doc_hash", "mod_time", "format"), "files")  # files are hashed once
+    new = own
     if I.committed(spark, a.index_path):
-        known = Index.read(spark, a.index_path).docs
-        I.append(files.texts_of(I.new_documents(raw, known)), a.index_path)
-    else:
-        I.append(files.texts_of(raw), a.index_path)
-    own = raw.select("path", "search_mode", "doc_hash", "mod_time", "format")
+        new = I.new_documents(own, Index.read(spark, a.index_path).docs)
+    new = new.groupBy("doc_hash").agg(F.min("path").alias("path")).select("path")
+    I.append(files.texts_of(raw.join(new, "path", "left_semi")), a.index_path)
     I.touch(spark, a.index_path, own)
-    stored = Index.read(spark, a.index_path)
-    if stored.docs.select("doc_id").distinct().count() > params.cache_limit:
-        used = stored.docs.join(I.last_used(spark, a.index_path), "doc_hash", "left")
-        pruned = I.prune(Index(used, stored.positions, stored.lines, stored.words, stored.links), params.cache_limit)
+    index = Index.read(spark, a.index_path)
+    if index.docs.select("doc_id").distinct().count() > params.cache_limit:
+        used = index.docs.join(I.last_used(spark, a.index_path), "doc_hash", "left")
+        pruned = I.prune(Index(used, index.positions, index.lines, index.words, index.links), params.cache_limit)
         Index(pruned.docs.drop("last_used"), pruned.positions, pruned.lines, pruned.words, pruned.links).write(a.index_path)
-        stored = Index.read(spark, a.index_path)
-    contents = stored.docs.select("doc_hash", "doc_id", "title").dropDuplicates(["doc_hash"])
+        index = Index.read(spark, a.index_path)
+    contents = index.docs.select("doc_hash", "doc_id", "title").dropDuplicates(["doc_hash"])
     docs = own.join(contents, "doc_hash")
     only = lambda df: df.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    return Index(docs, only(stored.positions), only(stored.lines), stored.words, only(stored.links))
+    return Index(docs, only(index.positions), only(index.lines), index.words, only(index.links))
 
 
 def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
