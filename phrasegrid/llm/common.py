@@ -41,11 +41,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def broadcastable(df: DataFrame) -> bool:
-    """Whether a stored table is small enough for Spark to broadcast it, by the size of its files."""
-    return _size(df) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-
-
 def _size(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
