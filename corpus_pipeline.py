@@ -29,19 +29,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Sites and texts are counted over one document of each group of near-duplicates, so that the lines of copies aren't
     boilerplate for being copied; lines that are go from every document, whatever their share of it.
     """
-    clean = dedup_lines(docs, counted=near_dedup(spark, docs, sf_dir))
+    clean = dedup_lines(docs, uncounted=_later_copies(docs))
     n_chars = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
+def _later_copies(docs: DataFrame) -> DataFrame:
+    """The places (row) of all but the first document of each group of near-duplicates, written once."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    return saved(near_duplicates(rows, id_col="row").filter("not kept").select(F.col("doc_id").alias("row")), "later-copies")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the first in the table; null, empty and wordless texts have none and stay.
 
     Rows are told apart by their place, so documents without an id and those that share one are judged like others.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")
-    gone = near_duplicates(rows, id_col="row").filter("not kept").select(F.col("doc_id").alias("row"))
-    return rows.join(gone.hint("shuffle_hash"), "row", "left_anti").select("doc.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return rows.join(_later_copies(docs), "row", "left_anti").select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
