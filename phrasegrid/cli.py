@@ -7,6 +7,7 @@ import itertools
 import os
 import sys
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -99,13 +100,13 @@ def documents(spark: SparkSession, a: argparse.Namespace, params: Params) -> Ind
     index = Index.read(spark, a.index_path)
     if index.docs.select("doc_id").distinct().count() > params.cache_limit:
         used = index.docs.join(I.last_used(spark, a.index_path), "doc_hash", "left")
-        pruned = I.prune(Index(used, index.positions, index.lines, index.words, index.links), params.cache_limit)
-        Index(pruned.docs.drop("last_used"), pruned.positions, pruned.lines, pruned.words, pruned.links).write(a.index_path)
+        pruned = I.prune(replace(index, docs=used), params.cache_limit)
+        replace(pruned, docs=pruned.docs.drop("last_used")).write(a.index_path)
         index = Index.read(spark, a.index_path)
     contents = index.docs.select("doc_hash", "doc_id", "title").dropDuplicates(["doc_hash"])
     docs = own.join(contents, "doc_hash")
     only = lambda df: df.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    return Index(docs, only(index.positions), only(index.lines), index.words, only(index.links))
+    return Index(docs, only(index.positions), only(index.lines), index.words, only(index.links), only(index.brackets()))
 
 
 def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:

@@ -14,7 +14,7 @@ from .rank import placed
 from .store import children, present, remove
 
 #: Stored tables; docs is written last, and a batch counts once its documents are there.
-TABLES = ("lines", "positions", "words", "links", "docs")
+TABLES = ("lines", "positions", "words", "links", "pairs", "docs")
 
 
 @dataclass(frozen=True)
@@ -23,8 +23,8 @@ class Index:
 
     docs: path, search_mode, doc_id, doc_hash, title and what else the documents have (format, mod_time, last_used);
     lines: doc_id, line, start_pos, end_pos, page, line_in_page, nonspace, tokens; positions: doc_id, pos, line, word;
-    words: word, word_ci, word_len; links: doc_id, start_pos, end_pos, typ, link. Everything but docs is made from lines,
-    the one table that texts are tokenized for. ``doc_id`` numbers contents: equal contents share one.
+    words: word, word_ci, word_len; links: doc_id, start_pos, end_pos, typ, link; pairs: doc_id, open_pos, close_pos of
+    matching brackets. Everything but docs is made from lines, the one table that texts are tokenized for. ``doc_id`` numbers contents: equal contents share one.
     """
 
     docs: DataFrame
@@ -32,10 +32,12 @@ class Index:
     lines: DataFrame
     words: DataFrame
     links: DataFrame
+    pairs: DataFrame | None = None
 
     @staticmethod
     def of(docs: DataFrame, lines: DataFrame) -> Index:
-        return Index(docs, position_rows(lines), lines, word_rows(lines), L.link_rows(lines))
+        at = position_rows(lines)
+        return Index(docs, at, lines, word_rows(lines), L.link_rows(lines), bracket_pairs(at))
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Stores the index at ``path``, in place of one that is there or (``append``) beside its batches.
@@ -59,6 +61,7 @@ class Index:
             words = words.join(Index.read(spark, path).words.select("word"), "word", "left_anti")
         words.repartitionByRange("word_ci", "word").sortWithinPartitions("word_ci", "word").write.parquet(at("words"))
         derived.links.write.parquet(at("links"))
+        derived.pairs.write.parquet(at("pairs"))
         self.docs.write.parquet(at("docs"))
         for name in reversed(TABLES):
             for other in children(spark, f"{path}/{name}"):
@@ -72,7 +75,7 @@ class Index:
         if not batches:
             raise ValueError(f"no index at {path}")
         table = lambda name: spark.read.parquet(*(f"{path}/{name}/batch={b}" for b in batches))
-        return Index(*(table(name) for name in ("docs", "positions", "lines", "words", "links")))
+        return Index(*(table(name) for name in ("docs", "positions", "lines", "words", "links", "pairs")))
 
     def postings(self) -> DataFrame:
         return self.positions.select("word", "doc_id").distinct()
@@ -88,7 +91,7 @@ class Index:
         return self.lines.select("doc_id", "line", F.array_join("tokens", "").alias("line_text"))
 
     def brackets(self) -> DataFrame:
-        return bracket_pairs(self.positions)
+        return bracket_pairs(self.positions) if self.pairs is None else self.pairs
 
     def words_between(self, doc_id: Column | int, lo: int, hi: int) -> DataFrame:
         near = self.lines.filter((F.col("doc_id") == doc_id) & (F.col("start_pos") <= hi) & (F.col("end_pos") >= lo))
@@ -224,18 +227,37 @@ def last_used(spark: SparkSession, path: str) -> DataFrame:
 def prune(index: Index, keep: int) -> Index:
     """The index without its least recently used documents, links included."""
     gone = least_recently_used(index.docs.groupBy("doc_id").agg(F.max("last_used").alias("last_used")), keep)
-    docs, positions, lines, links = (df.join(gone, "doc_id", "left_anti") for df in (index.docs, index.positions, index.lines, index.links))
-    return Index(docs, positions, lines, index.words, links)
+    docs, positions, lines, links, pairs = (df.join(gone, "doc_id", "left_anti") for df in (index.docs, index.positions, index.lines, index.links, index.brackets()))
+    return Index(docs, positions, lines, index.words, links, pairs)
+
+
+#: Positions of a block of the bracket scan.
+BRACKET_BLOCK = 4096
 
 
 def bracket_pairs(positions: DataFrame) -> DataFrame:
     """(doc_id, open_pos, close_pos) of matching brackets, each kind by itself: an opening one's partner is the next
-    bracket at its depth, if that closes."""
+    bracket at its depth, if that closes.
+
+    Both depths and partners are found in two levels: inside blocks of positions, then over what the blocks leave, which is
+    one sum for each block, and of each depth at most a block's first and last bracket. No window spans a document's brackets.
+    """
     kinds = F.create_map(*(F.lit(x) for o, c in ("()", "[]", "{}") for x in (o, o, c, o)))
     marks = positions.filter(F.col("word").isin(*"()[]{}")).select("doc_id", "pos", F.element_at(kinds, F.col("word")).alias("kind"), F.col("word").isin("(", "[", "{").alias("opens"))
-    order = Window.partitionBy("doc_id", "kind").orderBy("pos")
-    depth = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(order)
-    level = marks.withColumn("depth", depth + F.when(F.col("opens"), 0).otherwise(1))
-    same = Window.partitionBy("doc_id", "kind", "depth").orderBy("pos")
-    paired = level.withColumns({"close_pos": F.lead("pos").over(same), "next_opens": F.lead("opens").over(same)})
-    return paired.filter("opens and not next_opens").select("doc_id", F.col("pos").alias("open_pos"), "close_pos")
+    marks = marks.withColumn("block", F.floor(F.col("pos") / BRACKET_BLOCK))
+    step = F.when(F.col("opens"), 1).otherwise(-1)
+    sums = marks.groupBy("doc_id", "kind", "block").agg(F.sum(step).alias("change"))
+    before = F.sum("change").over(Window.partitionBy("doc_id", "kind").orderBy("block")) - F.col("change")
+    bases = sums.select("doc_id", "kind", "block", before.alias("base"))
+    inside = F.sum(step).over(Window.partitionBy("doc_id", "kind", "block").orderBy("pos"))
+    level = marks.withColumn("inside", inside).join(bases, ["doc_id", "kind", "block"])
+    level = level.withColumn("depth", F.col("base") + F.col("inside") + F.when(F.col("opens"), 0).otherwise(1))
+    own = Window.partitionBy("doc_id", "kind", "depth", "block").orderBy("pos")
+    rows = level.withColumns({"next_pos": F.lead("pos").over(own), "next_opens": F.lead("opens").over(own), "nth": F.row_number().over(own)})
+    near = rows.filter("opens and not next_opens").select("doc_id", F.col("pos").alias("open_pos"), F.col("next_pos").alias("close_pos"))
+    # What is first or last in its block may have a partner in another one.
+    edge = rows.filter("nth = 1 or next_pos is null").select("doc_id", "kind", "depth", "pos", "opens", F.col("next_pos").isNull().alias("last"))
+    over = Window.partitionBy("doc_id", "kind", "depth").orderBy("pos")
+    far = edge.withColumns({"next_pos": F.lead("pos").over(over), "next_opens": F.lead("opens").over(over)})
+    far = far.filter("opens and last and not next_opens").select("doc_id", F.col("pos").alias("open_pos"), F.col("next_pos").alias("close_pos"))
+    return near.unionByName(far)

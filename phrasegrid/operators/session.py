@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -178,9 +179,15 @@ def union_intervals(rows: DataFrame) -> DataFrame:
 
 
 def intersect_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
-    other = b.select(F.col("doc_id").alias("d"), F.col("lo").alias("l"), F.col("hi").alias("h"))
-    both = a.join(other, (F.col("doc_id") == F.col("d")) & (F.col("lo") <= F.col("h")) & (F.col("l") <= F.col("hi")))
-    return both.select("doc_id", F.greatest("lo", "l").alias("lo"), F.least("hi", "h").alias("hi"))
+    """(doc_id, lo, hi) that are in an interval of both. The places where intervals open and close lie in one run, and
+    running sums tell how many of either are open from one place to the next; no interval meets another."""
+    one = lambda df, here, there: [df.select("doc_id", place.alias("at"), F.lit(n * here).alias("a"), F.lit(n * there).alias("b")) for place, n in ((F.col("lo").cast("long"), 1), (F.col("hi").cast("long") + 1, -1))]
+    whole = [df.filter("lo <= hi") for df in (a, b)]
+    events = reduce(DataFrame.unionByName, [*one(whole[0], 1, 0), *one(whole[1], 0, 1)])
+    places = events.groupBy("doc_id", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    order = Window.partitionBy("doc_id").orderBy("at")
+    run = places.select("doc_id", "at", F.sum("a").over(order).alias("a"), F.sum("b").over(order).alias("b"), F.lead("at").over(order).alias("end"))
+    return run.filter("a > 0 and b > 0").select("doc_id", F.col("at").alias("lo"), (F.col("end") - 1).alias("hi"))
 
 
 class History:
@@ -239,7 +246,7 @@ class History:
         fresh = with_hash(docs).drop("text", "doc_id").join(ids, "doc_hash")
         kept = old.docs.join(fresh.select("path"), "path", "left_anti").drop("doc_id", "title").join(ids, "doc_hash")
         docs = stored(kept.unionByName(fresh, allowMissingColumns=True).withColumn("search_mode", F.coalesce("search_mode", F.lit("multi"))), "documents")
-        new = Index(docs, index.positions, index.lines, index.words, index.links)
+        new = replace(index, docs=docs)
         return self.restart(State.start(new, self.states[0].cwd, self.states[0].params))
 
     def edit(self, text: str) -> list[str]:

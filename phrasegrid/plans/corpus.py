@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,5 +35,5 @@ def index_for(spark: SparkSession, sf_dir: str) -> Index:
         path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         build(spread(corpus(spark, sf_dir), "corpus")).write(path)
         index = Index.read(spark, path)
-        _built[key] = Index(index.docs.withColumn("path_date", P.path_date(F.col("path"))), index.positions, index.lines, index.words, index.links)
+        _built[key] = replace(index, docs=index.docs.withColumn("path_date", P.path_date(F.col("path"))))
     return _built[key]
