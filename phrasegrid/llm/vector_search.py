@@ -10,12 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, saved, saved_together
 
 #: Cells of a dimension; a cell number takes one byte.
 CELLS = 256
-#: Queries that one pass over the cells answers, how many of them are scanned at a time, and rows of a block of the scan.
-PASS, QUERY_BLOCK, ROW_BLOCK = 32768, 2048, 4096
+#: Bytes of the queries that one pass over the cells answers: they are broadcast.
+PASS_BYTES = 32_000_000
+#: Queries that are scanned at a time, and rows of a block of the scan.
+QUERY_BLOCK, ROW_BLOCK = 2048, 4096
 #: Exact vectors read per query in the first round; each round reads as many times more.
 STEP, GROWTH = 8, 4
 
@@ -104,22 +106,23 @@ def approximate_candidates(table: DataFrame, is_query: Column, k: int, id_col: s
     enough = _first(enough, ["vector", "vec_id"], [F.col("row")], k)
     file = saved(enough.select("row", "vec_id", "vector").mapInArrow(approximate, "row long, vec_id long, cells binary"), "cells")
     queries = vectors.filter("query")
-    passes = -(-queries.count() // PASS)
+    passes = -(-(queries.agg(F.coalesce(F.sum(F.size("vector") * 8 + 16), F.lit(0))).first()[0]) // PASS_BYTES)
     queries = saved(queries.withColumn("pass", F.pmod(F.xxhash64("row"), F.lit(max(1, passes)))), "queries")
-    left, used = None, [file, queries]
+    # What a pass leaves is written before the next one, so plans don't grow with their number.
+    left = []
     for n in range(passes):
-        mine = table.sparkSession.sparkContext.broadcast(queries.filter(F.col("pass") == n).select("row", "vec_id", "vector").toArrow())  # about PASS rows
+        mine = table.sparkSession.sparkContext.broadcast(queries.filter(F.col("pass") == n).select("row", "vec_id", "vector").toArrow())  # about PASS_BYTES
         bounds = saved(file.mapInArrow(_scan(mine, ranges, k), BOUNDS), "bounds")
-        used.append(bounds)
         # The k-th best lower bound of each query, of the tasks' own k best.
         lower = _first(_first(bounds, ["query_row", "part"], [F.desc("lower")], k), ["query_row"], [F.desc("lower")], k)
         least = lower.filter(F.col("nth") == k).select("query_row", F.col("lower").alias("least"))
         rows = bounds.join(least, "query_row", "left").filter(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query_row", "row", "upper")
-        left = rows if left is None else left.unionByName(rows)
-    if left is None:
-        left = table.sparkSession.createDataFrame([], "query_row long, row long, upper double")
-    candidates = saved(_first(left, ["query_row"], [F.desc("upper"), F.col("row")]), "candidates")
-    discard(*used)
+        left.append(saved(rows, "survivors"))
+        discard(bounds)
+        mine.destroy()
+    every = saved_together(left) if left else table.sparkSession.createDataFrame([], "query_row long, row long, upper double")
+    candidates = saved(_first(every, ["query_row"], [F.desc("upper"), F.col("row")]), "candidates")
+    discard(file, queries, *left)
     return vectors, candidates
 
 

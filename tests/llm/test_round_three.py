@@ -258,3 +258,27 @@ def test_bitset():
     assert s.rank(np.arange(1000)).tolist() == [int((places < k).sum()) for k in range(1000)]
     other = A.Bitset.of(np.arange(0, 1000, 3), 1000)
     assert set((s & other).select()) == set(places) & set(range(0, 1000, 3)) and set((s | other).select()) == set(places) | set(range(0, 1000, 3))
+
+
+# --- passes of the vector search
+
+
+@pytest.mark.parametrize("bytes_", [1, 700])
+def test_vector_search_in_many_passes(spark, monkeypatch, bytes_):
+    """However few queries a pass takes, the neighbours are those of brute force."""
+    from pyspark.sql import functions as F
+
+    from phrasegrid.llm import vector_search as V
+
+    monkeypatch.setattr(V, "PASS_BYTES", bytes_)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)] + [(200, None), (250, [1.0] * 6), (250, [1.0] * 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in V.top_k(table, F.col("vec_id") % 25 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v]
+    for q, v in dict(u for u in usable if u[0] % 25 == 0).items():
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q)[:5]
+        want = [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+        assert sorted(got[q]) == sorted(want * (2 if q == 250 else 1))
