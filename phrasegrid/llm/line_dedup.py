@@ -102,8 +102,8 @@ def dedup_lines(
     hits = _met(lines.select("row", "at", _key(F.col("line")).alias("key")), keys, "row").groupBy("row").agg(F.collect_list("at").alias("gone"))
     hits = saved(hits, "line-hits")
     discard(keys)
-    # The texts move once.
-    joined = rows.join(hits, "row", "left")
+    # The texts move once, at every size, and both sides can spill.
+    joined = rows.join(hits.hint("merge"), "row", "left")
     parts = _lines(F.col("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
     kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(left, lambda i: p[i]), "\n"))[0]
