@@ -46,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by their place, so documents without an id and those that share one are judged like others.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    return rows.join(_later_copies(docs), "row", "left_anti").select("doc.*")
+    return rows.join(_later_copies(docs).hint("merge"), "row", "left_anti").select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
