@@ -7,9 +7,8 @@ import itertools
 import os
 import sys
 from collections.abc import Iterable, Iterator
-from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths as P
@@ -21,12 +20,14 @@ from .lang.sort import parse_sort
 from .operators import index as I
 from .operators import links as L
 from .operators import rank, snippet
+from .operators.cancel import Stop
 from .operators.index import Index, build
 from .operators.session import State, run_script
 from .operators.store import stored
 from .params import Params
 from .sources import files
 from .sources.config import with_config
+from .sources.listing import collected
 from .sources.scripts import find_script, list_scripts, save_script, script_dir
 
 
@@ -72,14 +73,14 @@ def params_of(a: argparse.Namespace) -> Params:
     )
 
 
-def gather(spark: SparkSession, a: argparse.Namespace, params: Params) -> list[tuple[str, str]]:
+def gather(spark: SparkSession, a: argparse.Namespace, params: Params) -> DataFrame:
     exts = P.extension_list(a.exts) if a.exts is not None else list(P.MULTI_LINE)
     single = P.extension_list(a.single_line_exts) if a.single_line_exts is not None else list(P.SINGLE_LINE)
     exts += P.extension_list(a.add_exts or "")
     single += P.extension_list(a.single_line_add_exts or "")
     paths = a.paths + (files.paths_from(spark, a.paths_from.split(",")) if a.paths_from else [])
     excluded = [name for flag, name in ((a.no_pdftotext, "pdf"), (a.no_pandoc, "convertible")) if flag]
-    return files.collect(paths, exts, single, a.glob, a.single_line_glob, params, excluded, a.single_line)
+    return collected(spark, paths, exts, single, a.glob, a.single_line_glob, params, excluded, a.single_line)
 
 
 def documents(spark: SparkSession, a: argparse.Namespace, params: Params) -> Index:
@@ -89,7 +90,9 @@ def documents(spark: SparkSession, a: argparse.Namespace, params: Params) -> Ind
         return build(files.read_stdin(spark, a.single_line))
     raw = files.raw_files(spark, gather(spark, a, params))
     if not a.index_path:
-        return build(files.texts_of(raw))
+        texts = stored(files.texts_of(raw), "texts")  # files are converted once
+        _tell_failed(raw.select("path"), texts.select("path"), "path")
+        return build(texts)
     own = stored(raw.select("path", "search_mode", "doc_hash", "mod_time", "format"), "files")  # files are hashed once
     new = own
     if I.committed(spark, a.index_path):
@@ -98,15 +101,20 @@ def documents(spark: SparkSession, a: argparse.Namespace, params: Params) -> Ind
     I.append(files.texts_of(raw.join(new, "path", "left_semi")), a.index_path)
     I.touch(spark, a.index_path, own)
     index = Index.read(spark, a.index_path)
+    _tell_failed(own.select("path", "doc_hash"), index.docs.select("doc_hash"), "doc_hash")
     if index.docs.select("doc_id").distinct().count() > params.cache_limit:
-        used = index.docs.join(I.last_used(spark, a.index_path), "doc_hash", "left")
-        pruned = I.prune(replace(index, docs=used), params.cache_limit)
-        replace(pruned, docs=pruned.docs.drop("last_used")).write(a.index_path)
+        I.prune_stored(spark, a.index_path, params.cache_limit)
         index = Index.read(spark, a.index_path)
     contents = index.docs.select("doc_hash", "doc_id", "title").dropDuplicates(["doc_hash"])
     docs = own.join(contents, "doc_hash")
     only = lambda df: df.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    return Index(docs, only(index.positions), only(index.lines), index.words, only(index.links), only(index.brackets()))
+    return Index(docs, only(index.positions), only(index.lines), index.words, only(index.links), only(index.brackets()), index.grams)
+
+
+def _tell_failed(asked: DataFrame, had: DataFrame, key: str) -> None:
+    """Names the files on standard error whose text couldn't be had; the next run tries them again."""
+    for r in asked.join(had, key, "left_anti").select("path").orderBy("path").toLocalIterator():
+        print(f"no text: {r.path}", file=sys.stderr)
 
 
 def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
@@ -197,8 +205,13 @@ def main() -> int:
     a, _ = parser().parse_known_args(argv)
     if not (a.paths or a.glob or a.single_line_glob or a.paths_from or a.stdin or sys.stdin.isatty()):
         argv.append("--stdin")  # nothing named and something piped in
+    stop = Stop(spark)
     try:
-        return run(spark, argv)
+        with stop.jobs():
+            return run(spark, argv)
+    except KeyboardInterrupt:
+        stop()
+        return 130
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

@@ -46,6 +46,17 @@ def normalize(path: str, cwd: str = "/") -> str:
     return "/" + out.lstrip("/")
 
 
+def folded(path: Column) -> Column:
+    """A path column without ``.``, ``..`` and repeated slashes, by the text alone: parts are laid on a stack, and ``..``
+    takes the last one off. Nothing is above the root; a relative path keeps those ``..`` that lead out of it."""
+    absolute = path.startswith("/")
+    keep = lambda stack, part: F.concat(stack, F.array(part))
+    up = lambda stack: F.when((F.size(stack) > 0) & (F.element_at(stack, -1) != ".."), F.slice(stack, 1, F.size(stack) - 1)).when(absolute, stack).otherwise(keep(stack, F.lit("..")))
+    step = lambda stack, part: F.when(part.isin("", "."), stack).when(part == "..", up(stack)).otherwise(keep(stack, part))
+    parts = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
+
+
 def relative(path: Column, cwd: str) -> Column:
     root = cwd.rstrip("/") + "/"
     return F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1))).otherwise(path)

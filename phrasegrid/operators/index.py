@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import links as L
+from .dictionary import gram_rows
 from .rank import placed
-from .store import children, present, remove
+from .store import children, present, read_text, remove, stored, write_text
 
-#: Stored tables; docs is written last, and a batch counts once its documents are there.
-TABLES = ("lines", "positions", "words", "links", "pairs", "docs")
+#: Tables of a stored run.
+TABLES = ("lines", "positions", "words", "grams", "links", "pairs", "docs")
 
 
 @dataclass(frozen=True)
@@ -24,7 +29,7 @@ class Index:
     docs: path, search_mode, doc_id, doc_hash, title and what else the documents have (format, mod_time, last_used);
     lines: doc_id, line, start_pos, end_pos, page, line_in_page, nonspace, tokens; positions: doc_id, pos, line, word;
     words: word, word_ci, word_len; links: doc_id, start_pos, end_pos, typ, link; pairs: doc_id, open_pos, close_pos of
-    matching brackets. Everything but docs is made from lines, the one table that texts are tokenized for. ``doc_id`` numbers contents: equal contents share one.
+    matching brackets; grams: keys of the words, only of a stored index. Everything but docs is made from lines, the one table that texts are tokenized for. ``doc_id`` numbers contents: equal contents share one.
     """
 
     docs: DataFrame
@@ -33,6 +38,7 @@ class Index:
     words: DataFrame
     links: DataFrame
     pairs: DataFrame | None = None
+    grams: DataFrame | None = None
 
     @staticmethod
     def of(docs: DataFrame, lines: DataFrame) -> Index:
@@ -40,42 +46,46 @@ class Index:
         return Index(docs, at, lines, word_rows(lines), L.link_rows(lines), bracket_pairs(at))
 
     def write(self, path: str, mode: str = "overwrite") -> None:
-        """Stores the index at ``path``, in place of one that is there or (``append``) beside its batches.
+        """Stores the index at ``path``, in place of one that is there or (``append``) as one more run of it.
 
-        Lines are written first and the rest is made from them as stored, so texts are read and tokenized once. Positions are
-        sorted by word across files and words by lower case, so that a look-up reads the pages of the files that have its
-        words; a word with many places is spread over files by document. Batches are folders; one without documents, as an
-        interrupted run leaves, is never read and goes with the next write.
+        Lines are written first and the rest is made from them as stored, so texts are read and tokenized once; what doesn't
+        wait for anything else is written at the same time. Positions are sorted by word across files and words by lower
+        case, so that a look-up reads the pages of the files that have its words; a word with many places is spread over
+        files by document. A run counts once a new manifest names it (see :class:`Manifest`).
         """
         spark = self.docs.sparkSession
-        old = committed(spark, path)
-        batch = uuid.uuid4().hex
-        at = lambda name: f"{path}/{name}/batch={batch}"
+        before = Manifest.read(spark, path)
+        keep = before if mode == "append" else replace(before, runs=(), tombstones=())
+        run = Run(uuid.uuid4().hex, 0)
+        top = self._store(path, run.name, Index.read(spark, path).words if keep.runs else None)
+        replace(keep, runs=(*keep.runs, run), next_id=max(before.next_id, top + 1)).commit(spark, path)
+        compact(spark, path)
+
+    def _store(self, path: str, name: str, known: DataFrame | None = None) -> int:
+        """Writes a run's tables, words but for the ``known`` ones; returns the largest doc_id."""
+        spark = self.docs.sparkSession
+        at = lambda table: f"{path}/{table}/batch={name}"
         self.lines.write.parquet(at("lines"))
         lines = spark.read.schema(self.lines.schema).parquet(at("lines"))
         derived = Index.of(self.docs, lines)
-        order = ["word", "doc_id", "pos"]
-        derived.positions.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(at("positions"))
-        words = derived.words
-        if mode == "append" and old:
-            words = words.join(Index.read(spark, path).words.select("word"), "word", "left_anti")
-        words.repartitionByRange("word_ci", "word").sortWithinPartitions("word_ci", "word").write.parquet(at("words"))
-        derived.links.write.parquet(at("links"))
-        derived.pairs.write.parquet(at("pairs"))
-        self.docs.write.parquet(at("docs"))
-        for name in reversed(TABLES):
-            for other in children(spark, f"{path}/{name}"):
-                if other != f"batch={batch}" and (mode == "overwrite" or other.removeprefix("batch=") not in old):
-                    remove(spark, f"{path}/{name}/{other}")
+        counts = stored(word_counts(lines), "word-counts")
+        words = counts.drop("n") if known is None else counts.drop("n").join(known.select("word"), "word", "left_anti")
+        jobs = {
+            "positions": sorted_positions(derived.positions, counts),
+            "words": words.repartitionByRange("word_ci", "word").sortWithinPartitions("word_ci", "word"),
+            "grams": gram_rows(words).repartitionByRange("gram", "at").sortWithinPartitions("gram", "at"),
+            "links": derived.links, "pairs": derived.pairs, "docs": self.docs,
+        }
+        in_parallel(spark, *(lambda df=df, table=table: df.write.parquet(at(table)) for table, df in jobs.items()))
+        return spark.read.parquet(at("docs")).agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0))).first()[0]
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        """The batches at ``path`` that are complete."""
-        batches = committed(spark, path)
-        if not batches:
+        """The runs at ``path`` that its manifest names, without documents that have been pruned."""
+        manifest = Manifest.read(spark, path)
+        if not manifest.runs:
             raise ValueError(f"no index at {path}")
-        table = lambda name: spark.read.parquet(*(f"{path}/{name}/batch={b}" for b in batches))
-        return Index(*(table(name) for name in ("docs", "positions", "lines", "words", "links", "pairs")))
+        return manifest.index(spark, path, manifest.runs)
 
     def postings(self) -> DataFrame:
         return self.positions.select("word", "doc_id").distinct()
@@ -108,9 +118,165 @@ class Index:
         return counts if top is None else counts.orderBy(F.desc("n"), "word_ci").limit(top)
 
 
+#: Runs of a level that are merged into one of the next.
+FANOUT = 8
+
+
+@dataclass(frozen=True)
+class Run:
+    """Tables written together; ``level`` grows as runs are merged."""
+
+    name: str
+    level: int
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """What a stored index consists of: runs in the order they came, tables of pruned documents, the next free doc_id.
+
+    Each change is a new file with the next number, and the last one holds; folders that it doesn't name are what an
+    interrupted or replaced write has left, and go with the next change. One writer at a time.
+    """
+
+    version: int = 0
+    runs: tuple[Run, ...] = ()
+    tombstones: tuple[str, ...] = ()
+    next_id: int = 1
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Manifest:
+        versions = [int(n.removesuffix(".json")) for n in children(spark, f"{path}/manifest") if n.removesuffix(".json").isdigit()]
+        if not versions:
+            return Manifest()
+        found = json.loads(read_text(spark, f"{path}/manifest/{max(versions)}.json"))
+        return Manifest(max(versions), tuple(Run(**r) for r in found["runs"]), tuple(found["tombstones"]), found["next_id"])
+
+    def commit(self, spark: SparkSession, path: str) -> Manifest:
+        new = replace(self, version=self.version + 1)
+        text = json.dumps({"runs": [{"name": r.name, "level": r.level} for r in new.runs], "tombstones": new.tombstones, "next_id": new.next_id})
+        write_text(spark, f"{path}/manifest/{new.version}.json", text)
+        for old in children(spark, f"{path}/manifest"):
+            if old != f"{new.version}.json":
+                remove(spark, f"{path}/manifest/{old}")
+        names = {t: {r.name for r in new.runs} for t in TABLES} | {"tombstones": set(new.tombstones)}
+        for table, own in names.items():
+            for folder in children(spark, f"{path}/{table}"):
+                if folder.removeprefix("batch=") not in own:
+                    remove(spark, f"{path}/{table}/{folder}")
+        return new
+
+    def dead(self, spark: SparkSession, path: str) -> DataFrame | None:
+        """doc_ids that have been pruned."""
+        return spark.read.parquet(*(f"{path}/tombstones/batch={t}" for t in self.tombstones)).select("doc_id").distinct() if self.tombstones else None
+
+    def index(self, spark: SparkSession, path: str, runs: tuple[Run, ...]) -> Index:
+        table = lambda name: spark.read.parquet(*(f"{path}/{name}/batch={r.name}" for r in runs))
+        dead = self.dead(spark, path)
+        live = lambda name: table(name) if dead is None else table(name).join(dead, "doc_id", "left_anti")
+        return Index(live("docs"), live("positions"), live("lines"), table("words"), live("links"), live("pairs"), table("grams"))
+
+
 def committed(spark: SparkSession, path: str) -> list[str]:
-    """Batches of a stored index whose documents have been written, by name."""
-    return sorted(b.removeprefix("batch=") for b in children(spark, f"{path}/docs") if b.startswith("batch=") and present(spark, f"{path}/docs/{b}/_SUCCESS"))
+    """Runs of a stored index, by name."""
+    return sorted(r.name for r in Manifest.read(spark, path).runs)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Merges FANOUT runs of a level into one of the next, the lowest level first, until no level has as many. Documents that
+    have been pruned are left out; once no run is older than a tombstone table, that goes, too. So a row is rewritten once
+    a level, and the number of runs grows with the logarithm of the number of appends."""
+    while True:
+        manifest = Manifest.read(spark, path)
+        by_level: dict[int, list[Run]] = {}
+        for r in manifest.runs:
+            by_level.setdefault(r.level, []).append(r)
+        full = next((sorted_ for _, sorted_ in sorted(by_level.items()) if len(sorted_) >= FANOUT), None)
+        if full is None:
+            return
+        merge(spark, path, tuple(full))
+
+
+def merge(spark: SparkSession, path: str, runs: tuple[Run, ...]) -> None:
+    """Writes some runs as one, without pruned documents, and names it in their place."""
+    manifest = Manifest.read(spark, path)
+    merged = Run(uuid.uuid4().hex, max(r.level for r in runs) + 1)
+    whole = manifest.index(spark, path, runs)
+    others = tuple(r for r in manifest.runs if r not in runs)
+    known = manifest.index(spark, path, others).words if others else None
+    whole._store(path, merged.name, known)
+    # All rows are new: nothing is left that a tombstone could hide.
+    tombstones = manifest.tombstones if others else ()
+    replace(manifest, runs=(*others, merged), tombstones=tombstones).commit(spark, path)
+
+
+def bury(spark: SparkSession, path: str, gone: DataFrame) -> None:
+    """Prunes documents (doc_id) from the index at ``path`` by writing their ids; nothing else is rewritten, but for the ids
+    pruned before once they are in FANOUT tables."""
+    manifest = Manifest.read(spark, path)
+    name, ids = uuid.uuid4().hex, gone.select(F.col("doc_id").cast("long").alias("doc_id"))
+    together = len(manifest.tombstones) >= FANOUT
+    ids = ids.unionByName(manifest.dead(spark, path)) if together else ids
+    ids.distinct().write.parquet(f"{path}/tombstones/batch={name}")
+    replace(manifest, tombstones=(*(() if together else manifest.tombstones), name)).commit(spark, path)
+
+
+def prune_stored(spark: SparkSession, path: str, keep: int) -> None:
+    """Prunes the least recently used contents (see :func:`touch`) of the index at ``path`` beyond ``keep``."""
+    docs = Index.read(spark, path).docs.select("doc_id", "doc_hash").distinct()
+    used = docs.join(last_used(spark, path), "doc_hash", "left").groupBy("doc_id").agg(F.max("last_used").alias("last_used"))
+    bury(spark, path, least_recently_used(used, keep))
+
+
+def in_parallel(spark: SparkSession, *jobs: Callable[[], None]) -> None:
+    """Runs Spark jobs that don't wait for each other; the first error is raised once all have ended."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        done = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    for d in done:
+        d.result()
+
+
+#: Positions of a file, about, and the most files of a run.
+FILE_ROWS, MOST_FILES = 4_000_000, 1024
+
+
+def sorted_positions(positions: DataFrame, counts: DataFrame) -> DataFrame:
+    """Positions in files by ranges of words, sorted by word, document and place.
+
+    The ranges come from the ``counts`` (word, n), by running sums over a distributed sort, so positions aren't sampled. A word
+    that fills several files has its documents dealt to them. At most MOST_FILES - 1 bounds reach the driver.
+    """
+    order = ["word", "doc_id", "pos"]
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files = int(min(MOST_FILES, max(int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // FILE_ROWS + 1)))
+    if files == 1 or not total:
+        return positions.repartition(1).sortWithinPartitions(*order)
+    rows = counts.select("word", "n").repartitionByRange("word").sortWithinPartitions("word").withColumn("part", F.spark_partition_id())
+    rows = stored(rows, "ordered-words")
+    before = rows.groupBy("part").agg(F.sum("n").alias("own")).withColumn("base", F.sum("own").over(Window.orderBy("part")) - F.col("own"))
+    run = Window.partitionBy("part").orderBy("word")
+    ends = rows.join(F.broadcast(before.select("part", "base")), "part").withColumn("end", F.col("base") + F.sum("n").over(run))
+    size = -(-total // files)
+    slot = lambda place: F.floor(place / size).cast("int")
+    first, last = slot(F.col("end") - F.col("n")), slot(F.col("end") - 1)
+    # A word that begins a file's range, or spans some: at most one of each for a file.
+    cuts = ends.filter((first != last) | ((F.col("end") - F.col("n")) % size == 0)).select("word", first.alias("first"), last.alias("last")).orderBy("word").collect()
+    return positions.repartitionById(files, _slot_of(cuts)).sortWithinPartitions(*order)
+
+
+def _slot_of(cuts: list) -> Column:
+    """The file of a word: a balanced tree of comparisons with the words at the cuts."""
+    if not cuts:
+        return F.lit(0)
+
+    def at(lo: int, hi: int) -> Column:
+        if lo > hi:
+            return F.lit(cuts[hi].last if hi >= 0 else 0)
+        mid = (lo + hi) // 2
+        r = cuts[mid]
+        here = F.lit(r.first) + F.pmod(F.xxhash64("doc_id"), F.lit(r.last - r.first + 1)).cast("int") if r.last > r.first else F.lit(r.first)
+        return F.when(F.col("word") == r.word, here).when(F.col("word") < r.word, at(lo, mid - 1)).otherwise(at(mid + 1, hi))
+
+    return at(0, len(cuts) - 1)
 
 
 def content_hash(text: Column) -> Column:
@@ -153,9 +319,14 @@ def position_rows(lines: DataFrame) -> DataFrame:
     return at.select("doc_id", (F.col("start_pos") + F.col("nth")).alias("pos"), "line", "word")
 
 
+def word_counts(lines: DataFrame) -> DataFrame:
+    """(word, word_ci, word_len, n): the dictionary, with the number of each word's places."""
+    words = lines.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select("word", T.ascii_lower(F.col("word")).alias("word_ci"), T.size(F.col("word")).alias("word_len"), "n")
+
+
 def word_rows(lines: DataFrame) -> DataFrame:
-    words = lines.select(F.explode(F.array_distinct("tokens")).alias("word")).distinct()
-    return words.select("word", T.ascii_lower(F.col("word")).alias("word_ci"), T.size(F.col("word")).alias("word_len"))
+    return word_counts(lines).drop("n")
 
 
 def with_hash(docs: DataFrame) -> DataFrame:
@@ -193,17 +364,16 @@ def new_documents(docs: DataFrame, indexed: DataFrame) -> DataFrame:
 def append(docs: DataFrame, path: str, paged: bool = False) -> None:
     """Indexes the documents whose content isn't in the index at ``path`` and adds them as one batch, or makes the index.
 
-    Running it again adds nothing, and after a crash it starts the batch anew: a batch counts only when its documents have
-    been written, which is last. Words that are there aren't added again. One writer at a time.
+    Running it again adds nothing, and after a crash it starts anew: a run counts only when the manifest names it, which is
+    last. Words that are there aren't added again, and numbers of pruned documents aren't used again. One writer at a time.
     """
     spark = docs.sparkSession
-    fresh, first = with_hash(docs), 1
-    if committed(spark, path):
-        known = Index.read(spark, path).docs
-        fresh, first = new_documents(docs, known), (known.agg(F.max("doc_id")).first()[0] or 0) + 1
+    manifest, fresh = Manifest.read(spark, path), with_hash(docs)
+    if manifest.runs:
+        fresh = new_documents(docs, Index.read(spark, path).docs)
     fresh = fresh.dropDuplicates(["doc_hash"])
-    if not fresh.isEmpty() or first == 1:
-        build(fresh, paged, first).write(path, "append")
+    if not fresh.isEmpty() or not manifest.runs:
+        build(fresh, paged, manifest.next_id).write(path, "append")
 
 
 def least_recently_used(docs: DataFrame, keep: int, used_col: str = "last_used") -> DataFrame:
@@ -228,7 +398,7 @@ def prune(index: Index, keep: int) -> Index:
     """The index without its least recently used documents, links included."""
     gone = least_recently_used(index.docs.groupBy("doc_id").agg(F.max("last_used").alias("last_used")), keep)
     docs, positions, lines, links, pairs = (df.join(gone, "doc_id", "left_anti") for df in (index.docs, index.positions, index.lines, index.links, index.brackets()))
-    return Index(docs, positions, lines, index.words, links, pairs)
+    return Index(docs, positions, lines, index.words, links, pairs, index.grams)
 
 
 #: Positions of a block of the bracket scan.

@@ -7,9 +7,10 @@ import os
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions import text as T
 
-#: What ends a link, besides spaces and the end of the line.
+# What ends a link, besides spaces and the end of the line; the schemes of URLs.
 STOPS = ["", "]", ")", "|", '"', "<", ">", "{", "}", "^", "\\"]
 SCHEMES = ["http", "https", "file"]
 FOUND = "array<struct<typ:string,first:int,last:int>>"
@@ -125,6 +126,7 @@ def resolved(links: DataFrame, docs: DataFrame, files: DataFrame) -> DataFrame:
     beside = F.concat_ws("/", F.when(F.col("name").startswith("."), F.col("folder")).otherwise(F.col("root")), F.concat("name", "ext"))
     wiki = F.when(F.col("name").startswith("."), beside).otherwise(F.coalesce("hit", beside))
     target = F.when(F.col("typ") == "url", F.col("link")).when(F.col("typ") == "markdown", resolve_markdown(F.col("link"), F.col("folder"), F.col("root"))).otherwise(wiki)
+    target = F.when(F.col("typ") == "wiki", P.folded(target)).otherwise(target)
     return rows.select("path", "start_pos", "typ", "link", target.alias("target"))
 
 
@@ -132,5 +134,4 @@ def resolve_markdown(link: Column, base_dir: Column, root: Column) -> Column:
     """A Markdown target as a path: from the root if it starts with a slash, else from the document's folder."""
     bare = F.regexp_replace(link, "#.*$", "")
     joined = F.when(bare.startswith("/"), F.concat(root, bare)).otherwise(F.concat_ws("/", base_dir, bare))
-    one = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), "/+", "/")
-    return F.regexp_replace(one, r"/[^/]+/\.\./", "/")
+    return P.folded(joined)

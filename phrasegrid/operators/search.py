@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..lang.search import Phrase, Token, phrases
 from ..params import DEFAULTS, Params
+from .dictionary import possible
 from .index import Index
 from .score import Bound, Match, candidate_score, match_code, phrase_brackets, score, search_size
 from .store import stored
@@ -35,7 +36,9 @@ def candidate_limit(word: str) -> int:
 
 
 def matching_words(index: Index, token: Token, params: Params = DEFAULTS) -> DataFrame:
-    return index.words.filter(T.matches(token.match, token.word or " ", F.col("word"), F.col("word_ci"), params.max_fuzzy_edit_dist))
+    """The words that fit a token, of those that its keys lead to."""
+    near = possible(index.words, index.grams, [(token.match, token.word)], params.max_fuzzy_edit_dist)
+    return near.filter(T.matches(token.match, token.word or " ", F.col("word"), F.col("word_ci"), params.max_fuzzy_edit_dist))
 
 
 def candidates(index: Index, token: Token, params: Params = DEFAULTS) -> DataFrame:
@@ -143,7 +146,8 @@ class Lookup:
         self.index, self.tree, self.params = index, tree, params
         fits = [T.matches(k.match, k.word or " ", F.col("word"), F.col("word_ci"), params.max_fuzzy_edit_dist) for k in tree.keys]
         one = lambda i, k: F.struct(F.lit(i).alias("key"), _preference(k).alias("order"), match_code(k.word, F.col("word"), F.col("word_ci")).alias("code"))
-        rows = index.words.filter(reduce(Column.__or__, fits))
+        near = possible(index.words, index.grams, list(dict.fromkeys((k.match, k.word) for k in tree.keys)), params.max_fuzzy_edit_dist)
+        rows = near.filter(reduce(Column.__or__, fits))
         rows = rows.select("word", F.explode(F.array_compact(F.array(*(F.when(f, one(i, k)) for i, (f, k) in enumerate(zip(fits, tree.keys, strict=True)))))).alias("m"))
         self.matched = rows.select("word", "m.key", "m.order", "m.code")
         nth = F.row_number().over(Window.partitionBy("key").orderBy("order", "word"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +18,11 @@ from ..lang.search import is_empty, same
 from ..lang.sort import SortBy, parse_sorts
 from ..params import DEFAULTS, Params
 from . import rank
+from .cancel import Cancelled, Stop
 from .filters import apply_filter
 from .index import Index, append, with_hash
 from .search import fuzzy_rank, ranked, search
-from .store import stored
+from .store import recorded, remove, stored
 
 #: Every so many versions of a history keep their state; others are made again from the one before.
 KEEP_EVERY = 5
@@ -214,14 +218,20 @@ class History:
         """Adds a version after the current one. A search or filter not yet committed is replaced by the next of its kind."""
         command = parse_command(command) if isinstance(command, str) else command
         last, done = self.versions[self.at]
+        at = self.at
         kind = lambda c: c.name.split()[-1] if c else ""
         if self.at and not done and kind(last) == kind(command) and kind(command) in ("search", "filter") or last == command and kind(command) in ("search", "filter"):
             self.at -= 1
+        before = list(self.versions), dict(self.states), at
         del self.versions[self.at + 1 :]
         self.states = {k: v for k, v in self.states.items() if k <= self.at}
         self.versions.append((command, committed))
         self.at += 1
-        return self.state
+        try:
+            return self.state
+        except BaseException:
+            self.versions, self.states, self.at = before
+            raise
 
     def undo(self) -> State:
         self.at = max(0, self.at - 1)
@@ -266,6 +276,45 @@ class History:
         return notes if failed else []
 
 
+class Live:
+    """A session that answers the latest command: one that is still running when another comes is called off, its jobs are
+    cancelled, the tables that it has written go, and the history is as if it had never been."""
+
+    def __init__(self, history: History):
+        self.history = history
+        self._pool = ThreadPoolExecutor(1)
+        self._lock = threading.Lock()
+        self._stop: Stop | None = None
+
+    @property
+    def _spark(self) -> SparkSession:
+        return self.history.states[0].docs.sparkSession
+
+    def submit(self, command: Command | str, committed: bool = True) -> Future:
+        """Starts a command; its future has the new state, or raises :class:`~.cancel.Cancelled` if another superseded it."""
+        with self._lock:
+            if self._stop:
+                self._stop()
+            self._stop = stop = Stop(self._spark)
+            return self._pool.submit(inheritable_thread_target(self._spark)(self._run), command, committed, stop)
+
+    def cancel(self) -> None:
+        """Calls off what is running."""
+        with self._lock:
+            if self._stop:
+                self._stop()
+
+    def _run(self, command: Command | str, committed: bool, stop: Stop) -> State:
+        with recorded() as paths:
+            try:
+                with stop.jobs():
+                    return self.history.run(command, committed)
+            except Cancelled:
+                for path in paths:
+                    remove(self._spark, path)
+                raise
+
+
 def run_script(start: State, text: str) -> History:
     history = History(start)
     for command in parse_script(text):

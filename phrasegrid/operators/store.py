@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_own = threading.local()
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of what this thread stores inside."""
+    before, _own.paths = getattr(_own, "paths", None), []
+    try:
+        yield _own.paths
+    finally:
+        _own.paths = before
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and reads it back, so that later plans start from the table and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_own, "paths", None) is not None:
+        _own.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,3 +75,22 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _path(spark, path)
     fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole: it has its name only once it is complete. An existing one isn't replaced."""
+    fs, p = _path(spark, path)
+    if fs.exists(p):
+        raise FileExistsError(path)
+    part = _path(spark, f"{path}.{uuid.uuid4().hex}.part")[1]
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not fs.rename(part, p):
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..lang.command import parse_script
 from ..lang.filter import parse_filter
-from ..lang.search import phrases
+from ..lang.search import Token, phrases
 from ..lang.sort import SortBy
 from ..operators import filters, rank, snippet
 from ..operators import index as I
@@ -106,8 +107,8 @@ def bracket_pairs(spark, sf_dir):
 
 def _predicate(name: str, kind: str, s: str) -> None:
     def run(spark, sf_dir):
-        w = index_for(spark, sf_dir).words
-        return w.filter(T.matches(kind, s, F.col("word"), F.col("word_ci"))).select("word", "word_len")
+        token = Token(None if kind == "spaces" else s, kind="fuzzy" if kind == "spaces" else kind)
+        return S.matching_words(index_for(spark, sf_dir), token).select("word", "word_len")
 
     QUERIES[name] = run
     ORACLES[name] = Q.with_base(f"SELECT word, CAST(word_len AS INTEGER) AS word_len FROM words WHERE {Q.matches(kind, s)}")
@@ -120,10 +121,10 @@ for _name, _kind, _s in (
     _predicate(_name, _kind, _s)
 
 
-# --- the search language: phrases as rows, against a list written out by hand
+# --- the search language: a column of expressions to phrases as rows, against a list written out by hand
 
 
-#: Expression; its phrases in order, tokens parted by spaces, each as word, kind (f, e, p, s, or ~ for spaces), then < if
+# Expressions and what they stand for. Each with its phrases in order, tokens parted by spaces, each as word, kind (f, e, p, s, or ~ for spaces), then < if
 #: linked to the one before and > if to the next.
 _LANGUAGE = [
     ("", [""]), ("()", [""]), ("fox", ["fox:f"]), ("fox hunt", ["fox:f hunt:f"]), ("fox|hunt", ["fox:f", "hunt:f"]), ("hunt | fox", ["fox:f", "hunt:f"]),
@@ -143,11 +144,22 @@ _LANGUAGE = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {Q.quote(e)}, {Q.quote(p)})" for i, (e, ps) in enumerate(_LANGUAGE) for j, p in enumerate(ps)) + ") t(expression_id, phrase_id, expression, phrase)")
+@query(
+    "WITH t(expression_id, phrase_id, expression, phrase) AS (VALUES "
+    + ", ".join(f"({i}, {j}, {Q.quote(e)}, {Q.quote(p)})" for i, (e, ps) in enumerate(_LANGUAGE) for j, p in enumerate(ps))
+    + f") SELECT o_orderkey, phrase_id, expression, phrase FROM orders JOIN t ON o_orderkey % {len(_LANGUAGE)} = expression_id"
+)
 def search_language(spark, sf_dir):
+    """Each order has an expression; the column is read in tasks, each text once a batch."""
     mark = lambda t: f"{'~:~' if t.word is None else t.word + ':' + t.kind[0]}{'<' * t.linked_prev}{'>' * t.linked_next}"
-    rows = [(i, j, e, " ".join(map(mark, p))) for i, (e, _) in enumerate(_LANGUAGE) for j, p in enumerate(phrases(e))]
-    return spark.createDataFrame(rows, "expression_id int, phrase_id int, expression string, phrase string")
+    texts = F.array(*(F.lit(e) for e, _ in _LANGUAGE))
+
+    def read(expressions: pd.Series) -> pd.Series:
+        known = {e: [" ".join(map(mark, p)) for p in phrases(e)] for e in expressions.unique()}
+        return expressions.map(known)
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(texts, (F.col("o_orderkey") % len(_LANGUAGE) + 1).cast("int")).alias("expression"))
+    return rows.select("o_orderkey", "expression", F.posexplode(F.pandas_udf(read, "array<string>")("expression")).alias("phrase_id", "phrase"))
 
 
 # --- search
@@ -415,6 +427,30 @@ def nearest_link(spark, sf_dir):
     return L.nearest_link(at, L.link_rows(I.line_rows(pages))).select(F.floor(F.col("result_id") / 2).alias("page_id"), "typ", "link")
 
 
+@query(
+    """
+    WITH p AS (SELECT page_id, page_id % 5 AS ups, CAST(page_id // 5 % 4 AS BIGINT) AS deep, page_id // 20 % 3 AS form FROM pages)
+    SELECT page_id, CASE WHEN form = 2 THEN '/r' WHEN ups > deep THEN '' ELSE '/r' || array_to_string(list_transform(range(0, deep - ups), lambda k: '/d' || k), '') END || '/t' || page_id || '.md' AS target
+    FROM p
+    """
+)
+def link_targets(spark, sf_dir):
+    """Markdown targets with none to four ``..``, with ``.`` and double slashes, and from the root, of documents in folders
+    of every depth."""
+    n = F.col("page_id")
+    ups, deep, form = n % 5, (F.floor(n / 5) % 4).cast("int"), F.floor(n / 20) % 3
+    folder = F.concat(F.lit("/r"), F.array_join(F.transform(F.slice(F.array(*(F.lit(k) for k in range(4))), F.lit(1), deep), lambda k: F.concat(F.lit("/d"), k.cast("string"))), ""))
+    name = F.concat(F.lit("t"), n.cast("string"), F.lit(".md"))
+    up = F.repeat(F.lit("../"), ups.cast("int"))
+    link = F.when(form == 2, F.concat(F.lit("/"), name)).when(form == 1, F.concat(F.lit("./"), up, F.lit("x/.././/"), name, F.lit("#top"))).otherwise(F.concat(up, name))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(folder, F.lit("/p.md")).alias("path"), F.concat(F.lit("see [x]("), link, F.lit(") there")).alias("text"))
+    links = L.link_rows(I.line_rows(pages, "page_id"))
+    docs = pages.select(F.concat(F.col("path"), F.lit("/"), F.col("page_id").cast("string")).alias("path"), F.col("page_id").alias("doc_id"), F.lit("/r").alias("root"))
+    docs = docs.withColumn("path", F.regexp_replace("path", r"p\.md/(\d+)$", "p$1.md"))
+    found = L.resolved(links, docs, docs.select("path"))
+    return found.select(F.regexp_extract("path", r"p(\d+)\.md$", 1).cast("long").alias("page_id"), "target")
+
+
 # --- presentation
 
 

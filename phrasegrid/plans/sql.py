@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from ..functions.text import LOWER, TOKEN, UPPER, py_lower
 from ..lang.search import Phrase, phrases
 from ..operators.score import phrase_brackets
-from ..operators.search import candidate_limit, window_of
+from ..operators.search import window_of
 
 NL = "chr(10)"
 
 
+class Word(NamedTuple):
+    """A token written out by hand: its word, kind of match, and from where to where it may stand after the one before."""
+
+    word: str | None
+    match: str
+    lo: int = 0
+    hi: int = 0
+
+
+#: Phrases of some expressions in order, written out by hand: with these a row doesn't rest on the library's own reading.
+BY_HAND = {
+    "worthless moron": [(Word("worthless", "fuzzy"), Word("moron", "fuzzy", -50, 50))],
+    "'idiot | 'clown | ^patheti": [(Word("clown", "exact"),), (Word("idiot", "exact"),), (Word("patheti", "prefix"),)],
+    "('idiot | 'loser) (the | 'and)": [(Word(a, "exact"), Word(b, k, -50, 50)) for a in ("idiot", "loser") for b, k in (("and", "exact"), ("the", "fuzzy"))],
+    "worthless~'the | 'scum": [(Word("scum", "exact"),), (Word("worthless", "fuzzy"), Word(None, "spaces", 1, 1), Word("the", "exact", -50, 50))],
+}
+#: Words kept for a first token of 1 to 7 bytes; of longer ones 500.
+CANDIDATES = (2, 6, 15, 39, 97, 244, 500)
+
+
+def phrases_of(expression: str) -> list:
+    return BY_HAND.get(expression) or phrases(expression)
+
+
+def _window(t) -> tuple[int, int]:
+    return (t.lo, t.hi) if isinstance(t, Word) else window_of(t)
+
+
+def _limit(word: str) -> int:
+    return CANDIDATES[min(len(word.encode()), len(CANDIDATES)) - 1]
+
+
 def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -67,7 +101,7 @@ def candidates(phrase: Phrase) -> str:
         f"CASE WHEN word = {s} THEN 1.0 WHEN word_ci = {low} THEN 0.9 WHEN contains(word, {s}) THEN CAST({n} AS DOUBLE) / word_len "
         f"WHEN contains(word_ci, {low}) THEN CAST(0.9 * {n} AS DOUBLE) / word_len ELSE 1 - CAST(levenshtein({low}, word_ci) AS DOUBLE) / {n} END"
     )
-    return f"SELECT word, CAST({value} AS DOUBLE) AS cscore FROM words WHERE {matches(t.match, t.word)} ORDER BY round(cscore, 9) DESC, word LIMIT {candidate_limit(t.word)}"
+    return f"SELECT word, CAST({value} AS DOUBLE) AS cscore FROM words WHERE {matches(t.match, t.word)} ORDER BY round(cscore, 9) DESC, word LIMIT {_limit(t.word)}"
 
 
 def combinations(phrase: Phrase, scope: str = "", by_line: bool = True) -> str:
@@ -77,7 +111,7 @@ def combinations(phrase: Phrase, scope: str = "", by_line: bool = True) -> str:
       FROM (SELECT positions.*, doc.single, count(*) OVER (PARTITION BY doc_id) AS n_starts FROM positions JOIN doc USING (doc_id)
         WHERE word IN (SELECT word FROM ({candidates(phrase)})) {scope}) p0"""
     for i, t in enumerate(phrase[1:], 1):
-        lo, hi = window_of(t)
+        lo, hi = _window(t)
         line = f" AND (NOT p0.single OR p{i}.line = p0.line)" if by_line else ""
         inner = f"SELECT positions.* FROM positions JOIN words USING (word) WHERE {matches(t.match, t.word or '')}"
         out += f"\n      JOIN ({inner}) p{i} ON p{i}.doc_id = p0.doc_id AND p{i}.pos BETWEEN p{i - 1}.pos + ({lo}) AND p{i - 1}.pos + ({hi}){line}"
@@ -148,8 +182,8 @@ def phrase_results(phrase: Phrase, phrase_id: int, scope: str = "") -> str:
 
 
 def results_cte(expression: str, scope: str = "", name: str = "results") -> str:
-    parts = [phrase_results(p, i, scope) for i, p in enumerate(phrases(expression)) if p]
-    pre = BRACKETS.strip() + ",\n" if any(phrase_brackets(p) for p in phrases(expression)) else ""
+    parts = [phrase_results(p, i, scope) for i, p in enumerate(phrases_of(expression)) if p]
+    pre = BRACKETS.strip() + ",\n" if any(phrase_brackets(p) for p in phrases_of(expression)) else ""
     return pre + f"{name} AS MATERIALIZED (" + "\n    UNION ALL ".join(parts) + ")"
 
 
@@ -157,5 +191,5 @@ RANKED = "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score,
 
 
 def exists_cte(expression: str, name: str = "hits") -> str:
-    parts = [f"SELECT doc_id FROM ({combinations(p, by_line=False)})" for p in phrases(expression) if p]
+    parts = [f"SELECT doc_id FROM ({combinations(p, by_line=False)})" for p in phrases_of(expression) if p]
     return f"{name} AS MATERIALIZED (" + " UNION ".join(parts) + ")"

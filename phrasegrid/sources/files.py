@@ -105,8 +105,15 @@ def paths_from(spark: SparkSession, files: Iterable[str]) -> list[str]:
 RAW = "path string, search_mode string, content binary, doc_hash string, mod_time timestamp, format string"
 
 
-def raw_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """(path, search_mode, content, doc_hash, mod_time, format) of collected files; the hash is of the bytes."""
+def raw_files(spark: SparkSession, files: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(path, search_mode, content, doc_hash, mod_time, format) of collected files; the hash is of the bytes.
+
+    A list goes to Spark's reader; a table (path, search_mode) is read where its rows are, without its names on the driver.
+    Files that can't be read are passed over.
+    """
+    if isinstance(files, DataFrame):
+        rows = files.mapInPandas(_read, "path string, search_mode string, content binary, mod_time timestamp")
+        return rows.select("path", "search_mode", "content", F.sha2("content", 512).alias("doc_hash"), "mod_time", P.file_format(F.col("path")).alias("format"))
     if not files:
         return spark.createDataFrame([], RAW)
     modes = spark.createDataFrame(files, "path string, search_mode string")
@@ -117,13 +124,36 @@ def raw_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     return rows.select("path", "search_mode", "content", F.sha2("content", 512).alias("doc_hash"), "mod_time", P.file_format(F.col("path")).alias("format"))
 
 
-def texts_of(raw: DataFrame) -> DataFrame:
-    """``raw`` with the text of each file in place of its bytes; bytes that aren't UTF-8 become U+FFFD."""
-    columns = ["path", "search_mode", "text", "doc_hash", "mod_time", "format"]
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for path, mode in zip(b["path"], b["search_mode"], strict=True):  # a file at a time
+            try:
+                with open(path, "rb") as f:
+                    row = (path, mode, f.read(), pd.Timestamp.fromtimestamp(os.fstat(f.fileno()).st_mtime))
+            except OSError:
+                continue
+            yield pd.DataFrame([row], columns=["path", "search_mode", "content", "mod_time"])
+
+
+EXTRACTED = "path string, search_mode string, text string, error string, doc_hash string, mod_time timestamp, format string"
+#: Seconds that a converter may take for one file.
+CONVERT_SECONDS = 300
+
+
+def extracted(raw: DataFrame) -> DataFrame:
+    """``raw`` with the text of each file in place of its bytes, and what went wrong (error), if anything did; then there is
+    no text. Bytes that aren't UTF-8 become U+FFFD."""
+    columns = [c.split()[0] for c in EXTRACTED.split(", ")]
     is_text = F.col("format").isin("text", "other")
-    plain = raw.filter(is_text).withColumn("text", F.expr("decode(content, 'UTF-8')")).select(*columns)
-    other = raw.filter(~is_text).mapInPandas(convert, "path string, search_mode string, text string, doc_hash string, mod_time timestamp, format string")
-    return plain.unionByName(other)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    plain = raw.filter(is_text).withColumns({"text": text, "error": F.lit(None).cast("string")}).select(*columns)
+    return plain.unionByName(raw.filter(~is_text).mapInPandas(convert, EXTRACTED))
+
+
+def texts_of(raw: DataFrame) -> DataFrame:
+    """``raw`` with the text of each file in place of its bytes, without files whose text can't be had (see
+    :func:`extracted`): they aren't indexed, so they are tried again."""
+    return extracted(raw).filter("error is null").drop("error")
 
 
 def read_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
@@ -135,23 +165,32 @@ def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Text of PDF (pages parted by form feeds) and convertible formats, by the tools on the executor; HTML without them."""
     for b in batches:
         b = b.copy()
-        b["text"] = [_extract(p, bytes(c)) for p, c in zip(b["path"], b["content"], strict=True)]
-        yield b[["path", "search_mode", "text", "doc_hash", "mod_time", "format"]]
+        b["text"], b["error"] = zip(*(_extract(p, bytes(c)) for p, c in zip(b["path"], b["content"], strict=True)), strict=True) if len(b) else ([], [])
+        yield b[[c.split()[0] for c in EXTRACTED.split(", ")]]
 
 
-def _extract(path: str, content: bytes) -> str:
+def _extract(path: str, content: bytes) -> tuple[str | None, str | None]:
+    """A file's text, or why there is none: the tool isn't there, fails or takes too long."""
     ext = P.py_extension(path)
     if ext in P.PDF:
         command = ["pdftotext", "-", "-"]
     else:
         command = ["pandoc", "--from", {".htm": "html"}.get(ext, ext[1:]), "--to", "plain", "--wrap", "none"]
+    error = f"{command[0]} not found"
     if shutil.which(command[0]):
-        done = subprocess.run(command, input=content, capture_output=True, timeout=300)
-        if done.returncode == 0:
-            return done.stdout.decode("utf-8", "replace")
+        try:
+            done = subprocess.run(command, input=content, capture_output=True, timeout=CONVERT_SECONDS)
+        except subprocess.TimeoutExpired:
+            error = f"{command[0]} took more than {CONVERT_SECONDS} seconds"
+        except OSError as e:
+            error = f"{command[0]}: {e.strerror}"
+        else:
+            if done.returncode == 0:
+                return done.stdout.decode("utf-8", "replace"), None
+            error = f"{command[0]} ended with {done.returncode}: {done.stderr.decode('utf-8', 'replace').strip()[:200]}"
     if ext in (".html", ".htm"):
-        return html_text(content.decode("utf-8", "replace"))
-    return ""
+        return html_text(content.decode("utf-8", "replace")), None
+    return None, f"failed to extract text: {error}"
 
 
 def html_text(html: str) -> str:

@@ -14,6 +14,7 @@ from phrasegrid.operators import snippet
 from phrasegrid.operators.session import State
 from phrasegrid.params import Params
 from phrasegrid.sources import files
+from phrasegrid.sources.listing import collected, globbed
 
 # A text, and for each expression the lines (from 1) and found words of its five best results. The last one of
 # "hel~word" has an equal, with the other space between the two words; of equals the one that comes first in the text's places counts.
@@ -155,3 +156,25 @@ def test_globs_and_modes(tree):
     assert set(modes(globs=["**/*.md"], params=Params(max_depth=1))) == {"test.md"}
     assert modes(paths=["."], params=Params(max_depth=0)) == {} and modes(paths=["test.txt"], params=Params(max_depth=0)) == {"test.txt": "multi"}
     assert len(modes(paths=["."])) == 28 and modes(paths=["."])["test.log"] == "single"
+
+
+@pytest.mark.parametrize("globs", [GLOBS[:9], GLOBS[9:18], GLOBS[18:]])
+def test_globs_by_tasks(spark, tree, globs):
+    for glob, found in globs:
+        got = globbed(spark, glob.replace("{root}", str(tree)), cwd=str(tree)).collect()
+        assert {os.path.relpath(r.path, tree) for r in got} == set(found.split()), glob
+
+
+def test_trees_by_tasks(spark, tree):
+    (tree / ".shown/in").mkdir(parents=True)
+    (tree / ".shown/in/x.md").write_text("x")
+    for x in ({}, {"paths": [str(tree / "test3"), str(tree / "test.txt")]}, {"paths": [str(tree)], "params": Params(max_depth=1)}, {"globs": ["*.md", "*.log"], "single_line_globs": ["*.txt"]}, {"paths": [str(tree)], "params": Params(scan_hidden=True), "exts": ["md"]}, {"paths": [str(tree), str(tree / ".shown")], "single_line": True}, {"globs": ["**/*.md"], "params": Params(max_depth=1)}, {"paths": [str(tree / "none")]}):
+        assert sorted(tuple(r) for r in collected(spark, cwd=str(tree), **x).collect()) == files.collect(cwd=str(tree), **x), x
+
+
+def test_files_are_read_where_their_rows_are(spark, tree):
+    listed = collected(spark, [str(tree)])
+    one, other = (sorted((r.path, r.search_mode, bytes(r.content), r.doc_hash, r.format) for r in files.raw_files(spark, x).collect()) for x in (listed, files.collect([str(tree)])))
+    assert one == other and one
+    gone = spark.createDataFrame([(str(tree / "none.txt"), "multi")], "path string, search_mode string")
+    assert files.raw_files(spark, gone).count() == 0

@@ -89,3 +89,33 @@ def test_config(tmp_path):
     assert config.with_config(["--no-config", "x"], str(tmp_path)) == ["x"]
     (tmp_path / "other").write_text("--hidden")
     assert config.with_config(["--config", str(tmp_path / "other"), "x"], str(tmp_path)) == ["--hidden", "x"]
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "bad.txt").write_bytes(b"abc \xff\xfe def\n\xe2\x82 end")
+    (row,) = files.read_files(spark, files.collect([str(tmp_path)])).collect()
+    assert row.text == "abc �� def\n� end"
+
+
+def test_failed_conversions_are_told_and_left_out(spark, tmp_path, monkeypatch):
+    for name in ("a.pdf", "b.docx", "c.epub", "d.odt", "e.html"):
+        (tmp_path / name).write_bytes(b"<p>some bytes</p>")
+    tools = tmp_path / "tools"
+    tools.mkdir()
+    (tools / "pandoc").write_text('#!/bin/sh\nread x\ncase "$2" in docx) echo broken >&2; exit 3;; epub) sleep 30;; odt) echo fine;; *) exit 1;; esac\n')
+    (tools / "pandoc").chmod(0o755)
+    raw = files.raw_files(spark, files.collect([str(tmp_path)], exts=["pdf", "docx", "epub", "odt", "html"]))
+    import pandas as pd
+
+    monkeypatch.setenv("PATH", f"{tools}:/bin:/usr/bin")
+    monkeypatch.setattr(files, "CONVERT_SECONDS", 2)
+    batch = pd.DataFrame([(r.path, r.search_mode, bytes(r.content), r.doc_hash, r.mod_time, r.format) for r in raw.collect()], columns=raw.columns)
+    (out,) = files.convert(iter([batch]))
+    found = {os.path.basename(r.path): (r.text, r.error) for r in out.itertuples()}
+    assert found["a.pdf"] == (None, "failed to extract text: pdftotext not found")
+    assert found["b.docx"] == (None, "failed to extract text: pandoc ended with 3: broken")
+    assert found["c.epub"] == (None, "failed to extract text: pandoc took more than 2 seconds")
+    assert found["d.odt"] == ("fine\n", None) and found["e.html"] == ("some bytes", None)
+    monkeypatch.undo()
+    errors = {os.path.basename(r.path) for r in files.extracted(raw).filter("error is not null").collect()}
+    assert errors >= {"a.pdf"} and {os.path.basename(r.path) for r in files.texts_of(raw).collect()} >= {"e.html"} - errors
