@@ -42,8 +42,8 @@ class Index:
 
     @staticmethod
     def of(docs: DataFrame, lines: DataFrame) -> Index:
-        at = position_rows(lines)
-        return Index(docs, at, lines, word_rows(lines), L.link_rows(lines), bracket_pairs(at))
+        marked = lines.filter(F.arrays_overlap("tokens", F.array(*map(F.lit, BRACKETS))))
+        return Index(docs, position_rows(lines), lines, word_rows(lines), L.link_rows(lines), bracket_pairs(position_rows(marked)))
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Stores the index at ``path``, in place of one that is there or (``append``) as one more run of it.
@@ -68,10 +68,10 @@ class Index:
         self.lines.write.parquet(at("lines"))
         lines = spark.read.schema(self.lines.schema).parquet(at("lines"))
         derived = Index.of(self.docs, lines)
-        counts = stored(word_counts(lines), "word-counts")
-        words = counts.drop("n") if known is None else counts.drop("n").join(known.select("word"), "word", "left_anti")
+        words = derived.words if known is None else derived.words.join(known.select("word"), "word", "left_anti")
+        words = stored(words, "new-words")
         jobs = {
-            "positions": sorted_positions(derived.positions, counts),
+            "positions": sorted_positions(derived.positions),
             "words": words.repartitionByRange("word_ci", "word").sortWithinPartitions("word_ci", "word"),
             "grams": gram_rows(words).repartitionByRange("gram", "at").sortWithinPartitions("gram", "at"),
             "links": derived.links, "pairs": derived.pairs, "docs": self.docs,
@@ -235,48 +235,10 @@ def in_parallel(spark: SparkSession, *jobs: Callable[[], None]) -> None:
         d.result()
 
 
-#: Positions of a file, about, and the most files of a run.
-FILE_ROWS, MOST_FILES = 4_000_000, 1024
-
-
-def sorted_positions(positions: DataFrame, counts: DataFrame) -> DataFrame:
-    """Positions in files by ranges of words, sorted by word, document and place.
-
-    The ranges come from the ``counts`` (word, n), by running sums over a distributed sort, so positions aren't sampled. A word
-    that fills several files has its documents dealt to them. At most MOST_FILES - 1 bounds reach the driver.
-    """
+def sorted_positions(positions: DataFrame) -> DataFrame:
+    """Positions in files by ranges of words, sorted by word, document and place; a word with many places fills several."""
     order = ["word", "doc_id", "pos"]
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    files = int(min(MOST_FILES, max(int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // FILE_ROWS + 1)))
-    if files == 1 or not total:
-        return positions.repartition(1).sortWithinPartitions(*order)
-    rows = counts.select("word", "n").repartitionByRange("word").sortWithinPartitions("word").withColumn("part", F.spark_partition_id())
-    rows = stored(rows, "ordered-words")
-    before = rows.groupBy("part").agg(F.sum("n").alias("own")).withColumn("base", F.sum("own").over(Window.orderBy("part")) - F.col("own"))
-    run = Window.partitionBy("part").orderBy("word")
-    ends = rows.join(F.broadcast(before.select("part", "base")), "part").withColumn("end", F.col("base") + F.sum("n").over(run))
-    size = -(-total // files)
-    slot = lambda place: F.floor(place / size).cast("int")
-    first, last = slot(F.col("end") - F.col("n")), slot(F.col("end") - 1)
-    # A word that begins a file's range, or spans some: at most one of each for a file.
-    cuts = ends.filter((first != last) | ((F.col("end") - F.col("n")) % size == 0)).select("word", first.alias("first"), last.alias("last")).orderBy("word").collect()
-    return positions.repartitionById(files, _slot_of(cuts)).sortWithinPartitions(*order)
-
-
-def _slot_of(cuts: list) -> Column:
-    """The file of a word: a balanced tree of comparisons with the words at the cuts."""
-    if not cuts:
-        return F.lit(0)
-
-    def at(lo: int, hi: int) -> Column:
-        if lo > hi:
-            return F.lit(cuts[hi].last if hi >= 0 else 0)
-        mid = (lo + hi) // 2
-        r = cuts[mid]
-        here = F.lit(r.first) + F.pmod(F.xxhash64("doc_id"), F.lit(r.last - r.first + 1)).cast("int") if r.last > r.first else F.lit(r.first)
-        return F.when(F.col("word") == r.word, here).when(F.col("word") < r.word, at(lo, mid - 1)).otherwise(at(mid + 1, hi))
-
-    return at(0, len(cuts) - 1)
+    return positions.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def content_hash(text: Column) -> Column:
@@ -319,14 +281,9 @@ def position_rows(lines: DataFrame) -> DataFrame:
     return at.select("doc_id", (F.col("start_pos") + F.col("nth")).alias("pos"), "line", "word")
 
 
-def word_counts(lines: DataFrame) -> DataFrame:
-    """(word, word_ci, word_len, n): the dictionary, with the number of each word's places."""
-    words = lines.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return words.select("word", T.ascii_lower(F.col("word")).alias("word_ci"), T.size(F.col("word")).alias("word_len"), "n")
-
-
 def word_rows(lines: DataFrame) -> DataFrame:
-    return word_counts(lines).drop("n")
+    words = lines.select(F.explode(F.array_distinct("tokens")).alias("word")).distinct()
+    return words.select("word", T.ascii_lower(F.col("word")).alias("word_ci"), T.size(F.col("word")).alias("word_len"))
 
 
 def with_hash(docs: DataFrame) -> DataFrame:
@@ -401,6 +358,7 @@ def prune(index: Index, keep: int) -> Index:
     return Index(docs, positions, lines, index.words, links, pairs, index.grams)
 
 
+BRACKETS = "()[]{}"
 #: Positions of a block of the bracket scan.
 BRACKET_BLOCK = 4096
 
@@ -413,7 +371,7 @@ def bracket_pairs(positions: DataFrame) -> DataFrame:
     one sum for each block, and of each depth at most a block's first and last bracket. No window spans a document's brackets.
     """
     kinds = F.create_map(*(F.lit(x) for o, c in ("()", "[]", "{}") for x in (o, o, c, o)))
-    marks = positions.filter(F.col("word").isin(*"()[]{}")).select("doc_id", "pos", F.element_at(kinds, F.col("word")).alias("kind"), F.col("word").isin("(", "[", "{").alias("opens"))
+    marks = positions.filter(F.col("word").isin(*BRACKETS)).select("doc_id", "pos", F.element_at(kinds, F.col("word")).alias("kind"), F.col("word").isin("(", "[", "{").alias("opens"))
     marks = marks.withColumn("block", F.floor(F.col("pos") / BRACKET_BLOCK))
     step = F.when(F.col("opens"), 1).otherwise(-1)
     sums = marks.groupBy("doc_id", "kind", "block").agg(F.sum(step).alias("change"))

@@ -16,7 +16,7 @@ def frame(spark, *rows):
 
 
 def folders(path, table="docs"):
-    return sorted(os.listdir(f"{path}/{table}"))
+    return sorted(n for n in os.listdir(f"{path}/{table}") if not n.startswith("."))  # without checksums
 
 
 def found(spark, path, expression="'fox"):
@@ -68,7 +68,7 @@ def test_the_least_recently_used_go(spark, tmp_path):
     assert found(spark, path) == {"/a", "/c"}
 
 
-STEPS = ["line_rows", "word_counts", "sorted_positions", "bracket_pairs", "write_text"]
+STEPS = ["line_rows", "word_rows", "sorted_positions", "bracket_pairs", "write_text"]
 
 
 @pytest.mark.parametrize("step", STEPS)
