@@ -20,11 +20,10 @@ def gram_rows(words: DataFrame) -> DataFrame:
     stands, of short words each character, too. Words that start outside ASCII fit only their equals and have no keys."""
     plain = words.filter((F.col("word") != "") & (F.substring("word", 1, 1) < F.lit("\x80")) & ~F.col("word").startswith(" "))
     size = F.char_length("word_ci")
-    gram = lambda n: lambda i: F.struct(F.substring(F.col("word_ci"), i, F.lit(n)).alias("gram"), (i - 1).alias("at"))
-    pairs = F.when(size >= 2, F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), gram(2))).otherwise(F.array().cast("array<struct<gram:string,at:int>>"))
-    single = F.when(size <= SHORT, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), gram(1))).otherwise(F.array().cast("array<struct<gram:string,at:int>>"))
-    rows = plain.select("word", "word_ci", "word_len", size.alias("size"), F.explode(F.concat(pairs, single)).alias("g"))
-    return rows.select("g.gram", "g.at", "size", "word", "word_ci", "word_len")
+    rows = plain.select("word", "word_ci", "word_len", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
+    pair, single = (F.substring(F.col("word_ci"), F.col("at") + 1, F.lit(n)) for n in (2, 1))
+    grams = F.when(F.col("at") == F.col("size") - 1, F.when(F.col("size") <= SHORT, F.array(single)).otherwise(F.array().cast("array<string>"))).when(F.col("size") <= SHORT, F.array(pair, single)).otherwise(F.array(pair))
+    return rows.select(F.explode(grams).alias("gram"), "at", "size", "word", "word_ci", "word_len")
 
 
 def _apart(s: str, edits: int) -> Column | None:

@@ -42,7 +42,7 @@ class Index:
 
     @staticmethod
     def of(docs: DataFrame, lines: DataFrame) -> Index:
-        marked = lines.filter(F.arrays_overlap("tokens", F.array(*map(F.lit, BRACKETS))))
+        marked = lines.filter(F.exists("tokens", lambda w: w.isin(*BRACKETS)))
         return Index(docs, position_rows(lines), lines, word_rows(lines), L.link_rows(lines), bracket_pairs(position_rows(marked)))
 
     def write(self, path: str, mode: str = "overwrite") -> None:

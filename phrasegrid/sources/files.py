@@ -102,25 +102,14 @@ def paths_from(spark: SparkSession, files: Iterable[str]) -> list[str]:
     return [x for x in out if x.strip()]
 
 
-RAW = "path string, search_mode string, content binary, doc_hash string, mod_time timestamp, format string"
-
-
 def raw_files(spark: SparkSession, files: list[tuple[str, str]] | DataFrame) -> DataFrame:
-    """(path, search_mode, content, doc_hash, mod_time, format) of collected files; the hash is of the bytes.
+    """(path, search_mode, content, doc_hash, mod_time, format) of collected files, a list or a table; the hash is of the bytes.
 
-    A list goes to Spark's reader; a table (path, search_mode) is read where its rows are, without its names on the driver.
-    Files that can't be read are passed over.
+    Files are read where their rows are, empty ones, too; those that can't be read are passed over.
     """
-    if isinstance(files, DataFrame):
-        rows = files.mapInPandas(_read, "path string, search_mode string, content binary, mod_time timestamp")
-        return rows.select("path", "search_mode", "content", F.sha2("content", 512).alias("doc_hash"), "mod_time", P.file_format(F.col("path")).alias("format"))
-    if not files:
-        return spark.createDataFrame([], RAW)
-    modes = spark.createDataFrame(files, "path string, search_mode string")
-    plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", f) for f, _ in files]  # names, not patterns
-    raw = spark.read.format("binaryFile").load(plain)
-    raw = raw.select(F.regexp_replace("path", "^[a-z0-9+.-]+:(//[^/]*)?(?=/)", "").alias("path"), "content", F.col("modificationTime").alias("mod_time"))
-    rows = raw.join(modes, "path")
+    if not isinstance(files, DataFrame):
+        files = spark.createDataFrame(files, "path string, search_mode string")
+    rows = files.mapInPandas(_read, "path string, search_mode string, content binary, mod_time timestamp")
     return rows.select("path", "search_mode", "content", F.sha2("content", 512).alias("doc_hash"), "mod_time", P.file_format(F.col("path")).alias("format"))
 
 
