@@ -27,14 +27,14 @@ def found(spark, path, expression="'fox"):
 def test_many_appends_leave_few_runs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(I, "FANOUT", 3)
     path = str(tmp_path / "i")
-    for k in range(14):
+    for k in range(10):
         I.append(frame(spark, (f"/{k}", f"fox number{k} (x)")), path)
         assert len(folders(path)) <= 2 * 3
     assert all(folders(path, t) == folders(path) for t in I.TABLES) and len(folders(path, "manifest")) == 1
-    assert found(spark, path) == {f"/{k}" for k in range(14)} and found(spark, path, "'number7") == {"/7"}
+    assert found(spark, path) == {f"/{k}" for k in range(10)} and found(spark, path, "'number7") == {"/7"}
     index = I.Index.read(spark, path)
-    assert index.words.count() == index.words.select("word").distinct().count() and index.brackets().count() == 14
-    assert {r[0] for r in index.docs.select("doc_id").collect()} == set(range(1, 15))
+    assert index.words.count() == index.words.select("word").distinct().count() and index.brackets().count() == 10
+    assert {r[0] for r in index.docs.select("doc_id").collect()} == set(range(1, 11))
 
 
 def test_pruning_writes_tombstones_only(spark, tmp_path, monkeypatch):
