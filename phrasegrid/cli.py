@@ -108,7 +108,7 @@ def documents(spark: SparkSession, a: argparse.Namespace, params: Params) -> Ind
     contents = index.docs.select("doc_hash", "doc_id", "title").dropDuplicates(["doc_hash"])
     docs = own.join(contents, "doc_hash")
     only = lambda df: df.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    return Index(docs, only(index.positions), only(index.lines), index.words, only(index.links), only(index.brackets()), index.grams)
+    return Index(docs, only(index.positions), only(index.lines), index.words, only(index.links), only(index.brackets()), index.grams, None if index.held is None else only(index.held))
 
 
 def _tell_failed(asked: DataFrame, had: DataFrame, key: str) -> None:

@@ -19,7 +19,7 @@ from .rank import placed
 from .store import children, present, read_text, remove, stored, write_text
 
 #: Tables of a stored run.
-TABLES = ("lines", "positions", "words", "grams", "links", "pairs", "docs")
+TABLES = ("lines", "positions", "postings", "words", "grams", "links", "pairs", "docs")
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,8 @@ class Index:
     docs: path, search_mode, doc_id, doc_hash, title and what else the documents have (format, mod_time, last_used);
     lines: doc_id, line, start_pos, end_pos, page, line_in_page, nonspace, tokens; positions: doc_id, pos, line, word;
     words: word, word_ci, word_len; links: doc_id, start_pos, end_pos, typ, link; pairs: doc_id, open_pos, close_pos of
-    matching brackets; grams: keys of the words, only of a stored index. Everything but docs is made from lines, the one table that texts are tokenized for. ``doc_id`` numbers contents: equal contents share one.
+    matching brackets; only of a stored index grams: keys of the words, and held: word, doc_id, each once. Everything but docs
+    is made from lines, the one table that texts are tokenized for. ``doc_id`` numbers contents: equal contents share one.
     """
 
     docs: DataFrame
@@ -39,6 +40,7 @@ class Index:
     links: DataFrame
     pairs: DataFrame | None = None
     grams: DataFrame | None = None
+    held: DataFrame | None = None
 
     @staticmethod
     def of(docs: DataFrame, lines: DataFrame) -> Index:
@@ -72,6 +74,7 @@ class Index:
         words = stored(words, "new-words")
         jobs = {
             "positions": sorted_positions(derived.positions),
+            "postings": sorted_postings(lines),
             "words": words.repartitionByRange("word_ci", "word").sortWithinPartitions("word_ci", "word"),
             "grams": gram_rows(words).repartitionByRange("gram", "at").sortWithinPartitions("gram", "at"),
             "links": derived.links, "pairs": derived.pairs, "docs": self.docs,
@@ -88,7 +91,7 @@ class Index:
         return manifest.index(spark, path, manifest.runs)
 
     def postings(self) -> DataFrame:
-        return self.positions.select("word", "doc_id").distinct()
+        return self.positions.select("word", "doc_id").distinct() if self.held is None else self.held
 
     def pages(self) -> DataFrame:
         return self.lines.groupBy("doc_id", "page").agg(F.count("*").alias("line_count"), F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
@@ -173,7 +176,7 @@ class Manifest:
         table = lambda name: spark.read.parquet(*(f"{path}/{name}/batch={r.name}" for r in runs))
         dead = self.dead(spark, path)
         live = lambda name: table(name) if dead is None else table(name).join(dead, "doc_id", "left_anti")
-        return Index(live("docs"), live("positions"), live("lines"), table("words"), live("links"), live("pairs"), table("grams"))
+        return Index(live("docs"), live("positions"), live("lines"), table("words"), live("links"), live("pairs"), table("grams"), live("postings"))
 
 
 def committed(spark: SparkSession, path: str) -> list[str]:
@@ -241,6 +244,13 @@ def sorted_positions(positions: DataFrame) -> DataFrame:
     return positions.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def sorted_postings(lines: DataFrame) -> DataFrame:
+    """(word, doc_id), each once, in files by ranges of words, sorted. Equal rows meet in the exchange that sorts them."""
+    order = ["word", "doc_id"]
+    rows = lines.select(F.explode(F.array_distinct("tokens")).alias("word"), "doc_id")
+    return rows.repartitionByRange(*order).dropDuplicates(order).sortWithinPartitions(*order)
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 512)
 
@@ -355,7 +365,8 @@ def prune(index: Index, keep: int) -> Index:
     """The index without its least recently used documents, links included."""
     gone = least_recently_used(index.docs.groupBy("doc_id").agg(F.max("last_used").alias("last_used")), keep)
     docs, positions, lines, links, pairs = (df.join(gone, "doc_id", "left_anti") for df in (index.docs, index.positions, index.lines, index.links, index.brackets()))
-    return Index(docs, positions, lines, index.words, links, pairs, index.grams)
+    held = None if index.held is None else index.held.join(gone, "doc_id", "left_anti")
+    return Index(docs, positions, lines, index.words, links, pairs, index.grams, held)
 
 
 BRACKETS = "()[]{}"

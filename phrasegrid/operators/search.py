@@ -4,6 +4,7 @@ matches per start."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,6 +16,7 @@ from ..functions import text as T
 from ..lang.search import Phrase, Token, phrases
 from ..params import DEFAULTS, Params
 from .dictionary import possible
+from .documents import documents_of, expanded
 from .index import Index
 from .score import Bound, Match, candidate_score, match_code, phrase_brackets, score, search_size
 from .store import stored
@@ -23,6 +25,10 @@ from .store import stored
 BUCKET = 64
 #: Words of a token that the driver takes to look them up in the sorted positions; more are joined from the dictionary.
 MOST_WORDS = 500
+#: Documents that a reader of positions is told by their ids; more are joined.
+FEW_DOCS = 500
+#: Of so many documents one has to have words for all tokens of a phrase, or fewer, for its positions to be read by document.
+SELECTIVE = 4
 #: Values of one condition that a Parquet reader compares with the pages' ranges one by one.
 PUSHED = 10
 RESULT = "doc_id long, phrase_id int, score double, found array<struct<pos:int,word:string,line:int>>"
@@ -59,7 +65,7 @@ def window_of(token: Token, params: Params = DEFAULTS) -> tuple[int, int]:
     return 1, 1
 
 
-def among(column: Column, values: list[str]) -> Column:
+def among(column: Column, values: list) -> Column:
     """Whether a column has one of the values, said so that Parquet readers skip pages of a sorted table without any."""
     values = sorted(values)
     pushed = F.lit(False)
@@ -157,13 +163,38 @@ class Lookup:
         self.words: list[list[tuple[str, int]]] = [[] for _ in tree.keys]
         for r in known.select("key", "word", "code").collect():
             self.words[r.key].append((r.word, r.code))
+        self.docs = self._documents()
+
+    def _documents(self) -> Callable[[DataFrame], DataFrame]:
+        """What leaves positions out whose documents can't have any of the phrases.
+
+        The documents of a token's words are bitmaps, those of a phrase's tokens meet in their intersection, before any position
+        is read. A token with too many words to list is in no intersection. Where the phrases may be in a good part of the
+        documents anyway, or one has a single token to go by, positions are taken as they are.
+        """
+        every = lambda at: at
+        of = {p: {n.key for n in self.tree.nodes if p in n.below} for p in self.tree.phrases}
+        own = {p: {k for k in keys if not self.many(k)} for p, keys in of.items()}
+        if self.index.held is None or any(len(of[p]) < 2 or not own[p] for p in of):
+            return every
+        words = [(w, k) for k in sorted(set().union(*own.values())) for w, _ in self.words[k]]
+        held = lambda some: self.index.held.filter(among(F.col("word"), some))
+        sets = stored(documents_of(held, words, own, MOST_WORDS), "documents-of-phrases")
+        n = sets.agg(F.coalesce(F.sum(F.bitmap_count("docs")), F.lit(0))).first()[0]
+        if n > FEW_DOCS and n * SELECTIVE > self.index.docs.count():
+            return every
+        ids = expanded(sets)
+        if n > FEW_DOCS:
+            return lambda at: at.join(ids, "doc_id", "left_semi")
+        few = sorted(r.doc_id for r in ids.collect())
+        return lambda at: at.filter(among(F.col("doc_id"), few))
 
     def many(self, key: int) -> bool:
         return len(self.words[key]) > MOST_WORDS
 
     def positions(self, keys: list[int]) -> DataFrame:
         """(key, code, doc_id, pos, line, word) of all words that fit the tokens, read once for all of them."""
-        spark, at = self.index.positions.sparkSession, self.index.positions
+        spark, at = self.index.positions.sparkSession, self.docs(self.index.positions)
         few = [(w, k, c) for k in keys if not self.many(k) for w, c in self.words[k]]
         distinct = sorted({w for w, _, _ in few})
         out = None
