@@ -220,7 +220,7 @@ def document_token_counts(docs: DataFrame, path: str, pattern: str, eod: int, id
     byte ranges and counted by :func:`count_tokens`; ``file`` is the number of the file.
 
     Null or empty text has 0 tokens; null ids stay null; repeated rows give a row each; an empty table gives no rows.
-    ``docs`` must read the same way twice, as a stored table does.
+    ``docs`` must read the same way twice, as a stored table does; a row that the files don't have is an error.
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
@@ -229,4 +229,10 @@ def document_token_counts(docs: DataFrame, path: str, pattern: str, eod: int, id
     counts = counts.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), "position", "n_tokens")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"))
     rows = rows.select("doc_id", F.shiftright("row", 33).alias("file"), F.col("row").bitwiseAND((1 << 33) - 1).alias("position"))
-    return rows.join(counts, ["file", "position"]).select("doc_id", F.col("file").cast("string").alias("file"), "position", "n_tokens")
+    return _whole(rows.join(counts, ["file", "position"], "left"))
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """The rows with their counts, or an error if one has none."""
+    lost = F.raise_error(F.concat(F.lit("no tokens in the files for row "), F.col("position").cast("string"), F.lit(" of file "), F.col("file").cast("string")))
+    return rows.select("doc_id", F.col("file").cast("string").alias("file"), "position", F.coalesce("n_tokens", lost.cast("long")).alias("n_tokens"))

@@ -380,7 +380,8 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str) -> tuple[list, np.ndarray]:
     """All windows of at most TOXIC_ROWS and CLEAN_ROWS labelled documents, first by a hash of the id, in a fixed order.
 
-    Documents are taken whole. Where they have more than SAMPLE_BYTES in all, the last ones are left out: each kind has half.
+    Documents are taken whole and have SAMPLE_BYTES at most, half of it for each kind: one that doesn't fit into what is left,
+    such as any that is larger than that by itself, is passed over, and later ones may still fit.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col) > 0).alias("toxic"))
     known = known.withColumn("at", F.xxhash64("doc_id", F.lit("sample")))
@@ -394,8 +395,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     texts = saved(texts.withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))), "labelled-texts")
     used, rows_left = {True: 0, False: 0}, []
     for r in sorted(texts.select("doc_id", "at", "toxic", "size").collect(), key=lambda r: (r["at"], r["doc_id"])):
-        if used[r["toxic"]] + r["size"] <= SAMPLE_BYTES // 2 or not used[r["toxic"]]:
-            used[r["toxic"]] += r["size"] + 1
+        if used[r["toxic"]] + r["size"] <= SAMPLE_BYTES // 2:
+            used[r["toxic"]] += r["size"]
             rows_left.append(r["doc_id"])
     got = texts.filter(F.col("doc_id").isin(rows_left)).select("doc_id", "at", "text", "toxic").collect()
     got = sorted(got, key=lambda r: (r["at"], r["doc_id"]))
@@ -415,7 +416,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id
     all overlapping windows of the whole text, and from nothing but the text: the total, mean and strongest evidence,
     weighed by logistic regression on documents that the network hasn't seen (on all, if those have few toxic ones).
 
-    Null or empty text, and text of white space alone, is one window without evidence: a score near 0. A null id counts as the empty text for
+    Null or empty text, and text of white space and control characters alone, is one window without evidence: a score near 0. A null id counts as the empty text for
     ``held_out``; null labels teach nothing, an id labelled twice is toxic if either says so, and of rows that share an id one
     is learnt from. ``docs`` must read the same way twice, as a stored table does. Without labels of both
     kinds every score is the share of toxic ones (0 without any). Equal texts get equal scores; repeated rows give a row

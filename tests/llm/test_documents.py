@@ -22,7 +22,7 @@ from phrasegrid.llm.lm_score import _summed as summed
 from phrasegrid.llm.near_dedup import near_duplicates
 from phrasegrid.llm.packing import fullest, minimum_bin_slack, pack, word_bpe_coder
 from phrasegrid.llm.queries import ORACLES, pretokenizer, tokenizer_path
-from phrasegrid.llm.token_counts import count_tokens, document_token_counts, read_flat, write_flat
+from phrasegrid.llm.token_counts import _whole, count_tokens, document_token_counts, read_flat, write_flat
 
 from .conftest import EDGES, rows_of
 
@@ -317,6 +317,13 @@ def test_encode_digests(edges, nothing, reference_bpe):
     assert all(bytes(r.bytes).decode() == dict((i, t) for i, t, _ in EDGES)[r.doc_id] for r in encoded(edges.filter("doc_id = 7"), *args).collect())
 
 
+def test_rows_without_a_count_are_an_error(spark):
+    rows = spark.createDataFrame([(1, 0, 5, 3), (2, 0, 6, None)], "doc_id long, file long, position long, n_tokens long")
+    assert [tuple(r) for r in _whole(rows.filter("doc_id = 1")).collect()] == [(1, "0", 5, 3)]
+    with pytest.raises(Exception, match="row 6 of file 0"):
+        _whole(rows).collect()
+
+
 def test_document_token_counts(edges, nothing, reference_bpe):
     args = (tokenizer_path("byte_bpe_50k.tiktoken"), pretokenizer(), 50256)
     want = keyed((i, len(reference_bpe.encode_ordinary(t or ""))) for i, t, _ in EDGES)

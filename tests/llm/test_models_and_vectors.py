@@ -113,6 +113,10 @@ def test_training_rows_are_whole_and_bounded(spark, monkeypatch):
     monkeypatch.setattr(tox, "SAMPLE_BYTES", 4000)
     fewer, _ = tox.training_rows(docs, labels, F.lit(True), "doc_id", "text", "toxic")
     assert 2 <= len(fewer) < 20 and all(b in bags for b in fewer)
+    # No document is read that is larger than the bound by itself, even the only one of its kind.
+    huge, of_huge = rows_of(spark, [(1, "w " * 4000, "s"), (2, "v " * 10, "s")]), labels.filter("doc_id in (1, 2)")
+    bags, toxic = tox.training_rows(huge, of_huge, F.lit(True), "doc_id", "text", "toxic")
+    assert len(bags) == 1 and toxic.tolist() == [False]
 
 
 def test_windows_cover_all_words():
