@@ -25,9 +25,9 @@ from .store import stored
 BUCKET = 64
 #: Words of a token that the driver takes to look them up in the sorted positions; more are joined from the dictionary.
 MOST_WORDS = 500
-#: Documents that a reader of positions is told by their ids; more are joined.
+#: Documents that a reader of positions is told by their ids.
 FEW_DOCS = 500
-#: Of so many documents one has to have words for all tokens of a phrase, or fewer, for its positions to be read by document.
+#: More are joined if at most one of so many documents has words for all tokens of a phrase.
 SELECTIVE = 4
 #: Values of one condition that a Parquet reader compares with the pages' ranges one by one.
 PUSHED = 10
@@ -179,15 +179,16 @@ class Lookup:
             return every
         words = [(w, k) for k in sorted(set().union(*own.values())) for w, _ in self.words[k]]
         held = lambda some: self.index.held.filter(among(F.col("word"), some))
-        sets = stored(documents_of(held, words, own, MOST_WORDS), "documents-of-phrases")
-        n = sets.agg(F.coalesce(F.sum(F.bitmap_count("docs")), F.lit(0))).first()[0]
-        if n > FEW_DOCS and n * SELECTIVE > self.index.docs.count():
+        sets = documents_of(held, words, own, MOST_WORDS)
+        few = [r.doc_id for r in expanded(sets).limit(FEW_DOCS + 1).collect()]
+        if len(few) <= FEW_DOCS:
+            return lambda at: at.filter(among(F.col("doc_id"), few))
+        counts = sets.agg(F.sum(F.bitmap_count("docs")).alias("n"), F.lit(0).alias("nth")).unionByName(self.index.docs.agg(F.count("*").alias("n"), F.lit(1).alias("nth")))
+        n, of_all = (r.n for r in counts.orderBy("nth").collect())
+        if n * SELECTIVE > of_all:
             return every
-        ids = expanded(sets)
-        if n > FEW_DOCS:
-            return lambda at: at.join(ids, "doc_id", "left_semi")
-        few = sorted(r.doc_id for r in ids.collect())
-        return lambda at: at.filter(among(F.col("doc_id"), few))
+        ids = stored(expanded(sets), "documents-of-phrases")
+        return lambda at: at.join(ids, "doc_id", "left_semi")
 
     def many(self, key: int) -> bool:
         return len(self.words[key]) > MOST_WORDS

@@ -10,9 +10,14 @@ from ..params import DEFAULTS, Params
 from .index import Index
 
 
+def result_id() -> Column:
+    """What tells results apart: document, phrase and places."""
+    return F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("phrase_id").cast("string"), F.array_join(F.col("found.pos").cast("array<string>"), ","))
+
+
 def spans(results: DataFrame, index: Index) -> DataFrame:
     """Results with first_line and last_line of their words."""
-    keyed = results.withColumn("result_id", F.xxhash64("doc_id", "phrase_id", "found"))
+    keyed = results.withColumn("result_id", result_id())
     return keyed.withColumns({"first_line": F.array_min("found.line"), "last_line": F.array_max("found.line")})
 
 
@@ -59,7 +64,7 @@ def label(fmt: Column, page: Column, line_in_page: Column) -> Column:
 
 def most_unique_word(results: DataFrame, index: Index) -> DataFrame:
     """(result_id, word): the found word that the fewest words of its page contain, without case; the first of equals."""
-    keyed = results.withColumn("result_id", F.xxhash64("doc_id", "phrase_id", "found"))
+    keyed = results.withColumn("result_id", result_id())
     found = keyed.select("result_id", "doc_id", F.posexplode("found").alias("nth", "f")).select("result_id", "doc_id", "nth", F.col("f.line").alias("line"), F.col("f.word").alias("word"))
     lines = index.lines.join(keyed.select("doc_id").distinct(), "doc_id", "left_semi")
     found = found.join(lines.select("doc_id", "line", "page"), ["doc_id", "line"])

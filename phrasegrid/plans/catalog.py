@@ -511,7 +511,7 @@ def snippet_context(spark, sf_dir):
 def unique_word(spark, sf_dir):
     index = index_for(spark, sf_dir)
     found = S.ranked(S.search(index, _SNIP))
-    keyed = found.withColumn("result_id", F.xxhash64("doc_id", "phrase_id", "found")).select("result_id", "doc_id", long("rank").alias("rank"))
+    keyed = found.withColumn("result_id", snippet.result_id()).select("result_id", "doc_id", long("rank").alias("rank"))
     return keyed.join(snippet.most_unique_word(found, index), "result_id").select("doc_id", "rank", "word")
 
 
