@@ -13,6 +13,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of ASCII letters and digits, runs of blanks, or single characters; long runs come in pieces of 500.
 TOKEN = r"[A-Za-z0-9]{1,500}|[ \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{205F}\x{3000}]{1,500}|(?s:.)"
 _PY_TOKEN = re.compile("[A-Za-z0-9]{1,500}|[   -  -  　]{1,500}|.", re.DOTALL)
+#: The same by parts: blanks, and characters of a piece.
+BLANKS = " \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u205f\u3000"
+LONGEST = 500
 
 
 def ascii_lower(c: Column) -> Column:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 from . import links as L
@@ -260,29 +264,100 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     Each line is tokenized once. Positions run through the document: its lines' tokens are laid end to end, and the place of
     each line's first one is its start. A line without tokens has one empty word; a text without lines is one such line.
-    Where ``paged``, pages are parted by form feeds.
+    Where ``paged``, pages are parted by form feeds. A task tokenizes about :data:`BYTES_AT_ONCE` of texts at a time, or one
+    longer text.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # Bytes that aren't text become what stands for them, as columns have it, and that a space. The last byte is a mark.
+    text = F.replace(F.make_valid_utf8(F.coalesce(F.col(text_col), F.lit(""))), F.lit("\ufffd"), F.lit(" "))
     flag = F.lit(paged) if isinstance(paged, bool) else F.coalesce(paged, F.lit(False))
-    pages = F.array(text) if paged is False else F.when(flag, F.split(text, "\f", -1)).otherwise(F.array(text))
-    some = lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.array(F.lit("")))
-    tokens = lambda page: F.transform(F.transform(T.let(T.lines(page), some), T.tokens), some)
-    row = lambda p: lambda ts, i: F.struct(p.alias("page"), i.alias("line_in_page"), ts.alias("tokens"))
-    lines = F.flatten(F.transform(F.transform(pages, tokens), lambda page, p: F.transform(page, row(p))))
-    first = lambda x, line: lambda _, j: F.when(j == 0, F.struct(line.alias("line"), x.alias("x")))
-    starts = F.flatten(F.transform(lines, lambda x, line: F.transform(x["tokens"], first(x, line))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(starts).alias("start_pos", "s")).filter("s is not null")
-    words = F.col("s.x.tokens")
-    return rows.select(
-        "doc_id",
-        F.col("s.line").alias("line"),
-        "start_pos",
-        (F.col("start_pos") + F.size(words) - 1).alias("end_pos"),
-        F.col("s.x.page").alias("page"),
-        F.col("s.x.line_in_page").alias("line_in_page"),
-        F.size(F.filter(words, lambda w: (w != "") & ~w.startswith(" "))).cast("long").alias("nonspace"),
-        words.alias("tokens"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.concat(text, F.lit("\0")).cast("binary").alias("text"), flag.alias("paged"))
+    fields = [StructField("doc_id", rows.schema["doc_id"].dataType), *StructType.fromDDL(LINE)]
+    return rows.mapInArrow(_line_batches(), StructType(fields))
+
+
+LINE = "line int, start_pos int, end_pos int, page int, line_in_page int, nonspace long, tokens array<string>"
+BYTES_AT_ONCE = 4 << 20
+
+
+def _line_batches() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes lines of batches of (doc_id, text, paged), by columns of bytes; workers needn't have this package.
+
+    Tokens are cut as :data:`T.TOKEN` says: where the class of a byte changes, and at every character of no class.
+    """
+    at_once, longest = BYTES_AT_ONCE, T.LONGEST
+    names = ["doc_id", *(c.split()[0] for c in LINE.split(", "))]
+    # Classes: 1 letters and digits, 2 blanks. Control characters are blanks.
+    kinds, clean = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+    clean[:32] = clean[127] = 32
+    kinds[np.frombuffer((T.UPPER + T.LOWER + "0123456789").encode(), np.uint8)], kinds[32] = 1, 2
+    blanks = np.array([int.from_bytes(c.encode()) for c in T.BLANKS if c != " "])
+
+    def cuts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Where tokens begin; one does at each of ``firsts``."""
+        kind, lead = kinds[data], (data & 0xC0) != 0x80
+        at = np.flatnonzero((data >= 0xE1) & (data <= 0xE3))
+        code = (data[at].astype(np.int64) << 16) + (data[at + 1].astype(np.int64) << 8) + data[at + 2]
+        at = at[np.isin(code, blanks)]
+        for k in range(3):
+            kind[at + k] = 2
+        begins = lead & (kind == 0)
+        begins[1:] |= lead[1:] & (kind[1:] != kind[:-1])
+        begins[firsts] = True
+        starts = np.flatnonzero(begins)
+        long = np.flatnonzero(np.diff(starts, append=len(data)) > longest)
+        if len(long):
+            ends = np.append(starts, len(data))
+            starts = np.sort(np.concatenate([starts, *((starts[i] + np.flatnonzero(lead[starts[i] : ends[i + 1]]))[longest::longest] for i in long)]))
+        return starts
+
+    def lines(ids: pa.Array, data: np.ndarray, ends: np.ndarray, paged: np.ndarray) -> pa.RecordBatch:
+        """Lines of texts that end before the marks at ``ends``."""
+        feed, last = data == 10, np.zeros(len(data), bool)
+        last[ends] = True
+        if paged.any():
+            last |= (data == 12) & np.repeat(paged, np.diff(ends, prepend=-1))
+        stops = np.flatnonzero(feed | last)
+        first = np.append(0, stops[:-1] + 1)
+        after_feed = np.append(False, feed[stops[:-1]])
+        # No empty line after a final line feed.
+        kept = ~(last[stops] & (stops == first) & after_feed)
+        crs = stops[feed[stops] & (stops > first)] - 1
+        crs = crs[data[crs] == 13]
+        inside = np.ones(len(data), bool)
+        inside[stops] = inside[crs] = False
+        place = np.append(0, np.cumsum(inside))
+        doc = np.searchsorted(ends, stops)[kept]
+        page = (np.cumsum(last[stops]) - last[stops])[kept]
+        first, stop = place[first[kept]], place[stops[kept]]
+        data = clean[data[inside]]
+        starts = cuts(data, first[first < stop])
+        before, after = np.searchsorted(starts, first), np.searchsorted(starts, stop)
+        # An empty line's word is empty, and before all that follow.
+        empty = first == stop
+        offsets = np.append(np.insert(starts, before[empty], first[empty]), len(data)).astype(np.int32)
+        sizes = np.maximum(after - before, 1)
+        bounds = np.append(0, np.cumsum(sizes))
+        words = np.append(0, np.cumsum(data[starts] != 32))
+        strings = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        nth, top = np.arange(len(doc)), np.searchsorted(doc, doc)
+        start = bounds[:-1] - bounds[top]
+        ints = (nth - top, start, start + sizes - 1, page - page[top], nth - np.searchsorted(page, page))
+        columns = [ids.take(pa.array(doc)), *(pa.array(c.astype(np.int32)) for c in ints), pa.array(words[after] - words[before]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), strings)]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, paged = batch.columns
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
+            lo = 0
+            while lo < len(ids):
+                done = ends[lo - 1] if lo else 0
+                hi = max(int(np.searchsorted(ends, done + at_once)), lo + 1)
+                some = b"".join(texts.slice(lo, hi - lo).to_pylist())
+                yield lines(ids.slice(lo, hi - lo), np.frombuffer(some, np.uint8), ends[lo:hi] - done - 1, paged.slice(lo, hi - lo).to_numpy(zero_copy_only=False))
+                lo = hi
+
+    return work
 
 
 def position_rows(lines: DataFrame) -> DataFrame:
