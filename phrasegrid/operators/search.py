@@ -163,9 +163,11 @@ class Lookup:
         self.words: list[list[tuple[str, int]]] = [[] for _ in tree.keys]
         for r in known.select("key", "word", "code").collect():
             self.words[r.key].append((r.word, r.code))
-        self.docs = self._documents()
+        #: Of an index that isn't stored, positions come from the lines each time, so they are read once for all tokens.
+        self.found = None if index.held is not None else stored(self._from_lines(index.positions, list(range(len(tree.keys)))), "found-positions")
+        self.docs = self._documents(self.found.select("word", "doc_id") if index.held is None else index.held)
 
-    def _documents(self) -> Callable[[DataFrame], DataFrame]:
+    def _documents(self, held: DataFrame) -> Callable[[DataFrame], DataFrame]:
         """What leaves positions out whose documents can't have any of the phrases.
 
         The documents of a token's words are bitmaps, those of a phrase's tokens meet in their intersection, before any position
@@ -175,11 +177,10 @@ class Lookup:
         every = lambda at: at
         of = {p: {n.key for n in self.tree.nodes if p in n.below} for p in self.tree.phrases}
         own = {p: {k for k in keys if not self.many(k)} for p, keys in of.items()}
-        if self.index.held is None or any(len(of[p]) < 2 or not own[p] for p in of):
+        if any(len(of[p]) < 2 or not own[p] for p in of):
             return every
         words = [(w, k) for k in sorted(set().union(*own.values())) for w, _ in self.words[k]]
-        held = lambda some: self.index.held.filter(among(F.col("word"), some))
-        sets = documents_of(held, words, own, MOST_WORDS)
+        sets = documents_of(lambda some: held.filter(among(F.col("word"), some)), words, own, MOST_WORDS)
         few = [r.doc_id for r in expanded(sets).limit(FEW_DOCS + 1).collect()]
         if len(few) <= FEW_DOCS:
             return lambda at: at.filter(among(F.col("doc_id"), few))
@@ -195,6 +196,8 @@ class Lookup:
 
     def positions(self, keys: list[int]) -> DataFrame:
         """(key, code, doc_id, pos, line, word) of all words that fit the tokens, read once for all of them."""
+        if self.found is not None:
+            return self.docs(self.found.filter(F.col("key").isin(keys)))
         spark, at = self.index.positions.sparkSession, self.docs(self.index.positions)
         few = [(w, k, c) for k in keys if not self.many(k) for w, c in self.words[k]]
         distinct = sorted({w for w, _, _ in few})
@@ -211,6 +214,30 @@ class Lookup:
             out = out.unionByName(at.join(self.matched.filter(F.col("key").isin(large)).select("word", "key", "code"), "word"))
         return out.select("key", "code", "doc_id", "pos", "line", "word")
 
+    def _from_lines(self, at: DataFrame, keys: list[int]) -> DataFrame:
+        """The same in one pass over positions in no order. A token with more words than are listed is compared with each
+        position's word, so none is sent to where the dictionary has its word."""
+        few: dict[str, list[tuple[int, int]]] = {}
+        for k in keys:
+            for w, c in [] if self.many(k) else self.words[k]:
+                few.setdefault(w, []).append((k, c))
+        kind = pa.list_(pa.struct([("key", pa.int32()), ("code", pa.int32())]))
+        listed = [[{"key": k, "code": c} for k, c in x] for x in few.values()]
+        table = at.sparkSession.createDataFrame(pa.table({"word": pa.array(list(few), pa.string()), "listed": pa.array(listed, kind)}))
+        # A token that isn't one character is ASCII, where this is the same as the dictionary's lower case, and fast.
+        w, ci = F.col("word"), F.lower("word")
+        fits = {}
+        for k in filter(self.many, keys):
+            own = self.tree.keys[k]
+            fit = T.matches(own.match, own.word or " ", w, ci, self.params.max_fuzzy_edit_dist)
+            # Blanks are never part of another token.
+            fits[k] = ~w.startswith(" ") & fit if own.word and " " not in own.word else fit
+        more = [F.when(fit, F.struct(F.lit(k).alias("key"), match_code(self.tree.keys[k].word, w, ci).cast("int").alias("code"))) for k, fit in fits.items()]
+        found = at.filter(reduce(Column.__or__, fits.values(), w.isin(list(few)))).join(F.broadcast(table), "word", "left")
+        none = F.array().cast("array<struct<key:int,code:int>>")
+        every = F.concat(F.coalesce("listed", none), F.array_compact(F.array(*more)) if more else none)
+        return found.withColumn("m", F.explode(every)).select("m.key", "m.code", "doc_id", "pos", "line", "word")
+
 
 def _preference(key: Key) -> Column:
     """Words of a token in order of preference: of first tokens the likest ones."""
