@@ -29,6 +29,8 @@ MOST_WORDS = 500
 FEW_DOCS = 500
 #: More are joined if at most one of so many documents has words for all tokens of a phrase.
 SELECTIVE = 4
+#: Places from a token to the one before that are looked at one by one.
+MOST_BESIDE = 8
 #: Values of one condition that a Parquet reader compares with the pages' ranges one by one.
 PUSHED = 10
 RESULT = "doc_id long, phrase_id int, score double, found array<struct<pos:int,word:string,line:int>>"
@@ -164,7 +166,7 @@ class Lookup:
         for r in known.select("key", "word", "code").collect():
             self.words[r.key].append((r.word, r.code))
         #: Of an index that isn't stored, positions come from the lines each time, so they are read once for all tokens.
-        self.found = None if index.held is not None else stored(self._from_lines(index.positions, list(range(len(tree.keys)))), "found-positions")
+        self.found = None if index.held is not None else stored(self._from_lines(index.lines, list(range(len(tree.keys)))), "found-positions")
         self.docs = self._documents(self.found.select("word", "doc_id") if index.held is None else index.held)
 
     def _documents(self, held: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -214,30 +216,57 @@ class Lookup:
             out = out.unionByName(at.join(self.matched.filter(F.col("key").isin(large)).select("word", "key", "code"), "word"))
         return out.select("key", "code", "doc_id", "pos", "line", "word")
 
-    def _from_lines(self, at: DataFrame, keys: list[int]) -> DataFrame:
-        """The same in one pass over positions in no order. A token with more words than are listed is compared with each
-        position's word, so none is sent to where the dictionary has its word."""
+    def _from_lines(self, lines: DataFrame, keys: list[int]) -> DataFrame:
+        """The same in one pass over the tokens of lines in no order. A token with more words than are listed is compared with
+        each word that stands where it may (see :meth:`_beside`), so none is sent to where the dictionary has its word."""
         few: dict[str, list[tuple[int, int]]] = {}
         for k in keys:
             for w, c in [] if self.many(k) else self.words[k]:
                 few.setdefault(w, []).append((k, c))
         kind = pa.list_(pa.struct([("key", pa.int32()), ("code", pa.int32())]))
         listed = [[{"key": k, "code": c} for k, c in x] for x in few.values()]
-        table = at.sparkSession.createDataFrame(pa.table({"word": pa.array(list(few), pa.string()), "listed": pa.array(listed, kind)}))
+        table = lines.sparkSession.createDataFrame(pa.table({"word": pa.array(list(few), pa.string()), "listed": pa.array(listed, kind)}))
         # A token that isn't one character is ASCII, where this is the same as the dictionary's lower case, and fast.
         w, ci = F.col("word"), F.lower("word")
-        fits = {}
+        fits, has = {}, {}
         for k in filter(self.many, keys):
             own = self.tree.keys[k]
             fit = T.matches(own.match, own.word or " ", w, ci, self.params.max_fuzzy_edit_dist)
             # Blanks are never part of another token.
-            fits[k] = ~w.startswith(" ") & fit if own.word and " " not in own.word else fit
+            fit = ~w.startswith(" ") & fit if own.word and " " not in own.word else fit
+            beside = self._beside(k, has)
+            fits[k] = fit if beside is None else beside & fit
+        # Each word has its line's tokens at hand until it is kept or not, inside one generated loop.
+        at = lines.select("doc_id", "line", "start_pos", "tokens", *(c.alias(name) for name, c in has.items()))
+        at = at.select("*", F.posexplode("tokens").alias("nth", "word")).filter(reduce(Column.__or__, fits.values(), w.isin(list(few))))
         more = [F.when(fit, F.struct(F.lit(k).alias("key"), match_code(self.tree.keys[k].word, w, ci).cast("int").alias("code"))) for k, fit in fits.items()]
-        found = at.filter(reduce(Column.__or__, fits.values(), w.isin(list(few)))).join(F.broadcast(table), "word", "left")
-        none = F.array().cast("array<struct<key:int,code:int>>")
-        every = F.concat(F.coalesce("listed", none), F.array_compact(F.array(*more)) if more else none)
+        at = at.select("doc_id", (F.col("start_pos") + F.col("nth")).alias("pos"), "line", "word", F.array(*more).alias("more") if more else F.array().cast("array<struct<key:int,code:int>>").alias("more"))
+        found = at.join(F.broadcast(table), "word", "left")
+        every = F.concat(F.coalesce("listed", F.array().cast("array<struct<key:int,code:int>>")), F.array_compact("more"))
         return found.withColumn("m", F.explode(every)).select("m.key", "m.code", "doc_id", "pos", "line", "word")
 
+    def _beside(self, key: int, has: dict[str, Column]) -> Column | None:
+        """Whether a word of the token before may stand where this token's place in some phrase asks for one: in the line, or
+        beyond its ends, where other lines' words aren't known. None if that may be anywhere, or is one of too many words.
+        ``has`` gets columns of a line: whether it has any such word at all.
+
+        No chain gets to other places, so they needn't be looked at, however many words the token fits.
+        """
+        up = {i: n for n in self.tree.nodes for i in n.children}
+        nth, out = F.col("nth"), F.lit(False)
+        for i, n in enumerate(self.tree.nodes):
+            if n.key != key:
+                continue
+            lo, hi = n.window
+            if i not in up or self.many(up[i].key) or hi - lo > MOST_BESIDE:
+                return None
+            before = [w for w, _ in self.words[up[i].key]]
+            if before:
+                has[f"has{i}"] = F.arrays_overlap("tokens", F.array(*map(F.lit, before)))
+                beside = reduce(Column.__or__, (F.coalesce(F.get("tokens", nth - d).isin(before), F.lit(False)) for d in range(lo, hi + 1)))
+                out = out | (nth < hi) | (nth >= F.size("tokens") + lo) | (F.col(f"has{i}") & beside)
+        return out
+
 
 def _preference(key: Key) -> Column:
     """Words of a token in order of preference: of first tokens the likest ones."""

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from phrasegrid.functions import text as T
+from phrasegrid.lang.search import phrases
 from phrasegrid.operators import index as I
 from phrasegrid.operators import search as S
+from phrasegrid.operators.store import stored
 from phrasegrid.plans import catalog, corpus
 
 
@@ -84,3 +86,21 @@ def test_a_token_with_many_words_is_found_without_the_dictionary(spark, tmp_path
     monkeypatch.setattr(S, "MOST_WORDS", 3)
     for expression, rows in want.items():
         assert sorted(map(repr, S.search(I.build(docs), expression).collect())) == rows
+
+
+def test_a_linked_token_with_many_words_is_looked_for_beside_the_one_before_only(spark, monkeypatch):
+    rng = random.Random(3)
+    parts = ["é", "t", "t1", "2t", "3t", " ", "fox", ",", "\n", "\r\n", "\n\n", "-"]
+    docs = spark.createDataFrame([(f"/{i}", "".join(rng.choices(parts, k=rng.randrange(1, 60)))) for i in range(40)], "path string, text string")
+    index = I.build(docs)
+    index = I.Index.of(stored(index.docs, "docs"), stored(index.lines, "lines"))
+    phrase = phrases("ét")[0]
+
+    def found():
+        chains = S.Chains(index, S.Tree([(0, phrase)]))
+        return chains.lookup.found.filter("key = 1").count(), sorted((r.doc_id, r.pos0, r.pos1, r.word1, r.code1) for r in chains.rows().collect())
+
+    every, want = found()
+    monkeypatch.setattr(S, "MOST_WORDS", 3)
+    beside, got = found()
+    assert got == want and got and beside < every
