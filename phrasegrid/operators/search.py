@@ -17,7 +17,7 @@ from ..lang.search import Phrase, Token, phrases
 from ..params import DEFAULTS, Params
 from .dictionary import possible
 from .documents import documents_of, expanded
-from .index import Index
+from .index import Index, bracket_pairs
 from .score import Bound, Match, candidate_score, match_code, phrase_brackets, score, search_size
 from .store import stored
 
@@ -410,13 +410,16 @@ def combinations(index: Index, phrase: Phrase, params: Params = DEFAULTS, scopes
     return Chains(index, Tree([(0, phrase)], params), params, scopes, docs, by_line).rows()
 
 
-def _bracketed(found: DataFrame, index: Index, tree: Tree) -> tuple[DataFrame, Column]:
-    """Adds the number of each phrase's bracket pairs that are matching brackets in the text, as stored with the index."""
+def _bracketed(found: DataFrame, lookup: Lookup, tree: Tree) -> tuple[DataFrame, Column]:
+    """Adds the number of each phrase's bracket pairs that are matching brackets in the text, as stored with the index, or as
+    the places of the phrases' tokens have them, since these are all brackets of a kind of which a phrase has a pair."""
     own = {p: phrase_brackets(phrase) for p, phrase in tree.phrases.items()}
     total = F.lit(0)
+    asked = {tree.phrases[p][i].word for p, pairs in own.items() for pair in pairs for i in pair}
+    matching = lookup.index.brackets() if lookup.found is None or not asked else bracket_pairs(lookup.found.filter(F.col("word").isin(*asked)).select("doc_id", "pos", "word").distinct())
     for k in range(max(map(len, own.values()))):
         ends = [_by(F.col("phrase_id"), {p: F.col(f"pos{pairs[k][side]}") for p, pairs in own.items() if len(pairs) > k}) for side in (0, 1)]
-        pairs = index.brackets().select(F.col("doc_id").alias("bd"), F.col("open_pos").alias("bo"), F.col("close_pos").alias("bc"), F.lit(1).alias(f"pair{k}"))
+        pairs = matching.select(F.col("doc_id").alias("bd"), F.col("open_pos").alias("bo"), F.col("close_pos").alias("bc"), F.lit(1).alias(f"pair{k}"))
         found = found.withColumns({"open": ends[0], "close": ends[1]})
         found = found.join(pairs, (F.col("doc_id") == F.col("bd")) & (F.col("open") == F.col("bo")) & (F.col("close") == F.col("bc")), "left").drop("bd", "bo", "bc", "open", "close")
         total = total + F.coalesce(f"pair{k}", F.lit(0))
@@ -448,7 +451,7 @@ class Search:
 
     def _scored(self, chains: DataFrame) -> DataFrame:
         """(doc_id, phrase_id, n_starts, pos0, score, found) of chains that are whole phrases."""
-        found, pairs = _bracketed(chains, self.index, self.tree)
+        found, pairs = _bracketed(chains, self.chains.lookup, self.tree)
         depth = self.tree.depth
         matches = [Match(F.col(f"pos{i}"), F.col(f"code{i}")) for i in range(depth)]
         sizes = {p: F.struct(*(F.lit(x).alias(n) for n, x in search_size(phrase).items())) for p, phrase in self.tree.phrases.items()}

@@ -104,3 +104,20 @@ def test_a_linked_token_with_many_words_is_looked_for_beside_the_one_before_only
     monkeypatch.setattr(S, "MOST_WORDS", 3)
     beside, got = found()
     assert got == want and got and beside < every
+
+
+def test_brackets_of_a_search_come_from_its_tokens_places(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(f"/{i}", "".join(rng.choices("()[] a\n", k=rng.randrange(1, 50)))) for i in range(30)], "path string, text string")
+    index = I.build(docs)
+    index = I.Index.of(stored(index.docs, "docs"), stored(index.lines, "lines"))
+    expression = r"\( \)"
+    with monkeypatch.context() as m:
+        m.setattr(S, "bracket_pairs", lambda _: index.brackets())
+        want = sorted(map(repr, S.search(index, expression).collect()))
+
+    def fail(_):
+        raise AssertionError("all lines are read for brackets")
+
+    monkeypatch.setattr(I.Index, "brackets", fail)
+    assert sorted(map(repr, S.search(index, expression).collect())) == want and want
