@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,23 @@ def window_starts(n: int) -> np.ndarray:
     return np.arange(max(1, -(-(n - WINDOW) // STRIDE) + 1)) * STRIDE
 
 
+class Windows(Sequence):
+    """A document's windows of words, cut as they are asked for, so that overlapping ones take no room."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, self.starts = words, window_starts(len(words))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, i: int) -> list[bytes]:
+        at = int(self.starts[i])
+        return self.words[at : at + WINDOW]
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Windows) and self.words == other.words
+
+
 def word_features(words: list[bytes]) -> tuple[np.ndarray, ...]:
     """A word's bucket, all words' part buckets one after the other, and which word each part belongs to (ascending).
 
@@ -108,11 +125,12 @@ def _recur(projected: np.ndarray, ids: np.ndarray, mask: np.ndarray, u: np.ndarr
     (n, steps), h = ids.shape, len(u)
     state, states = np.zeros((n, h), u.dtype), np.empty((steps, n, h), u.dtype)
     for t in range(steps) if forward else range(steps - 1, -1, -1):
-        z, _, c, _ = cell = _cell(projected[ids[:, t]], state, u)
+        z, r, c, through = _cell(projected[ids[:, t]], state, u)
         m = mask[:, t, None]
-        if tape is not None:
-            tape.append((t, state, cell, m))
-        state = states[t] = state + m * (1 - z) * (c - state)
+        if tape is not None:  # a copy, as the view would keep the other gates' sums
+            tape.append((t, state, (z, r, c, through.copy()), m))
+        states[t] = state + m * (1 - z) * (c - state)
+        state = states[t]
     return states
 
 
@@ -210,7 +228,7 @@ class Network:
         d_states = a[:, :, None] * d_pooled + d_e[:, :, None] * p["query"]
         d_x = np.zeros_like(x)
         for k, way in enumerate("fb"):
-            d_proj, g[f"hw{way}"] = _back(tape["ways"][way], p[f"hw{way}"], d_states[:, :, k * UNITS : (k + 1) * UNITS], ids, len(x))
+            d_proj, g[f"hw{way}"] = _back(tape["ways"].pop(way), p[f"hw{way}"], d_states[:, :, k * UNITS : (k + 1) * UNITS], ids, len(x))
             d_x += self._projection(g, "w" + way, d_proj, x)
         bucket, grams, owners, counts, order = tape["features"]
         g["word"] = _used_rows(d_x[:, :WIDTH], bucket)
@@ -278,7 +296,7 @@ class Model:
             self.flat = float(toxic.mean()) if len(toxic) else 0.0
             return self
         number: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        coded = [[np.fromiter((number[w] for w in win), np.int64, len(win)) for win in bag] for bag in bags]
+        coded = [[np.fromiter((number[w] for w in win), np.int32, len(win)) for win in bag] for bag in bags]
         vocabulary = list(number)
         rng, moments, step = np.random.default_rng(seed), {}, 0
         weight = np.where(toxic, min(4.0, (~toxic).sum() / toxic.sum()), 1.0)
@@ -400,11 +418,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
             rows_left.append(r["doc_id"])
     got = texts.filter(F.col("doc_id").isin(rows_left)).select("doc_id", "at", "text", "toxic").collect()
     got = sorted(got, key=lambda r: (r["at"], r["doc_id"]))
-    bags = []
-    for r in got:
-        words = words_of(r["text"] or "")
-        bags.append([words[a : a + WINDOW] for a in window_starts(len(words)).tolist()])
-    return bags, np.array([r["toxic"] for r in got], bool)
+    toxic = np.array([r["toxic"] for r in got], bool)
+    # Each distinct word is held once, and no text longer than it takes to cut it: the driver has little room.
+    bags, once = [], {}
+    for i, r in enumerate(got):
+        got[i] = None
+        bags.append(Windows([once.setdefault(w, w) for w in words_of(r["text"] or "")]))
+    return bags, toxic
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -119,6 +119,15 @@ def test_training_rows_are_whole_and_bounded(spark, monkeypatch):
     assert len(bags) == 1 and toxic.tolist() == [False]
 
 
+def test_a_sample_holds_each_word_once_and_no_windows(spark):
+    docs, labels = rows_of(spark, [(i, f"some words of {i} " * 50, "s") for i in range(1, 21)]), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    bags, _ = tox.training_rows(docs, labels, F.lit(True), "doc_id", "text", "toxic")
+    words = [w for bag in bags for window in bag for w in window]
+    assert len({id(w) for w in words}) == len(set(words)) == 23
+    for bag in bags:
+        assert list(bag) == [bag.words[a : a + tox.WINDOW] for a in tox.window_starts(200).tolist()]
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 47, 48, 49, 72, 73, 1000):
         starts = tox.window_starts(n)
