@@ -259,33 +259,46 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 512)
 
 
-def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paged: bool | Column = False) -> DataFrame:
+def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paged: bool | Column = False, listed: bool = False) -> DataFrame:
     """(doc_id, line, start_pos, end_pos, page, line_in_page, nonspace, tokens): lines in order, without a shuffle or a window.
 
     Each line is tokenized once. Positions run through the document: its lines' tokens are laid end to end, and the place of
     each line's first one is its start. A line without tokens has one empty word; a text without lines is one such line.
     Where ``paged``, pages are parted by form feeds. A task tokenizes about :data:`BYTES_AT_ONCE` of texts at a time, or one
-    longer text.
+    longer text. With ``listed``, the first line of each such lot has the lot's distinct words in a column of that name, and
+    others have null: :func:`listed_words` makes the dictionary of these, without a look at the tokens.
     """
+    return _tokenized(docs, id_col, text_col, paged, f"{LINE}, {LISTED}" if listed else LINE)
+
+
+def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, word, n, end_pos): each row's distinct words, how often it has them, and its last position, without a shuffle."""
+    return _tokenized(docs, id_col, text_col, False, WORD)
+
+
+def _tokenized(docs: DataFrame, id_col: str, text_col: str, paged: bool | Column, kind: str) -> DataFrame:
     # Bytes that aren't text become what stands for them, as columns have it, and that a space. The last byte is a mark.
     text = F.replace(F.make_valid_utf8(F.coalesce(F.col(text_col), F.lit(""))), F.lit("\ufffd"), F.lit(" "))
     flag = F.lit(paged) if isinstance(paged, bool) else F.coalesce(paged, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.concat(text, F.lit("\0")).cast("binary").alias("text"), flag.alias("paged"))
-    fields = [StructField("doc_id", rows.schema["doc_id"].dataType), *StructType.fromDDL(LINE)]
-    return rows.mapInArrow(_line_batches(), StructType(fields))
+    fields = [StructField("doc_id", rows.schema["doc_id"].dataType), *StructType.fromDDL(kind)]
+    return rows.mapInArrow(_line_batches(kind), StructType(fields))
 
 
 LINE = "line int, start_pos int, end_pos int, page int, line_in_page int, nonspace long, tokens array<string>"
+LISTED = "listed array<string>"
+WORD = "word string, n int, end_pos int"
 BYTES_AT_ONCE = 4 << 20
 
 
-def _line_batches() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What makes lines of batches of (doc_id, text, paged), by columns of bytes; workers needn't have this package.
+def _line_batches(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes rows of a kind of batches of (doc_id, text, paged), by columns of bytes; workers needn't have this package.
 
     Tokens are cut as :data:`T.TOKEN` says: where the class of a byte changes, and at every character of no class.
     """
     at_once, longest = BYTES_AT_ONCE, T.LONGEST
-    names = ["doc_id", *(c.split()[0] for c in LINE.split(", "))]
+    names = ["doc_id", *(c.split()[0] for c in kind.split(", "))]
+    by_word, listed = kind == WORD, kind.endswith(LISTED)
     # Classes: 1 letters and digits, 2 blanks. Control characters are blanks.
     kinds, clean = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
     clean[:32] = clean[127] = 32
@@ -339,12 +352,25 @@ def _line_batches() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         bounds = np.append(0, np.cumsum(sizes))
         words = np.append(0, np.cumsum(data[starts] != 32))
         strings = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        if by_word:
+            return words_of(ids, strings, np.bincount(doc, sizes, len(ids)).astype(np.int64))
         nth, top = np.arange(len(doc)), np.searchsorted(doc, doc)
         start = bounds[:-1] - bounds[top]
         ints = (nth - top, start, start + sizes - 1, page - page[top], nth - np.searchsorted(page, page))
         columns = [ids.take(pa.array(doc)), *(pa.array(c.astype(np.int32)) for c in ints), pa.array(words[after] - words[before]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), strings)]
+        if listed:
+            own = strings.unique()
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.full(len(doc), len(own))).astype(np.int32)), own, mask=pa.array(nth > 0)))
         return pa.RecordBatch.from_arrays(columns, names)
 
+    def words_of(ids: pa.Array, strings: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+        """Each text's distinct words; a text has as many of the strings as its size says."""
+        coded = strings.dictionary_encode()
+        many = len(coded.dictionary)
+        found, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * many + coded.indices.to_numpy(), return_counts=True)
+        doc = found // many
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), coded.dictionary.take(pa.array(found % many)), *(pa.array(c.astype(np.int32)) for c in (n, sizes[doc] - 1))], names)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, paged = batch.columns
@@ -367,8 +393,16 @@ def position_rows(lines: DataFrame) -> DataFrame:
 
 
 def word_rows(lines: DataFrame) -> DataFrame:
-    words = lines.select(F.explode(F.array_distinct("tokens")).alias("word")).distinct()
-    return words.select("word", T.ascii_lower(F.col("word")).alias("word_ci"), T.size(F.col("word")).alias("word_len"))
+    return dictionary_rows(lines.select(F.explode(F.array_distinct("tokens")).alias("word")))
+
+
+def listed_words(lines: DataFrame) -> DataFrame:
+    """The dictionary of lines that were made with ``listed``."""
+    return dictionary_rows(lines.select(F.explode("listed").alias("word")))
+
+
+def dictionary_rows(words: DataFrame) -> DataFrame:
+    return words.distinct().select("word", T.ascii_lower(F.col("word")).alias("word_ci"), T.size(F.col("word")).alias("word_len"))
 
 
 def with_hash(docs: DataFrame) -> DataFrame:
