@@ -16,8 +16,8 @@ def documents_of(held: Callable[[list[str]], DataFrame], words: list[tuple[str,
     """(bucket, docs): bitmaps of the documents that have, for some phrase, a word of each of its keys.
 
     ``held`` gives the (word, doc_id) of some words; ``words`` are (word, key), looked up ``at_once`` words at a time; ``phrases``
-    have their keys. Documents are numbers; a bucket has :data:`BITS` of them. Bits are set before anything is shuffled, so
-    what moves is one bitmap for each key, bucket and task, however common a word.
+    have their keys. Documents are numbers; a bucket has :data:`BITS` of them. A bitmap's aggregation sorts its rows, so each
+    document comes to it once a key, however often it has the words.
     """
     distinct, rows = sorted({w for w, _ in words}), None
     for lo in range(0, max(len(distinct), 1), at_once):
@@ -31,7 +31,7 @@ def documents_of(held: Callable[[list[str]], DataFrame], words: list[tuple[str,
     for p, keys in phrases.items():
         for k in keys:
             by_key.setdefault(k, []).append(p)
-    of_key = rows.groupBy("key", F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("docs"))
+    of_key = rows.distinct().groupBy("key", F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("docs"))
     at = F.create_map(*(F.lit(x) for k, ps in by_key.items() for x in (k, ps)))
     size = F.create_map(*(F.lit(x) for p, keys in phrases.items() for x in (p, len(keys))))
     both = of_key.select("bucket", "docs", F.explode(at[F.col("key")]).alias("phrase")).groupBy("phrase", "bucket")

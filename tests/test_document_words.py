@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phrasegrid.operators import index as I
+from phrasegrid.operators.documents import documents_of, expanded
 from phrasegrid.plans import catalog, corpus
 
 from .test_lines_by_bytes import plain_lines, texts
@@ -65,3 +66,12 @@ def test_the_dictionary_of_a_search_is_made_without_the_lines_tokens(spark, tmp_
     index = corpus.index_for(spark, written(spark, tmp_path, list(enumerate(texts()))))
     assert "listed" in plans["words"] and "tokens" not in plans["words"]
     assert index.words.count() == I.word_rows(index.lines).count() and "listed" not in index.lines.columns
+
+
+def test_a_document_comes_to_a_bitmap_once_a_key(spark):
+    held = spark.createDataFrame([("w", 1)] * 50 + [("v", 1), ("v", 40_000)], "word string, doc_id long")
+    sets = documents_of(lambda some: held, [("w", 0), ("v", 0)], {0: {0}}, 10)
+    assert sorted(r.doc_id for r in expanded(sets).collect()) == [1, 40_000]
+    bitmaps = next(x for x in plan_of(sets).split("\n") if "bitmap_construct_agg" in x)
+    assert "SortAggregate" in bitmaps or "HashAggregate" in bitmaps
+    assert any("HashAggregate(keys=[key" in x and "doc_id" in x and "functions=[]" in x for x in plan_of(sets).split("\n"))
